@@ -25,3 +25,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     scored = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return quality.verdicts(scored.drop("text", "lang")).select("doc_id", "quality.*")
+
+
+@query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, scanned once per distinct text."""
+    from reelweave.llm import secrets
+
+    found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *secrets.report(found))
