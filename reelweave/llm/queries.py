@@ -71,3 +71,11 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length({_escaped("text")}) + marks) AS BIGINT) AS formatted_chars
 FROM s GROUP BY conv_id"""
+
+
+@query
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    from reelweave.llm import near_dup
+
+    return near_dup.classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
