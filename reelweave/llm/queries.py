@@ -79,3 +79,16 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reelweave.llm import near_dup
 
     return near_dup.classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score and offending spans of every document."""
+    from reelweave.llm import toxicity
+    from reelweave.llm._shared import remainder
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    scored = docs.withColumn("t", toxicity.score(F.col("text"), model, spark))
+    spans = F.array_join(F.transform("t.spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "t.score", (F.col("t.score") >= 0.5).cast("int").alias("predicted"), spans.alias("spans"))
