@@ -2,7 +2,8 @@
 
 Labels are per document, so token labels come first: in a bounded sample of labelled documents
 (``SAMPLE`` per label, drawn by a hash of the id, near copies dropped) a token is marked toxic if it
-stands in a toxic document and its word is far likelier there than in clean ones.  The field learns
+stands in a toxic document and its word, or the word's beginning, is far likelier there than in clean
+ones.  The field learns
 these marks from hashed features (the word, its ends, its neighbours) and a 2 x 2 transition table;
 training and scoring use exact forward-backward marginals.  A document's score is a logistic function
 of its largest marginal and of the expected number of toxic tokens.
@@ -32,7 +33,7 @@ from reelweave.llm._shared import remainder
 
 SAMPLE = {1: 800, 0: 1200}
 BITS = 18
-FEATURES = 5
+FEATURES = 6
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _CONT = (np.arange(256) & 0xC0) == 0x80
@@ -48,7 +49,7 @@ def tokens(block: _text.Block) -> tuple[np.ndarray, np.ndarray]:
 
 
 def features(block: _text.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Feature slots (FEATURES x tokens), documents, starts, ends and word hashes of the tokens."""
+    """Feature slots (FEATURES x tokens), documents, starts, ends, and hashes of words and of their first five bytes."""
     start, end = tokens(block)
     doc = block.doc_of(start)
     word = block.hashes(start, end)
@@ -58,11 +59,12 @@ def features(block: _text.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         before[1:] = np.where(same, word[:-1], np.uint64(0))
         after[:-1] = np.where(same, word[1:], np.uint64(0))
     head = block.hashes(start, np.minimum(end, start + 4))
+    stem = block.hashes(start, np.minimum(end, start + 6))
     tail = block.hashes(np.maximum(start, end - 4), end)
     slots = np.empty((FEATURES, len(word)), np.int64)
-    for k, h in enumerate((word, before, after, head, tail)):
+    for k, h in enumerate((word, before, after, head, stem, tail)):
         slots[k] = (_text.mix(h + np.uint64(k + 1)) >> np.uint64(64 - BITS)).astype(np.int64) + (k << BITS)
-    return slots, doc, start, end, word
+    return slots, doc, start, end, np.stack([word, block.hashes(start, np.minimum(end, start + 5))])
 
 
 def _times(a, b):
@@ -153,8 +155,8 @@ def fit(texts: list[str], labels: np.ndarray, rates: tuple[float, float], steps:
         slots, doc, _, _, word = features(block)
         parts.append((slots, doc + base, word))
         base += block.n
-    slots, doc, word = np.concatenate([p[0] for p in parts], 1), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
-    marks = labels[doc] * suspicious(word, doc, labels)
+    slots, doc, word = np.concatenate([p[0] for p in parts], 1), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts], 1)
+    marks = labels[doc] * (suspicious(word[0], doc, labels) | suspicious(word[1], doc, labels))
     first = np.ones(len(doc), bool)
     first[1:] = doc[1:] != doc[:-1]
     # Adam on the negative log-likelihood a token, with weight decay
