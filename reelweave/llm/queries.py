@@ -92,3 +92,18 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = docs.withColumn("t", toxicity.score(F.col("text"), model, spark))
     spans = F.array_join(F.transform("t.spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "t.score", (F.col("t.score") >= 0.5).cast("int").alias("predicted"), spans.alias("spans"))
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2,048 tokens."""
+    from reelweave.llm import packing
+
+    return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
