@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from reelweave.llm import _encode, _text
 
 WINDOW = 2048
-SENTENCE, HARD, STRIDE = 8.0, 24.0, 64
+SENTENCE, HARD, STRIDE = 4.0, 12.0, 32
 STRETCH, OPEN = 1 << 19, 4
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

@@ -107,3 +107,16 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reelweave.llm import packing
 
     return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
+
+
+@query
+def op6_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token ids in wavelet-matrix shards, read back document by document."""
+    import uuid
+
+    from reelweave.llm import wavelet
+    from reelweave.llm._shared import shared_dir
+
+    path = f"{shared_dir(spark)}/wavelet-{uuid.uuid4().hex}"
+    wavelet.write(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"), path)
+    return wavelet.read_documents(spark, path)
