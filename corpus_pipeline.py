@@ -1,8 +1,59 @@
-"""The corpus pipeline: toxicity, quality rules, near-dedup, secret scans, packing."""
+"""The corpus pipeline: toxicity, quality rules, near-dedup, secret scans, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; ``run`` writes
+each stage's result as Parquet in the shared folder and rereads it as the next one's ``docs``.  All
+stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from reelweave.llm import near_dup, packing, quality, secrets, toxicity
+from reelweave.llm._shared import written
+from reelweave.llm.queries import vocabulary
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity tagger, trained on the labelled ones among them, scores below a half."""
+    return toxicity.reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and their language's perplexity band."""
+    return quality.keep(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class, the one with the smallest id."""
+    return near_dup.deduplicate(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets masked."""
+    return secrets.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in packed sequences."""
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality rules", keep_quality),
+    ("near-dedup", drop_near_duplicates),
+    ("secret scans", redact_secrets),
+    ("packing", pack),
+]
+
+#: No SQL for run(): training, alignment and packing are not SQL-expressible; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = written(stage(spark, docs, sf_dir), f"stage{k}")
+    return docs
