@@ -120,3 +120,22 @@ def op6_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/wavelet-{uuid.uuid4().hex}"
     wavelet.write(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"), path)
     return wavelet.read_documents(spark, path)
+
+
+@query
+def op9_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings with a cosine of 0.95 or more."""
+    from reelweave.llm import caps
+
+    return caps.links(_table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op9_cap_filters"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER () AS r FROM embeddings),
+u AS (SELECT * FROM v WHERE e IS NOT NULL AND list_count(e) = len(e) AND list_inner_product(e, e) > 0),
+p AS (SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.r <> b.r AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT r AS a, r AS b FROM v UNION SELECT reach.a, p.b FROM reach JOIN p ON reach.b = p.a)
+SELECT v.vec_id, (SELECT count(*) FROM p WHERE p.a = v.r) AS n_links, c.low AS component_id, v.vec_id = c.low AS kept
+FROM v JOIN (SELECT reach.a, min(w.vec_id) AS low FROM reach JOIN v w ON w.r = reach.b GROUP BY reach.a) c ON c.a = v.r"""
