@@ -139,3 +139,13 @@ p AS (SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.r <> b.r AND len(a.e) = l
 reach AS (SELECT r AS a, r AS b FROM v UNION SELECT reach.a, p.b FROM reach JOIN p ON reach.b = p.a)
 SELECT v.vec_id, (SELECT count(*) FROM p WHERE p.a = v.r) AS n_links, c.low AS component_id, v.vec_id = c.low AS kept
 FROM v JOIN (SELECT reach.a, min(w.vec_id) AS low FROM reach JOIN v w ON w.r = reach.b GROUP BY reach.a) c ON c.a = v.r"""
+
+
+@query
+def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents, learned from six sevenths of them."""
+    from reelweave.llm import maxent
+    from reelweave.llm._shared import remainder
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 7) != 2).alias("trained"))
+    return maxent.score(docs, "trained")
