@@ -18,13 +18,10 @@ _EMPTY = ~np.uint64(0)
 
 
 class Encoder:
-    """keep_space: white space before a word belongs to its chunk (byte-level BPE); else it is dropped."""
+    """tokenizer: anything with ``encode_batch_fast``; keep_space: white space before a word belongs to its chunk (byte-level BPE); else it is dropped."""
 
-    def __init__(self, path: str, keep_space: bool, bits: int = 22):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, tokenizer, keep_space: bool, bits: int = 22):
+        self.tokenizer = tokenizer
         self.keep_space, self.bits = keep_space, bits
         self.keys = np.full(1 << bits, _EMPTY)
         self.at = np.zeros(1 << bits, np.int64)
@@ -90,5 +87,8 @@ _held: dict = {}
 def encoder(path: str, keep_space: bool) -> Encoder:
     """The worker's encoder for a vocabulary file; it outlives tasks."""
     if (path, keep_space) not in _held:
-        _held[path, keep_space] = Encoder(path, keep_space)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        _held[path, keep_space] = Encoder(Tokenizer.from_file(path), keep_space)
     return _held[path, keep_space]

@@ -8,8 +8,9 @@ which follows edit similarity rather than set overlap.
 
 Texts with equal words are one class from the start (a 128-bit digest of the words), so copies cost
 one aggregation.  Within a sketch bucket each class is paired with the bucket's leader, never with
-every other one; when those links are verified and closed, pairs of classes that share a bucket but
-not a component are verified too, all of them, so no candidate is lost.
+every other one, and those links are verified and closed.  What shares a bucket but no component then
+is verified as well: in small buckets every such pair, in large ones (a passage that many texts hold)
+every such pair that passes an exact prefix filter, so no pair at the threshold is lost.
 
 Verification aligns the two k-mer sequences: the longest chain of shared labelled k-mers that rises in
 both texts and stays within the band that the threshold allows.  With chain length L and lengths m, n
@@ -38,6 +39,10 @@ WORDS = 5
 THRESHOLD = 0.8
 SKETCHES = 14
 PICKS = 3
+#: Buckets of so many classes are compared in full; the classes of larger ones go through the prefix filter.
+SMALL = 8
+#: One text in SAMPLE_OF tells which k-mers COMMON texts or more hold; so many of them at most are broadcast.
+SAMPLE_OF, COMMON, MOST_COMMON = 16, 3, 1 << 19
 _MAX = ~np.uint64(0)
 _ODD = np.random.default_rng(77).integers(1, 2**62, (2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -182,7 +187,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     postings = exact.select("digest", F.explode("keys").alias("key"))
     # the leader of a bucket is drawn by a hash that differs by bucket
     drawn = F.struct(F.xxhash64("digest", "key").alias("h"), F.col("digest").alias("lead"))
-    lead = postings.groupBy("key").agg(F.min(drawn).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", "m.lead")
+    lead = postings.groupBy("key").agg(F.min(drawn).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", "m.lead", "n")
     buckets = written(postings.join(lead, "key"), "buckets")
     first = written(buckets.where(F.col("digest") != F.col("lead")).select(F.least("digest", "lead").alias("a"), F.greatest("digest", "lead").alias("b")).distinct(), "pairs")
     need = buckets.select("digest").distinct().join(exact.select("digest", "low"), "digest")
@@ -192,12 +197,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = written(near, "texts")
     links = written(_verified(first, texts, threshold), "links")
     joined = components(links)
-    # candidates that share a bucket but no component yet
-    member = buckets.join(joined.withColumnRenamed("id", "digest"), "digest", "left").select("key", "digest", F.coalesce("component", "digest").alias("c"))
-    sides = member.select("key", "c").distinct()
-    apart = sides.select("key", F.col("c").alias("ca")).join(sides.select("key", F.col("c").alias("cb")), "key").where("ca < cb")
-    cross = apart.join(member.select("key", F.col("c").alias("ca"), F.col("digest").alias("x")), ["key", "ca"]).join(member.select("key", F.col("c").alias("cb"), F.col("digest").alias("y")), ["key", "cb"])
-    rest = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    # candidates that share a bucket but no component yet: all of them in small buckets
+    sized = exact.select("digest").join(joined.withColumnRenamed("id", "digest"), "digest", "left").select("digest", F.coalesce("component", "digest").alias("c"))
+    member = written(buckets.join(sized, "digest").select("key", "n", "digest", "c"), "members")
+    small = member.where(F.col("n") <= SMALL).select("key", "digest", "c")
+    near = _apart_pairs(small, "key")
+    # and, of those whose bucket is large, all that can reach the threshold, by a prefix filter
+    large = written(member.where(F.col("n") > SMALL).select("digest", "c").distinct(), "large")
+    rest = near.unionByName(_apart_pairs(prefixes(large.join(texts, "digest"), threshold), "key")).distinct().join(first, ["a", "b"], "left_anti")
     more = written(_verified(rest, texts, threshold), "links")
     joined = components(joined.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = exact.select("digest", "low").join(joined.withColumnRenamed("id", "digest"), "digest", "left").withColumn("c", F.coalesce("component", "digest"))
@@ -207,6 +214,51 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
+def _apart_pairs(member: DataFrame, key: str) -> DataFrame:
+    """Distinct pairs (a, b) of digests with a key in common that lie in different components c.
+
+    Components are paired first, so members of one component are never paired with each other.
+    """
+    sides = member.select(key, "c").distinct()
+    apart = sides.select(key, F.col("c").alias("ca")).join(sides.select(key, F.col("c").alias("cb")), key).where("ca < cb")
+    both = apart.join(member.select(key, F.col("c").alias("ca"), F.col("digest").alias("x")), [key, "ca"]).join(member.select(key, F.col("c").alias("cb"), F.col("digest").alias("y")), [key, "cb"])
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def prefixes(rows: DataFrame, threshold: float) -> DataFrame:
+    """(key, digest, c): of each text the k-mers that a partner at the threshold must share one of.
+
+    With k-mers in any fixed order, two texts of similarity ``threshold`` share one among the first
+    n - ceil(threshold * n) + 1 of each.  The order used puts k-mers that many texts hold last; which
+    ones those are comes from a sample, as the order decides the cost but never the result.
+    """
+    spark = rows.sparkSession
+
+    def each(batches):
+        for batch in batches:
+            every = np.concatenate([np.zeros(0, np.uint64), *_sequences(batch.column(0))])
+            yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64))], ["k"])
+
+    sample = rows.where(F.pmod(F.xxhash64("digest"), F.lit(SAMPLE_OF)) == 0).select("text").mapInArrow(each, "k long")
+    common = sample.groupBy("k").agg(F.count("*").alias("n")).where(f"n >= {COMMON}").orderBy(F.desc("n"), "k").limit(MOST_COMMON)
+    held = spark.sparkContext.broadcast(np.sort(common.select("k").toArrow().column(0).to_numpy().view(np.uint64)))
+
+    @arrow_udf("array<long>")
+    def prefix(texts: pa.Array) -> pa.Array:
+        known, out, sizes = held.value, [], []
+        for x in _sequences(texts):
+            n = len(x) - int(np.ceil(threshold * len(x) - 1e-9)) + 1 if len(x) else 0
+            often = np.zeros(len(x), bool)
+            if len(known):
+                often = known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+            out.append(x[np.lexsort([x, often])[:n]].view(np.int64))
+            sizes.append(n)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
+
+    return written(rows.select("digest", "c", F.explode(prefix("text")).alias("key")), "prefixes")
+
+
 def signatures_of(rows: DataFrame) -> DataFrame:
     """One (digest, text) for each digest whose text has that digest."""
 

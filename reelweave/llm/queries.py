@@ -149,3 +149,12 @@ def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 7) != 2).alias("trained"))
     return maxent.score(docs, "trained")
+
+
+@query
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded to pieces and decoded again."""
+    from reelweave.llm import pieces
+
+    path = vocabulary("piece_bpe_32k.model")
+    return pieces.digest(pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
