@@ -1,4 +1,4 @@
-"""The queries of the library and their DuckDB counterparts, by name."""
+"""All queries of the library and their DuckDB counterparts, by name."""
 
-QUERIES = {}
-ORACLES = {}
+from reelweave.plans import text_queries  # noqa: F401
+from reelweave.plans._query import ORACLES, QUERIES  # noqa: F401
