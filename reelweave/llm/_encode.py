@@ -20,7 +20,7 @@ _EMPTY = ~np.uint64(0)
 class Encoder:
     """tokenizer: anything with ``encode_batch_fast``; keep_space: white space before a word belongs to its chunk (byte-level BPE); else it is dropped."""
 
-    def __init__(self, tokenizer, keep_space: bool, bits: int = 22):
+    def __init__(self, tokenizer, keep_space: bool, bits: int = 21):
         self.tokenizer = tokenizer
         self.keep_space, self.bits = keep_space, bits
         self.keys = np.full(1 << bits, _EMPTY)
