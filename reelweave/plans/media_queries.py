@@ -397,3 +397,27 @@ SELECT vec_id, CAST(gy.o * 3 + gx.o AS INTEGER) AS i, round(avg(v), 6) AS v FROM
 def scale_area(spark, d):
     """Frames scaled to 3 x 3 by area means."""
     return _pixels(frames(spark, d), G.scale_area(F.col("data"), 8, 8, 3, 3))
+
+
+@query("""SELECT w AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS w FROM events) GROUP BY 1, 2""")
+def event_windows(spark, d):
+    """Counts of two-hour windows that start every hour."""
+    from reelweave.streaming import events as E
+
+    return E.sliding(table(spark, d, "events"), "2 hours", "1 hour", ["event_type"]).withColumn("total", F.round("total", 4))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2")
+def throttled_last(spark, d):
+    """The last value of each event type in each hour."""
+    from reelweave.streaming import events as E
+
+    return E.throttled(table(spark, d, "events"), "1 hour", ["event_type"])
+
+
+@query()
+def catalog_filter(spark, d):
+    """Operators of the geometry family that take few parameters."""
+    from reelweave.operators import registry
+
+    return registry.options(registry.catalogue(spark), "geometry", 8).select("option", "name", "n_params", "n_required")
