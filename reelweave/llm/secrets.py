@@ -120,7 +120,8 @@ def report(scanned: DataFrame, spans_col: str = "spans") -> list[Column]:
     """Counts of the base kinds, digest of the base spans and all spans as text."""
     s = F.col(spans_col)
     base = F.filter(s, lambda x: x["kind"] < len(BASE))
-    counts = [F.size(F.filter(s, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(BASE)]
+    count = lambda k: F.size(F.filter(s, lambda x: x["kind"] == k)).cast("long")
+    counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(BASE)]
     listed = F.array_join(F.transform(base, _named), ",")
     return [*counts, F.sha2(listed.cast("binary"), 256).alias("base_sha256"), F.array_join(F.transform(s, _named), ",").alias("spans")]
 
