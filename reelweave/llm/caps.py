@@ -47,7 +47,7 @@ class Code:
         rng = np.random.default_rng([seed, dim, words])
         self.words, self.cut = words, cut
         self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-        self.parts = np.array_split(np.arange(dim), min(BLOCKS, dim))
+        self.parts = np.array_split(np.arange(dim), blocks_of(dim))
         self.books = []
         for part in self.parts:
             w = rng.standard_normal((words, len(part)))
@@ -67,16 +67,23 @@ class Code:
         return np.sort(number).tolist()
 
 
+def blocks_of(dim: int) -> int:
+    """Blocks of at least four dimensions: fewer than BLOCKS for short vectors."""
+    return max(1, min(BLOCKS, dim // 4))
+
+
 def plan(n: int, dim: int, threshold: float = THRESHOLD) -> tuple[int, float]:
     """Words for each block and the cut, for n vectors: see the module."""
+    if n <= 2 * CAP:
+        return 1, -2.0  # one cap holds them all
     tail = lambda t: 0.5 * math.erfc(t / math.sqrt(2))
     share = min(0.01, CAP / max(n, 1))
     t = next(x / 100 for x in range(100, 1000) if tail(x / 100) <= share)
     # chance that the second of a pair is in a cap that holds the first, at the mean excess of the first
     excess = math.exp(-t * t / 2) / math.sqrt(2 * math.pi) / tail(t)
     both = tail((t - threshold * excess) / math.sqrt(1 - threshold**2))
-    words = math.ceil((COMMON / (tail(t) * both)) ** (1 / BLOCKS))
-    return words, t / math.sqrt(dim)
+    words = math.ceil((COMMON / (tail(t) * both)) ** (1 / blocks_of(dim)))
+    return words, min(t / math.sqrt(dim), 0.7)
 
 
 def _raw(column: pa.Array, kind: type) -> tuple[list[bytes | None], list[int]]:
