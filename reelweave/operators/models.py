@@ -28,7 +28,7 @@ def encode_texts(texts: DataFrame, model: Callable, text: str = "value", out: st
 def sampler_plan(latents: DataFrame, prompts: DataFrame, seed: int, policy: str) -> DataFrame:
     """(list_id, pos, a, b, seed): latents and prompts aligned, the shorter side's last item repeated."""
     both = lists.zip_repeat_last(latents, prompts)
-    return both.withColumn("seed", lists.step_seeds(F.col("pos"), F.lit(seed), policy))
+    return both.withColumn("seed", lists.step_seeds(F.col("pos"), F.lit(str(seed)).cast("decimal(20,0)"), policy))
 
 
 def sample(plan: DataFrame, model: Callable, out: str = "array<double>") -> DataFrame:
