@@ -158,3 +158,30 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = vocabulary("piece_bpe_32k.model")
     return pieces.digest(pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+
+
+#: Kind, pattern, group that must be long enough, its least length.
+_SECRETS = [
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["''']?\x20*[:=]\x20*["''']?([A-Za-z0-9+/_.=-]+)""".replace("'''", "''"), 2, 8),
+    ("access", "AKIA[A-Z0-9]+", 0, 16),
+    ("hex", "[0-9a-f]+", 0, 32),
+    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
+    ("forge", r"\bgh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+    ("chat", r"\bxox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
+    ("url", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:[^\s:/@]{4,64}@", 0, 1),
+]
+_MATCHES = " UNION ALL ".join(
+    f"""SELECT doc_id, {k} AS k, '{kind}' AS kind, a + coalesce(b, 0) AS s, a + coalesce(b, 0) + length(m[i]) AS e FROM (
+      SELECT doc_id, m, i, list_sum(list_transform(g[1:i], lambda x: length(x))) AS a, list_sum(list_transform(m[1:i - 1], lambda x: length(x))) AS b FROM (
+        SELECT doc_id, string_split_regex(t, '{p}') AS g, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {group}) AS v FROM d WHERE regexp_matches(t, '{p}')),
+      unnest(range(1, len(m) + 1)) AS r(i) WHERE length(v[i]) >= {least})"""
+    for k, (kind, p, group, least) in enumerate(_SECRETS)
+)
+ORACLES["op2_secret_scan"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({_MATCHES}),
+n AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+  string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, k) FILTER (WHERE k < 3) AS base,
+  string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, k) AS spans FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN n USING (doc_id)"""
