@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; ``run`` writes
 each stage's result as Parquet in the shared folder and rereads it as the next one's ``docs``.  All
-stages but the last return the columns of documents.
+stages but the last return the columns of documents.  When a stage begins, its predecessor's result has
+been written, so it first deletes the tables that the predecessor's operator passed on to itself.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reelweave.llm import near_dup, packing, quality, secrets, toxicity
-from reelweave.llm._shared import written
+from reelweave.llm._shared import clear, written
 from reelweave.llm.queries import vocabulary
 
 
@@ -21,21 +22,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and their language's perplexity band."""
+    clear(spark)
     return quality.keep(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class, the one with the smallest id."""
+    clear(spark)
     return near_dup.deduplicate(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets masked."""
+    clear(spark)
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in packed sequences."""
+    clear(spark)
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
@@ -55,5 +60,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"stage{k}")
+        docs = written(stage(spark, docs, sf_dir), f"stage{k}", passing=False)
     return docs

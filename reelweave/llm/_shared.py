@@ -19,13 +19,29 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._reelweave_shared
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage is cut and lost executors cost nothing twice."""
+#: Places of the tables that ``written`` made and ``clear`` has not deleted.
+_tables: list[str] = []
+
+
+def written(df: DataFrame, name: str, passing: bool = True) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage is cut and lost executors cost nothing twice.
+
+    ``clear`` deletes passing tables.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if passing:
+        _tables.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete the passing tables made so far; results that were read from them must have been written."""
+    while _tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def remainder(doc_id: str, divisor: int) -> Column:
     """crc32 of the id's decimal text modulo divisor."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % divisor
