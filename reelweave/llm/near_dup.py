@@ -7,8 +7,8 @@ joins them in text order: two texts agree on a sketch only if they share those k
 which follows edit similarity rather than set overlap.
 
 Texts with equal words are one class from the start (a 128-bit digest of the words), so copies cost
-one aggregation.  Within a sketch bucket each class is paired with the bucket's leader, never with
-every other one, and those links are verified and closed.  What shares a bucket but no component then
+one aggregation.  Within a sketch bucket each class is paired with the bucket's two leaders, never
+with every other one, and those links are verified and closed.  What shares a bucket but no component then
 is verified as well: in small buckets every such pair, in large ones (a passage that many texts hold)
 every such pair that passes an exact prefix filter, so no pair at the threshold is lost.
 
@@ -41,8 +41,10 @@ SKETCHES = 14
 PICKS = 3
 #: Buckets of so many classes are compared in full; the classes of larger ones go through the prefix filter.
 SMALL = 8
-#: One text in SAMPLE_OF tells which k-mers COMMON texts or more hold; so many of them at most are broadcast.
-SAMPLE_OF, COMMON, MOST_COMMON = 16, 3, 1 << 19
+#: Most k-mers whose numbers of texts are broadcast for the prefix filter.
+MOST_COMMON = 1 << 19
+#: Hash classes in which k-mers are counted to bound what two texts can share.
+ROOMS = 48
 _MAX = ~np.uint64(0)
 _ODD = np.random.default_rng(77).integers(1, 2**62, (2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -185,11 +187,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     signed = written(signatures(docs), "signatures")
     exact = written(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("low"), F.first("keys").alias("keys")), "exact")
     postings = exact.select("digest", F.explode("keys").alias("key"))
-    # the leader of a bucket is drawn by a hash that differs by bucket
-    drawn = F.struct(F.xxhash64("digest", "key").alias("h"), F.col("digest").alias("lead"))
-    lead = postings.groupBy("key").agg(F.min(drawn).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", "m.lead", "n")
-    buckets = written(postings.join(lead, "key"), "buckets")
-    first = written(buckets.where(F.col("digest") != F.col("lead")).select(F.least("digest", "lead").alias("a"), F.greatest("digest", "lead").alias("b")).distinct(), "pairs")
+    sizes = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(postings.join(sizes, "key"), "postings")
+    # two leaders for each bucket: the class whose buckets are the fullest, so the middle of a group of
+    # near copies, and one drawn by a hash that differs by bucket
+    hub = shared.groupBy("digest").agg(F.sum("n").alias("reach"))
+    shared = shared.join(hub, "digest")
+    lead = shared.groupBy("key").agg(F.max(F.struct("reach", "digest")).alias("m"), F.min(F.struct(F.xxhash64("digest", "key").alias("h"), F.col("digest").alias("d"))).alias("r"))
+    buckets = written(shared.join(lead.select("key", F.array_distinct(F.array("m.digest", "r.d")).alias("leads")), "key").select("key", "n", "digest", "leads"), "buckets")
+    led = buckets.select("digest", F.explode("leads").alias("lead")).where(F.col("digest") != F.col("lead"))
+    first = written(led.select(F.least("digest", "lead").alias("a"), F.greatest("digest", "lead").alias("b")).distinct(), "pairs")
     need = buckets.select("digest").distinct().join(exact.select("digest", "low"), "digest")
     rows = docs.select(F.col("doc_id").alias("low"), F.col("text").cast("string").alias("text"))
     # a repeated id can bring other texts; the digest tells which one is meant
@@ -200,11 +207,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # candidates that share a bucket but no component yet: all of them in small buckets
     sized = exact.select("digest").join(joined.withColumnRenamed("id", "digest"), "digest", "left").select("digest", F.coalesce("component", "digest").alias("c"))
     member = written(buckets.join(sized, "digest").select("key", "n", "digest", "c"), "members")
-    small = member.where(F.col("n") <= SMALL).select("key", "digest", "c")
-    near = _apart_pairs(small, "key")
+    small = member.where(F.col("n") <= SMALL).select("key", "digest", "c", F.lit(0).alias("size"), F.lit(None).cast("array<int>").alias("shared"))
+    near = _apart_pairs(small, threshold)
     # and, of those whose bucket is large, all that can reach the threshold, by a prefix filter
-    large = written(member.where(F.col("n") > SMALL).select("digest", "c").distinct(), "large")
-    rest = near.unionByName(_apart_pairs(prefixes(large.join(texts, "digest"), threshold), "key")).distinct().join(first, ["a", "b"], "left_anti")
+    open_keys = member.where(F.col("n") > SMALL).groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    large = written(member.join(open_keys, "key", "left_semi").select("digest", "c").distinct(), "large")
+    rest = near.unionByName(_apart_pairs(prefixes(large.join(texts, "digest"), threshold), threshold)).distinct().join(first, ["a", "b"], "left_anti")
     more = written(_verified(rest, texts, threshold), "links")
     joined = components(joined.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = exact.select("digest", "low").join(joined.withColumnRenamed("id", "digest"), "digest", "left").withColumn("c", F.coalesce("component", "digest"))
@@ -214,23 +222,39 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
-def _apart_pairs(member: DataFrame, key: str) -> DataFrame:
+def _apart_pairs(member: DataFrame, threshold: float) -> DataFrame:
     """Distinct pairs (a, b) of digests with a key in common that lie in different components c.
 
-    Components are paired first, so members of one component are never paired with each other.
+    Components are paired first, so members of one component are never paired with each other.  Pairs
+    whose counts of k-mers by hash class (``shared``, null if not known) leave no room for the threshold
+    are left out as they are joined: first pairs of components, by the largest counts and the least
+    sizes of their members, then a member and a component, then two members.
     """
-    sides = member.select(key, "c").distinct()
-    apart = sides.select(key, F.col("c").alias("ca")).join(sides.select(key, F.col("c").alias("cb")), key).where("ca < cb")
-    both = apart.join(member.select(key, F.col("c").alias("ca"), F.col("digest").alias("x")), [key, "ca"]).join(member.select(key, F.col("c").alias("cb"), F.col("digest").alias("y")), [key, "cb"])
+    share = threshold / (1 + threshold) - 1e-9
+    room = lambda s, t: F.aggregate(F.zip_with(s, t, lambda p, q: F.least(p, q)), F.lit(0), lambda a, x: a + x)
+    fits = lambda s, t, m, n: F.coalesce(room(F.col(s), F.col(t)) >= share * (F.col(m) + F.col(n)), F.lit(True))
+    most = F.array(*[F.max(F.get("shared", F.lit(k))) for k in range(ROOMS)])
+    sides = member.groupBy("key", "c").agg(F.min("size").alias("m"), most.alias("s"))
+    one = sides.select("key", F.col("c").alias("ca"), F.col("m").alias("ma"), F.col("s").alias("sa"))
+    two = sides.select(F.col("key").alias("k"), F.col("c").alias("cb"), F.col("m").alias("mb"), F.col("s").alias("sb"))
+    apart = one.join(two, (F.col("key") == F.col("k")) & (F.col("ca") < F.col("cb")) & fits("sa", "sb", "ma", "mb")).select("key", "ca", "cb", "mb", "sb")
+    left = member.select(F.col("key").alias("k"), F.col("c").alias("d"), F.col("digest").alias("x"), F.col("size").alias("m"), F.col("shared").alias("s"))
+    half = apart.join(left, (F.col("key") == F.col("k")) & (F.col("ca") == F.col("d")) & fits("s", "sb", "m", "mb")).select("key", "cb", "x", "m", "s")
+    right = member.select(F.col("key").alias("k"), F.col("c").alias("d"), F.col("digest").alias("y"), F.col("size").alias("n"), F.col("shared").alias("t"))
+    both = half.join(right, (F.col("key") == F.col("k")) & (F.col("cb") == F.col("d")) & fits("s", "t", "m", "n"))
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def prefixes(rows: DataFrame, threshold: float) -> DataFrame:
-    """(key, digest, c): of each text the k-mers that a partner at the threshold must share one of.
+    """(key, digest, c, size, shared): of each text the k-mers that a partner at the threshold must share one of.
+
+    ``size`` is the number of the text's k-mers; ``shared`` counts those that other texts may hold, by
+    hash class.
 
     With k-mers in any fixed order, two texts of similarity ``threshold`` share one among the first
-    n - ceil(threshold * n) + 1 of each.  The order used puts k-mers that many texts hold last; which
-    ones those are comes from a sample, as the order decides the cost but never the result.
+    n - ceil(threshold * n) + 1 of each.  The order used puts the rarest first, so a text that is not
+    nearly all shared has only k-mers of its own there.  Numbers of texts are known for the
+    ``MOST_COMMON`` most frequent k-mers at most; that bound decides the cost, never the result.
     """
     spark = rows.sparkSession
 
@@ -239,24 +263,41 @@ def prefixes(rows: DataFrame, threshold: float) -> DataFrame:
             every = np.concatenate([np.zeros(0, np.uint64), *_sequences(batch.column(0))])
             yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64))], ["k"])
 
-    sample = rows.where(F.pmod(F.xxhash64("digest"), F.lit(SAMPLE_OF)) == 0).select("text").mapInArrow(each, "k long")
-    common = sample.groupBy("k").agg(F.count("*").alias("n")).where(f"n >= {COMMON}").orderBy(F.desc("n"), "k").limit(MOST_COMMON)
-    held = spark.sparkContext.broadcast(np.sort(common.select("k").toArrow().column(0).to_numpy().view(np.uint64)))
-
-    @arrow_udf("array<long>")
+    counted = written(rows.select("text").mapInArrow(each, "k long").groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "kmers")
+    # the lowest number of texts at which no more than MOST_COMMON k-mers are left
+    level = F.least("n", F.lit(10_000)).alias("l")
+    least, total = 2, 0
+    for at, size in sorted(counted.groupBy(level).count().collect(), reverse=True):
+        total += size
+        if total > MOST_COMMON:
+            least = at + 1
+            break
+    common = counted.where(F.col("n") >= least).toArrow()
+    order = np.argsort(common.column(0).to_numpy().view(np.uint64))
+    held = spark.sparkContext.broadcast((common.column(0).to_numpy().view(np.uint64)[order], common.column(1).to_numpy()[order]))
+
+    whole = least <= 2  # every k-mer of two texts or more is known
+
+    @arrow_udf("struct<keys:array<long>,size:int,shared:array<int>>")
     def prefix(texts: pa.Array) -> pa.Array:
-        known, out, sizes = held.value, [], []
+        (known, texts_of), out, sizes, counts, others = held.value, [], [], [], []
         for x in _sequences(texts):
             n = len(x) - int(np.ceil(threshold * len(x) - 1e-9)) + 1 if len(x) else 0
-            often = np.zeros(len(x), bool)
+            often = np.zeros(len(x), np.int64)
             if len(known):
-                often = known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+                at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                often = np.where(known[at] == x, texts_of[at], 0)
             out.append(x[np.lexsort([x, often])[:n]].view(np.int64))
             sizes.append(n)
+            counts.append(len(x))
+            kept = x[often > 0] if whole else x
+            others.append(np.bincount((kept % np.uint64(ROOMS)).astype(np.int64), minlength=ROOMS).astype(np.int32))
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
+        return pa.StructArray.from_arrays([lists, pa.array(counts, pa.int32()), pa.array(others, pa.list_(pa.int32()))], ["keys", "size", "shared"])
 
-    return written(rows.select("digest", "c", F.explode(prefix("text")).alias("key")), "prefixes")
+    found = rows.select("digest", "c", prefix("text").alias("p")).where(F.aggregate("p.shared", F.lit(0), lambda a, x: a + x) >= threshold * F.col("p.size") - 1e-9)
+    return written(found.select("digest", "c", "p.size", "p.shared", F.explode("p.keys").alias("key")), "prefixes")
 
 
 def signatures_of(rows: DataFrame) -> DataFrame:
