@@ -36,7 +36,7 @@ from pyspark.sql.functions import arrow_udf
 from reelweave.llm import _encode, _text
 from reelweave.llm._shared import written
 
-CHUNK = 8192
+CHUNK = 1 << 15
 #: Scores from here down mark pieces that the file's own merges never make (runs of spaces); they rank last.
 BARRED = -(10**8)
 FAN = 64
@@ -64,36 +64,42 @@ class Lexicon:
         self.table = [b"" if s else model.id_to_piece(i).replace("▁", " ").encode() for i, s in enumerate(special)]
         for byte, i in self.bytes.items():
             self.table[i] = bytes([byte])
-        #: Of each character that begins a piece, the lengths of such pieces.
+        self.cost = {p: c for p, (_, c) in self.score.items()}
+        #: Of each two characters that begin a piece, the lengths of such pieces.
         lengths: dict = {}
         for p in self.score:
-            lengths.setdefault(p[0], set()).add(len(p))
+            if len(p) > 1:
+                lengths.setdefault(p[:2], set()).add(len(p))
         self.lengths = {c: sorted(x) for c, x in lengths.items()}
 
     def starting(self, s: str, at: int, stop: int):
-        """(length, score) of what may start at a place: pieces, or one unknown character."""
-        single = False
-        for n in self.lengths.get(s[at], ()):
+        """(length, score) of what may start at a place: one character, known or not, and longer pieces."""
+        yield 1, self.cost.get(s[at], self.unknown)
+        for n in self.lengths.get(s[at : at + 2], ()):
             if at + n > stop:
                 break
-            found = self.score.get(s[at : at + n])
-            if found:
-                single |= n == 1
-                yield n, found[1]
-        if not single:
-            yield 1, self.unknown
+            found = self.cost.get(s[at : at + n])
+            if found is not None:
+                yield n, found
 
     def segment(self, text: str) -> list[int]:
         """ids of the best segmentation of a string, spaces read as U+2581."""
         s = text.replace(" ", "▁")
-        n = len(s)
+        n, cost, lengths, unknown = len(s), self.cost.get, self.lengths.get, self.unknown
         best, back = [NEVER] * (n + 1), [0] * (n + 1)
         best[0] = 0
         for at in range(n):
             here = best[at]
-            for size, score in self.starting(s, at, n):
-                if here + score > best[at + size]:
-                    best[at + size], back[at + size] = here + score, at
+            value = here + cost(s[at], unknown)
+            if value > best[at + 1]:
+                best[at + 1], back[at + 1] = value, at
+            for size in lengths(s[at : at + 2], ()):
+                end = at + size
+                if end > n:
+                    break
+                found = cost(s[at:end])
+                if found is not None and here + found > best[end]:
+                    best[end], back[end] = here + found, at
         out, end = [], n
         while end:
             p = s[back[end] : end]
