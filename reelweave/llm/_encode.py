@@ -9,6 +9,7 @@ has a fixed number of slots, so memory is bounded; chunks without a slot are enc
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 
@@ -56,7 +57,7 @@ class Encoder:
         total = int(size.sum())
         while used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[used : used + total] = np.fromiter((i for ids in got for i in ids), np.uint32, total)
+        self.pool[used : used + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
         return used + np.cumsum(size) - size, size, used + total
 
     def encode(self, block: _text.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -84,11 +85,11 @@ class Encoder:
 _held: dict = {}
 
 
-def encoder(path: str, keep_space: bool) -> Encoder:
+def encoder(path: str, keep_space: bool, bits: int = 21) -> Encoder:
     """The worker's encoder for a vocabulary file; it outlives tasks."""
     if (path, keep_space) not in _held:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _held[path, keep_space] = Encoder(Tokenizer.from_file(path), keep_space)
+        _held[path, keep_space] = Encoder(Tokenizer.from_file(path), keep_space, bits)
     return _held[path, keep_space]

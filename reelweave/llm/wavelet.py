@@ -44,11 +44,17 @@ def build(ids: np.ndarray, sizes: np.ndarray) -> bytes:
     planes = max(1, int(ids.max()).bit_length()) if len(ids) else 1
     squeeze = zstandard.ZstdCompressor(level=1).compress
     table = squeeze(sizes.astype("<u4").tobytes())
-    parts, now = [], ids.astype(np.uint32)
+    kind = np.uint16 if planes <= 16 else np.uint32
+    parts, now = [], ids.astype(kind)
     for k in range(planes - 1, -1, -1):
-        bit = (now >> np.uint32(k) & np.uint32(1)).astype(bool)
+        bit = (now & kind(1 << k)) != 0
         parts.append(squeeze(np.packbits(bit, bitorder="little").tobytes()))
-        now = np.concatenate([now[~bit], now[bit]])
+        ones = np.count_nonzero(bit)
+        if k and 0 < ones < len(bit):
+            split = np.empty_like(now)
+            np.compress(~bit, now, out=split[: len(bit) - ones])
+            np.compress(bit, now, out=split[len(bit) - ones :])
+            now = split
     head = struct.pack("<5Q", len(ids), planes, len(sizes), len(table), len(MAGIC) + 40 + 8 * planes)
     return MAGIC + head + struct.pack(f"<{planes}Q", *map(len, parts)) + table + b"".join(parts)
 
@@ -68,16 +74,19 @@ class Wavelet:
     def plane(self, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Packed bits of plane k, ones before each step, number of zeros."""
         if k not in self._held:
-            at, size = self._at[k]
-            raw = zstandard.ZstdDecompressor().decompress(self._data[at : at + size], max_output_size=(self.n + 7) // 8 or 1)
-            packed = np.frombuffer(raw, np.uint8)
+            packed = self._packed(k)
             ones = np.bitwise_count(packed).astype(np.int64)
             steps = np.concatenate([[0], np.cumsum(np.add.reduceat(ones, np.arange(0, len(ones), STEP // 8)))]) if len(ones) else np.zeros(1, np.int64)
             self._held[k] = packed, steps, self.n - int(steps[-1])
         return self._held[k]
 
+    def _packed(self, k: int) -> np.ndarray:
+        at, size = self._at[k]
+        raw = zstandard.ZstdDecompressor().decompress(self._data[at : at + size], max_output_size=(self.n + 7) // 8 or 1)
+        return np.frombuffer(raw, np.uint8)
+
     def bits(self, k: int) -> np.ndarray:
-        return np.unpackbits(self.plane(k)[0], count=self.n, bitorder="little").astype(bool)
+        return np.unpackbits(self._packed(k), count=self.n, bitorder="little").view(bool)
 
     def _ones(self, k: int, i: int) -> int:
         """Ones of plane k before place i."""
@@ -137,21 +146,23 @@ class Wavelet:
 
     def decode(self) -> np.ndarray:
         """All ids: from the lowest plane up, zeros and ones go back to where the plane above had them."""
-        now = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.planes <= 16 else np.uint32
+        now = np.zeros(self.n, kind)
         for k in range(self.planes - 1, -1, -1):
-            bit, zeros = self.bits(k), self.plane(k)[2]
-            up = np.empty(self.n, np.uint32)
+            bit = self.bits(k)
+            zeros = self.n - np.count_nonzero(bit)
+            up = np.empty(self.n, kind)
             up[~bit] = now[:zeros]
-            up[bit] = now[zeros:] | np.uint32(1 << (self.planes - 1 - k))
+            up[bit] = now[zeros:] | kind(1 << (self.planes - 1 - k))
             now = up
-        return now
+        return now.astype(np.uint32)
 
 
 def encode_shards(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
     """Shard files (rows of TABLE) of all documents in ascending doc_id order."""
 
     def run(batches):
-        enc = _encode.encoder(vocabulary, False)
+        enc = _encode.encoder(vocabulary, False, 22)
         part, shard = TaskContext.get().partitionId(), 0
         ids_held, sizes_held, docs_held, n = [], [], [], 0
 
