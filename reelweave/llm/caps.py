@@ -7,14 +7,17 @@ list-decoded by joining blocks and dropping partial sums that can't reach the cu
 direction set (words ** BLOCKS) is never enumerated.  Vectors with a high cosine share many caps.
 
 The cut and the number of words follow from the number of vectors: caps are sized to hold about
-``CAP`` of evenly spread vectors, and the code is large enough that a pair at the threshold shares
-``COMMON`` caps on average, so the work per vector stays even as the table grows.
+``CAP`` of evenly spread vectors, and the codes are large enough that a pair at the threshold shares
+``COMMON`` caps on average, by exact figures of the sphere, so the work per vector stays even as the
+table grows.  That is a mean, and the caps of one code depend on each other, so there are ``CODES``
+codes with rotations of their own, and none of them leaves a vector out (see below).
 
 Equal vectors are one with a weight.  Members of a filter are dealt into chunks of ``CHUNK``, and
 pairs of chunks are compared by matrix products; a pair that shares several filters counts in the
 first of them only.  A comparison yields sums for each vector (links, smallest linked id), not pairs,
-so a dense cap costs time but no rows.  Vectors that no cap takes are decoded with lower cuts until
-each is in at least ``LEAST`` caps.
+so a dense cap costs time but no rows.  A vector that fewer than ``LEAST`` caps of a code take is put
+into its ``LEAST`` best ones, as if by a lower cut.  So is its partner, if it needs to be: each
+vector's caps contain its ``LEAST`` best of each code, and near vectors share some of these.
 
 Defined cases: null, zero or non-finite vectors link with nothing; a vector of another length than
 most has a space of its own; repeated rows of one id are vectors of their own that link with each
@@ -37,34 +40,55 @@ THRESHOLD = 0.95
 BLOCKS = 3
 CAP = 256
 COMMON = 28
+CODES = 3
+LEAST = 16
 CHUNK = 512
 
 
 class Code:
-    """The rotation and block codes for one dimension, drawn from a seed."""
+    """Rotations and block codes for one dimension, drawn from a seed."""
 
     def __init__(self, dim: int, words: int, cut: float, seed: int = 9):
-        rng = np.random.default_rng([seed, dim, words])
         self.words, self.cut = words, cut
-        self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         self.parts = np.array_split(np.arange(dim), blocks_of(dim))
-        self.books = []
-        for part in self.parts:
-            w = rng.standard_normal((words, len(part)))
-            # a direction is one word of each block: scaled so that all directions have length 1
-            self.books.append(w / np.linalg.norm(w, axis=1, keepdims=True) * math.sqrt(len(part) / dim))
+        self.size = words ** len(self.parts)
+        self.codes = []
+        for k in range(CODES if words > 1 else 1):
+            rng = np.random.default_rng([seed, dim, words, k])
+            turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
+            books = []
+            for part in self.parts:
+                w = rng.standard_normal((words, len(part)))
+                # a direction is one word of each block: scaled so that all directions have length 1
+                books.append(w / np.linalg.norm(w, axis=1, keepdims=True) * math.sqrt(len(part) / dim))
+            self.codes.append((turn, books))
+        # the r best sums of one number from each list have ranks whose product is r at most
+        self.least = min(LEAST, self.size)
+        ranks = np.indices([min(words, self.least)] * len(self.parts)).reshape(len(self.parts), -1)
+        self.ranks = ranks[:, (ranks + 1).prod(0) <= self.least]
 
     def filters(self, v: np.ndarray) -> list[int]:
-        """Sorted numbers of all directions with which v has an inner product of ``cut`` or more."""
-        x = v @ self.turn
-        dots = [b @ x[p] for p, b in zip(self.parts, self.books, strict=True)]
+        """Sorted numbers of all directions with which v has an inner product of ``cut`` or more, and of the LEAST best of each code."""
+        return [n for k in range(len(self.codes)) for n in (np.sort(self._of_code(v, k)) + k * self.size).tolist()]
+
+    def _of_code(self, v: np.ndarray, k: int) -> np.ndarray:
+        turn, books = self.codes[k]
+        x = v @ turn
+        dots = [b @ x[p] for p, b in zip(self.parts, books, strict=True)]
         ahead = np.cumsum([0.0, *[d.max() for d in dots[:0:-1]]])[::-1]  # best that later blocks can add
         number, total = np.zeros(1, np.int64), np.zeros(1)
         for d, rest in zip(dots, ahead, strict=True):
             s = total[:, None] + d
             i, w = np.nonzero(s + rest >= self.cut)
             number, total = number[i] * self.words + w, s[i, w]
-        return np.sort(number).tolist()
+        return number if len(number) >= self.least else self._best(dots)
+
+    def _best(self, dots: list[np.ndarray]) -> np.ndarray:
+        number, total = np.zeros(self.ranks.shape[1], np.int64), np.zeros(self.ranks.shape[1])
+        for d, rank in zip(dots, self.ranks, strict=True):
+            word = np.argsort(-d, kind="stable")[rank]
+            number, total = number * self.words + word, total + d[word]
+        return number[np.argsort(-total, kind="stable")[: self.least]]
 
 
 def blocks_of(dim: int) -> int:
@@ -72,18 +96,28 @@ def blocks_of(dim: int) -> int:
     return max(1, min(BLOCKS, dim // 4))
 
 
+def _tail(dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Points of [-1, 1] and the share of the sphere whose inner product with a fixed direction is beyond each."""
+    angle = np.linspace(np.pi, 0, 20001)
+    density = np.sin(angle) ** max(dim - 2, 0)
+    mass = np.concatenate([[0.0], np.cumsum(((density[1:] + density[:-1]) / 2)[::-1])])[::-1]
+    return np.cos(angle), mass / mass[0]
+
+
 def plan(n: int, dim: int, threshold: float = THRESHOLD) -> tuple[int, float]:
     """Words for each block and the cut, for n vectors: see the module."""
-    if n <= 2 * CAP:
+    if n <= 2 * CAP or dim < 2:
         return 1, -2.0  # one cap holds them all
-    tail = lambda t: 0.5 * math.erfc(t / math.sqrt(2))
+    at, beyond = _tail(dim)
     share = min(0.01, CAP / max(n, 1))
-    t = next(x / 100 for x in range(100, 1000) if tail(x / 100) <= share)
-    # chance that the second of a pair is in a cap that holds the first, at the mean excess of the first
-    excess = math.exp(-t * t / 2) / math.sqrt(2 * math.pi) / tail(t)
-    both = tail((t - threshold * excess) / math.sqrt(1 - threshold**2))
-    words = math.ceil((COMMON / (tail(t) * both)) ** (1 / blocks_of(dim)))
-    return words, min(t / math.sqrt(dim), 0.7)
+    cut = min(float(at[np.argmax(beyond <= share)]), 0.7)
+    # chance that the second of a pair is in a cap that holds the first, over all places of the first in it
+    x = at[at >= cut]
+    weight = -np.diff(np.interp(x, at, beyond), append=0.0)
+    rest = math.sqrt(1 - threshold**2) * np.sqrt(np.maximum(1 - x * x, 1e-300))
+    both = float(weight @ np.interp((cut - threshold * x) / rest, *_tail(dim - 1)) / weight.sum())
+    words = math.ceil((COMMON / CODES / (float(np.interp(cut, at, beyond)) * both)) ** (1 / blocks_of(dim)))
+    return words, cut
 
 
 def _raw(column: pa.Array, kind: type) -> tuple[list[bytes | None], list[int]]:

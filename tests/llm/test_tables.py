@@ -298,6 +298,20 @@ def test_links(spark, chunk, cap, monkeypatch):
     assert caps.links(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("n", "dim"), [(10**4, 64), (10**6, 64), (10**8, 64), (10**6, 384)])
+def test_isolated_pairs_share_caps(n, dim):
+    rng = np.random.default_rng(3)
+    a, w = rng.standard_normal((2, 500, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    w -= (w * a).sum(1, keepdims=True) * a
+    c = rng.uniform(0.95, 0.96, (500, 1))
+    b = c * a + np.sqrt(1 - c * c) * w / np.linalg.norm(w, axis=1, keepdims=True)
+    code = caps.Code(dim, *caps.plan(n, dim))
+    of_a, of_b = ([code.filters(v) for v in m] for m in (a, b))
+    assert all(f == sorted(set(f)) and len(f) >= 16 for f in [*of_a, *of_b])
+    assert sum(not set(x) & set(y) for x, y in zip(of_a, of_b, strict=True)) == 0
+
+
 def unigram(path):
     """The sentencepiece library on the same pieces as a unigram model."""
     import sentencepiece
