@@ -1,10 +1,10 @@
 """Quality rules: text statistics and n-gram perplexity under a modified Kneser-Ney model.
 
-The model is over characters (order 5 by default), one per language bucket: open vocabularies, as in
-a web corpus, make word n-grams mostly singletons, while character n-grams are shared by all words.
+The model is over characters (order 5 by default), one per language: open vocabularies, as in a web corpus, make word n-grams mostly singletons, while character n-grams are shared by all words.
 Spark counts the n-grams; continuation counts, discounts, context totals and back-off weights are
 aggregations of that table.  The model is held in sorted arrays of hashes, at most 2**hash_bits per
-order and table, so the broadcast has a proven size bound whatever the corpus.
+order and table, so the broadcast has a proven size bound whatever the corpus.  Each distinct
+language has a number of its own, which stands in the key of an n-gram beside its symbols.
 
 Per language, documents outside [low, high] perplexity are rejected.  The band lies ``spread``
 interquartile ranges beyond the quartiles of the documents' log-perplexity, read from a histogram
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -33,6 +33,7 @@ HASH_BITS = 22
 SPREAD = 8.0
 BIN = 0.005
 LANGS = 64
+MOST_LANGS = 1 << 22
 _SYMBOLS = b"#*$%&|<>"
 
 #: One byte for each code point: ASCII lower-cased, digits alike, white space alike; others hashed into 128 to 255.
@@ -47,7 +48,7 @@ _CONT = (np.arange(256) & 0xC0) == 0x80
 def _keys(block: _text.Block, lang: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Packed n-grams ending at each symbol, in text order, and the number of them in each document.
 
-    A key has the language bucket, then ``order`` symbols of a byte each; 0 stands before a text and
+    A key has the number of the language, then ``order`` symbols of a byte each; 0 stands before a text and
     is its end mark as well.
     """
     data = block.data
@@ -96,12 +97,21 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(keys, return_counts=True)
 
 
+def languages(docs: DataFrame) -> DataFrame:
+    """(lang, bucket): a number below MOST_LANGS for each distinct language, null included."""
+    distinct = docs.select(F.col("lang").cast("string").alias("lang")).distinct()
+    found = written(distinct.withColumn("bucket", F.row_number().over(Window.orderBy("lang")) - 1), "languages")
+    if found.count() > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
+    return found
+
+
 def lang_bucket(lang: str = "lang") -> Column:
-    """Language bucket 0 to 63; a null language has its own name."""
+    """One of LANGS numbers for a language by its hash alone, for models that are trained by themselves; ``judge`` has exact ones."""
     return F.pmod(F.xxhash64(F.coalesce(F.col(lang).cast("string"), F.lit("(none)"))), F.lit(LANGS)).cast("int")
 
 
-def count_ngrams(docs: DataFrame, order: int = ORDER) -> DataFrame:
+def count_ngrams(docs: DataFrame, order: int = ORDER, bucket: Column | None = None) -> DataFrame:
     """(key, count) over all texts: n-grams are combined in each block and partition, then by key."""
 
     def run(batches):
@@ -121,7 +131,7 @@ def count_ngrams(docs: DataFrame, order: int = ORDER) -> DataFrame:
         used = np.flatnonzero(counts)
         yield _counts(*_merge([*held, (memo.keys[used], counts[used])]))
 
-    rows = docs.select(F.col("text").cast("string").alias("text"), lang_bucket().alias("lang"))
+    rows = docs.select(F.col("text").cast("string").alias("text"), (lang_bucket() if bucket is None else bucket).alias("lang"))
     return rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
@@ -168,10 +178,10 @@ class KneserNey:
         return np.log10(p)
 
 
-def train(docs: DataFrame, order: int = ORDER) -> KneserNey:
-    """Fit the model on all texts of docs (columns text, lang)."""
+def train(docs: DataFrame, order: int = ORDER, bucket: Column | None = None) -> KneserNey:
+    """Fit the model on all texts of docs (columns text and, without a bucket, lang)."""
     low = (1 << 8 * order) - 1
-    counts = written(count_ngrams(docs, order), "ngrams")
+    counts = written(count_ngrams(docs, order, bucket), "ngrams")
     grams, contexts = {}, {}
     for n in range(order, 0, -1):
         mask = (1 << 8 * n) - 1
@@ -292,48 +302,44 @@ def base_failed(s: str) -> Column:
     return (F.col(f"{s}.n_words") < 10) | (100 * F.col(f"{s}.n_repeat_words") > 20 * F.col(f"{s}.n_words"))
 
 
-def bands(scored: DataFrame, s: str, bucket: str, spread: float = SPREAD) -> list[tuple[int, float, float]]:
-    """(language bucket, low, high) log10 perplexity; at most 64 rows, from a histogram of all documents that pass the base rule."""
-    bins = scored.where(~base_failed(s)).select(F.col(bucket).alias("g"), F.floor(F.col(f"{s}.log10_ppl") / BIN).cast("int").alias("bin")).groupBy("g", "bin").count()
-    # log10 perplexity lies in [0, 40], so there are at most 64 x 8,000 rows
-    got: dict[int, dict[int, int]] = {}
-    for g, b, c in bins.collect():
-        got.setdefault(g, {})[b] = c
-    out = []
-    for g, hist in sorted(got.items()):
-        at = np.array(sorted(hist))
-        cum = np.cumsum([hist[b] for b in at])
-        q1, q3 = (at[np.searchsorted(cum, cum[-1] * q)] * BIN for q in (0.25, 0.75))
-        reach = spread * max(q3 - q1, 4 * BIN)
-        out.append((g, float(q1 - reach), float(q3 + reach)))
-    return out
+def bands(scored: DataFrame, s: str, bucket: str, spread: float = SPREAD) -> DataFrame:
+    """(bucket, low, high): log10 perplexity of each language, from a histogram of all documents that pass the base rule."""
+    bins = scored.where(~base_failed(s)).select(F.col(bucket).alias(bucket), F.floor(F.col(f"{s}.log10_ppl") / BIN).cast("int").alias("bin")).groupBy(bucket, "bin").agg(F.count("*").alias("n"))
+    every = Window.partitionBy(bucket)
+    upto = bins.select(bucket, "bin", F.sum("n").over(every.orderBy("bin")).alias("upto"), F.sum("n").over(every).alias("total"))
+    quartile = lambda q: F.min(F.when(F.col("upto") >= F.col("total") * q, F.col("bin"))) * BIN
+    found = upto.groupBy(bucket).agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
+    reach = spread * F.greatest(F.col("q3") - F.col("q1"), F.lit(4 * BIN))
+    return found.select(bucket, (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
 
 
 def judge(docs: DataFrame, order: int = ORDER, out: str = "quality") -> DataFrame:
-    """docs with a struct column ``out`` of statistics and its language bucket ``out``_bucket.
+    """docs with a struct column ``out`` of statistics and the number of its language, ``out``_bucket.
 
     One pass over the texts counts n-grams, one scores them.  ``verdicts`` writes what the caller
     selects of this to the shared folder, reads the bands from its histogram and adds the verdict.
     """
-    model = train(docs, order)
-    return docs.withColumn(out, statistics(F.col("text"), lang_bucket(), model, docs.sparkSession)).withColumn(f"{out}_bucket", lang_bucket())
+    bucket, lang = f"{out}_bucket", f"{out}_lang"
+    known = languages(docs).select(F.col("lang").alias(lang), F.col("bucket").alias(bucket))
+    docs = docs.join(known, F.col("lang").cast("string").eqNullSafe(F.col(lang)), "left").drop(lang)
+    model = train(docs, order, F.col(bucket))
+    return docs.withColumn(out, statistics(F.col("text"), F.col(bucket), model, docs.sparkSession))
 
 
 def verdicts(scored: DataFrame, spread: float = SPREAD, out: str = "quality") -> DataFrame:
     """scored (some columns of what ``judge`` gives, written) with the verdict in its struct."""
     scored = written(scored, "scored")
-    bucket = F.col(f"{out}_bucket")
-    marks = bands(scored, out, f"{out}_bucket", spread)
-    low = F.coalesce(*[F.when(bucket == g, F.lit(lo)) for g, lo, _ in marks], F.lit(float("-inf")))
-    high = F.coalesce(*[F.when(bucket == g, F.lit(hi)) for g, _, hi in marks], F.lit(float("inf")))
-    inside = F.coalesce(F.col(f"{out}.log10_ppl").between(low, high), F.lit(False))
+    bucket = f"{out}_bucket"
+    marks = written(bands(scored, out, bucket, spread).select(bucket, F.struct("low", "high").alias(f"{out}_band")), "bands")
+    inside = F.coalesce(F.col(f"{out}.log10_ppl").between(F.col(f"{out}_band.low"), F.col(f"{out}_band.high")), F.lit(False))
     failed = base_failed(out)
-    return scored.withColumn(out, F.struct(f"{out}.*", failed.alias("base_failed"), (~failed & inside).alias("kept"))).drop(f"{out}_bucket")
+    judged = scored.join(marks, bucket, "left").withColumn(out, F.struct(f"{out}.*", failed.alias("base_failed"), (~failed & inside).alias("kept")))
+    return judged.select(*[c for c in scored.columns if c != bucket])
 
 
 def keep(docs: DataFrame, spread: float = SPREAD) -> DataFrame:
     """The rows of docs that pass base rule and perplexity band, columns as they were."""
     name = "quality"
-    while name in docs.columns or f"{name}_bucket" in docs.columns:
+    while any(f"{name}{x}" in docs.columns for x in ("", "_bucket", "_lang", "_band")):
         name = f"_{name}"
-    return verdicts(judge(docs, out=name), spread, name).where(f"{name}.kept").drop(name)
+    return verdicts(judge(docs, out=name), spread, name).where(f"{name}.kept").select(*docs.columns)

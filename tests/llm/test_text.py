@@ -53,6 +53,23 @@ def test_quality_keeps_columns_and_drops_junk(spark, odd, none, docs):
     assert len(ids) > 0.8 * docs.count()
 
 
+def test_each_language_has_its_own_band(spark):
+    # de and pl, zh and he were in one bucket of 64 each
+    langs = ["de", "pl", "zh", "he", None, "(none)", *[f"x{k}" for k in range(70)]]
+    rng = np.random.default_rng(4)
+    rows = []
+    for k, lang in enumerate(langs):
+        letters = list("abcdefghijklm" if k % 2 else "nopqrstuvwxyz")
+        words = ["".join(rng.choice(letters, 4)) for _ in range(5)]
+        rows += [(100 * k + j, " ".join(rng.choice(words, 20)), lang) for j in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    judged = quality.judge(df)
+    assert judged.select("quality_bucket").distinct().count() == len(langs)
+    assert judged.select("lang", "quality_bucket").distinct().count() == len(langs)
+    scored = judged.select("doc_id", "quality", "quality_bucket").cache()
+    assert quality.bands(scored, "quality", "quality_bucket").count() == scored.where(~quality.base_failed("quality")).select("quality_bucket").distinct().count()
+
+
 def test_kneser_ney_is_a_distribution(docs):
     model = quality.train(docs.where("lang = 'en'"))
     rng = np.random.default_rng(1)
