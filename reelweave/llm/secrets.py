@@ -9,6 +9,10 @@ version that holds the blob.
 A finding is a span in code points, end exclusive.  Positions come from the gaps between matches, so
 one pass of a pattern over a text gives them all.
 
+A finding names the place of a secret; what ``redact`` masks is the secret itself, by ``MASKED``: a
+private key from its first line over its body to its last one, or to the end of the body where that is
+missing, and passwords of any length in addresses.
+
 Defined cases: a null text is empty, an empty text has no finding; equal texts share one scan however
 many rows hold them; repeated rows are reported one by one; other columns are carried along by
 ``scan`` and ``redact``, whose own columns take names that the input does not have.
@@ -34,17 +38,26 @@ RULES = [
     ("chat", r"\bxox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
     ("url", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:[^\s:/@]{4,64}@", 0, 1),
 ]
+#: Rules of what is masked: as RULES, but a key has its body and an address a password of any length.
+_KEY_HEADERS = r"(?:\s*+[A-Za-z][A-Za-z0-9-]*+:\x20[^\n]*+)*+"
+_KEY_BODY = r"""(?:(?:[\s>|*#"',]|\\[nrt])*+(?:[A-Za-z0-9+/]{16,}+={0,2}+|[A-Za-z0-9+/]++={1,2}+))*+(?:\s*\n[\s>|*#]*[A-Za-z0-9+/]{1,15}+(?=\s*(?:\n|$)))?"""
+_WIDER = {
+    "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----(?:[^-]*+(?:-{1,4}+(?!-)[^-]*+)*+-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----|" + _KEY_HEADERS + _KEY_BODY + ")",
+    "url": r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]*+:[^\s:/@]{4,}+@",
+}
+MASKED = [(kind, _WIDER.get(kind, pattern), group, least) for kind, pattern, group, least in RULES]
 #: A text without a match of this one can't have a match of that kind: shorter patterns than the rules'.
 _SIEVE = {"hex": r"[0-9a-f]{32}", "access": "AKIA", "pem": "PRIVATE KEY", "jwt": r"eyJ[A-Za-z0-9_-]{8}", "forge": "gh[pousr]_", "chat": "xox[abprs]-", "url": "://"}
 BASE = ("assign", "access", "hex")
 RULE_VERSION = "2024.1"
+MASK_VERSION = "2024.1-mask.1"
 LEDGER_SCHEMA = "rule_version string, blob string, spans array<struct<start:int,kind:int,end:int>>"
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
-def spans(text: Column, rule: int) -> Column:
+def spans(text: Column, rule: int, rules: list = RULES) -> Column:
     """All spans of one rule in a text that is not null."""
-    kind, pattern, group, least = RULES[rule]
+    kind, pattern, group, least = rules[rule]
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gaps = F.transform(F.split(text, pattern, -1), F.char_length)
@@ -65,9 +78,9 @@ def spans(text: Column, rule: int) -> Column:
     return F.when(sieve, start).otherwise(F.array().cast(_SPAN))
 
 
-def find(text: Column) -> Column:
+def find(text: Column, rules: list = RULES) -> Column:
     """Spans of all rules, ordered by start, then kind."""
-    return F.array_sort(F.concat(*[spans(text, k) for k in range(len(RULES))]))
+    return F.array_sort(F.concat(*[spans(text, k, rules) for k in range(len(rules))]))
 
 
 def blob_of(text: Column) -> Column:
@@ -81,7 +94,7 @@ def ledger_at(spark, path: str) -> DataFrame:
     return spark.read.schema(LEDGER_SCHEMA).parquet(path)
 
 
-def update(versions: DataFrame, ledger: str, rule_version: str = RULE_VERSION, text: str = "text") -> DataFrame:
+def update(versions: DataFrame, ledger: str, rule_version: str = RULE_VERSION, text: str = "text", rules: list = RULES) -> DataFrame:
     """Scan the blobs of ``versions`` that the ledger lacks under this rule version; returns the ledger.
 
     One text per blob reaches the patterns: copies are combined before the shuffle, and known blobs
@@ -92,12 +105,12 @@ def update(versions: DataFrame, ledger: str, rule_version: str = RULE_VERSION, t
     held = F.coalesce(F.col(text).cast("string"), F.lit(""))
     blobs = versions.select(blob_of(F.col(text)).alias("blob"), held.alias("text")).where(F.length("text") > 0)
     unseen = blobs.join(known, "blob", "left_anti").groupBy("blob").agg(F.first("text").alias("text"))
-    scanned = unseen.select(F.lit(rule_version).alias("rule_version"), "blob", find(F.col("text")).alias("spans"))
+    scanned = unseen.select(F.lit(rule_version).alias("rule_version"), "blob", find(F.col("text"), rules).alias("spans"))
     scanned.write.mode("append").parquet(ledger)
     return spark.read.schema(LEDGER_SCHEMA).parquet(ledger).where(F.col("rule_version") == rule_version)
 
 
-def scan(versions: DataFrame, ledger: str | None = None, rule_version: str = RULE_VERSION, text: str = "text", out: str = "spans") -> DataFrame:
+def scan(versions: DataFrame, ledger: str | None = None, rule_version: str = RULE_VERSION, text: str = "text", out: str = "spans", rules: list = RULES) -> DataFrame:
     """Every row of versions with the spans of its text.
 
     Blobs without findings stay in the ledger as seen, but only those with findings are joined, so
@@ -105,7 +118,7 @@ def scan(versions: DataFrame, ledger: str | None = None, rule_version: str = RUL
     side, which adaptive execution splits.
     """
     ledger = ledger or f"{shared_dir(versions.sparkSession)}/ledger-{uuid.uuid4().hex}"
-    seen = update(versions, ledger, rule_version, text)
+    seen = update(versions, ledger, rule_version, text, rules)
     hits = seen.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias(out))
     rows = versions.withColumn("_blob", blob_of(F.col(text)))
     return rows.join(hits, "_blob", "left").withColumn(out, F.coalesce(out, F.array().cast(_SPAN))).drop("_blob")
@@ -127,14 +140,14 @@ def report(scanned: DataFrame, spans_col: str = "spans") -> list[Column]:
 
 
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
-    """docs with every span in ``text`` replaced by ``mask``, and ``n_chars`` set where that is a column.
+    """docs with every span of ``MASKED`` in ``text`` replaced by ``mask``, and ``n_chars`` set where that is a column.
 
     Overlapping spans become one.  A null text stays null.
     """
     name = "spans"
     while name in docs.columns:
         name = f"_{name}"
-    found = scan(docs, out=name)
+    found = scan(docs, rule_version=MASK_VERSION, out=name, rules=MASKED)
     text = F.col("text")
     # the parts before each span, then the rest; a span that starts inside an earlier one adds nothing
     parts = F.aggregate(
