@@ -6,6 +6,9 @@ aggregations of that table.  The model is held in sorted arrays of hashes, at mo
 order and table, so the broadcast has a proven size bound whatever the corpus.  Each distinct
 language has a number of its own, which stands in the key of an n-gram beside its symbols.
 
+A document is scored by a model that has not seen it: texts are dealt into two folds by their hash, so
+that copies stay together, each fold has its own n-grams, and each text meets those of the other fold.
+
 Per language, documents outside [low, high] perplexity are rejected.  The band lies ``spread``
 interquartile ranges beyond the quartiles of the documents' log-perplexity, read from a histogram
 with bins of BIN, which is an aggregation over all documents.
@@ -30,10 +33,10 @@ from reelweave.llm._shared import written
 
 ORDER = 5
 HASH_BITS = 22
-SPREAD = 8.0
+SPREAD = 2.0
 BIN = 0.005
 LANGS = 64
-MOST_LANGS = 1 << 22
+MOST_LANGS = 1 << 22  # with the fold's bit, 63 bits of a key
 _SYMBOLS = b"#*$%&|<>"
 
 #: One byte for each code point: ASCII lower-cased, digits alike, white space alike; others hashed into 128 to 255.
@@ -314,7 +317,7 @@ def bands(scored: DataFrame, s: str, bucket: str, spread: float = SPREAD) -> Dat
 
 
 def judge(docs: DataFrame, order: int = ORDER, out: str = "quality") -> DataFrame:
-    """docs with a struct column ``out`` of statistics and the number of its language, ``out``_bucket.
+    """docs with a struct column ``out`` of statistics, the perplexity held out, and the number of its language, ``out``_bucket.
 
     One pass over the texts counts n-grams, one scores them.  ``verdicts`` writes what the caller
     selects of this to the shared folder, reads the bands from its histogram and adds the verdict.
@@ -322,8 +325,9 @@ def judge(docs: DataFrame, order: int = ORDER, out: str = "quality") -> DataFram
     bucket, lang = f"{out}_bucket", f"{out}_lang"
     known = languages(docs).select(F.col("lang").alias(lang), F.col("bucket").alias(bucket))
     docs = docs.join(known, F.col("lang").cast("string").eqNullSafe(F.col(lang)), "left").drop(lang)
-    model = train(docs, order, F.col(bucket))
-    return docs.withColumn(out, statistics(F.col("text"), F.col(bucket), model, docs.sparkSession))
+    fold = F.pmod(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(2))
+    model = train(docs, order, (2 * F.col(bucket) + fold).cast("int"))
+    return docs.withColumn(out, statistics(F.col("text"), (2 * F.col(bucket) + 1 - fold).cast("int"), model, docs.sparkSession))
 
 
 def verdicts(scored: DataFrame, spread: float = SPREAD, out: str = "quality") -> DataFrame:

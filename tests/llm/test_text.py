@@ -70,6 +70,19 @@ def test_each_language_has_its_own_band(spark):
     assert quality.bands(scored, "quality", "quality_bucket").count() == scored.where(~quality.base_failed("quality")).select("quality_bucket").distinct().count()
 
 
+def test_noise_is_rejected(spark, data):
+    docs = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(0)
+    good = [r.text for r in docs.where("lang = 'en' AND length(text) BETWEEN 800 AND 3000").orderBy("doc_id").limit(5).collect()]
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    noisy = ["".join(rng.choice(letters) if c != " " and rng.random() < share else c for c in t) for share in (0.3, 1.0) for t in good]
+    judged = quality.verdicts(quality.judge(docs.unionByName(spark.createDataFrame([(-1 - k, t, "en") for k, t in enumerate(noisy)], docs.schema))))
+    assert not judged.where("doc_id < 0 AND quality.kept").count()
+    prose = judged.where("doc_id >= 0 AND lang = 'en' AND NOT quality.base_failed").agg(F.max_by("quality.log10_ppl", "quality.n_words"), F.avg(F.col("quality.kept").cast("int"))).first()
+    noise = judged.where("doc_id < 0").agg(F.min("quality.log10_ppl")).first()[0]
+    assert noise > prose[0] and prose[1] > 0.85
+
+
 def test_kneser_ney_is_a_distribution(docs):
     model = quality.train(docs.where("lang = 'en'"))
     rng = np.random.default_rng(1)
