@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,25 +150,28 @@ def smooth(rows: DataFrame, seq: str, order: list[str], value: str, s: float, ch
 def corrected(frames: DataFrame, strength: float = 1.0, window: int = 5) -> DataFrame:
     """Frames matched in mean and spread to the average of up to ``window`` corrected frames before them.
 
-    The recurrence feeds on its own results, so a sequence is worked through in order in one group,
-    frame by frame, holding ``window`` frames.
+    The recurrence feeds on its own results, so a sequence is worked through in order in one task,
+    frame by frame; Spark sorts, and no more than a batch and ``window`` frames are held.
     """
 
-    def run(pdf):
-        pdf = pdf.sort_values("frame_idx")
-        last: list = []
-        out = []
-        for data in pdf["data"]:
-            x = np.asarray(data, np.float64)
-            if last:
-                ref = np.mean(last, axis=0)
-                y = (x - x.mean()) / max(x.std(), 1e-6) * ref.std() + ref.mean()
-                x = np.clip(x + strength * (y - x), 0, 1)
-            last = [*last, x][-window:]
-            out.append(x)
-        return pdf.assign(data=[x.tolist() for x in out])
-
-    return frames.select("seq_id", "frame_idx", "data").groupBy("seq_id").applyInPandas(run, "seq_id long, frame_idx long, data array<double>")
+    def run(batches):
+        seq, last = None, []
+        for batch in batches:
+            out = []
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                if name != seq:
+                    seq, last = name, []
+                x = np.asarray(data.as_py(), np.float64)
+                if last:
+                    ref = np.mean(last, axis=0)
+                    y = (x - x.mean()) / max(x.std(), 1e-6) * ref.std() + ref.mean()
+                    x = np.clip(x + strength * (y - x), 0, 1)
+                last = [*last, x][-window:]
+                out.append(x.tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.float64()))], ["seq_id", "frame_idx", "data"])
+
+    rows = frames.select(F.col("seq_id").cast("long").alias("seq_id"), F.col("frame_idx").cast("long").alias("frame_idx"), "data")
+    return rows.repartition("seq_id").sortWithinPartitions("seq_id", "frame_idx").mapInArrow(run, "seq_id long, frame_idx long, data array<double>")
 
 
 def colour_match(target: np.ndarray, reference: np.ndarray, method: str = "mkl", strength: float = 1.0) -> np.ndarray:
