@@ -39,17 +39,25 @@ def unescape(s: Column) -> Column:
     return F.regexp_replace(s, r"(?s)\\(.)", "$1")
 
 
-def blocks(turns: Column) -> Column:
-    """Merge adjacent turns of one role: array of (role, texts) from an array of (turn, role, text)."""
-    kind = "array<struct<role:string,texts:array<string>>>"
+def blocks(turns: str, starts: str) -> Column:
+    """Adjacent turns of one role as one block: array of (role, texts).
 
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        same = (F.size(acc) > 0) & F.coalesce(F.try_element_at(acc, F.lit(-1))["role"] == x["role"], F.lit(False))
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(x["text"])).alias("texts"))))
-        return F.when(same, grown).otherwise(F.concat(acc, F.array(F.struct(x["role"].alias("role"), F.array(x["text"]).alias("texts")))))
+    ``turns`` is a column of (turn, role, text) arrays, ``starts`` one of the places where blocks begin: each
+    block is a slice of the turns, so the work grows with their number only.
+    """
+    t, s = F.col(turns), F.col(starts)
 
-    return F.aggregate(turns, F.array().cast(kind), step)
+    def block(at, k):
+        stop = F.coalesce(F.get(s, k + 1), F.size(t))
+        return F.struct(F.get(t, at)["role"].alias("role"), F.transform(F.slice(t, at + 1, stop - at), lambda x: x["text"]).alias("texts"))
+
+    return F.transform(s, block)
+
+
+def block_starts(turns: str) -> Column:
+    """Places of the turns whose role differs from the one before."""
+    t = F.col(turns)
+    return F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i)["role"] != F.get(t, i - 1)["role"]))
 
 
 def _block(b: Column) -> Column:
@@ -60,7 +68,8 @@ def _block(b: Column) -> Column:
 def conversations(rows: DataFrame) -> DataFrame:
     """(conv_id, blocks) with each conversation's turns sorted and merged."""
     turn = F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns")).select("conv_id", blocks(F.col("turns")).alias("blocks"))
+    sorted_ = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    return sorted_.withColumn("starts", block_starts("turns")).select("conv_id", blocks("turns", "starts").alias("blocks"))
 
 
 def render(rows: DataFrame, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:

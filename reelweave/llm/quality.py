@@ -1,10 +1,15 @@
 """Quality rules: text statistics and n-gram perplexity under a modified Kneser-Ney model.
 
-The model is over characters (order 5 by default), one per language: open vocabularies, as in a web corpus, make word n-grams mostly singletons, while character n-grams are shared by all words.
-Spark counts the n-grams; continuation counts, discounts, context totals and back-off weights are
-aggregations of that table.  The model is held in sorted arrays of hashes, at most 2**hash_bits per
-order and table, so the broadcast has a proven size bound whatever the corpus.  Each distinct
-language has a number of its own, which stands in the key of an n-gram beside its symbols.
+The model is over characters (order 5 by default), one per language: open vocabularies, as in a web
+corpus, make word n-grams mostly singletons, while character n-grams are shared by all words.  A
+symbol is an ASCII character or one of 128 hash classes of all others.  Spark counts the n-grams;
+continuation counts, discounts, context totals and back-off weights are aggregations of that table.
+Each distinct language has a number of its own, which stands in the 64-bit key of an n-gram beside
+its symbols, so the keys of the sorted arrays that hold the model are exact and compared as a whole.
+
+Of each order the arrays hold ``MOST`` n-grams at most, the most frequent ones, which bounds the
+broadcast.  What an n-gram that is not held has of its context's mass goes to the shorter context, so
+the probabilities after any context sum to 1 however few n-grams are held.
 
 A document is scored by a model that has not seen it: texts are dealt into two folds by their hash, so
 that copies stay together, each fold has its own n-grams, and each text meets those of the other fold.
@@ -28,14 +33,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from reelweave.llm import _text
+from reelweave.llm import _encode, _text
 from reelweave.llm._shared import written
 
 ORDER = 5
-HASH_BITS = 22
+MOST = 1 << 21
 SPREAD = 2.0
 BIN = 0.005
-LANGS = 64
 MOST_LANGS = 1 << 22  # with the fold's bit, 63 bits of a key
 _SYMBOLS = b"#*$%&|<>"
 
@@ -109,15 +113,11 @@ def languages(docs: DataFrame) -> DataFrame:
     return found
 
 
-def lang_bucket(lang: str = "lang") -> Column:
-    """One of LANGS numbers for a language by its hash alone, for models that are trained by themselves; ``judge`` has exact ones."""
-    return F.pmod(F.xxhash64(F.coalesce(F.col(lang).cast("string"), F.lit("(none)"))), F.lit(LANGS)).cast("int")
-
-
-def count_ngrams(docs: DataFrame, order: int = ORDER, bucket: Column | None = None) -> DataFrame:
+def count_ngrams(docs: DataFrame, bucket: Column, order: int = ORDER) -> DataFrame:
     """(key, count) over all texts: n-grams are combined in each block and partition, then by key."""
 
     def run(batches):
+        _encode.release()
         memo = Memo()
         counts = np.zeros(1 << memo.bits, np.int64)
         held: list = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
@@ -134,7 +134,7 @@ def count_ngrams(docs: DataFrame, order: int = ORDER, bucket: Column | None = No
         used = np.flatnonzero(counts)
         yield _counts(*_merge([*held, (memo.keys[used], counts[used])]))
 
-    rows = docs.select(F.col("text").cast("string").alias("text"), (lang_bucket() if bucket is None else bucket).alias("lang"))
+    rows = docs.select(F.col("text").cast("string").alias("text"), bucket.alias("lang"))
     return rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
@@ -147,28 +147,24 @@ def _counts(k: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(c.astype(np.int64))], ["key", "n"])
 
 
-def _slot(key: np.ndarray, n: int, bits: int = HASH_BITS) -> np.ndarray:
-    """Hash of an n-gram or context of n symbols."""
-    return (_text.mix(key.astype(np.uint64) * np.uint64(2) + np.uint64(1) ^ (np.uint64(n) << np.uint64(56))) >> np.uint64(64 - bits)).astype(np.int32)
-
-
 class KneserNey:
-    """Interpolated modified Kneser-Ney in sorted hash arrays.
+    """Interpolated modified Kneser-Ney in sorted arrays.
 
-    ``grams[n]``: sorted slots and discounted relative frequencies of n-grams; ``contexts[n]``: sorted
-    slots of contexts of n - 1 symbols and the mass they leave to the shorter context.
+    ``grams[n]``: sorted keys and discounted relative frequencies of n-grams; ``contexts[n]``: sorted
+    keys of contexts of n - 1 symbols and the mass they leave to the shorter context, all of it where
+    a context is absent.
     """
 
     def __init__(self, order: int, grams: dict, contexts: dict):
         self.order, self.grams, self.contexts = order, grams, contexts
 
     @staticmethod
-    def _look(table: tuple[np.ndarray, np.ndarray], slots: np.ndarray, default: float) -> np.ndarray:
+    def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, default: float) -> np.ndarray:
         known, value = table
         if not len(known):
-            return np.full(len(slots), default)
-        at = np.minimum(np.searchsorted(known, slots), len(known) - 1)
-        return np.where(known[at] == slots, value[at], default)
+            return np.full(len(keys), default)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[at] == keys, value[at], default)
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of each n-gram's last symbol given the others."""
@@ -177,48 +173,50 @@ class KneserNey:
         for n in range(1, self.order + 1):
             gram = lang | (keys & np.uint64((1 << 8 * n) - 1))
             context = lang | (gram & np.uint64((1 << 8 * n) - 1)) >> np.uint64(8)
-            p = self._look(self.grams[n], _slot(gram, n), 0.0) + self._look(self.contexts[n], _slot(context, n + 32), 1.0) * p
+            p = self._look(self.grams[n], gram, 0.0) + self._look(self.contexts[n], context, 1.0) * p
         return np.log10(p)
 
 
-def train(docs: DataFrame, order: int = ORDER, bucket: Column | None = None) -> KneserNey:
-    """Fit the model on all texts of docs (columns text and, without a bucket, lang)."""
+def train(docs: DataFrame, bucket: Column, order: int = ORDER) -> KneserNey:
+    """Fit the model on all texts of docs; bucket is the number of a text's language."""
     low = (1 << 8 * order) - 1
-    counts = written(count_ngrams(docs, order, bucket), "ngrams")
+    counts = written(count_ngrams(docs, bucket, order), "ngrams")
+    level = F.floor(F.log2("n") * 8).cast("int")
     grams, contexts = {}, {}
     for n in range(order, 0, -1):
         mask = (1 << 8 * n) - 1
         lang = F.col("key").bitwiseAND(F.lit(~low))
         context = lang.bitwiseOR(F.shiftright(F.col("key").bitwiseAND(F.lit(mask)), 8)) if n > 1 else lang
-        table = counts.select("key", "n", context.alias("context"))
-        of = counts.agg(*[F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)]).first()
+        # eight levels for each doubling: the most frequent n-grams, MOST at most; fewer than 4 of a kind have levels of their own
+        sizes = sorted(counts.groupBy(level.alias("l")).agg(F.count("*")).collect(), reverse=True)
+        total, least = 0, 1 << 30
+        for at, size in sizes:
+            total += size
+            if total > MOST:
+                break
+            least = at
+        known = dict(sizes)
+        of = [known.get(k, 0) for k in (0, 8, 12, 16)]  # how many occur once, twice, three and four times
         y = of[0] / (of[0] + 2 * of[1]) if of[0] and of[1] else 0.5
         d = [min(max(k - (k + 1) * y * of[k] / of[k - 1], 0.05), k - 0.05) if of[k - 1] and of[k] else 0.5 for k in (1, 2, 3)]
-        off = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        totals = table.groupBy("context").agg(F.sum("n").alias("total"), F.sum(off).alias("left"))
-        grams[n] = _sorted(table.join(totals, "context").select("key", ((F.col("n") - off) / F.col("total")).alias("p")), n)
-        contexts[n] = _sorted(totals.select(F.col("context").alias("key"), (F.col("left") / F.col("total")).alias("p")), n + 32)
+        held = level >= least
+        off = F.when(~held, F.col("n")).when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+        table = counts.select("key", "n", context.alias("context"), held.alias("held"), off.cast("double").alias("off"))
+        totals = table.groupBy("context").agg(F.sum("n").alias("total"), F.sum("off").alias("left"), F.max("held").alias("any")).where("any")
+        grams[n] = _sorted(table.where("held").join(totals, "context").select("key", ((F.col("n") - F.col("off")) / F.col("total")).alias("p")))
+        contexts[n] = _sorted(totals.select(F.col("context").alias("key"), (F.col("left") / F.col("total")).alias("p")))
         shorter = lang.bitwiseOR(F.col("key").bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1)))
         if n > 1:
             counts = written(counts.groupBy(shorter.alias("key")).agg(F.count("*").alias("n")), "ngrams")
     return KneserNey(order, grams, contexts)
 
 
-def _sorted(table: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slots in order and one value each; of keys that share a slot the largest value stays.
-
-    Slots are made by the executors, so at most 2**HASH_BITS rows reach the driver.
-    """
-
-    def slots(batches):
-        for b in batches:
-            slot = _slot(b.column(0).to_numpy().view(np.uint64), n)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), b.column(1).cast(pa.float32())], ["slot", "p"])
-
-    got = table.select("key", F.col("p").cast("double").alias("p")).mapInArrow(slots, "slot int, p float").groupBy("slot").agg(F.max("p").alias("p")).toArrow()
-    slot, p = got.column(0).to_numpy(), got.column(1).to_numpy()
-    order = np.argsort(slot)
-    return slot[order], p[order]
+def _sorted(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order and one value each: MOST rows at most."""
+    got = table.select("key", F.col("p").cast("float").alias("p")).toArrow()
+    key, p = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
+    order = np.argsort(key)
+    return key[order], p[order]
 
 
 _FIELDS = {"n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64(), "log10_ppl": pa.float64()}
@@ -289,6 +287,7 @@ def statistics(text: Column, bucket: Column, model: KneserNey | None, spark) ->
 
     @arrow_udf(_TYPE)
     def stats(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        _encode.release()
         score = _Scorer(held.value) if held.value is not None else None
         for texts, langs in batches:
             lang = langs.to_numpy(zero_copy_only=False)
@@ -326,7 +325,7 @@ def judge(docs: DataFrame, order: int = ORDER, out: str = "quality") -> DataFram
     known = languages(docs).select(F.col("lang").alias(lang), F.col("bucket").alias(bucket))
     docs = docs.join(known, F.col("lang").cast("string").eqNullSafe(F.col(lang)), "left").drop(lang)
     fold = F.pmod(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(2))
-    model = train(docs, order, (2 * F.col(bucket) + fold).cast("int"))
+    model = train(docs, (2 * F.col(bucket) + fold).cast("int"), order)
     return docs.withColumn(out, statistics(F.col("text"), (2 * F.col(bucket) + 1 - fold).cast("int"), model, docs.sparkSession))
 
 
