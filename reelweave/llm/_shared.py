@@ -10,15 +10,27 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; without one named by the session a temporary one, if all run on this machine."""
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not hasattr(spark.sparkContext, "_reelweave_shared"):
         spark.sparkContext._reelweave_shared = tempfile.mkdtemp(prefix="reelweave-")
     return spark.sparkContext._reelweave_shared
 
 
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES at most, unless the session has chosen a size: batches of a number of rows grow with the texts."""
+    if int(spark.conf.get(_BATCH, str(2**31 - 1)).rstrip("b")) >= 1 << 28:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 #: Places of the tables that ``written`` made and ``clear`` has not deleted.
 _tables: list[str] = []
 
@@ -28,6 +40,7 @@ def written(df: DataFrame, name: str, passing: bool = True) -> DataFrame:
 
     ``clear`` deletes passing tables.
     """
+    bound_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     if passing:
         _tables.append(path)
@@ -47,28 +60,36 @@ def remainder(doc_id: str, divisor: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % divisor
 
 
+#: A star's edges are dealt to so many tasks.
+SALTS = 64
+
+
+def _with_least(pairs: DataFrame) -> DataFrame:
+    """(u, v, m): m the smallest v of each u; edges of one u are spread over SALTS keys, so no star meets in a task."""
+    salted = pairs.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    part = salted.groupBy("u", "s").agg(F.min("v").alias("p"))
+    spread = part.select("u", "s").join(part.groupBy("u").agg(F.min("p").alias("m")), "u")
+    return salted.join(spread, ["u", "s"]).select("u", "v", "m")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge list: (id, component), component the smallest id.
 
     Alternates the large-star and small-star steps: each is one shuffle of the edges, stars of any
-    size are handled by aggregation, and the number of rounds grows with the logarithm of the longest
+    size are split by salting, and the number of rounds grows with the logarithm of the longest
     path.  Ids that occur in no edge are absent.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    pairs = written(pairs, "edges")
+    pairs, last = written(pairs, "edges"), None
     for _ in range(rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        new = written(small.where("u <> v").distinct(), "edges")
-        same = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        last = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        pairs = new
-        if same == last:
+        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
+        small = _with_least(large).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        pairs = written(small.where("u <> v").distinct(), "edges")
+        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == last:
             break
+        last = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()

@@ -18,7 +18,8 @@ the similarity is L / (m + n - L), the ordered form of Jaccard, and a link needs
 
 Defined cases: a null text is empty; a text without words links with nothing, not even another one;
 rows that repeat an id and text are one document; extra columns are ignored by ``classes`` and
-carried by ``deduplicate``; an empty table gives an empty result; ids may be null or repeat.
+carried by ``deduplicate``; an empty table gives an empty result; ids may be null or repeat.  Rows are
+told apart by id and text, so an id of several texts belongs to several classes.
 """
 
 from __future__ import annotations
@@ -28,11 +29,11 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from reelweave.llm import _text
+from reelweave.llm import _encode, _text
 from reelweave.llm._shared import components, written
 
 WORDS = 5
@@ -41,6 +42,8 @@ SKETCHES = 14
 PICKS = 3
 #: Buckets of so many classes are compared in full; the classes of larger ones go through the prefix filter.
 SMALL = 8
+#: Pairs of one leader that are verified together.
+GROUP = 256
 #: Most k-mers whose numbers of texts are broadcast for the prefix filter.
 MOST_COMMON = 1 << 19
 #: Hash classes in which k-mers are counted to bound what two texts can share.
@@ -113,6 +116,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     @arrow_udf("struct<digest:binary,keys:array<long>>")
     def sign(texts: pa.Array) -> pa.Array:
+        _encode.release()
         found, keys, sizes = [], [], []
         for block in _text.blocks(texts, fold=True):
             labelled, count, start, end = kmers(block)
@@ -161,8 +165,9 @@ def _sequences(texts: pa.Array) -> list[np.ndarray]:
 
 def similarities(a: pa.Array, b: pa.Array) -> pa.Array:
     """Alignment similarity of two texts, row by row."""
+    _encode.release()
     out = np.zeros(len(a))
-    step = 256  # pairs at a time, so that memory follows a few texts
+    step = 64  # pairs at a time, so that memory follows a few texts
     for s in range(0, len(a), step):
         for k, (x, y) in enumerate(zip(_sequences(a.slice(s, step)), _sequences(b.slice(s, step)), strict=True)):
             out[s + k] = alignment(x, y) if len(x) and len(y) else 0.0
@@ -170,20 +175,38 @@ def similarities(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (a, b) of digests those whose texts align well enough."""
+    """Of pairs (a, b) of digests those whose texts align well enough.
+
+    Of each pair the digest with more pairs, a leader as a rule, is joined last; its pairs are dealt into
+    groups of ``GROUP``, each with a copy of its text, so a leader's partners are not aligned in one task.
+    """
 
     @arrow_udf("double")
     def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
         return similarities(a, b)
 
-    left = texts.select(F.col("digest").alias("a"), F.col("text").alias("at"))
-    right = texts.select(F.col("digest").alias("b"), F.col("text").alias("bt"))
-    both = pairs.join(left, "a").join(right, "b")
-    return both.withColumn("sim", similarity("at", "bt")).where(F.col("sim") >= threshold).select("a", "b")
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("d")).groupBy("d").agg(F.count("*").alias("n"))
+    sized = pairs.join(degree.select(F.col("d").alias("a"), F.col("n").alias("na")), "a").join(degree.select(F.col("d").alias("b"), F.col("n").alias("nb")), "b")
+    more = F.struct("nb", "b") >= F.struct(F.col("na").alias("nb"), F.col("a").alias("b"))
+    parts = F.ceil(F.greatest("na", "nb") / GROUP).cast("int")
+    turned = sized.select(F.when(more, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(more, F.col("b")).otherwise(F.col("a")).alias("y"), parts.alias("parts"))
+    turned = turned.withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int"))
+    left = texts.select(F.col("digest").alias("x"), F.col("text").alias("xt"))
+    dealt = F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / GROUP).cast("int") - 1)).alias("part")
+    right = texts.join(degree.withColumnRenamed("d", "digest"), "digest").select(F.col("digest").alias("y"), F.col("text").alias("yt"), dealt)
+    both = turned.join(left, "x").join(right, ["y", "part"])
+    return both.withColumn("sim", similarity("xt", "yt")).where(F.col("sim") >= threshold).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, kept) of every row: class_id the smallest id of its component."""
+    signed, verdict = _classified(docs, threshold)
+    out = signed.select("doc_id", "digest").join(verdict, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+
+
+def _classified(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, keys) of every row, and (digest, class_id, class_c) of every digest; class_c names the component."""
     signed = written(signatures(docs), "signatures")
     exact = written(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("low"), F.first("keys").alias("keys")), "exact")
     postings = exact.select("digest", F.explode("keys").alias("key"))
@@ -198,9 +221,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     led = buckets.select("digest", F.explode("leads").alias("lead")).where(F.col("digest") != F.col("lead"))
     first = written(led.select(F.least("digest", "lead").alias("a"), F.greatest("digest", "lead").alias("b")).distinct(), "pairs")
     need = buckets.select("digest").distinct().join(exact.select("digest", "low"), "digest")
-    rows = docs.select(F.col("doc_id").alias("low"), F.col("text").cast("string").alias("text"))
-    # a repeated id can bring other texts; the digest tells which one is meant
-    near = signatures_of(rows.join(need, rows["low"].eqNullSafe(need["low"])).select("digest", "text"))
+    # one text of each digest: by id and digest, which spreads copies and null ids alike
+    rows = docs.select(F.col("doc_id").alias("own"), F.col("text").cast("string").alias("text"), digest_of(F.col("text")).alias("d"))
+    near = rows.join(need, rows["own"].eqNullSafe(need["low"]) & (rows["d"] == need["digest"])).select("digest", "text").dropDuplicates(["digest"])
     texts = written(near, "texts")
     links = written(_verified(first, texts, threshold), "links")
     joined = components(links)
@@ -217,9 +240,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     joined = components(joined.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = exact.select("digest", "low").join(joined.withColumnRenamed("id", "digest"), "digest", "left").withColumn("c", F.coalesce("component", "digest"))
     lows = named.groupBy("c").agg(F.min("low").alias("class_id"))
-    verdict = written(named.join(lows, "c").select("digest", "class_id"), "classes")
-    out = signed.select("doc_id", "digest").join(verdict, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    verdict = written(named.join(lows, "c").select("digest", "class_id", F.col("c").alias("class_c")), "classes")
+    return signed, verdict
 
 
 def _apart_pairs(member: DataFrame, threshold: float) -> DataFrame:
@@ -300,20 +322,41 @@ def prefixes(rows: DataFrame, threshold: float) -> DataFrame:
     return written(found.select("digest", "c", "p.size", "p.shared", F.explode("p.keys").alias("key")), "prefixes")
 
 
-def signatures_of(rows: DataFrame) -> DataFrame:
-    """One (digest, text) for each digest whose text has that digest."""
+def digest_of(text: Column) -> Column:
+    """Digest of a text's words, null without words."""
 
     @arrow_udf("binary")
     def own(texts: pa.Array) -> pa.Array:
+        _encode.release()
         found = []
         for block in _text.blocks(texts, fold=True):
             found += digests(block, *block.words())
         return pa.array(found, pa.binary())
 
-    return rows.where(own("text") == F.col("digest")).dropDuplicates(["digest"])
+    return own(text.cast("string"))
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose document is kept, columns as they were; rows with a null id stay."""
-    gone = classes(docs.select("doc_id", "text"), threshold).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row of each class, columns as they were; texts without words stay.
+
+    The row that stays has the class's smallest id, and of several texts with that id the one with the
+    smallest digest; of rows equal in both any one.  A class whose ids are all null keeps one row.
+    """
+    signed, verdict = _classified(docs.select("doc_id", "text"), threshold)
+    named = signed.join(verdict, "digest", "left")
+    gone = named.where(~F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("digest").isNotNull()).select("doc_id").distinct()
+    # ids of several rows, and null, are decided row by row
+    repeated = written(signed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    apart = docs.join(gone.unionByName(repeated).where("doc_id IS NOT NULL").distinct(), "doc_id", "left_anti").where("doc_id IS NOT NULL").select(*docs.columns)
+    key, chosen = "_digest", "_chosen"
+    while key in docs.columns or chosen in docs.columns:
+        key, chosen = f"_{key}", f"_{chosen}"
+    several = docs.join(repeated.where("doc_id IS NOT NULL"), "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    least = signed.where("digest IS NOT NULL").select("doc_id", "digest").distinct().join(verdict, "digest").where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    least = least.groupBy("class_c").agg(F.min("digest").alias(key)).select(key, F.lit(True).alias(chosen))
+    ids = verdict.select(F.col("digest").alias(key), F.col("class_id").alias(f"{chosen}_id"))
+    rows = several.withColumn(key, digest_of(F.col("text"))).join(least, key, "left").join(ids, key, "left")
+    right = F.col(chosen) & F.col("doc_id").eqNullSafe(F.col(f"{chosen}_id"))
+    return apart.unionByName(rows.where(right).dropDuplicates([key]).select(*docs.columns)).unionByName(rows.where(F.col(key).isNull()).select(*docs.columns))

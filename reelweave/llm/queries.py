@@ -91,7 +91,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
     scored = docs.withColumn("t", toxicity.score(F.col("text"), model, spark))
     spans = F.array_join(F.transform("t.spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "t.score", (F.col("t.score") >= 0.5).cast("int").alias("predicted"), spans.alias("spans"))
+    return scored.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "t.score", (F.col("t.score") >= 0.5).cast("int").alias("predicted"), spans.alias("spans"))
 
 
 def vocabulary(name: str) -> str:
@@ -147,7 +147,7 @@ def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reelweave.llm import maxent
     from reelweave.llm._shared import remainder
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 7) != 2).alias("trained"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(remainder("doc_id", 7) != 2, F.lit(True)).alias("trained"))
     return maxent.score(docs, "trained")
 
 

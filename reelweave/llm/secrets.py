@@ -90,7 +90,9 @@ def blob_of(text: Column) -> Column:
 
 def ledger_at(spark, path: str) -> DataFrame:
     """The ledger in a folder; an empty one where the folder has none yet."""
-    spark.createDataFrame([], LEDGER_SCHEMA).write.mode("append").parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        spark.createDataFrame([], LEDGER_SCHEMA).write.mode("append").parquet(path)
     return spark.read.schema(LEDGER_SCHEMA).parquet(path)
 
 
@@ -115,13 +117,18 @@ def scan(versions: DataFrame, ledger: str | None = None, rule_version: str = RUL
 
     Blobs without findings stay in the ledger as seen, but only those with findings are joined, so
     the join's small side is as small as the secrets are rare; hot blobs are many rows of the other
-    side, which adaptive execution splits.
+    side, which adaptive execution splits.  Empty texts get keys of their own that match nothing.  A
+    pair that two scans at once, or a scan run again, put into the ledger twice counts once.
     """
     ledger = ledger or f"{shared_dir(versions.sparkSession)}/ledger-{uuid.uuid4().hex}"
     seen = update(versions, ledger, rule_version, text, rules)
-    hits = seen.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias(out))
-    rows = versions.withColumn("_blob", blob_of(F.col(text)))
-    return rows.join(hits, "_blob", "left").withColumn(out, F.coalesce(out, F.array().cast(_SPAN))).drop("_blob")
+    key = "_blob"
+    while key in versions.columns:
+        key = f"_{key}"
+    hits = seen.where(F.size("spans") > 0).select(F.col("blob").alias(key), F.col("spans").alias(out)).dropDuplicates([key])
+    nothing = F.concat(F.lit("-"), F.pmod(F.monotonically_increasing_id(), F.lit(4096)).cast("string"))
+    rows = versions.withColumn(key, F.when(F.length(F.col(text).cast("string")) > 0, blob_of(F.col(text))).otherwise(nothing))
+    return rows.join(hits, key, "left").withColumn(out, F.coalesce(out, F.array().cast(_SPAN))).drop(key)
 
 
 def _named(x: Column) -> Column:
