@@ -30,10 +30,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from reelweave.llm import _text
 from reelweave.llm._shared import components, written
 
 THRESHOLD = 0.95
@@ -106,8 +108,8 @@ def _tail(dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 def plan(n: int, dim: int, threshold: float = THRESHOLD) -> tuple[int, float]:
     """Words for each block and the cut, for n vectors: see the module."""
-    if n <= 2 * CAP or dim < 2:
-        return 1, -2.0  # one cap holds them all
+    if dim < 2:
+        return 1, -2.0  # two directions in all
     at, beyond = _tail(dim)
     share = min(0.01, CAP / max(n, 1))
     cut = min(float(at[np.argmax(beyond <= share)]), 0.7)
@@ -122,16 +124,24 @@ def plan(n: int, dim: int, threshold: float = THRESHOLD) -> tuple[int, float]:
 
 def _raw(column: pa.Array, kind: type) -> tuple[list[bytes | None], list[int]]:
     """Bytes of each vector, None for those that link with nothing, and their lengths."""
-    out: list[bytes | None] = []
-    for x in column:
-        y = x.as_py()
-        v = None if not y or any(e is None for e in y) else np.array(y, kind) + kind(0)  # one zero of the two
-        out.append(v.tobytes() if v is not None and np.isfinite(v).all() and v.any() else None)
-    return out, [0 if b is None else len(b) // np.dtype(kind).itemsize for b in out]
+    size = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
+    flat = pc.list_flatten(column)
+    value = np.asarray(flat.fill_null(np.nan)).astype(kind) + kind(0)  # one zero of the two
+    sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[np.concatenate([[0], np.cumsum(size)])])
+    good = (sums(~np.isfinite(value)) == 0) & (sums(value != 0) > 0)
+    data, width, ends = value.tobytes(), np.dtype(kind).itemsize, np.cumsum(size)
+    out = [data[(e - s) * width : e * width] if g else None for e, s, g in zip(ends.tolist(), size.tolist(), good.tolist(), strict=True)]
+    return out, np.where(good, size, 0).tolist()
 
 
-def _unit(raw: list[bytes], kind: type) -> np.ndarray:
-    m = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column of numbers, joined, and the length of each list."""
+    column = column.combine_chunks()
+    return pc.list_flatten(column).to_numpy(zero_copy_only=False), pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _unit(raw: bytes, n: int, kind: type) -> np.ndarray:
+    m = np.frombuffer(raw, kind).reshape(n, -1).astype(np.float64)
     m = m / np.abs(m).max(1, keepdims=True)
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
@@ -147,11 +157,11 @@ def _local(near: np.ndarray) -> np.ndarray:
         label = low
 
 
-def _compare(m: np.ndarray, side: np.ndarray, early: list[np.ndarray], weight: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _compare(m: np.ndarray, side: np.ndarray, early: tuple[np.ndarray, np.ndarray], weight: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows with links, their weights of links, and the first row of their local component.
 
     side: None for one chunk with itself, else which of two chunks each row is in.  A pair that
-    shares one of the ``early`` filters has been counted there.
+    shares one of the ``early`` filters (joined, and their number for each row) has been counted there.
     """
     near = m @ m.T >= threshold
     np.fill_diagonal(near, False)
@@ -160,9 +170,11 @@ def _compare(m: np.ndarray, side: np.ndarray, early: list[np.ndarray], weight: n
     rows = np.flatnonzero(near.any(1))
     near = near[np.ix_(rows, rows)]
     if len(rows):
-        _, rank = np.unique(np.concatenate([early[r] for r in rows]), return_inverse=True)
+        value, size = early
+        own = size[rows]
+        _, rank = np.unique(value[_text.ragged((np.cumsum(size) - size)[rows], own)], return_inverse=True)
         seen = np.zeros((len(rows), int(rank.max(initial=-1)) + 1), np.float32)
-        seen[np.repeat(np.arange(len(rows)), [len(early[r]) for r in rows]), rank] = 1
+        seen[np.repeat(np.arange(len(rows)), own), rank] = 1
         near &= seen @ seen.T < 0.5
     return rows, near @ weight[rows], rows[_local(near)] if len(rows) else rows
 
@@ -188,7 +200,7 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_i
         codes = {d: Code(d, *p) for d, p in plans.items()}
         for batch in batches:
             raw, dim = batch.column("raw").to_pylist(), batch.column("dim").to_pylist()
-            out = [codes[d].filters(_unit([r], kind)[0]) for r, d in zip(raw, dim, strict=True)]
+            out = [codes[d].filters(_unit(r, 1, kind)[0]) for r, d in zip(raw, dim, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int64()))], [*batch.schema.names, "filters"])
 
     decoded = written(distinct.select("key", "raw", "dim", "weight").mapInArrow(decode, "key long, raw binary, dim int, weight long, filters array<long>"), "decoded")
@@ -202,8 +214,8 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_i
     def compare(key, table):
         i, j = key[2].as_py(), key[3].as_py()
         own, keys, weight = (table.column(c).to_numpy() for c in ("own", "key", "weight"))
-        early = [np.asarray(x, np.int64) for x in table.column("early").to_pylist()]
-        at, n, first = _compare(_unit(table.column("raw").to_pylist(), kind), None if i == j else own, early, weight, threshold)
+        early = _flat(table.column("early"))
+        at, n, first = _compare(_unit(b"".join(table.column("raw").to_pylist()), len(own), kind), None if i == j else own, early, weight, threshold)
         return pa.table({"key": keys[at], "n": n.astype(np.int64), "first": keys[first]})
 
     found = written(dealt.groupBy("f", "dim", "i", "j").applyInArrow(compare, "key long, n long, first long"), "found")

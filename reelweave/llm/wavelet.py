@@ -1,17 +1,19 @@
 """Token ids in wavelet-matrix files: one compressed file per shard, with rank and select.
 
 A wavelet matrix keeps the bits of all ids plane by plane, highest bit first; before each next plane
-the ids are split stably into those with a 0 and those with a 1.  With the number of ones counted at
-fixed steps, a file answers ``access`` (the id at a place), ``count`` (how often an id occurs before a
-place) and ``select`` (where its k-th occurrence is) in one step per plane, and ``decode`` gives all
-ids by undoing the splits.
+the ids are split stably into those with a 0 and those with a 1.  A plane is stored in blocks of ``STEP``
+bits, each compressed alone, and the file's directory has for each block where it lies and the number
+of ones before it.  So a file answers ``access`` (the id at a place), ``count`` (how often an id occurs
+before a place) and ``select`` (where its k-th occurrence is) in one block per plane, and ``decode``
+gives all ids by undoing the splits.
 
-A file is ``MAGIC``, a header of five unsigned 64-bit numbers (ids, planes, documents, bytes of the
-document table, first shard byte offset) and then, each compressed alone so that one can be read
-without the others: the documents' token counts, and the planes.
+A file is ``MAGIC``, six unsigned 64-bit numbers (ids, planes, documents, bytes of the document table, of
+the directory, of the blocks), the document table (token counts, ids, which ids are null), the directory
+(for each block of each plane the bytes and ones before it) and the blocks; table and directory are
+compressed as well.
 
 Shards are ranges of ascending doc_id of about ``SHARD`` tokens, written as one row each of a Parquet
-table (shard, n_docs, n_tokens, file), so the commit protocol of Spark's writers covers them and any
+table (part, shard, n_docs, n_tokens, file), so the commit protocol of Spark's writers covers them and any
 store that Spark reaches will do; ``file`` holds the bytes of one file.
 
 Defined cases: a null or empty text is the end token alone; repeated rows are encoded one by one, ties
@@ -31,70 +33,87 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelweave.llm import _encode, _text
+from reelweave.llm._shared import bound_batches
 
-MAGIC = b"RWWM0001"
+MAGIC = b"RWWM0002"
 SHARD = 1 << 21
-STEP = 512
+STEP = 1 << 16
 END_ID = 2
-TABLE = "part int, shard int, n_docs long, n_tokens long, doc_ids array<long>, file binary"
+TABLE = "part int, shard int, n_docs long, n_tokens long, file binary"
 
 
-def build(ids: np.ndarray, sizes: np.ndarray) -> bytes:
-    """The file of the given ids, which are the joined documents of the given sizes."""
+def build(ids: np.ndarray, sizes: np.ndarray, docs: list | None = None) -> bytes:
+    """The file of the given ids, which are the joined documents of the given sizes and names (integers or null)."""
     planes = max(1, int(ids.max()).bit_length()) if len(ids) else 1
     squeeze = zstandard.ZstdCompressor(level=1).compress
-    table = squeeze(sizes.astype("<u4").tobytes())
+    docs = [None] * len(sizes) if docs is None else docs
+    null = np.array([d is None for d in docs], bool)
+    table = squeeze(sizes.astype("<u4").tobytes() + np.array([0 if d is None else d for d in docs], "<i8").tobytes() + null.tobytes())
     kind = np.uint16 if planes <= 16 else np.uint32
-    parts, now = [], ids.astype(kind)
+    parts, ones, now = [], [], ids.astype(kind)
     for k in range(planes - 1, -1, -1):
         bit = (now & kind(1 << k)) != 0
-        parts.append(squeeze(np.packbits(bit, bitorder="little").tobytes()))
-        ones = np.count_nonzero(bit)
-        if k and 0 < ones < len(bit):
+        packed = np.packbits(bit, bitorder="little")
+        parts += [squeeze(packed[s : s + STEP // 8].tobytes()) for s in range(0, len(packed), STEP // 8)]
+        in_blocks = np.add.reduceat(bit, np.arange(0, len(bit), STEP), dtype=np.int64) if len(bit) else np.zeros(0, np.int64)
+        ones.append(np.cumsum(in_blocks) - in_blocks)
+        total = int(in_blocks.sum())
+        if k and 0 < total < len(bit):
             split = np.empty_like(now)
-            np.compress(~bit, now, out=split[: len(bit) - ones])
-            np.compress(bit, now, out=split[len(bit) - ones :])
+            np.compress(~bit, now, out=split[: len(bit) - total])
+            np.compress(bit, now, out=split[len(bit) - total :])
             now = split
-    head = struct.pack("<5Q", len(ids), planes, len(sizes), len(table), len(MAGIC) + 40 + 8 * planes)
-    return MAGIC + head + struct.pack(f"<{planes}Q", *map(len, parts)) + table + b"".join(parts)
+    size = np.array([len(p) for p in parts], np.int64)
+    directory = squeeze((np.cumsum(size) - size).astype("<u8").tobytes() + np.concatenate(ones).astype("<u8").tobytes())
+    return MAGIC + struct.pack("<6Q", len(ids), planes, len(sizes), len(table), len(directory), int(size.sum())) + table + directory + b"".join(parts)
 
 
 class Wavelet:
-    """Reads one file; planes are unpacked when first asked for."""
+    """Reads one file: its tables at once, a block when it is first asked for."""
 
     def __init__(self, data: bytes):
         if data[:8] != MAGIC:
             raise ValueError("not a wavelet file")
-        self.n, self.planes, self.n_docs, table, at = struct.unpack_from("<5Q", data, 8)
-        sizes = struct.unpack_from(f"<{self.planes}Q", data, 48)
-        self._data, self._at = data, [(at + table + sum(sizes[:k]), s) for k, s in enumerate(sizes)]
-        self.sizes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at : at + table], max_output_size=4 * self.n_docs or 1), "<u4").astype(np.int64)
+        self.n, self.planes, self.n_docs, table, directory, total = struct.unpack_from("<6Q", data, 8)
+        self._data, self._base = data, 56 + table + directory
+        self.blocks = -(-self.n // STEP)
+        self._open = zstandard.ZstdDecompressor()
+        raw = self._open.decompress(data[56 : 56 + table], max_output_size=13 * self.n_docs or 1)
+        self.sizes = np.frombuffer(raw, "<u4", self.n_docs).astype(np.int64)
+        self.docs = pa.array(np.frombuffer(raw, "<i8", self.n_docs, 4 * self.n_docs), mask=np.frombuffer(raw, bool, self.n_docs, 12 * self.n_docs))
+        raw = self._open.decompress(data[56 + table : self._base], max_output_size=16 * self.planes * self.blocks or 1)
+        cells = self.planes * self.blocks
+        self._at = np.append(np.frombuffer(raw, "<u8", cells), np.uint64(total)).astype(np.int64)
+        self._before = np.frombuffer(raw, "<u8", cells, 8 * cells).astype(np.int64).reshape(self.planes, self.blocks)
         self._held: dict = {}
 
-    def plane(self, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Packed bits of plane k, ones before each step, number of zeros."""
-        if k not in self._held:
-            packed = self._packed(k)
-            ones = np.bitwise_count(packed).astype(np.int64)
-            steps = np.concatenate([[0], np.cumsum(np.add.reduceat(ones, np.arange(0, len(ones), STEP // 8)))]) if len(ones) else np.zeros(1, np.int64)
-            self._held[k] = packed, steps, self.n - int(steps[-1])
-        return self._held[k]
+    def block(self, k: int, b: int) -> np.ndarray:
+        """Packed bits of block b of plane k."""
+        if (k, b) not in self._held:
+            self._held[k, b] = self._unpacked(k, b)
+        return self._held[k, b]
 
-    def _packed(self, k: int) -> np.ndarray:
-        at, size = self._at[k]
-        raw = zstandard.ZstdDecompressor().decompress(self._data[at : at + size], max_output_size=(self.n + 7) // 8 or 1)
-        return np.frombuffer(raw, np.uint8)
+    def _unpacked(self, k: int, b: int) -> np.ndarray:
+        a, z = self._at[k * self.blocks + b : k * self.blocks + b + 2] + self._base
+        return np.frombuffer(self._open.decompress(self._data[a:z], max_output_size=STEP // 8), np.uint8)
 
     def bits(self, k: int) -> np.ndarray:
-        return np.unpackbits(self._packed(k), count=self.n, bitorder="little").view(bool)
+        """All bits of plane k."""
+        packed = np.concatenate([np.zeros(0, np.uint8), *[self._unpacked(k, b) for b in range(self.blocks)]])
+        return np.unpackbits(packed, count=self.n, bitorder="little").view(bool)
+
+    def zeros(self, k: int) -> int:
+        """Zeros of plane k."""
+        return self.n - self._ones(k, self.n)
 
     def _ones(self, k: int, i: int) -> int:
         """Ones of plane k before place i."""
-        packed, steps, _ = self.plane(k)
-        s = i // STEP
-        full = packed[s * STEP // 8 : i // 8]
+        if not i:
+            return 0
+        b = (i - 1) // STEP
+        packed, i = self.block(k, b), i - b * STEP
         rest = int(packed[i // 8]) & ((1 << i % 8) - 1) if i % 8 else 0
-        return int(steps[s]) + int(np.bitwise_count(full).sum()) + rest.bit_count()
+        return int(self._before[k, b]) + int(np.bitwise_count(packed[: i // 8]).sum()) + rest.bit_count()
 
     def access(self, i: int) -> int:
         """The id at place i."""
@@ -102,10 +121,9 @@ class Wavelet:
             raise IndexError(i)
         out = 0
         for k in range(self.planes):
-            packed, _, zeros = self.plane(k)
-            bit = int(packed[i // 8]) >> i % 8 & 1
+            bit = int(self.block(k, i // STEP)[i % STEP // 8]) >> i % 8 & 1
             ones = self._ones(k, i)
-            out, i = out * 2 + bit, zeros + ones if bit else i - ones
+            out, i = out * 2 + bit, self.zeros(k) + ones if bit else i - ones
         return out
 
     def count(self, token: int, i: int | None = None) -> int:
@@ -114,9 +132,8 @@ class Wavelet:
             return 0
         a, b = 0, self.n if i is None else i
         for k in range(self.planes):
-            zeros = self.plane(k)[2]
             oa, ob = self._ones(k, a), self._ones(k, b)
-            a, b = (zeros + oa, zeros + ob) if token >> (self.planes - 1 - k) & 1 else (a - oa, b - ob)
+            a, b = (self.zeros(k) + oa, self.zeros(k) + ob) if token >> (self.planes - 1 - k) & 1 else (a - oa, b - ob)
         return b - a
 
     def select(self, token: int, nth: int) -> int:
@@ -126,20 +143,19 @@ class Wavelet:
         a, path = 0, []
         for k in range(self.planes):
             bit = token >> (self.planes - 1 - k) & 1
-            a = self.plane(k)[2] + self._ones(k, a) if bit else a - self._ones(k, a)
+            a = self.zeros(k) + self._ones(k, a) if bit else a - self._ones(k, a)
             path.append(bit)
         i = a + nth
         for k in range(self.planes - 1, -1, -1):
-            i = self._select_bit(k, path[k], i - self.plane(k)[2] if path[k] else i)
+            i = self._select_bit(k, path[k], i - self.zeros(k) if path[k] else i)
         return i
 
     def _select_bit(self, k: int, bit: int, nth: int) -> int:
-        """Place of the nth one or zero of plane k, found in its step."""
-        packed, steps, _ = self.plane(k)
-        before = steps if bit else np.minimum(np.arange(len(steps)) * STEP, self.n) - steps
-        s = int(np.searchsorted(before, nth, side="right")) - 1
-        part = np.unpackbits(packed[s * STEP // 8 : (s + 1) * STEP // 8], bitorder="little")[: self.n - s * STEP]
-        return s * STEP + int(np.flatnonzero(part == bit)[nth - int(before[s])])
+        """Place of the nth one or zero of plane k, found in its block."""
+        before = self._before[k] if bit else np.arange(self.blocks) * STEP - self._before[k]
+        b = int(np.searchsorted(before, nth, side="right")) - 1
+        part = np.unpackbits(self.block(k, b), bitorder="little")[: self.n - b * STEP]
+        return b * STEP + int(np.flatnonzero(part == bit)[nth - int(before[b])])
 
     def occurrences(self, token: int) -> list[int]:
         return [self.select(token, k) for k in range(self.count(token))]
@@ -166,12 +182,12 @@ def encode_shards(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> Dat
         part, shard = TaskContext.get().partitionId(), 0
         ids_held, sizes_held, docs_held, n = [], [], [], 0
 
-        def flush():
+        def flush() -> pa.RecordBatch:
             sizes = np.concatenate(sizes_held)
-            file = build(np.concatenate(ids_held), sizes)
+            file = build(np.concatenate(ids_held), sizes, docs_held)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(sizes)]), pa.array([int(sizes.sum())]), pa.array([docs_held], pa.list_(pa.int64())), pa.array([file], pa.binary())],
-                ["part", "shard", "n_docs", "n_tokens", "doc_ids", "file"],
+                [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(sizes)]), pa.array([int(sizes.sum())]), pa.array([file], pa.binary())],
+                ["part", "shard", "n_docs", "n_tokens", "file"],
             )
 
         for batch in batches:
@@ -194,6 +210,7 @@ def encode_shards(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> Dat
         if n:
             yield flush()
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, TABLE)
 
@@ -217,16 +234,16 @@ def read_documents(spark, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part, shard, doc_ids, file in zip(*(batch.column(k) for k in range(4)), strict=True):
+            for part, shard, file in zip(*(batch.column(k) for k in range(3)), strict=True):
                 held = Wavelet(file.as_py())
                 data = held.decode().astype("<u4").tobytes()
                 ends = np.cumsum(held.sizes)
                 crc = [zlib.crc32(data[4 * (e - s) : 4 * e]) for e, s in zip(ends.tolist(), held.sizes.tolist(), strict=True)]
                 n = len(ends)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.as_py()] * n, pa.int32()), pa.array([shard.as_py()] * n, pa.int32()), doc_ids.values, pa.array(ends - held.sizes), pa.array(held.sizes), pa.array(crc, pa.int64())],
+                    [pa.array([part.as_py()] * n, pa.int32()), pa.array([shard.as_py()] * n, pa.int32()), held.docs, pa.array(ends - held.sizes), pa.array(held.sizes), pa.array(crc, pa.int64())],
                     ["part", "shard", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
-    rows = table.select("part", "shard", "doc_ids", "file").mapInArrow(run, "part int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    rows = table.select("part", "shard", "file").mapInArrow(run, "part int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return rows.join(starts, ["part", "shard"]).select("doc_id", (F.col("shard_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
