@@ -8,13 +8,15 @@ unseen word has its place too; the end has a class of its own.  With history h
 
 where both softmaxes are maximum-entropy models over hashed features of the history: the leaf (class
 and part) of the last word, as a skip the leaf of the word before it, the last word, and the last two
-words; c, N and V are the training counts of the word, of its leaf's tokens and of its leaf's words,
+words, the last two hashed; c, N and V are the training counts of the word, of its leaf's tokens and of its leaf's words,
 the 1 being the leaf's unseen word.
 
-Training makes one pass over all training texts: every task starts from the same weights, runs
-Adagrad over its texts in small batches and returns each feature row it touched with the number of
-its uses; Spark sums those, and the weights are their means weighted by use.  The model has a fixed
-size (ROWS and PART_ROWS of 16 weights), which is all that reaches the driver.
+Training takes ``ROUNDS`` rounds over parts of the training texts, dealt by a hash of the text.  In each
+round every task sums, for each feature row and outcome, how often the outcome followed and how often
+the weights at hand expect it; Spark adds these sums, and each weight moves by ``RATE`` times the
+logarithm of their ratio (iterative scaling, smoothed by ``PRIOR``).  Nothing is learnt inside a task,
+so the model does not depend on how the texts are partitioned.  The weights have a fixed size (ROWS
+rows of 16), which is all that reaches the driver; what grows with the input are the counts.
 
 Word counts are exact for all words.  The ``HEAD`` most frequent words at most are broadcast; tokens of
 other words leave the scoring pass as (word hash, number) and meet their counts in a join.  Words are
@@ -34,17 +36,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelweave.llm import _text
+from reelweave.llm import _encode, _text
 from reelweave.llm._shared import written
 
 CLASSES = PARTS = 16
 LEAVES = CLASSES * PARTS
 HEAD = 1 << 20
-BITS = 14
-ROWS = 2 * (LEAVES + 1) + (2 << BITS)
-PART_BITS = 15
-PART_ROWS = 1 << PART_BITS
-BATCH, RATE = 8192, 0.25
+BITS = 13
+ROUNDS, RATE, PRIOR = 4, 0.6, 4.0
+BATCH = 1 << 16
+#: Feature families of the class softmax, then of the part softmax, whose rows are of a feature and a class.
+SIZES = [LEAVES + 1, LEAVES + 1, 1 << BITS, 1 << BITS, (LEAVES + 1) * CLASSES, (LEAVES + 1) * CLASSES, 2 << BITS, 2 << BITS]
+STARTS = np.concatenate([[0], np.cumsum(SIZES)]).tolist()
+ROWS = STARTS[-1]
 END = np.uint64(0x5851F42D4C957F2D)
 END_LEAF = LEAVES - PARTS  # the last class, of which the end is the only member
 
@@ -64,108 +68,99 @@ def tokens(block: _text.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def features(h: np.ndarray, leaf: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Feature rows of each token's history (tokens x 4)."""
+    """Row of each token's history in each family, for both softmaxes (8 x tokens)."""
     place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
     one, two = np.zeros_like(h), np.zeros_like(h)
     one[1:], two[2:] = h[:-1], h[:-2]
     one[place < 1], two[place < 2] = 0, 0
-    last, skip = np.full(len(h), LEAVES), np.full(len(h), LEAVES)
-    last[1:], skip[2:] = leaf[:-1], leaf[:-2]
-    last[place < 1], skip[place < 2] = LEAVES, LEAVES
+    out = np.empty((8, len(h)), np.int64)
+    out[:2] = LEAVES
+    out[0, 1:], out[1, 2:] = leaf[:-1], leaf[:-2]
+    out[0, place < 1], out[1, place < 2] = LEAVES, LEAVES
     short = np.uint64(64 - BITS)
-    base = 2 * (LEAVES + 1)
-    word = (_text.mix(one) >> short).astype(np.int64) + base
-    pair = (_text.mix(one * np.uint64(3) + _text.mix(two)) >> short).astype(np.int64) + base + (1 << BITS)
-    return np.stack([last, skip + LEAVES + 1, word, pair], 1)
-
-
-def part_rows(rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    """Rows of the second softmax: a feature together with the class, hashed."""
-    key = (rows * CLASSES + cls[:, None]).astype(np.uint64)
-    return (_text.mix(key) >> np.uint64(64 - PART_BITS)).astype(np.int64)
+    out[2] = (_text.mix(one) >> short).astype(np.int64)
+    out[3] = (_text.mix(one * np.uint64(3) + _text.mix(two)) >> short).astype(np.int64)
+    out[4:] = out[:4] * CLASSES + leaf // PARTS
+    out[6:] = (_text.mix(out[6:].astype(np.uint64)) >> (short - np.uint64(1))).astype(np.int64)
+    return out + np.array(STARTS[:8])[:, None]
 
 
 def _softmax(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    x = w[rows[:, 0]]
-    for k in range(1, rows.shape[1]):
-        x = x + w[rows[:, k]]
+    x = w[rows[0]]
+    for r in rows[1:]:
+        x = x + w[r]
     x -= x.max(1, keepdims=True)
     np.exp(x, out=x)
     x /= x.sum(1, keepdims=True)
     return x
 
 
-class _Learner:
-    """Adagrad on one table of weights."""
-
-    def __init__(self, weights: np.ndarray):
-        self.w = weights.copy()
-        self.sq = np.full_like(self.w, 0.1)
-        self.used = np.zeros(len(weights), np.int64)
-
-    def step(self, rows: np.ndarray, want: np.ndarray) -> None:
-        p = _softmax(self.w, rows)
-        p[np.arange(len(want)), want] -= 1
-        for k in range(rows.shape[1]):
-            order = np.argsort(rows[:, k])
-            ordered = rows[order, k]
-            first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-            at = ordered[first]
-            g = np.add.reduceat(p[order], first, axis=0) / len(want) ** 0.5
-            self.used[at] += np.diff(np.append(first, len(order)))
-            self.sq[at] += g * g
-            self.w[at] -= RATE * g / np.sqrt(self.sq[at])
-
-
 class Model:
     """Weights of both softmaxes and, once counted, the leaves' log10 totals."""
 
     def __init__(self):
-        self.cls = np.zeros((ROWS, CLASSES), np.float32)
-        self.part = np.zeros((PART_ROWS, PARTS), np.float32)
+        self.w = np.zeros((ROWS, 16), np.float32)
         self.leaf_log = np.zeros(LEAVES)
 
     def log10(self, h: np.ndarray, leaf: np.ndarray, n: np.ndarray) -> np.ndarray:
         """log10 of P(class | h) P(part | class, h) / (N_leaf + V_leaf + 1) for each token."""
         rows, out = features(h, leaf, n), np.empty(len(h))
         for s in range(0, len(h), BATCH):
-            r, f = rows[s : s + BATCH], leaf[s : s + BATCH]
-            c, at = f // PARTS, np.arange(len(f))
-            p = _softmax(self.cls, r)[at, c].astype(np.float64)
-            end = f == END_LEAF  # the only leaf of its class
-            q = np.where(end, 1.0, _softmax(self.part, part_rows(r, c))[at, f % PARTS])
+            r, f = rows[:, s : s + BATCH], leaf[s : s + BATCH]
+            at = np.arange(len(f))
+            p = _softmax(self.w, r[:4])[at, f // PARTS].astype(np.float64)
+            # the end is the only leaf of its class
+            q = np.where(f == END_LEAF, 1.0, _softmax(self.w, r[4:])[at, f % PARTS])
             out[s : s + BATCH] = np.log10(p * q) - self.leaf_log[f]
         return out
 
+    def add(self, rows: np.ndarray, leaf: np.ndarray, seen: np.ndarray, expected: np.ndarray) -> None:
+        """Add outcomes and expected outcomes of some tokens to the sums of each row (flat, ROWS x 16)."""
+        inner = leaf != END_LEAF
+        for first, r, y in ((0, rows[:4], leaf // PARTS), (4, rows[4:, inner], leaf[inner] % PARTS)):
+            p = _softmax(self.w, r).ravel()
+            for family, row in enumerate(r, first):
+                a, b = STARTS[family] * 16, STARTS[family + 1] * 16
+                seen[a:b] += np.bincount(row * 16 + y - a, minlength=b - a)
+                expected[a:b] += np.bincount((row[:, None] * 16 + np.arange(16)).ravel() - a, p, b - a)
+
+    def move(self, row: np.ndarray, seen: np.ndarray, expected: np.ndarray) -> None:
+        """One step of iterative scaling on some rows."""
+        self.w[row] += (RATE * np.log((seen + PRIOR) / (expected + PRIOR))).astype(np.float32)
+
 
 def train(docs: DataFrame) -> Model:
     """Weights from all texts of docs: see the module."""
-
-    def run(batches):
-        cls, part = _Learner(Model().cls), _Learner(Model().part)
-        for batch in batches:
-            for block in _text.blocks(batch.column(0), fold=True):
-                h, leaf, n = tokens(block)
-                rows = features(h, leaf, n)
-                for s in range(0, len(h), BATCH):
-                    r, f = rows[s : s + BATCH], leaf[s : s + BATCH]
-                    cls.step(r, f // PARTS)
-                    inner = f != END_LEAF
-                    if inner.any():
-                        part.step(part_rows(r[inner], f[inner] // PARTS), f[inner] % PARTS)
-        for kind, t in enumerate((cls, part)):
-            at = np.flatnonzero(t.used)
+    spark, model = docs.sparkSession, Model()
+    names = [f"{k}{c}" for k in "se" for c in range(16)]
+    schema = "row int, " + ", ".join(f"{x} float" for x in names)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(text.alias("text"), F.pmod(F.xxhash64(text), F.lit(ROUNDS)).alias("round"))
+    tasks = rows.rdd.getNumPartitions()
+    # a round has its share of the tasks, so that what they return does not grow with the rounds
+    tasks = max(min(tasks, 2 * spark.sparkContext.defaultParallelism), tasks // ROUNDS)
+    for k in range(ROUNDS):
+        held = spark.sparkContext.broadcast(model)
+
+        def run(batches, held=held):
+            _encode.release()
+            m, seen, expected = held.value, np.zeros(ROWS * 16), np.zeros(ROWS * 16)
+            for batch in batches:
+                for block in _text.blocks(batch.column(0), fold=True):
+                    h, leaf, n = tokens(block)
+                    rows = features(h, leaf, n)
+                    for s in range(0, len(h), BATCH):
+                        m.add(rows[:, s : s + BATCH], leaf[s : s + BATCH], seen, expected)
+            seen, expected = seen.reshape(-1, 16), expected.reshape(-1, 16)
+            at = np.flatnonzero(expected.any(1))
             if len(at):
-                names = ["kind", "row", "used", *[f"w{k}" for k in range(16)]]
-                weighed = t.w[at].astype(np.float64) * t.used[at][:, None]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(t.used[at]), *[pa.array(weighed[:, k].astype(np.float32)) for k in range(16)]], names)
-
-    schema = "kind int, row int, used long, " + ", ".join(f"w{k} float" for k in range(16))
-    sums = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, schema).groupBy("kind", "row").agg(F.sum("used").alias("used"), *[F.sum(f"w{k}").alias(f"w{k}") for k in range(16)])
-    got, model = sums.toArrow(), Model()
-    kind, row, used = (got.column(c).to_numpy() for c in ("kind", "row", "used"))
-    mean = (np.stack([got.column(f"w{k}").to_numpy() for k in range(16)], 1) / used[:, None]).astype(np.float32) if len(row) else np.zeros((0, 16), np.float32)
-    model.cls[row[kind == 0]], model.part[row[kind == 1]] = mean[kind == 0], mean[kind == 1]
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(x[at, c].astype(np.float32)) for x in (seen, expected) for c in range(16)]], ["row", *names])
+
+        got = rows.where(F.col("round") == k).select("text").coalesce(tasks).mapInArrow(run, schema).groupBy("row").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
+        if got.num_rows:
+            table = np.stack([got.column(x).to_numpy() for x in names], 1)
+            model.move(got.column("row").to_numpy(), table[:, :16], table[:, 16:])
+        held.unpersist()
     return model
 
 
@@ -177,6 +172,7 @@ def count(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(leaf.astype(np.int32)), pa.array(c.astype(np.int64))], ["word", "leaf", "c"])
 
     def run(batches):
+        _encode.release()
         memo = Memo(20)
         total, leaves = np.zeros(1 << 20, np.int64), np.zeros(1 << 20, np.int16)
         held: list = []
@@ -228,6 +224,7 @@ def score(docs: DataFrame, trained: str) -> DataFrame:
     held = spark.sparkContext.broadcast((model, words[order], np.log10(counts[order] + 1.0)))
 
     def run(batches):
+        _encode.release()
         m, known, logs = held.value
         part, row = TaskContext.get().partitionId() << 33, 0
         for batch in batches:
