@@ -9,6 +9,7 @@ has a fixed number of slots, so memory is bounded; chunks without a slot are enc
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
@@ -19,10 +20,10 @@ _EMPTY = ~np.uint64(0)
 
 
 class Encoder:
-    """tokenizer: anything with ``encode_batch_fast``; keep_space: white space before a word belongs to its chunk (byte-level BPE); else it is dropped."""
+    """encode: joined ids and their numbers of a list of strings; keep_space: white space before a word belongs to its chunk (byte-level BPE); else it is dropped."""
 
-    def __init__(self, tokenizer, keep_space: bool, bits: int = 21):
-        self.tokenizer = tokenizer
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], keep_space: bool, bits: int = 21):
+        self.encode_all = encode
         self.keep_space, self.bits = keep_space, bits
         self.keys = np.full(1 << bits, _EMPTY)
         self.at = np.zeros(1 << bits, np.int64)
@@ -52,12 +53,11 @@ class Encoder:
 
     def _add(self, block: _text.Block, start: np.ndarray, end: np.ndarray, used: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Encode some chunks into the pool from ``used`` on: places, sizes, new end."""
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([block.text(a, b) for a, b in zip(start.tolist(), end.tolist(), strict=True)], add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        total = int(size.sum())
+        ids, size = self.encode_all([block.text(a, b) for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+        total = len(ids)
         while used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[used : used + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
+        self.pool[used : used + total] = ids
         return used + np.cumsum(size) - size, size, used + total
 
     def encode(self, block: _text.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -82,14 +82,35 @@ class Encoder:
         return self.pool[_text.ragged(at, size)], size, block.doc_of(start), start, end
 
 
+def by_library(tokenizer) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """Joined ids and their numbers of a list of strings by the tokenizers library."""
+
+    def run(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum())), size
+
+    return run
+
+
 _held: dict = {}
+#: What frees the tables that this worker holds for encoding.
+releases: list[Callable[[], None]] = [_held.clear]
+
+
+def release() -> None:
+    """Free the worker's encoders: called by operators that have no use for them, and before another one is made."""
+    for f in releases:
+        f()
+    _text.trim()
 
 
 def encoder(path: str, keep_space: bool, bits: int = 21) -> Encoder:
-    """The worker's encoder for a vocabulary file; it outlives tasks."""
+    """The worker's encoder for a vocabulary file; it outlives tasks until another operator releases it."""
     if (path, keep_space) not in _held:
+        release()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _held[path, keep_space] = Encoder(Tokenizer.from_file(path), keep_space, bits)
+        _held[path, keep_space] = Encoder(by_library(Tokenizer.from_file(path)), keep_space, bits)
     return _held[path, keep_space]

@@ -7,12 +7,28 @@ and the longest text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
+try:  # glibc: arrays of a MB and more go back to the system when they are freed, so an idle worker keeps little
+    _libc = ctypes.CDLL(None)
+    _libc.mallopt(-3, 1 << 20)
+    _libc.mallopt(-1, 1 << 20)
+except (OSError, AttributeError):
+    _libc = None
+
+
+def trim() -> None:
+    """Give the free memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None and hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 #: A word is a maximal run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 _SPACE = np.zeros(256, bool)

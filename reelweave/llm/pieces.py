@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding with a max-plus scan over the chunks of giant documents.
 
 Pieces and scores come from a SentencePiece model file; a text's encoding is the segmentation with the
-highest sum of scores (Viterbi, as in a unigram model), ties going to the longer last piece; characters
-without a piece cost more than any piece and become byte pieces.  A text is given a leading space and
-spaces become U+2581, as the file's normaliser asks.
+highest sum of scores (Viterbi, as in a unigram model); of equal sums the one with the longest last
+piece, then the longest one before it, and so on; characters without a piece cost more than any piece
+and become byte pieces.  A text is given a leading space and spaces become U+2581, as the file's
+normaliser asks.
 
 A text of over ``CHUNK`` characters is split into chunks that lie on different tasks.  A piece may
 straddle a boundary, so a boundary has a state: how many characters of the next chunk are covered.
@@ -12,9 +13,11 @@ max-plus algebra.  Products of up to ``FAN`` consecutive matrices are taken leve
 is associative), and going down again each level tells its children their best entry and exit
 states.  With these known, each chunk is segmented by itself.
 
-No piece joins a character that is not a space to a following space, so texts are cut there, equal
-parts are found by hash and segmented once for each worker, and a matrix with such a cut in it is an
-outer sum of its two ends.
+No piece joins another character to a following space, so every path is cut there.  Texts are
+segmented part by part, equal parts are found by hash and segmented once for each worker, and a matrix
+with such a cut in it is the outer sum of its two ends.  An entry of a matrix holds the cuts of its
+path as the bits of a number beside its score (only those of the ends, where paths differ); the
+smaller number is the path with the longer last pieces, so the scan breaks ties as a whole text does.
 
 Defined cases: a null or empty text has no piece; repeated rows are encoded one by one; other columns
 are ignored; an empty table gives an empty result.  Decoding gives the text back, but for U+2581 in
@@ -23,11 +26,14 @@ the text itself, which becomes a space.
 
 from __future__ import annotations
 
+import pickle
+import re
 import zlib
-from collections import namedtuple
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,16 +42,64 @@ from pyspark.sql.functions import arrow_udf
 from reelweave.llm import _encode, _text
 from reelweave.llm._shared import written
 
-CHUNK = 1 << 15
+CHUNK = 1 << 13
 #: Scores from here down mark pieces that the file's own merges never make (runs of spaces); they rank last.
 BARRED = -(10**8)
 FAN = 64
 NEVER = -(1 << 60)
-_Ids = namedtuple("_Ids", "ids")
+#: Parts of more characters are segmented one by one: steps over many parts at once would be short.
+WIDE = 96
+_CUT = re.compile("[^▁]▁")
+#: A path that does not exist: (score, cuts).
+NONE = (NEVER, 0)
+
+
+class Trie:
+    """Pieces as a trie in arrays, walked from many places at once."""
+
+    def __init__(self, pieces: dict[str, tuple[int, int]]):
+        letters = sorted({c for p in pieces for c in p})
+        self.letter = np.zeros(0x110000, np.int32)
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.width = len(letters) + 1
+        nodes, ids, costs, keys = {"": 0}, [-1], [0], []
+        for p in sorted(pieces):
+            for k in range(1, len(p) + 1):
+                if p[:k] not in nodes:
+                    nodes[p[:k]] = len(nodes)
+                    ids.append(-1)
+                    costs.append(0)
+                    keys.append(nodes[p[: k - 1]] * self.width + int(self.letter[ord(p[k - 1])]))
+            ids[nodes[p]], costs[nodes[p]] = pieces[p]
+        self.ids, self.costs = np.array(ids), np.array(costs, np.int64)
+        # a hash table of (node, letter); what finds its slot taken lies in a sorted list
+        keys, to = np.array(keys, np.int64), np.arange(1, len(nodes))
+        self.bits = int(len(keys)).bit_length() + 3
+        self.keys, self.to = np.full(1 << self.bits, -1), np.zeros(1 << self.bits, np.int32)
+        slot = self._slot(keys)
+        _, first = np.unique(slot, return_index=True)
+        self.keys[slot[first]], self.to[slot[first]] = keys[first], to[first]
+        late = np.setdiff1d(np.arange(len(keys)), first)
+        late = late[np.argsort(keys[late])]
+        self.late_keys, self.late_to = np.append(keys[late], np.iinfo(np.int64).max), np.append(to[late], 0).astype(np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """Children of nodes by letters, 0 where there is none."""
+        key = node * self.width + letter
+        slot = self._slot(key)
+        found = np.where(self.keys[slot] == key, self.to[slot], 0)
+        lost = np.flatnonzero((found == 0) & (self.keys[slot] >= 0))
+        if len(lost):
+            at = np.searchsorted(self.late_keys, key[lost])
+            found[lost] = np.where(self.late_keys[at] == key[lost], self.late_to[at], 0)
+        return found
 
 
 class Lexicon:
-    """Pieces, scores and byte pieces of a model file; segments single strings."""
+    """Pieces, scores and byte pieces of a model file; segments strings."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -71,25 +125,19 @@ class Lexicon:
             if len(p) > 1:
                 lengths.setdefault(p[:2], set()).add(len(p))
         self.lengths = {c: sorted(x) for c, x in lengths.items()}
+        self.trie = Trie(self.score)
+        self.byte_ids = np.array([self.bytes.get(b, 0) for b in range(256)])
 
-    def starting(self, s: str, at: int, stop: int):
-        """(length, score) of what may start at a place: one character, known or not, and longer pieces."""
-        yield 1, self.cost.get(s[at], self.unknown)
-        for n in self.lengths.get(s[at : at + 2], ()):
-            if at + n > stop:
-                break
-            found = self.cost.get(s[at : at + n])
-            if found is not None:
-                yield n, found
-
-    def segment(self, text: str) -> list[int]:
-        """ids of the best segmentation of a string, spaces read as U+2581."""
-        s = text.replace(" ", "▁")
+    def _walk(self, s: str, starts: list[int], stop: int) -> tuple[list, list]:
+        """Best scores and the start of the last piece at all places, from any of ``starts`` and with pieces that begin before ``stop``."""
         n, cost, lengths, unknown = len(s), self.cost.get, self.lengths.get, self.unknown
-        best, back = [NEVER] * (n + 1), [0] * (n + 1)
-        best[0] = 0
-        for at in range(n):
+        best, back = [NEVER] * (n + 1), [-1] * (n + 1)
+        for at in starts:
+            best[at] = 0
+        for at in range(min(n, stop)):
             here = best[at]
+            if here == NEVER:
+                continue
             value = here + cost(s[at], unknown)
             if value > best[at + 1]:
                 best[at + 1], back[at + 1] = value, at
@@ -100,7 +148,13 @@ class Lexicon:
                 found = cost(s[at:end])
                 if found is not None and here + found > best[end]:
                     best[end], back[end] = here + found, at
-        out, end = [], n
+        return best, back
+
+    def segment(self, text: str) -> list[int]:
+        """ids of the best segmentation of a string, spaces read as U+2581."""
+        s = text.replace(" ", "▁")
+        _, back = self._walk(s, [0], len(s))
+        out, end = [], len(s)
         while end:
             p = s[back[end] : end]
             found = self.score.get(p)
@@ -108,86 +162,200 @@ class Lexicon:
             end = back[end]
         return out[::-1]
 
-    def encode_batch_fast(self, texts: list[str], add_special_tokens: bool = False) -> list[_Ids]:
-        return [_Ids(self.segment(t)) for t in texts]
-
-    def _paths(self, s: str, start: np.ndarray, stop: int, limit: int) -> np.ndarray:
-        """Best scores at all places up to limit; start: scores of places by entry; pieces start before stop."""
-        best = np.full((limit + 1, start.shape[1]), NEVER, np.int64)
-        best[: len(start)] = start[: limit + 1]
-        for at in range(min(stop, limit)):
-            if best[at].max() > NEVER // 2:
-                for size, score in self.starting(s, at, limit):
-                    np.maximum(best[at + size], best[at] + score, out=best[at + size])
-        return best
+    def segment_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of many strings, joined, and their numbers: all places of all strings at once, then step by step from their starts."""
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        long = np.flatnonzero(size > WIDE).tolist()
+        if long:
+            short = np.flatnonzero(size <= WIDE)
+            ids, count = self.segment_all([texts[i] for i in short.tolist()])
+            own = [np.array(self.segment(texts[i]), np.int64) for i in long]
+            total = np.zeros(len(texts), np.int64)
+            total[short], total[long] = count, [len(x) for x in own]
+            out, at = np.empty(total.sum(), np.int64), np.cumsum(total) - total
+            out[_text.ragged(at[short], count)] = ids
+            for i, x in zip(long, own, strict=True):
+                out[at[i] : at[i] + len(x)] = x
+            return out, total
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+        points[points == 32] = 0x2581
+        letter = self.trie.letter[points]
+        n = len(points)
+        left = _text.ragged(np.zeros(len(size), np.int64), size)  # characters before each one in its string
+        offset = left.astype(np.int16)
+        left = np.repeat(size, size) - left
+        # a place of the path is a character or a string's end, so strings are one place apart
+        place = np.arange(n) + np.repeat(np.arange(len(size)), size)
+        node, live = self.trie.step(np.zeros(n, np.int64), letter), np.arange(n)
+        known = self.trie.ids[node] >= 0
+        starts, lengths, costs, ids = [live], [np.ones(n, np.int8)], [np.where(known, self.trie.costs[node], self.unknown)], [np.where(known, self.trie.ids[node], -1 - live)]
+        for k in range(1, self.longest):
+            keep = (node > 0) & (left[live] > k)
+            live, node = live[keep], node[keep]
+            node = self.trie.step(node.astype(np.int64), letter[live + k])
+            hit = self.trie.ids[node] >= 0
+            starts.append(live[hit])
+            lengths.append(np.full(len(starts[-1]), k + 1, np.int8))
+            costs.append(self.trie.costs[node[hit]])
+            ids.append(self.trie.ids[node[hit]])
+        start, length, cost, piece = (np.concatenate(x) for x in (starts, lengths, costs, ids))
+        order = np.argsort(offset[start], kind="stable")
+        start, length, cost, piece = start[order], length[order].astype(np.int64), cost[order], piece[order]
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(offset[start], minlength=1))])
+        begin = place[start]
+        best, back, by = np.full(n + len(size), NEVER, np.int64), np.zeros(n + len(size), np.int64), np.zeros(n + len(size), np.int64)
+        first = np.cumsum(size + 1) - size - 1
+        best[first] = 0
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            # of one offset no two pieces of a string end at one place; earlier offsets came first and win ties
+            value, end = best[begin[a:b]] + cost[a:b], begin[a:b] + length[a:b]
+            better = np.flatnonzero(value > best[end])
+            end = end[better]
+            best[end], back[end], by[end] = value[better], begin[a:b][better], piece[a:b][better]
+        # back from the ends; a string's last piece comes first
+        which, at, steps, found = np.flatnonzero(size > 0), first + size, [], []
+        at = at[which]
+        while len(at):
+            steps.append(which)
+            found.append(by[at])
+            at = back[at]
+            more = at > first[which]
+            which, at = which[more], at[more]
+        if not steps:
+            return np.zeros(0, np.int64), np.zeros(len(size), np.int64)
+        step, which, found = np.repeat(np.arange(len(steps)), [len(x) for x in steps]), np.concatenate(steps), np.concatenate(found)
+        count = np.bincount(which, minlength=len(size))
+        out = np.empty_like(found)
+        out[np.cumsum(count)[which] - 1 - step] = found
+        return self._with_bytes(np.repeat(np.arange(len(size)), count), out, points, len(size))
+
+    def _with_bytes(self, which: np.ndarray, found: np.ndarray, points: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Replace -1 - place by the byte pieces of the character there."""
+        odd = np.flatnonzero(found < 0)
+        if len(odd):
+            raw = [chr(c).encode() for c in points[-1 - found[odd]].tolist()]
+            width = np.ones(len(found), np.int64)
+            width[odd] = [len(b) for b in raw]
+            at = np.cumsum(width) - width
+            found, which = np.repeat(found, width), np.repeat(which, width)
+            found[_text.ragged(at[odd], width[odd])] = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        return found, np.bincount(which, minlength=n)
+
+    def _paths(self, s: str, begin: int, ends: list[int], stop: int, top: int) -> list[tuple[int, int]]:
+        """(score, cuts) of the best paths from a place to each of some ends; cuts below ``top`` as bits."""
+        best, back = self._walk(s, [begin], stop)
+        out = []
+        for end in ends:
+            if end > len(s) or best[end] == NEVER:
+                out.append(NONE)
+                continue
+            cuts, at = 0, end
+            while at >= 0:
+                if at < top:
+                    cuts |= 1 << at
+                at = back[at]
+            out.append((best[end], cuts))
+        return out
 
-    def transfer(self, text: str, n: int) -> np.ndarray:
+    def transfer(self, text: str, n: int) -> Transfer:
         """Matrix of a chunk of n characters followed by what is known of the next one.
 
-        Entry (i, j): best score of covering the chunk from its character i to j characters behind it,
-        up to a constant of the chunk.
+        Entry (i, j): the best path over the chunk from its character i to j characters behind it; cuts
+        are those inside the chunk.
         """
         s, width = text.replace(" ", "▁"), self.longest
-        enter = np.full((width, width), NEVER, np.int64)
-        np.fill_diagonal(enter, 0)
-        limit = min(len(s), n + width - 1)
-        syncs = [p for p in range(1, n + 1) if p < len(s) and s[p] == "▁" and not s[p - 1].isspace() and s[p - 1] != "▁"]
-        first = next((p for p in syncs if p >= width), None)
-        out = np.full((width, width), NEVER, np.int64)
+        ends = [n + j for j in range(width)]
+        first = _CUT.search(s, width - 1, n)
         if first is None:
-            best = self._paths(s, enter, n, limit)
-            out[:, : limit - n + 1] = best[n : limit + 1].T
-            return out
-        head = self._paths(s, enter, first, first)[first]
-        last = syncs[-1]
-        tail = self._paths(s[last:], np.zeros((1, 1), np.int64), n - last, limit - last)[n - last :, 0]
-        out[:, : len(tail)] = np.maximum(head[:, None] + tail[None, :], NEVER)
-        return out
+            full = [self._paths(s, i, ends, n, n) if i < n else [(0, 0) if i == e else NONE for e in ends] for i in range(width)]
+            return Transfer(n, n, None, None, full)
+        first = first.start() + 1
+        # a place behind which all paths go on alike: the last one before the end
+        last = first
+        for at in range(n - 1, first, -1):
+            if s[at] == "▁" and s[at - 1] != "▁":
+                last = at
+                break
+        head = [self._paths(s[:first], i, [first], first, first)[0] for i in range(width)]
+        tail = self._paths(s[last:], 0, [e - last for e in ends], n - last, n - last)
+        return Transfer(n, n - last, head, tail, None)
+
+
+class Transfer(NamedTuple):
+    """A chunk's matrix: ``head`` by entry and ``tail`` by exit where all paths meet, else ``full``; items are (score, cuts).
 
+    Cuts are bits from the chunk's start, in ``tail`` bits from the place ``reach`` characters before its end.
+    """
 
-def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Max-plus product, shifted so that the best entry is 0."""
-    c = np.maximum((a[:, :, None] + b[None, :, :]).max(1), NEVER)
-    top = c.max()
-    return np.where(c > NEVER // 2, c - top, NEVER)
+    n: int
+    reach: int
+    head: list | None
+    tail: list | None
+    full: list | None
 
 
-def states(matrices: list[np.ndarray], enter: int, leave: int) -> list[int]:
+def _best(pairs, shift: int) -> tuple[tuple[int, int], int]:
+    """Best of (before, after) pairs of items and its index: highest score, then smallest cuts, the later ones first."""
+    top, at = NONE, 0
+    for k, ((a, x), (b, y)) in enumerate(pairs):
+        if a > NEVER and b > NEVER:
+            item = (a + b, x | y << shift)
+            if top[0] == NEVER or item[0] > top[0] or item[0] == top[0] and item[1] < top[1]:
+                top, at = item, k
+    return top, at
+
+
+def times(a: Transfer, b: Transfer) -> Transfer:
+    """Max-plus product."""
+    n = a.n + b.n
+    if a.full is None and b.full is None:
+        return Transfer(n, b.reach, a.head, b.tail, None)
+    if a.full is None:
+        return Transfer(n, a.reach + b.n, a.head, [_best(zip(a.tail, c, strict=True), a.reach)[0] for c in zip(*b.full, strict=True)], None)
+    if b.full is None:
+        return Transfer(n, b.reach, [_best(zip(r, b.head, strict=True), a.n)[0] for r in a.full], b.tail, None)
+    columns = list(zip(*b.full, strict=True))
+    return Transfer(n, n, None, None, [[_best(zip(r, c, strict=True), a.n)[0] for c in columns] for r in a.full])
+
+
+def states(matrices: list[Transfer], enter: int, leave: int) -> list[int]:
     """Boundary states along the best path through consecutive matrices, both ends included."""
-    v = np.full(len(matrices[0]), NEVER, np.int64)
-    v[enter] = 0
-    ahead = [v]
+    width = len(matrices[0].full or matrices[0].head)
+    v, reach = [(0, 0) if k == enter else NONE for k in range(width)], 0
+    ahead = []
     for m in matrices:
-        v = np.maximum((v[:, None] + m).max(0), NEVER)
-        v = np.where(v > NEVER // 2, v - v.max(), NEVER)
-        ahead.append(v)
+        ahead.append((v, reach))
+        if m.full is None:
+            v, reach = m.tail, m.reach  # what came before is the same for all exits
+        else:
+            v, reach = [_best(zip(v, c, strict=True), reach)[0] for c in zip(*m.full, strict=True)], reach + m.n
     out = [leave]
-    for v, m in zip(ahead[-2::-1], matrices[::-1], strict=True):
-        out.append(int(np.argmax(v + m[:, out[-1]])))
+    for (v, reach), m in zip(ahead[::-1], matrices[::-1], strict=True):
+        after = m.head if m.full is None else [r[out[-1]] for r in m.full]
+        out.append(_best(zip(v, after, strict=True), reach)[1])
     return out[::-1]
 
 
 _held: dict = {}
+_encode.releases.append(_held.clear)
 
 
 def _encoder(path: str) -> _encode.Encoder:
     if path not in _held:
-        _held[path] = _encode.Encoder(Lexicon(path), True)
+        _encode.release()
+        _held[path] = _encode.Encoder(Lexicon(path).segment_all, True)
     return _held[path]
 
 
-def _ids(enc: _encode.Encoder, texts: pa.Array) -> list[np.ndarray]:
-    out = []
+def _ids(enc: _encode.Encoder, texts: pa.Array, kind: str = "<u4") -> pa.Array:
+    """ids of each text as the bytes of little-endian numbers."""
+    parts, sizes = [np.zeros(0, kind)], [np.zeros(1, np.int64)]
     for block in _text.blocks(texts):
         ids, size, doc, _, _ = enc.encode(block)
-        count = np.bincount(doc, size, block.n).astype(np.int64)
-        out += np.split(ids, np.cumsum(count)[:-1])
-    return out
-
-
-def _matrix(data: bytes) -> np.ndarray:
-    m = np.frombuffer(data, np.int64)
-    return m.reshape(int(len(m) ** 0.5), -1)
+        parts.append(ids.astype(kind))
+        sizes.append(np.bincount(doc, size, block.n).astype(np.int64))
+    ends = np.cumsum(np.concatenate(sizes)) * np.dtype(kind).itemsize
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.concatenate(parts).tobytes())]).cast(pa.binary())
 
 
 def boundaries(chunks: DataFrame) -> DataFrame:
@@ -198,11 +366,11 @@ def boundaries(chunks: DataFrame) -> DataFrame:
 
         def product(key, table):
             order = np.argsort(table.column("at").to_numpy())
-            m = [_matrix(x) for x in table.column("m").take(pa.array(order)).to_pylist()]
+            m = [Transfer(*pickle.loads(x)) for x in table.column("m").take(pa.array(order)).to_pylist()]
             out = m[0]
             for x in m[1:]:
                 out = times(out, x)
-            return pa.table({"row": [key[0].as_py()], "at": [key[1].as_py()], "m": [out.tobytes()]})
+            return pa.table({"row": [key[0].as_py()], "at": [key[1].as_py()], "m": [pickle.dumps(tuple(out))]})
 
         up = levels[-1].withColumn("g", F.expr(f"at div {FAN}")).groupBy("row", "g").applyInArrow(product, "row long, at long, m binary")
         levels.append(written(up, "products"))
@@ -217,7 +385,7 @@ def boundaries(chunks: DataFrame) -> DataFrame:
 
         def down(key, table):
             order = np.argsort(table.column("at").to_numpy())
-            m = [_matrix(x) for x in table.column("m").take(pa.array(order)).to_pylist()]
+            m = [Transfer(*pickle.loads(x)) for x in table.column("m").take(pa.array(order)).to_pylist()]
             path = states(m, table.column("enter")[0].as_py(), table.column("leave")[0].as_py())
             return pa.table({"row": pa.array([key[0].as_py()] * len(m)), "at": table.column("at").take(pa.array(order)), "enter": pa.array(path[:-1], pa.int32()), "leave": pa.array(path[1:], pa.int32())})
 
@@ -228,46 +396,57 @@ def boundaries(chunks: DataFrame) -> DataFrame:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, text, ids) of every row; ids are little-endian 32-bit numbers in a binary."""
+    """(doc_id, ids, text_sha256) of every row; ids are little-endian 32-bit numbers in a binary.
+
+    Of a giant document only its chunks are shuffled, once, and then the ids of its pieces.
+    """
     held = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    length = F.char_length("text")
+    length, sha = F.char_length("text"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
 
     @arrow_udf("binary")
     def whole(texts: pa.Array) -> pa.Array:
-        spaced = pa.array([" " + t if t else "" for t in texts.to_pylist()], pa.string())
-        return pa.array([x.astype("<u4").tobytes() for x in _ids(_encoder(path), spaced)], pa.binary())
+        spaced = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(" ", texts, ""))
+        return _ids(_encoder(path), spaced)
 
-    short = held.where(length <= CHUNK).withColumn("ids", whole("text"))
+    short = held.where(length <= CHUNK).select("doc_id", whole("text").alias("ids"), sha)
 
     def split(batches):
-        lexicon, row = _encoder(path).tokenizer, TaskContext.get().partitionId() << 33
+        _encode.release()
+        lexicon, row = Lexicon(path), TaskContext.get().partitionId() << 33
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            for doc_id, text, digest in zip(*(batch.column(k) for k in range(3)), strict=True):
                 s, rows = " " + text.as_py(), []
                 for k, at in enumerate(range(0, len(s), CHUNK)):
-                    part = s[at : at + CHUNK + lexicon.longest]
-                    rows.append((row, k, min(CHUNK, len(s) - at), part, lexicon.transfer(part, min(CHUNK, len(s) - at)).tobytes()))
+                    part, n = s[at : at + CHUNK + lexicon.longest], min(CHUNK, len(s) - at)
+                    rows.append((row, k, n, part, pickle.dumps(tuple(lexicon.transfer(part, n)))))
                 row += 1
                 cols = [pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.binary()), strict=True)]
                 ids = pa.array([doc_id.as_py()] * len(rows), batch.column(0).type)
-                yield pa.RecordBatch.from_arrays([ids, *cols], ["doc_id", "row", "chunk", "n", "part", "m"])
+                shas = pa.array([digest.as_py()] * len(rows), pa.string())
+                yield pa.RecordBatch.from_arrays([ids, shas, *cols], ["doc_id", "text_sha256", "row", "chunk", "n", "part", "m"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    chunks = written(held.where(length > CHUNK).mapInArrow(split, f"doc_id {kind}, row long, chunk long, n int, part string, m binary"), "chunks")
+    giants = held.where(length > CHUNK).select("doc_id", "text", sha)
+    chunks = written(giants.mapInArrow(split, f"doc_id {kind}, text_sha256 string, row long, chunk long, n int, part string, m binary"), "chunks")
+
+    narrow = "<u2" if len(_pieces(path)) <= 1 << 16 else "<u4"
 
     @arrow_udf("binary")
     def chunk_ids(parts: pa.Array) -> pa.Array:
-        return pa.array([x.astype("<u4").tobytes() for x in _ids(_encoder(path), parts)], pa.binary())
+        return _ids(_encoder(path), parts, narrow)
+
+    @arrow_udf("binary")
+    def joined(column: pa.Array) -> pa.Array:
+        return pa.array([np.frombuffer(b"".join(x.as_py()), narrow).astype("<u4").tobytes() for x in column], pa.binary())
 
     own = chunks.drop("m").join(boundaries(chunks), ["row", "chunk"])
     # a chunk from its entry state to its exit state
     span = F.substring("part", F.col("enter") + 1, F.greatest(F.col("n") + F.col("leave") - F.col("enter"), F.lit(0)))
-    coded = own.select("doc_id", "row", "chunk", chunk_ids(span).alias("ids"), F.substring("part", 1, F.col("n")).alias("part"))
+    coded = own.select("doc_id", "text_sha256", "row", "chunk", chunk_ids(span).alias("ids"))
     # a document is a row of the result, so its chunks meet there
-    parts = F.array_sort(F.collect_list(F.struct("chunk", "ids", "part")))
-    joined = coded.groupBy("row").agg(F.first("doc_id").alias("doc_id"), parts.alias("p"))
-    long = joined.select("doc_id", F.expr("substring(array_join(transform(p, x -> x.part), ''), 2)").alias("text"), F.expr("aggregate(transform(p, x -> x.ids), cast('' as binary), (a, x) -> concat(a, x))").alias("ids"))
-    return short.unionByName(long)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])
+    long = coded.groupBy("row").agg(F.first("doc_id").alias("doc_id"), parts.alias("ids"), F.first("text_sha256").alias("text_sha256"))
+    return short.unionByName(long.select("doc_id", joined("ids").alias("ids"), "text_sha256"))
 
 
 def decode(ids: Column, path: str) -> Column:
@@ -275,7 +454,7 @@ def decode(ids: Column, path: str) -> Column:
 
     @arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:
-        table = _encoder(path).tokenizer.table
+        table = _pieces(path)
         size = np.array([len(t) for t in table])
         at, data = np.cumsum(size) - size, np.frombuffer(b"".join(table), np.uint8)
         out = []
@@ -287,12 +466,22 @@ def decode(ids: Column, path: str) -> Column:
     return run(ids)
 
 
+_tables: dict = {}
+
+
+def _pieces(path: str) -> list[bytes]:
+    """Bytes of each piece, those of special ones empty."""
+    if path not in _tables:
+        _tables[path] = Lexicon(path).table
+    return _tables[path]
+
+
 def digest(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_pieces, ids_crc32, restored): restored tells whether decoding gives the text back."""
+    """(doc_id, n_pieces, ids_crc32, restored): restored tells whether decoding gives the text back, byte for byte."""
 
     @arrow_udf("long")
     def crc(column: pa.Array) -> pa.Array:
-        return pa.array([zlib.crc32(x.as_py()) for x in column], pa.int64())
+        return pa.array([zlib.crc32(x.as_buffer()) for x in column], pa.int64())
 
-    plain = F.replace("text", F.lit("▁"), F.lit(" "))
-    return encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), crc("ids").alias("ids_crc32"), (decode(F.col("ids"), path) == plain).alias("restored"))
+    same = F.sha2(decode(F.col("ids"), path).cast("binary"), 256) == F.col("text_sha256")
+    return encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), crc("ids").alias("ids_crc32"), same.alias("restored"))
