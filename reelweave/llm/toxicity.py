@@ -1,7 +1,7 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
 Labels are per document, so token labels come first: in a bounded sample of labelled documents
-(``SAMPLE`` per label, drawn by a hash of the id, near copies dropped) a token is marked toxic if it
+(``SAMPLE`` per label, drawn by a hash of the id, texts of up to ``LONGEST`` characters, near copies dropped) a token is marked toxic if it
 stands in a toxic document and its word, or the word's beginning, is far likelier there than in clean
 ones.  The field learns
 these marks from hashed features (the word, its ends, its neighbours) and a 2 x 2 transition table;
@@ -28,11 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from reelweave.llm import _text
-from reelweave.llm._shared import remainder
+from reelweave.llm import _encode, _text
+from reelweave.llm._shared import bound_batches, remainder
 
 SAMPLE = {1: 600, 0: 1000}
+#: Longer texts are scored as any other, but not learnt from: the driver holds the sample.
+LONGEST = 1 << 14
 BITS = 18
+BLOCK = 1 << 18
 FEATURES = 6
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -106,6 +109,21 @@ def marginals(score: np.ndarray, first: np.ndarray, moves: np.ndarray) -> np.nda
     """
     if not len(score):
         return score
+    _, ahead, b0, b1 = _scans(score, first, moves)
+    one, none = ahead[1] * b1, ahead[0] * b0
+    return one / (one + none)
+
+
+def expected(score: np.ndarray, first: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals, and the expected number of each transition."""
+    a, ahead, b0, b1 = _scans(score, first, moves)
+    one, none = ahead[1] * b1, ahead[0] * b0
+    cells = np.stack([ahead[i][:-1] * a[2 * i + j][1:] * (b0, b1)[j][1:] for i in (0, 1) for j in (0, 1)])[:, ~first[1:]]
+    return one / (one + none), (cells / cells.sum(0)).sum(1)
+
+
+def _scans(score: np.ndarray, first: np.ndarray, moves: np.ndarray) -> tuple:
+    """Steps of the chain, forward products and backward vectors (scaled), by token."""
     r = np.exp(np.clip(score, -30, 30))
     t = np.exp(moves)
     # a document's first token is the same from either state, which cuts the chain
@@ -116,8 +134,7 @@ def marginals(score: np.ndarray, first: np.ndarray, moves: np.ndarray) -> np.nda
     back = (later[0] + later[2])[::-1], (later[1] + later[3])[::-1]
     b0, b1 = np.append(back[0][1:], 1.0), np.append(back[1][1:], 1.0)
     scale = np.maximum(b0, b1)
-    one, none = ahead[1] * b1 / scale, ahead[0] * b0 / scale
-    return one / (one + none)
+    return a, ahead, b0 / scale, b1 / scale
 
 
 @dataclass
@@ -170,9 +187,8 @@ def fit(texts: list[str], labels: np.ndarray, rates: tuple[float, float], steps:
     n = len(doc)
     for k in range(1, steps + 1):
         score = lead()
-        p = marginals(score, first, theta[-4:])
+        p, pair = expected(score, first, theta[-4:])
         gap = sum(np.bincount(row, p - marks, len(used)) for row in at)
-        pair = _pairs(score, first, theta[-4:])
         g = np.concatenate([gap + 0.02 * theta[:-4], pair - want + 0.02 * theta[-4:]])
         m, v = 0.8 * m + 0.2 * g, 0.95 * v + 0.05 * g * g
         theta -= 0.5 * (m / (1 - 0.8**k)) / (np.sqrt(v / (1 - 0.95**k)) + 1e-3 * n**0.5 / 100)
@@ -188,18 +204,6 @@ def fit(texts: list[str], labels: np.ndarray, rates: tuple[float, float], steps:
     return model
 
 
-def _pairs(score: np.ndarray, first: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """Expected number of each transition, from the derivative of the pairwise marginals."""
-    r, t = np.exp(np.clip(score, -30, 30)), np.exp(moves)
-    a = np.where(first, 1.0, t[0]), np.where(first, 1.0, t[1]) * r, np.where(first, 1.0, t[2]), np.where(first, 1.0, t[3]) * r
-    ahead, later = scan(a), scan((a[0][::-1], a[2][::-1], a[1][::-1], a[3][::-1]))
-    b0, b1 = (later[0] + later[2])[::-1], (later[1] + later[3])[::-1]
-    b0, b1 = np.append(b0[1:], 1.0), np.append(b1[1:], 1.0)
-    go = ~first[1:]
-    cells = np.stack([ahead[i][:-1] * a[2 * i + j][1:] * (b0, b1)[j][1:] for i in (0, 1) for j in (0, 1)])
-    return (cells / cells.sum(0))[:, go].sum(1)
-
-
 def suspicious(word: np.ndarray, doc: np.ndarray, labels: np.ndarray, least: int = 5, lead: float = 3.0) -> np.ndarray:
     """Tokens whose word occurs in ``least`` toxic documents or more and is e**lead times likelier there."""
     u, of = np.unique(word, return_inverse=True)
@@ -231,24 +235,28 @@ def train(docs: DataFrame, labels: DataFrame) -> Tagger:
     total = dict(marked.groupBy("toxic").count().collect())
     drawn = [marked.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in SAMPLE.items()]
     chosen = drawn[0].unionByName(drawn[1])  # 1,600 rows at most
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").toArrow()
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.char_length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").toArrow()
     texts, y = rows.column("text").to_pylist(), np.array(rows.column("toxic").to_pylist(), np.int64)
     if not texts:
         return Tagger()
     keep = _apart(texts)
     texts, y = [t for t, k in zip(texts, keep, strict=True) if k], y[keep]
     rates = tuple(total.get(k, 0) / max(1, (y == k).sum()) / max(1, sum(total.values())) * len(y) for k in (0, 1))
-    return fit(texts, y, rates)
+    model = fit(texts, y, rates)
+    _text.trim()
+    return model
 
 
 def score(text: Column, model: Tagger, spark) -> Column:
     """Struct of the text's score and its toxic spans in code points, end exclusive."""
+    bound_batches(spark)
     held = spark.sparkContext.broadcast(model)
 
     @arrow_udf("struct<score:double,spans:array<struct<start:int,end:int>>>")
     def run(texts: pa.Array) -> pa.Array:
+        _encode.release()
         tagger, scores, starts, ends, sizes = held.value, [], [], [], []
-        for block in _text.blocks(texts, fold=True):
+        for block in _text.blocks(texts, fold=True, max_bytes=BLOCK):
             p, doc, start, end = tagger.tag(block)
             scores.append(tagger.scores(tagger.evidence(p, doc, block.n)))
             hit = np.flatnonzero(p >= 0.5)

@@ -1,6 +1,7 @@
 """Statistics, models and scores of single texts against plain versions."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -83,19 +84,63 @@ def test_noise_is_rejected(spark, data):
     assert noise > prose[0] and prose[1] > 0.85
 
 
-def test_kneser_ney_is_a_distribution(docs):
-    model = quality.train(docs.where("lang = 'en'"))
+def plain_kneser_ney(texts, order):
+    """p(symbol | context) of a modified Kneser-Ney model, by its recursive definition."""
+    counts = {order: Counter()}
+    for t in texts:
+        s = "\0" * (order - 1) + t + "\0"
+        counts[order].update(s[k : k + order] for k in range(len(s) - order + 1))
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+
+    def discounts(c):
+        of = [sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]
+        y = of[0] / (of[0] + 2 * of[1]) if of[0] and of[1] else 0.5
+        return [min(max(k - (k + 1) * y * of[k] / of[k - 1], 0.05), k - 0.05) if of[k - 1] and of[k] else 0.5 for k in (1, 2, 3)]
+
+    d = {n: discounts(c) for n, c in counts.items()}
+
+    def p(context, x):
+        n = len(context) + 1
+        shorter = p(context[1:], x) if context else 1 / 256
+        after = {g: v for g, v in counts[n].items() if g[:-1] == context}
+        total = sum(after.values())
+        if not total:
+            return shorter
+        own = after.get(context + x, 0)
+        left = sum(d[n][min(v, 3) - 1] for v in after.values())
+        return ((own - d[n][min(own, 3) - 1] if own else 0) + left * shorter) / total
+
+    return p
+
+
+def test_kneser_ney_equals_its_definition(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("aabcd ", k=rng.randint(1, 40))) for _ in range(60)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    for order in (1, 2, 4):
+        model, p = quality.train(df, F.lit(5), order), plain_kneser_ney(texts, order)
+        for context in ["".join(rng.choices("abcd \0z", k=order - 1)) for _ in range(25)] + [texts[0][: order - 1]]:
+            for x in "abcz\0":
+                key = np.array([int.from_bytes((context + x).encode("latin1"), "big") | 5 << 8 * order], np.uint64)
+                assert abs(10 ** model.log10(key)[0] - p(context, x)) < 1e-6
+
+
+@pytest.mark.parametrize("most", [1 << 21, 3000, 40])
+def test_kneser_ney_is_a_distribution(docs, most, monkeypatch):
+    monkeypatch.setattr(quality, "MOST", most)
+    model = quality.train(docs.where("lang = 'en'"), F.lit(7))
+    assert all(len(k) <= most for k, _ in model.grams.values())
     rng = np.random.default_rng(1)
-    block = next(_text.blocks(pa.array(["the house and then some"])))
-    lang = np.array([int(docs.where("lang = 'en'").select(quality.lang_bucket()).first()[0])])
-    keys, _ = quality._keys(block, lang, model.order)
-    for key in rng.choice(keys, 5):
+    block = next(_text.blocks(pa.array(["the house and then some, für zq9"])))
+    keys, _ = quality._keys(block, np.array([7]), model.order)
+    for key in [*rng.choice(keys, 12), *(keys[:5] ^ np.uint64(0x5500))]:
         every = (key & ~np.uint64(255)) | np.arange(256, dtype=np.uint64)
-        assert abs((10 ** model.log10(every)).sum() - 1) < 0.1  # n-grams that share a slot share a value
+        assert abs((10 ** model.log10(every)).sum() - 1) < 1e-6
 
 
 def test_ngram_counts(spark):
-    got = {r.key & 0xFFFFFFFFFF: r.n for r in quality.count_ngrams(spark.createDataFrame([("aab", "en"), ("aab", "en")], "text string, lang string"), 3).collect()}
+    got = {r.key & 0xFFFFFFFFFF: r.n for r in quality.count_ngrams(spark.createDataFrame([("aab",), ("aab",)], "text string"), F.lit(1), 3).collect()}
     pack = lambda s: int.from_bytes(s.encode("latin1"), "big")
     assert {k & 0xFFFFFF: n for k, n in got.items()} == {pack("\0\0a"): 2, pack("\0aa"): 2, pack("aab"): 2, pack("ab\0"): 2}
 
@@ -153,6 +198,79 @@ def test_language_model(odd, none, head, monkeypatch):
     assert maxent.score(none.withColumn("trained", F.lit(True)), "trained").count() == 0
 
 
-def test_model_beats_unigrams_on_held_out_texts(spark):
-    got = queries.QUERIES["op10_maxent"](spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert got[0] > got[1]
+def plain_scores(rows):
+    """Scores of (text, trained) rows by the definitions, token by token, with dictionaries."""
+    mix = lambda x: int(_text.mix(np.array([x % 2**64], np.uint64))[0])
+    end = maxent.END_LEAF
+
+    def walk(text):
+        h, leaf, n = maxent.tokens(next(_text.blocks(pa.array([text]), fold=True)))
+        h, leaf = [int(x) for x in h], [int(x) for x in leaf]
+        for k in range(int(n[0])):
+            one, two = h[k - 1] if k > 0 else 0, h[k - 2] if k > 1 else 0
+            f = [("last", leaf[k - 1] if k > 0 else 256), ("skip", leaf[k - 2] if k > 1 else 256), ("word", mix(one) >> (64 - maxent.BITS)), ("pair", mix(one * 3 + mix(two)) >> (64 - maxent.BITS))]
+            c = leaf[k] // 16
+            g = [(f"part {name}", x * 16 + c if name in ("last", "skip") else mix(x * 16 + c) >> (63 - maxent.BITS)) for name, x in f]
+            yield h[k], leaf[k], f, g
+
+    w: dict = {}
+
+    def softmax(f):
+        x = np.sum([w.get(k, np.zeros(16)) for k in f], axis=0)
+        x = np.exp(x - x.max())
+        return x / x.sum()
+
+    rounds = spark_rounds([t for t, _ in rows])
+    for k in range(maxent.ROUNDS):
+        seen, expected = {}, {}
+        for (text, trained), r in zip(rows, rounds, strict=True):
+            for _, leaf, f, g in walk(text) if trained and r == k else ():
+                for fs, y in ((f, leaf // 16), (g, leaf % 16)) if leaf != end else ((f, leaf // 16),):
+                    p = softmax(fs)
+                    for x in fs:
+                        seen.setdefault(x, np.zeros(16))[y] += 1
+                        expected[x] = expected.get(x, 0) + p
+        for x, s in seen.items():
+            w[x] = w.get(x, np.zeros(16)) + maxent.RATE * np.log((s + maxent.PRIOR) / (expected[x] + maxent.PRIOR))
+    count = Counter((h, leaf) for text, trained in rows if trained for h, leaf, *_ in walk(text))
+    total, kinds = Counter(), Counter()
+    for (_, leaf), c in count.items():
+        total[leaf] += c
+        kinds[leaf] += 1
+    out = []
+    for text, _ in rows:
+        s = 0.0
+        for h, leaf, f, g in walk(text):
+            s += math.log10(softmax(f)[leaf // 16]) + (math.log10(softmax(g)[leaf % 16]) if leaf != end else 0)
+            s += math.log10((count[h, leaf] + 1) / (total[leaf] + kinds[leaf] + 1)) if total[leaf] else 0.0
+        out.append(s)
+    return out
+
+
+def spark_rounds(texts):
+    from pyspark.sql import SparkSession
+
+    df = SparkSession.active().createDataFrame(list(enumerate(texts)), "k int, text string")
+    return [r[0] for r in df.orderBy("k").select(F.pmod(F.xxhash64("text"), F.lit(maxent.ROUNDS))).collect()]
+
+
+def test_scores_equal_their_definition(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "HEAD", 30)
+    rng = random.Random(8)
+    words = ["the", "The", "house", "stands", "on", "a", "hill", "für", "x9", "over.", "it,", "again"]
+    rows = [(" ".join(rng.choices(words, k=rng.randint(0, 30))), k % 4 != 1) for k in range(60)]
+    df = spark.createDataFrame([(k, t, b) for k, (t, b) in enumerate(rows)], "doc_id long, text string, b boolean").repartition(5)
+    got = {r.doc_id: r.score for r in maxent.score(df, "b").collect()}
+    for k, want in enumerate(plain_scores(rows)):
+        assert abs(got[k] - want) < 1e-4 * max(1, abs(want))
+
+
+def test_model_beats_unigrams_however_it_is_partitioned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2).alias("trained"))
+    found = []
+    for n in (1, 4, 64):
+        got = maxent.score(docs.repartition(n), "trained").cache()
+        s = got.where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+        assert (s[0] - s[1]) / s[2] > 0.05  # log10 a token
+        found.append({r.doc_id: r.score for r in got.select("doc_id", "score").collect()})
+    assert all(abs(found[0][k] - x[k]) < 1e-3 + 1e-6 * abs(x[k]) for x in found[1:] for k in x)
