@@ -14,11 +14,9 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
-try:  # glibc: arrays of a MB and more go back to the system when they are freed, so an idle worker keeps little
+try:
     _libc = ctypes.CDLL(None)
-    _libc.mallopt(-3, 1 << 20)
-    _libc.mallopt(-1, 1 << 20)
-except (OSError, AttributeError):
+except OSError:
     _libc = None
 
 

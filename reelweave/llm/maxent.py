@@ -15,8 +15,9 @@ Training takes ``ROUNDS`` rounds over parts of the training texts, dealt by a ha
 round every task sums, for each feature row and outcome, how often the outcome followed and how often
 the weights at hand expect it; Spark adds these sums, and each weight moves by ``RATE`` times the
 logarithm of their ratio (iterative scaling, smoothed by ``PRIOR``).  Nothing is learnt inside a task,
-so the model does not depend on how the texts are partitioned.  The weights have a fixed size (ROWS
-rows of 16), which is all that reaches the driver; what grows with the input are the counts.
+so the model does not depend on how the texts are partitioned.  The tables of hashed features grow with
+the training tokens, about one row for 6,000 tokens, up to 2**MOST_BITS rows for a family; these
+weights are all that reaches the driver.
 
 Word counts are exact for all words.  The ``HEAD`` most frequent words at most are broadcast; tokens of
 other words leave the scoring pass as (word hash, number) and meet their counts in a join.  Words are
@@ -42,13 +43,9 @@ from reelweave.llm._shared import written
 CLASSES = PARTS = 16
 LEAVES = CLASSES * PARTS
 HEAD = 1 << 20
-BITS = 13
+LEAST_BITS, MOST_BITS = 8, 16
 ROUNDS, RATE, PRIOR = 4, 0.6, 4.0
 BATCH = 1 << 16
-#: Feature families of the class softmax, then of the part softmax, whose rows are of a feature and a class.
-SIZES = [LEAVES + 1, LEAVES + 1, 1 << BITS, 1 << BITS, (LEAVES + 1) * CLASSES, (LEAVES + 1) * CLASSES, 2 << BITS, 2 << BITS]
-STARTS = np.concatenate([[0], np.cumsum(SIZES)]).tolist()
-ROWS = STARTS[-1]
 END = np.uint64(0x5851F42D4C957F2D)
 END_LEAF = LEAVES - PARTS  # the last class, of which the end is the only member
 
@@ -67,7 +64,18 @@ def tokens(block: _text.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, leaf, n
 
 
-def features(h: np.ndarray, leaf: np.ndarray, n: np.ndarray) -> np.ndarray:
+def bits_for(tokens_: int) -> int:
+    """Bits of a hashed feature for so many training tokens."""
+    return min(max(int(math.log2(max(tokens_, 1)) - 12.5), LEAST_BITS), MOST_BITS)
+
+
+def starts(bits: int) -> list[int]:
+    """First rows of the families of the class softmax, then of the part softmax, whose rows are of a feature and a class; all rows."""
+    sizes = [LEAVES + 1, LEAVES + 1, 1 << bits, 1 << bits]
+    return np.concatenate([[0], np.cumsum([*sizes, sizes[0] * CLASSES, sizes[1] * CLASSES, 2 << bits, 2 << bits])]).tolist()
+
+
+def features(h: np.ndarray, leaf: np.ndarray, n: np.ndarray, bits: int) -> np.ndarray:
     """Row of each token's history in each family, for both softmaxes (8 x tokens)."""
     place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
     one, two = np.zeros_like(h), np.zeros_like(h)
@@ -77,12 +85,12 @@ def features(h: np.ndarray, leaf: np.ndarray, n: np.ndarray) -> np.ndarray:
     out[:2] = LEAVES
     out[0, 1:], out[1, 2:] = leaf[:-1], leaf[:-2]
     out[0, place < 1], out[1, place < 2] = LEAVES, LEAVES
-    short = np.uint64(64 - BITS)
+    short = np.uint64(64 - bits)
     out[2] = (_text.mix(one) >> short).astype(np.int64)
     out[3] = (_text.mix(one * np.uint64(3) + _text.mix(two)) >> short).astype(np.int64)
     out[4:] = out[:4] * CLASSES + leaf // PARTS
     out[6:] = (_text.mix(out[6:].astype(np.uint64)) >> (short - np.uint64(1))).astype(np.int64)
-    return out + np.array(STARTS[:8])[:, None]
+    return out + np.array(starts(bits)[:8])[:, None]
 
 
 def _softmax(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -98,13 +106,14 @@ def _softmax(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
 class Model:
     """Weights of both softmaxes and, once counted, the leaves' log10 totals."""
 
-    def __init__(self):
-        self.w = np.zeros((ROWS, 16), np.float32)
+    def __init__(self, bits: int):
+        self.bits, self.starts = bits, starts(bits)
+        self.w = np.zeros((self.starts[-1], 16), np.float32)
         self.leaf_log = np.zeros(LEAVES)
 
     def log10(self, h: np.ndarray, leaf: np.ndarray, n: np.ndarray) -> np.ndarray:
         """log10 of P(class | h) P(part | class, h) / (N_leaf + V_leaf + 1) for each token."""
-        rows, out = features(h, leaf, n), np.empty(len(h))
+        rows, out = features(h, leaf, n, self.bits), np.empty(len(h))
         for s in range(0, len(h), BATCH):
             r, f = rows[:, s : s + BATCH], leaf[s : s + BATCH]
             at = np.arange(len(f))
@@ -115,12 +124,12 @@ class Model:
         return out
 
     def add(self, rows: np.ndarray, leaf: np.ndarray, seen: np.ndarray, expected: np.ndarray) -> None:
-        """Add outcomes and expected outcomes of some tokens to the sums of each row (flat, ROWS x 16)."""
+        """Add outcomes and expected outcomes of some tokens to the sums of each row (flat, rows x 16)."""
         inner = leaf != END_LEAF
         for first, r, y in ((0, rows[:4], leaf // PARTS), (4, rows[4:, inner], leaf[inner] % PARTS)):
             p = _softmax(self.w, r).ravel()
             for family, row in enumerate(r, first):
-                a, b = STARTS[family] * 16, STARTS[family + 1] * 16
+                a, b = self.starts[family] * 16, self.starts[family + 1] * 16
                 seen[a:b] += np.bincount(row * 16 + y - a, minlength=b - a)
                 expected[a:b] += np.bincount((row[:, None] * 16 + np.arange(16)).ravel() - a, p, b - a)
 
@@ -129,9 +138,9 @@ class Model:
         self.w[row] += (RATE * np.log((seen + PRIOR) / (expected + PRIOR))).astype(np.float32)
 
 
-def train(docs: DataFrame) -> Model:
-    """Weights from all texts of docs: see the module."""
-    spark, model = docs.sparkSession, Model()
+def train(docs: DataFrame, tokens_: int) -> Model:
+    """Weights from all texts of docs, which have so many tokens: see the module."""
+    spark, model = docs.sparkSession, Model(bits_for(tokens_))
     names = [f"{k}{c}" for k in "se" for c in range(16)]
     schema = "row int, " + ", ".join(f"{x} float" for x in names)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -144,11 +153,12 @@ def train(docs: DataFrame) -> Model:
 
         def run(batches, held=held):
             _encode.release()
-            m, seen, expected = held.value, np.zeros(ROWS * 16), np.zeros(ROWS * 16)
+            m = held.value
+            seen, expected = np.zeros(m.w.size), np.zeros(m.w.size)
             for batch in batches:
                 for block in _text.blocks(batch.column(0), fold=True):
                     h, leaf, n = tokens(block)
-                    rows = features(h, leaf, n)
+                    rows = features(h, leaf, n, m.bits)
                     for s in range(0, len(h), BATCH):
                         m.add(rows[:, s : s + BATCH], leaf[s : s + BATCH], seen, expected)
             seen, expected = seen.reshape(-1, 16), expected.reshape(-1, 16)
@@ -205,8 +215,8 @@ def score(docs: DataFrame, trained: str) -> DataFrame:
     spark = docs.sparkSession
     text = F.col("text").cast("string").alias("text")
     vocab = written(count(docs.where(trained).select("text")), "vocabulary")
-    model = train(docs.where(trained).select("text"))
     n, v = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    model = train(docs.where(trained).select("text"), n)
     model.leaf_log[:] = 0.0
     for leaf, ln, lv in vocab.groupBy("leaf").agg(F.sum("c"), F.count("*")).collect():  # LEAVES rows
         model.leaf_log[leaf] = math.log10(ln + lv + 1)

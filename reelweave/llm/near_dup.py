@@ -177,25 +177,20 @@ def similarities(a: pa.Array, b: pa.Array) -> pa.Array:
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Of pairs (a, b) of digests those whose texts align well enough.
 
-    Of each pair the digest with more pairs, a leader as a rule, is joined last; its pairs are dealt into
-    groups of ``GROUP``, each with a copy of its text, so a leader's partners are not aligned in one task.
+    b is a leader, if one of the two is: its pairs are dealt into groups of about ``GROUP``, each with a
+    copy of its text, so a leader's partners are not aligned in one task.
     """
 
     @arrow_udf("double")
     def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
         return similarities(a, b)
 
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("d")).groupBy("d").agg(F.count("*").alias("n"))
-    sized = pairs.join(degree.select(F.col("d").alias("a"), F.col("n").alias("na")), "a").join(degree.select(F.col("d").alias("b"), F.col("n").alias("nb")), "b")
-    more = F.struct("nb", "b") >= F.struct(F.col("na").alias("nb"), F.col("a").alias("b"))
-    parts = F.ceil(F.greatest("na", "nb") / GROUP).cast("int")
-    turned = sized.select(F.when(more, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(more, F.col("b")).otherwise(F.col("a")).alias("y"), parts.alias("parts"))
-    turned = turned.withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int"))
-    left = texts.select(F.col("digest").alias("x"), F.col("text").alias("xt"))
-    dealt = F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / GROUP).cast("int") - 1)).alias("part")
-    right = texts.join(degree.withColumnRenamed("d", "digest"), "digest").select(F.col("digest").alias("y"), F.col("text").alias("yt"), dealt)
-    both = turned.join(left, "x").join(right, ["y", "part"])
-    return both.withColumn("sim", similarity("xt", "yt")).where(F.col("sim") >= threshold).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
+    left = texts.select(F.col("digest").alias("a"), F.col("text").alias("at"))
+    right = texts.select(F.col("digest").alias("b"), F.col("text").alias("bt")).join(parts, "b").select("b", "bt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    both = dealt.join(left, "a").join(right, ["b", "part"])
+    return both.withColumn("sim", similarity("at", "bt")).where(F.col("sim") >= threshold).select("a", "b")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -219,7 +214,9 @@ def _classified(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
     lead = shared.groupBy("key").agg(F.max(F.struct("reach", "digest")).alias("m"), F.min(F.struct(F.xxhash64("digest", "key").alias("h"), F.col("digest").alias("d"))).alias("r"))
     buckets = written(shared.join(lead.select("key", F.array_distinct(F.array("m.digest", "r.d")).alias("leads")), "key").select("key", "n", "digest", "leads"), "buckets")
     led = buckets.select("digest", F.explode("leads").alias("lead")).where(F.col("digest") != F.col("lead"))
-    first = written(led.select(F.least("digest", "lead").alias("a"), F.greatest("digest", "lead").alias("b")).distinct(), "pairs")
+    # two leaders may be led by each other: such a pair counts once
+    once = led.groupBy(F.least("digest", "lead"), F.greatest("digest", "lead")).agg(F.max("lead").alias("b"), F.min("digest").alias("x"), F.max("digest").alias("y"))
+    first = written(once.select(F.when(F.col("x") == F.col("b"), F.col("y")).otherwise(F.col("x")).alias("a"), "b"), "pairs")
     need = buckets.select("digest").distinct().join(exact.select("digest", "low"), "digest")
     # one text of each digest: by id and digest, which spreads copies and null ids alike
     rows = docs.select(F.col("doc_id").alias("own"), F.col("text").cast("string").alias("text"), digest_of(F.col("text")).alias("d"))
@@ -235,7 +232,7 @@ def _classified(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
     # and, of those whose bucket is large, all that can reach the threshold, by a prefix filter
     open_keys = member.where(F.col("n") > SMALL).groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     large = written(member.join(open_keys, "key", "left_semi").select("digest", "c").distinct(), "large")
-    rest = near.unionByName(_apart_pairs(prefixes(large.join(texts, "digest"), threshold), threshold)).distinct().join(first, ["a", "b"], "left_anti")
+    rest = near.unionByName(_apart_pairs(prefixes(large.join(texts, "digest"), threshold), threshold)).distinct().join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = written(_verified(rest, texts, threshold), "links")
     joined = components(joined.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = exact.select("digest", "low").join(joined.withColumnRenamed("id", "digest"), "digest", "left").withColumn("c", F.coalesce("component", "digest"))

@@ -208,9 +208,9 @@ def plain_scores(rows):
         h, leaf = [int(x) for x in h], [int(x) for x in leaf]
         for k in range(int(n[0])):
             one, two = h[k - 1] if k > 0 else 0, h[k - 2] if k > 1 else 0
-            f = [("last", leaf[k - 1] if k > 0 else 256), ("skip", leaf[k - 2] if k > 1 else 256), ("word", mix(one) >> (64 - maxent.BITS)), ("pair", mix(one * 3 + mix(two)) >> (64 - maxent.BITS))]
+            f = [("last", leaf[k - 1] if k > 0 else 256), ("skip", leaf[k - 2] if k > 1 else 256), ("word", mix(one) >> (64 - maxent.LEAST_BITS)), ("pair", mix(one * 3 + mix(two)) >> (64 - maxent.LEAST_BITS))]
             c = leaf[k] // 16
-            g = [(f"part {name}", x * 16 + c if name in ("last", "skip") else mix(x * 16 + c) >> (63 - maxent.BITS)) for name, x in f]
+            g = [(f"part {name}", x * 16 + c if name in ("last", "skip") else mix(x * 16 + c) >> (63 - maxent.LEAST_BITS)) for name, x in f]
             yield h[k], leaf[k], f, g
 
     w: dict = {}
