@@ -60,18 +60,19 @@ def contact_sheet(spark, d):
     return R.contact_sheet(frames(spark, d), 8, 8, 12)
 
 
-_PAIR = f"""{_FRAMES}, a AS (SELECT seq_id, frame_idx, data FROM f WHERE seq_id < 5), b AS (SELECT seq_id - 5 AS seq_id, frame_idx, data FROM f WHERE seq_id >= 5 AND seq_id < 10),
+_PAIR = f"""{_FRAMES}, a AS (SELECT seq_id // 2 AS seq_id, frame_idx, data FROM f WHERE seq_id % 2 = 0), b AS (SELECT seq_id // 2 AS seq_id, frame_idx, data FROM f WHERE seq_id % 2 = 1),
 na AS (SELECT seq_id, count(*) AS n FROM a GROUP BY 1)"""
-_SHOW = "SELECT seq_id, frame_idx, round(data[1], 6) AS first, round(data[33], 6) AS middle, round(data[64], 6) AS last FROM "
+_SHOW = "SELECT seq_id, frame_idx, CAST(i AS INTEGER) AS i, round(data[i + 1], 6) AS v FROM range(64) AS r(i), "
 
 
 def _pair(spark, d):
     f = frames(spark, d).select("seq_id", "frame_idx", "data")
-    return f.where("seq_id < 5"), f.where("seq_id >= 5 AND seq_id < 10").withColumn("seq_id", F.col("seq_id") - 5)
+    half = F.floor(F.col("seq_id") / 2).cast("long")
+    return f.where("seq_id % 2 = 0").withColumn("seq_id", half), f.where("seq_id % 2 = 1").withColumn("seq_id", half)
 
 
 def _show(df):
-    return df.select("seq_id", "frame_idx", *[F.round(F.element_at("data", k), 6).alias(n) for k, n in ((1, "first"), (33, "middle"), (64, "last"))])
+    return df.select("seq_id", "frame_idx", F.posexplode("data").alias("i", "v")).withColumn("v", F.round("v", 6))
 
 
 @query(f"WITH {_PAIR}, o AS (SELECT a.* FROM a JOIN na USING (seq_id) WHERE frame_idx < n - 8 UNION ALL SELECT seq_id, frame_idx + n - 8, data FROM b JOIN na USING (seq_id)) {_SHOW} o")
@@ -172,7 +173,7 @@ def colour_matched_frames(spark, d):
     f = frames(spark, d).select("seq_id", "frame_idx", "data")
     ref = f.where("frame_idx = 0").select("seq_id", F.col("data").alias("ref"))
     m = S.match_frames(f, f.join(ref, "seq_id").select("seq_id", "frame_idx", "ref"), "mkl", 0.7)
-    return m.select("seq_id", "frame_idx", F.round(F.element_at("data", 1), 6).alias("first"))
+    return _show(m)
 
 
 @query()
@@ -204,41 +205,41 @@ def latent_compare(spark, d):
 
 @query(f"""WITH {_LAG}, m AS (SELECT seq_id, count(*)::DOUBLE AS s0, sum(x) AS s1, sum(x*x) AS s2, sum(x*x*x) AS s3, sum(x*x*x*x) AS s4, sum(y) AS t0, sum(x*y) AS t1, sum(x*x*y) AS t2 FROM e GROUP BY 1),
 q AS (SELECT seq_id, s4*(s2*s0-s1*s1) - s3*(s3*s0-s1*s2) + s2*(s3*s1-s2*s2) AS w, t2*(s2*s0-s1*s1) - s3*(t1*s0-s1*t0) + s2*(t1*s1-s2*t0) AS w2, s4*(t1*s0-s1*t0) - t2*(s3*s0-s1*s2) + s2*(s3*t0-t1*s2) AS w1, s4*(s2*t0-t1*s1) - s3*(s3*t0-t1*s2) + t2*(s3*s1-s2*s2) AS w0 FROM m)
-SELECT seq_id, round(w2 / w, 4) AS c2, round(w1 / w, 4) AS c1, round(w0 / w, 4) AS c0 FROM q""")
+SELECT seq_id, round(w2 / w, 4) + 0.0 AS c2, round(w1 / w, 4) + 0.0 AS c1, round(w0 / w, 4) + 0.0 AS c0 FROM q""")
 def latent_quadratic(spark, d):
     """Parabola through neighbouring latents."""
-    return L.quadratic(_elements(spark, d), ["seq_id"]).select("seq_id", *[F.round(c, 4).alias(c) for c in ("c2", "c1", "c0")])
+    return L.quadratic(_elements(spark, d), ["seq_id"]).select("seq_id", *[(F.round(c, 4) + 0.0).alias(c) for c in ("c2", "c1", "c0")])
 
 
 _PARAMS = "VALUES " + ", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE)" for i, (a, b) in enumerate(L.CHANNEL_PARAMS))
 
 
-@query(f"WITH p(ch, a, b) AS ({_PARAMS}) SELECT vec_id, ch, round(CAST(embedding[ch + 17] AS DOUBLE) * a + b, 6) AS v FROM embeddings, p")
+@query(f"WITH p(ch, a, b) AS ({_PARAMS}) SELECT vec_id, CAST(i AS INTEGER) AS i, round(CAST(embedding[i + 1] AS DOUBLE) * a + b, 6) + 0.0 AS v FROM embeddings, range(64) AS r(i), p WHERE p.ch = i % 16")
 def latent_convert_fixed(spark, d):
-    """Latents under the fixed affine map, elements 16 to 31."""
+    """Latents under the fixed affine map."""
     e = table(spark, d, "embeddings").select("vec_id", L.convert_fixed(F.transform("embedding", lambda v: v.cast("double")), 16).alias("c"))
-    return e.select("vec_id", F.posexplode(F.slice("c", 17, 16)).alias("ch", "v")).withColumn("v", F.round("v", 6))
+    return e.select("vec_id", F.posexplode("c").alias("i", "v")).withColumn("v", F.round("v", 6) + 0.0)
 
 
-@query(f"WITH p(ch, a, b) AS ({_PARAMS}) SELECT vec_id, ch, round((CAST(embedding[ch + 1] AS DOUBLE) - b) / a, 6) AS v FROM embeddings, p")
+@query(f"WITH p(ch, a, b) AS ({_PARAMS}) SELECT vec_id, CAST(i AS INTEGER) AS i, round((CAST(embedding[i + 1] AS DOUBLE) - b) / a, 6) + 0.0 AS v FROM embeddings, range(64) AS r(i), p WHERE p.ch = i % 16")
 def latent_convert_inverse(spark, d):
-    """Latents under the inverse map, elements 0 to 15."""
+    """Latents under the inverse map."""
     e = table(spark, d, "embeddings").select("vec_id", L.convert_fixed(F.transform("embedding", lambda v: v.cast("double")), 16, inverse=True).alias("c"))
-    return e.select("vec_id", F.posexplode(F.slice("c", 1, 16)).alias("ch", "v")).withColumn("v", F.round("v", 6))
+    return e.select("vec_id", F.posexplode("c").alias("i", "v")).withColumn("v", F.round("v", 6) + 0.0)
 
 
-@query("SELECT vec_id, round((CAST(embedding[1] AS DOUBLE) + 0.224886) / 1.868329 * 0.752230 - 0.084378, 6) AS v0, round((CAST(embedding[64] AS DOUBLE) + 0.224886) / 1.868329 * 0.752230 - 0.084378, 6) AS v63 FROM embeddings")
+@query("SELECT vec_id, CAST(i AS INTEGER) AS i, round((CAST(embedding[i + 1] AS DOUBLE) + 0.224886) / 1.868329 * 0.752230 - 0.084378, 6) + 0.0 AS v FROM embeddings, range(64) AS r(i)")
 def latent_convert_normalize(spark, d):
     """Latents standardised in one space and spread out in the other."""
     e = table(spark, d, "embeddings").select("vec_id", L.convert_normalised(F.transform("embedding", lambda v: v.cast("double"))).alias("c"))
-    return e.select("vec_id", F.round(F.element_at("c", 1), 6).alias("v0"), F.round(F.element_at("c", 64), 6).alias("v63"))
+    return e.select("vec_id", F.posexplode("c").alias("i", "v")).withColumn("v", F.round("v", 6) + 0.0)
 
 
-@query(f"WITH {_LAG}, p AS (SELECT i % 16 AS ch, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM e GROUP BY 1) SELECT seq_id, vec_id, CAST(i AS INTEGER) AS i, round(a * x + b, 6) AS v FROM e JOIN p ON p.ch = e.i % 16 WHERE i < 16")
+@query(f"WITH {_LAG}, p AS (SELECT i % 16 AS ch, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM e GROUP BY 1) SELECT seq_id, vec_id, CAST(i AS INTEGER) AS i, round(a * x + b, 6) + 0.0 AS v FROM e JOIN p ON p.ch = e.i % 16")
 def latent_convert_learned(spark, d):
     """Latents under the line fitted to each channel."""
     e = _elements(spark, d)
-    return L.apply_params(e, L.learned_params(e, 16), 16).where("i < 16").select("seq_id", "vec_id", "i", F.round("converted", 6).alias("v"))
+    return L.apply_params(e, L.learned_params(e, 16), 16).select("seq_id", "vec_id", "i", (F.round("converted", 6) + 0.0).alias("v"))
 
 
 @query("SELECT CAST(label AS BIGINT) AS list_id, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS b, CASE WHEN vec_id % 5 = 0 THEN vec_id ELSE row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 END AS batch_index FROM embeddings")
@@ -248,10 +249,10 @@ def latent_batching(spark, d):
     return L.to_batch(rows, ["vec_id"]).select("list_id", "vec_id", "b", "batch_index")
 
 
-@query(f"WITH {_FRAMES}, m AS (SELECT seq_id, min(data[1]) AS lo, max(data[1]) AS hi FROM f GROUP BY 1) SELECT seq_id, frame_idx, round((data[1] - lo) / greatest(hi - lo, 1e-8), 6) AS v FROM f JOIN m USING (seq_id)")
+@query(f"WITH {_FRAMES}, x AS (SELECT seq_id, frame_idx, CAST(i AS INTEGER) AS i, data[i + 1] AS p FROM f, range(64) AS r(i)), m AS (SELECT seq_id, min(p) AS lo, max(p) AS hi FROM x GROUP BY 1) SELECT seq_id, frame_idx, i, round((p - lo) / greatest(hi - lo, 1e-8), 6) AS v FROM x JOIN m USING (seq_id)")
 def normalize_to_scale(spark, d):
-    """First pixels rescaled to [0, 1] in each sequence."""
-    rows = frames(spark, d).select("seq_id", "frame_idx", F.element_at("data", 1).alias("v"))
+    """Pixels rescaled to [0, 1] in each sequence."""
+    rows = frames(spark, d).select("seq_id", "frame_idx", F.posexplode("data").alias("i", "v"))
     return L.rescale(rows, ["seq_id"], "v").withColumn("v", F.round("v", 6))
 
 
@@ -295,10 +296,10 @@ def feather_merge(spark, d):
 
 
 @query(f"""WITH {_FRAMES}, p AS (SELECT *, lead(data) OVER (PARTITION BY seq_id ORDER BY frame_idx) AS nxt FROM f)
-SELECT seq_id, frame_idx * 3 + k AS frame_idx, round(CASE WHEN k = 0 THEN data[1] ELSE (1 - k / 3.0::DOUBLE) * data[1] + k / 3.0::DOUBLE * nxt[1] END, 6) AS first FROM p, range(3) AS r(k) WHERE k = 0 OR nxt IS NOT NULL""")
+SELECT seq_id, frame_idx * 3 + k AS frame_idx, CAST(i AS INTEGER) AS i, round(CASE WHEN k = 0 THEN data[i + 1] ELSE (1 - k / 3.0::DOUBLE) * data[i + 1] + k / 3.0::DOUBLE * nxt[i + 1] END, 6) AS v FROM p, range(3) AS r(k), range(64) AS s(i) WHERE k = 0 OR nxt IS NOT NULL""")
 def interp_time_grid(spark, d):
     """Two frames put between each two neighbours."""
-    return R.interpolate(frames(spark, d).select("seq_id", "frame_idx", "data"), 3).select("seq_id", "frame_idx", F.round(F.element_at("data", 1), 6).alias("first"))
+    return _show(R.interpolate(frames(spark, d).select("seq_id", "frame_idx", "data"), 3))
 
 
 @query("""WITH n AS (SELECT CAST(label AS BIGINT) AS seq_id, count(*) AS n FROM embeddings GROUP BY 1), w AS (SELECT *, unnest(range(1 + greatest(0, CAST(ceil((n - 21) / 16) AS BIGINT)))) AS loop FROM n)

@@ -76,37 +76,37 @@ def merge_turns_zip_longest(spark, d):
     return lists.merge_lists(*_sides(spark, d), " / ")
 
 
-@query(f"""WITH {_SIDES} SELECT nu.list_id, CAST(g.pos AS INTEGER) AS pos, length(u.value) AS a, length(a.value) AS b FROM nu JOIN na USING (list_id), unnest(range(greatest(nu.n, na.n))) AS g(pos)
+@query(f"""WITH {_SIDES} SELECT nu.list_id, CAST(g.pos AS INTEGER) AS pos, u.value AS a, a.value AS b FROM nu JOIN na USING (list_id), unnest(range(greatest(nu.n, na.n))) AS g(pos)
   JOIN u ON u.list_id = nu.list_id AND u.pos = least(g.pos, nu.n - 1) JOIN a ON a.list_id = nu.list_id AND a.pos = least(g.pos, na.n - 1)""")
 def zip_repeat_last(spark, d):
     """User and assistant turns, the shorter side's last turn repeated."""
-    return _lengths(lists.zip_repeat_last(*_sides(spark, d)))
+    return _paired(lists.zip_repeat_last(*_sides(spark, d)))
 
 
-def _lengths(df):
-    return df.select("list_id", F.col("pos").cast("int").alias("pos"), F.length("a").cast("long").alias("a"), F.length("b").cast("long").alias("b"))
+def _paired(df):
+    return df.select("list_id", F.col("pos").cast("int").alias("pos"), "a", "b")
 
 
-@query(f"WITH {_SIDES} SELECT u.list_id, CAST(u.pos AS INTEGER) AS pos, length(u.value) AS a, length(a.value) AS b FROM u JOIN na USING (list_id) JOIN a ON a.list_id = u.list_id AND a.pos = u.pos % na.n")
+@query(f"WITH {_SIDES} SELECT u.list_id, CAST(u.pos AS INTEGER) AS pos, u.value AS a, a.value AS b FROM u JOIN na USING (list_id) JOIN a ON a.list_id = u.list_id AND a.pos = u.pos % na.n")
 def zip_modulo(spark, d):
     """User turns with assistant turns used cyclically."""
-    return _lengths(lists.zip_modulo(*_sides(spark, d)))
+    return _paired(lists.zip_modulo(*_sides(spark, d)))
 
 
-@query(f"WITH {_SIDES}, s AS (SELECT list_id FROM nu JOIN na USING (list_id) WHERE nu.n = na.n) SELECT u.list_id, CAST(u.pos AS INTEGER) AS pos, length(u.value) AS a, length(a.value) AS b FROM u JOIN s USING (list_id) JOIN a ON a.list_id = u.list_id AND a.pos = u.pos")
+@query(f"WITH {_SIDES}, s AS (SELECT list_id FROM nu JOIN na USING (list_id) WHERE nu.n = na.n) SELECT u.list_id, CAST(u.pos AS INTEGER) AS pos, u.value AS a, a.value AS b FROM u JOIN s USING (list_id) JOIN a ON a.list_id = u.list_id AND a.pos = u.pos")
 def zip_strict(spark, d):
     """Turns of conversations with as many user as assistant turns."""
     u, a = _sides(spark, d)
     same = lists.counts(u, "n").join(lists.counts(a, "m"), "list_id").where("n = m").select("list_id")
-    return _lengths(lists.zip_strict(u.join(same, "list_id"), a.join(same, "list_id")))
+    return _paired(lists.zip_strict(u.join(same, "list_id"), a.join(same, "list_id")))
 
 
-@query(f"WITH {_SIDES} SELECT u.list_id, CAST(u.pos AS INTEGER) AS pos, length(u.value) AS a, length(a.value) AS b FROM u JOIN a ON a.list_id = u.list_id AND a.pos = 0")
+@query(f"WITH {_SIDES} SELECT u.list_id, CAST(u.pos AS INTEGER) AS pos, u.value AS a, a.value AS b FROM u JOIN a ON a.list_id = u.list_id AND a.pos = 0")
 def broadcast_ref(spark, d):
     """Every user turn with the first assistant turn of its conversation as the one reference."""
     u, a = _sides(spark, d)
     ref = lists.pick(a, 0)
-    return _lengths(lists.broadcast_one_or_all(u.join(ref.select("list_id"), "list_id"), ref))
+    return _paired(lists.broadcast_one_or_all(u.join(ref.select("list_id"), "list_id"), ref))
 
 
 @query("""WITH k AS (SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'left' ELSE 'both' END AS side FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)
