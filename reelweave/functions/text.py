@@ -24,23 +24,65 @@ MAN_WORDS = ["man", "men", "male", "guy", "bloke", "dude"]
 _BLANK = r"[\s\x1c-\x1f\x85\p{Z}]+"
 
 
-def clean_text(text: Column, rounds: int = 3) -> Column:
-    """Punctuation spaced, runs of punctuation reduced, adjacent equal words merged, blanks trimmed.
+def bound(value: Column, f) -> Column:
+    """f(value), with the value computed once however often f refers to it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
-    The rules depend on their order and are repeated to a fixed point: three rounds in each of two
-    passes reach it on every text tried.  Each step refers to the one before once, so the expression
-    grows by a constant with each.
+
+#: What a round changes: a rule's match, blanks that are not single spaces, a blank at an end, equal words side by side.
+_TWO_MARKS = "[.,] ?[.,]"
+_EQUAL_WORDS = r"(?<!\S)(\S++)(?: \1)+(?!\S)"
+_UNDONE = rf"```| {{2,}}|{_TWO_MARKS}|[\s\x1c-\x1f\x85\p{{Z}}&&[^ ]]|^ | $|{_EQUAL_WORDS}"
+#: A full stop or a comma that spacing would still part from what follows.
+_UNSPACED = r"(?U)(?<!\d)\.(?![\d ]|$)|,(?! |$)"
+
+
+def _round(text: Column) -> Column:
+    """The rules, blanks and equal words once.  All rules but the first two need two marks side by side."""
+    (ticks, stop), (blanks, blank), *marks = CLEANING_RULES
+    text = F.regexp_replace(F.replace(text, F.lit(ticks), F.lit(stop)), blanks, blank)
+
+    def reduced(t):
+        done = t
+        for pattern, new in marks:
+            done = F.regexp_replace(done, pattern, new)
+        return F.when(t.rlike(_TWO_MARKS), done).otherwise(t)
+
+    text = F.regexp_replace(F.regexp_replace(bound(text, reduced), _BLANK, " "), "^ | $", "")
+    return F.regexp_replace(text, _EQUAL_WORDS, "$1")
+
+
+def _settled(text: Column) -> Column:
+    """Rounds until one would change nothing.
+
+    A round that changes anything shortens the text (but for the first, which is always made), so there
+    are fewer than it has characters; those after the last change only look at a flag.
     """
-    for _ in range(2):
-        text = F.regexp_replace(text, r"(?U)(?<!\d)\.(?!\d)", ". ")
-        text = F.replace(F.replace(text, F.lit(","), F.lit(", ")), F.lit("\n"), F.lit(". "))
-        text = F.replace(F.replace(text, F.lit("\r"), F.lit("")), F.lit("\t"), F.lit(", "))
-        for _ in range(rounds):
-            for pattern, new in CLEANING_RULES:
-                text = F.regexp_replace(text, pattern, new)
-            text = F.regexp_replace(F.regexp_replace(text, _BLANK, " "), "^ | $", "")
-            text = F.regexp_replace(text, r"(?<=^| )(\S+)(?: \1)+(?= |$)", "$1")
-    return text
+
+    def step(state, _):
+        open_ = F.struct(_round(state["t"]).alias("t"), F.lit(False).alias("done"))
+        return F.when(state["done"], state).when(state["t"].rlike(_UNDONE), open_).otherwise(F.struct(state["t"].alias("t"), F.lit(True).alias("done")))
+
+    def rest(t):
+        start = F.struct(t.alias("t"), F.lit(False).alias("done"))
+        return F.when(t.rlike(_UNDONE), F.aggregate(F.sequence(F.lit(0), F.length(t)), start, step)["t"]).otherwise(t)
+
+    return bound(_round(text), rest)
+
+
+def clean_text(text: Column) -> Column:
+    """Punctuation spaced, runs of punctuation reduced, adjacent equal words merged, blanks trimmed; twice.
+
+    The rules depend on their order and are repeated until nothing changes.  On a settled text whose marks
+    are all spaced the second pass adds blanks only and takes them away again, so it is left out there.
+    """
+
+    def once(t):
+        t = F.regexp_replace(t, r"(?U)(?<!\d)\.(?!\d)", ". ")
+        t = F.replace(F.replace(t, F.lit(","), F.lit(", ")), F.lit("\n"), F.lit(". "))
+        return _settled(F.replace(F.replace(t, F.lit("\r"), F.lit("")), F.lit("\t"), F.lit(", ")))
+
+    return bound(once(text), lambda t: F.when(t.rlike(_UNSPACED), once(t)).otherwise(t))
 
 
 def literal(delimiter: str) -> str:

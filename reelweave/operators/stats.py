@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelweave.functions.text import bound
+
 LUMA = (0.299, 0.587, 0.114)
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 
@@ -83,37 +85,40 @@ def nearest_reference(signatures: DataFrame, first: int) -> DataFrame:
     return pairs.groupBy("seq_id", "frame_idx").agg(best).select("seq_id", "frame_idx", "b.ref_idx", "b.distance")
 
 
-def _hist64(values: Column) -> Column:
-    """Shares of 64 bins of [0, 1]."""
-    bins = F.transform(values, lambda v: F.when(v.between(0, 1), F.least(F.floor(v * 64), F.lit(63)).cast("int")))
-    inside = F.size(F.filter(bins, lambda b: b.isNotNull())) + F.lit(1e-8)
-    return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.size(F.filter(bins, lambda x: x == b)) / inside)
-
-
-def _column_means(plane: Column, h: int, w: int) -> Column:
-    """Mean of each column of a plane."""
-    mean = lambda x: F.aggregate(F.filter(plane, lambda _, i: i % w == x), F.lit(0.0), lambda s, v: s + v) / h
-    return F.transform(F.sequence(F.lit(0), F.lit(w - 1)), mean)
-
-
 def scene_change(frames: DataFrame, h: int, w: int, c: int = 1) -> DataFrame:
     """(seq_id, frame_idx, score) against the frame before; null for the first one.
 
-    Means are taken for each column of the picture, as the comparison does that this follows.
+    Means are taken for each column of the picture, as the comparison does that this follows.  Each value
+    adds to two cells of its frame, a histogram bin and a column: values are exploded and summed on the
+    map side, so the shuffles carry cells, not pixels.
     """
     data = F.col("data")
     planes = {"rgb": [channel(data, c, k) for k in range(c)], "lab": pseudo_lab(data, c)}
-    rows = frames.select("seq_id", "frame_idx", *[F.array(*v).alias(k) for k, v in planes.items()])
-    for k in planes:
-        rows = rows.withColumns({f"{k}_hist": _hist64(F.flatten(k)), f"{k}_mean": F.flatten(F.transform(k, lambda p: _column_means(p, h, w)))})
+    numbered = [(kind, plane) for kind, some in enumerate(planes.values()) for plane in some]
+    cell = lambda at, v: F.struct(at.cast("int").alias("cell"), v.cast("double").alias("v"))
+
+    def of_plane(p, kind, plane):
+        column = F.transform(plane, lambda v, i: cell(128 + p * w + i % w, v))
+        bins = F.transform(plane, lambda v: F.when(v.between(0, 1), cell(64 * kind + F.least(F.floor(v * 64), F.lit(63)), F.lit(1.0))))
+        return F.concat(column, F.filter(bins, lambda x: x.isNotNull()))
+
+    empty = F.transform(F.sequence(F.lit(0), F.lit(127)), lambda b: cell(b, F.lit(0.0)))
+    cells = frames.select("seq_id", "frame_idx", F.explode(F.concat(empty, *[of_plane(p, *kp) for p, kp in enumerate(numbered)])).alias("x"))
+    summed = cells.groupBy("seq_id", "frame_idx", F.col("x.cell").alias("cell")).agg(F.sum("x.v").alias("v"))
+    rows = summed.groupBy("seq_id", "frame_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "v"))), lambda x: x["v"]).alias("cells"))
+    first = 129
+    for kind, (name, some) in enumerate(planes.items()):
+        share = bound(F.slice("cells", 64 * kind + 1, 64), lambda counts: F.transform(counts, lambda n: n / (F.aggregate(counts, F.lit(0.0), lambda s, v: s + v) + F.lit(1e-8))))
+        rows = rows.withColumns({f"{name}_hist": share, f"{name}_mean": F.transform(F.slice("cells", first, len(some) * w), lambda v: v / h)})
+        first += len(some) * w
     win = Window.partitionBy("seq_id").orderBy("frame_idx")
     scores = []
     for k in planes:
         hist, mean = F.col(f"{k}_hist"), F.col(f"{k}_mean")
         gap = 0.7 * (0.5 * _l1(hist, F.lag(hist).over(win))) + 0.3 * (_l1(mean, F.lag(mean).over(win)) / F.size(mean))
         scores.append(F.least(gap, F.lit(1.0)))
-    first = F.lag("frame_idx").over(win).isNull()
-    return rows.select("seq_id", "frame_idx", F.when(~first, F.greatest(*scores) * 20).alias("score"))
+    start = F.lag("frame_idx").over(win).isNull()
+    return rows.select("seq_id", "frame_idx", F.when(~start, F.greatest(*scores) * 20).alias("score"))
 
 
 def adaptive_strength(score: Column, threshold: float, strength: float) -> Column:
