@@ -164,6 +164,22 @@ def json_values(text: Column) -> Column:
     return F.map_values(F.from_json(text, "map<string,string>"))
 
 
+def json_items(text: Column) -> Column:
+    """Array of texts: the items of a JSON list, the values of an object, or a scalar alone.
+
+    True, False and None stand for JSON's literals, nested values stay JSON, and what is no JSON is one
+    text as it is; null gives null.
+    """
+
+    def shown(v):
+        kind, s = F.schema_of_variant(v), F.variant_get(v, "$", "string")
+        return F.when(v.isNull() | (kind == "VOID"), "None").when(kind == "BOOLEAN", F.initcap(s)).otherwise(s)
+
+    listed = F.when(text.rlike(r"^\s*\["), F.from_json(text, "array<variant>")).when(text.rlike(r"^\s*\{"), F.map_values(F.from_json(text, "map<string,variant>")))
+    scalar = bound(F.try_parse_json(text), lambda v: F.when(v.isNotNull(), shown(v)).otherwise(text))
+    return F.when(text.isNotNull(), F.coalesce(F.transform(listed, shown), F.array(scalar)))
+
+
 def to_boolean(text: Column, number: Column | None = None, invert: bool = False) -> Column:
     """Whether anything is left of a value once read as JSON; the strings "0" and "false" count as text.
 

@@ -48,6 +48,14 @@ def reduce_fps(frames: DataFrame, origin_fps: float, result_fps: float, keep_las
     return joined.withColumn("frame_idx", F.col("new_idx").cast("long")).drop("new_idx")
 
 
+def bytes_estimate(shape: list[Column], element: int = 4) -> Column:
+    """Bytes of frames of a shape before they are read; null where a side is unknown."""
+    size = F.lit(element).cast("long")
+    for side in shape:
+        size = size * side
+    return size
+
+
 def preview(frames: DataFrame, most: int, stride: bool = True) -> DataFrame:
     """At most ``most`` frames: the first ones, or every ceil(n / most)-th; a negative number takes all."""
     if most < 0:

@@ -100,6 +100,27 @@ def to_list(batch: DataFrame) -> DataFrame:
     return batch.withColumn("pos", F.col("b")).withColumn("b", F.lit(0).cast("long"))
 
 
+def split_batches(latents: DataFrame) -> DataFrame:
+    """(latent_id, item, samples, noise_mask, batch_index): a row for each item of batched latents.
+
+    A single mask serves all items, and the last mask or index those behind it; without any they are null.
+    """
+    rows = latents.select("latent_id", "noise_mask", "batch_index", F.posexplode("samples").alias("item", "samples"))
+    last = lambda c: F.least(F.col("item"), F.size(c) - 1)
+    return rows.select("latent_id", "item", "samples", *[F.when(F.size(c) > 0, F.get(F.col(c), last(c))).alias(c) for c in ("noise_mask", "batch_index")])
+
+
+def merge_outputs(items: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Items of a key as one batch: indices count through, masks stay where every item has one.
+
+    A key's only item stays as it is.
+    """
+    w = Window.partitionBy(*keys)
+    n, masked = F.count("*").over(w), F.count("noise_mask").over(w)
+    at = (F.row_number().over(w.orderBy(*order)) - 1).cast("long")
+    return items.withColumns({"batch_index": F.when(n == 1, F.col("batch_index")).otherwise(at), "noise_mask": F.when(masked == n, F.col("noise_mask"))})
+
+
 def rescale(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """value moved to [0, 1] by the least and the largest of its group."""
     m = rows.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))

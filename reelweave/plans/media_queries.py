@@ -111,12 +111,14 @@ s AS (SELECT seq_id, frame_idx, avg(v) AS mean, stddev_samp(v) AS std, [quantile
  [{", ".join(f"count(*) FILTER (WHERE v BETWEEN 0 AND 1 AND least(floor(v * 16), 15) = {k}) / (count(*) FILTER (WHERE v BETWEEN 0 AND 1) + 1e-8)" for k in range(16))}] AS hist FROM px GROUP BY 1, 2)"""
 
 
-@query(f"WITH {_SIG} SELECT seq_id, frame_idx, round(mean, 6) AS mean, round(std, 6) AS std, round(pct[1], 6) AS p10, round(pct[3], 6) AS p50, round(pct[5], 6) AS p90, round(hist[5], 6) AS h4, round(hist[9], 6) AS h8 FROM s")
+_SHOWN = {"p10": ("pct", 1), "p25": ("pct", 2), "p50": ("pct", 3), "p75": ("pct", 4), "p90": ("pct", 5)} | {f"h{k}": ("hist", k + 1) for k in range(16)}
+
+
+@query(f"WITH {_SIG} SELECT seq_id, frame_idx, round(mean, 6) AS mean, round(std, 6) AS std, {', '.join(f'round({c}[{k}], 6) AS {n}' for n, (c, k) in _SHOWN.items())} FROM s")
 def brightness_signature(spark, d):
     """Luminance histogram, moments and quantiles of each frame."""
     s = S.signature(frames(spark, d))
-    at = lambda c, k: F.round(F.element_at(c, k), 6)
-    return s.select("seq_id", "frame_idx", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), at("pct", 1).alias("p10"), at("pct", 3).alias("p50"), at("pct", 5).alias("p90"), at("hist", 5).alias("h4"), at("hist", 9).alias("h8"))
+    return s.select("seq_id", "frame_idx", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), *[F.round(F.element_at(c, k), 6).alias(n) for n, (c, k) in _SHOWN.items()])
 
 
 _DIST = """0.6 * list_sum(list_transform(range(1, 17), lambda k: abs(a.hist[k] - b.hist[k]))) + 0.2 * abs(a.mean - b.mean) + 0.1 * abs(a.std - b.std)
@@ -422,3 +424,60 @@ def catalog_filter(spark, d):
     from reelweave.operators import registry
 
     return registry.options(registry.catalogue(spark), "geometry", 8).select("option", "name", "n_params", "n_required")
+
+
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_linenumber * 7 AS x, l_linenumber * 5 AS y, CAST(floor(l_quantity) AS INTEGER) AS q, l_partkey % 30 AS h FROM lineitem),
+s AS (SELECT *, [round_even(least(1, x / 64), 3), round_even(least(1, y / 48), 3), round_even(least(1, (x + q) / 64), 3), round_even(least(1, (y + h) / 48), 3)] AS one,
+ [round_even(1 / 64, 3), round_even(2 / 48, 3), round_even(least(1, q / 64), 3), round_even(least(1, l_linenumber * 40 / 48), 3)] AS two FROM b)
+SELECT l_orderkey, l_linenumber, l_partkey, array_to_string(one, ',') || ';' || array_to_string(two, ',') AS boxes, array_to_string(two, ',') AS second FROM s""")
+def bbox_texts(spark, d):
+    """Boxes of two frames, of both kinds, as texts: all, and the second alone."""
+    q, n = F.floor("l_quantity").cast("string"), F.col("l_linenumber")
+    text = F.format_string('[[{"x": %d, "y": %d, "width": %s, "height": %d}], [{"x1": 1, "y1": 2, "x2": %s, "y2": %d}]]', n * 7, n * 5, q, F.col("l_partkey") % 30, q, n * 40)
+    b = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", G.parse_boxes(text).alias("b"))
+    joined = lambda k: F.array_join(G.box_texts(F.col("b"), 64.0, 48.0, 3, k), ";")
+    return b.select("l_orderkey", "l_linenumber", "l_partkey", joined(-1).alias("boxes"), joined(1).alias("second"))
+
+
+@query(f"WITH {_FRAMES} SELECT seq_id, CAST(i AS INTEGER) AS i, round(max(abs(data[i + 1] - 0.5)), 6) AS v FROM f, range(64) AS r(i) GROUP BY 1, 2")
+def mask_union(spark, d):
+    """One mask for each sequence from all of its signed frames."""
+    f = frames(spark, d).withColumn("data", F.transform("data", lambda v: v - 0.5))
+    u = G.union_masks(f, ["seq_id"], "data").select("seq_id", F.posexplode("data").alias("i", "v"))
+    return u.withColumn("v", F.round("v", 6))
+
+
+@query("SELECT p_partkey, CAST(p_size AS BIGINT) * (p_partkey % 37 + 12) * 3 * 2 AS bytes FROM part")
+def frame_bytes(spark, d):
+    """Bytes of half-precision colour pictures of the parts' sizes."""
+    return table(spark, d, "part").select("p_partkey", R.bytes_estimate([F.col("p_size"), F.col("p_partkey") % 37 + 12, F.lit(3)], 2).alias("bytes"))
+
+
+_LATENTS = """l AS (SELECT vec_id, CAST(b AS INTEGER) AS item, CAST(i AS INTEGER) AS i, embedding[b * 16 + i + 1] AS v,
+ CASE vec_id % 3 WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN CASE WHEN b = 0 THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END END AS mask, CASE WHEN vec_id % 2 = 0 THEN CASE WHEN b = 0 THEN vec_id ELSE vec_id + 100 END END AS batch_index
+ FROM embeddings, range(4) AS q(b), range(16) AS r(i))"""
+
+
+def _latents(spark, d):
+    samples = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda b: F.slice("embedding", b * 16 + 1, 16))
+    one = lambda *v: F.array(*[F.array(F.lit(x)) for x in v])
+    masks = F.when(F.col("vec_id") % 3 == 1, one(1.0)).when(F.col("vec_id") % 3 == 2, one(0.25, 0.5))
+    index = F.when(F.col("vec_id") % 2 == 0, F.array(F.col("vec_id"), F.col("vec_id") + 100))
+    return L.split_batches(table(spark, d, "embeddings").select(F.col("vec_id").alias("latent_id"), samples.alias("samples"), masks.alias("noise_mask"), index.alias("batch_index")))
+
+
+def _elements(items):
+    rows = items.select(F.col("latent_id").alias("vec_id"), "item", F.posexplode("samples").alias("i", "v"), F.get("noise_mask", F.lit(0)).alias("mask"), "batch_index")
+    return rows.withColumn("v", F.round(F.col("v").cast("double"), 6))
+
+
+@query(f"WITH {_LATENTS} SELECT vec_id, item, i, round(CAST(v AS DOUBLE), 6) AS v, mask, batch_index FROM l")
+def latent_split(spark, d):
+    """Batches of four latents taken apart, with no mask, one or two and with fewer indices than items."""
+    return _elements(_latents(spark, d))
+
+
+@query(f"WITH {_LATENTS} SELECT vec_id, item, i, round(CAST(v AS DOUBLE), 6) AS v, mask, CAST(item AS BIGINT) AS batch_index FROM l")
+def latent_merge(spark, d):
+    """The same put together again: indices counted through."""
+    return _elements(L.merge_outputs(_latents(spark, d), ["latent_id"], ["item"]))

@@ -254,3 +254,14 @@ def random_prompts(spark, d):
 def character_mask_colors(spark, d):
     """Colour lists of eight characters."""
     return spark.range(8).select(F.col("id").cast("int").alias("i")).withColumn("colours", T.character_colours("character", F.col("i")))
+
+
+@query("""SELECT event_id, CAST(len(v) AS INTEGER) AS n, array_to_string(v, '|') AS value FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN json_extract_string(props, '$.*')
+ WHEN 1 THEN [CAST(user_id AS VARCHAR), event_type, 'True', 'None'] WHEN 2 THEN [user_id || '.5'] WHEN 3 THEN [event_type] ELSE ['False'] END AS v FROM events)""")
+def json_items_text(spark, d):
+    """Objects, lists, numbers, literals and plain words as lists of texts."""
+    user, kind = F.col("user_id").cast("string"), F.col("event_id") % 5
+    listed = F.concat(F.lit("["), user, F.lit(', "'), F.col("event_type"), F.lit('", true, null]'))
+    text = F.when(kind == 0, F.col("props")).when(kind == 1, listed).when(kind == 2, F.concat(user, F.lit(".5"))).when(kind == 3, F.col("event_type")).otherwise("false")
+    items = table(spark, d, "events").select("event_id", T.json_items(text).alias("v"))
+    return items.select("event_id", F.size("v").alias("n"), F.array_join("v", "|").alias("value"))

@@ -247,3 +247,19 @@ def test_corrected_streams_frames(spark):
                 x = np.clip(x + 0.8 * ((x - x.mean()) / max(x.std(), 1e-6) * ref.std() + ref.mean() - x), 0, 1)
             last.append(x)
             assert np.allclose(got[q, t], x)
+
+
+def test_json_items_of_any_text(spark):
+    want = {'{"b": 1, "a": null}': ["1", "None"], '["x", 2.5, false, {"k": 1}]': ["x", "2.5", "False", '{"k":1}'], "[]": [], "true": ["True"], "12": ["12"], '"q"': ["q"], "a [b": ["a [b"], "[1,": ["[1,"], "": [""], None: None}
+    df = spark.createDataFrame([(k,) for k in want], "t string")
+    assert {r.t: r.v for r in df.select("t", T.json_items(F.col("t")).alias("v")).collect()} == want
+
+
+def test_box_texts_like_plain_rounding(spark):
+    values = [0.0, 1e-06, 1.2e-05, 9.9e-05, 0.0001, 0.00099, 0.05, 0.5, 0.123456, 0.1, 1.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", G._number_text(F.col("v")).alias("s"))
+    assert [(r.v, r.s) for r in df.collect() if r.s != str(r.v)] == []
+    texts = {'{"x": 1, "y": 1, "width": 2, "height": 9}': ["0.25,0.25,0.75,1.0"], '[{"x1": 0, "y1": 0, "x2": 4, "y2": 1}]': ["0.0,0.0,1.0,0.25"], "[[[1, 2, 1, 1]], []]": ["0.25,0.5,0.5,0.75"], "[]": [], "": [], None: []}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.v for r in df.select("t", G.box_texts(G.parse_boxes(F.col("t")), 4.0, 4.0, 6).alias("v")).collect()} == texts
+    assert df.select(G.box_texts(G.parse_boxes(F.col("t")), 4.0, 4.0, 6, 3).alias("v")).where(F.size("v") > 0).count() == 0
