@@ -466,7 +466,7 @@ def _latents(spark, d):
     return L.split_batches(table(spark, d, "embeddings").select(F.col("vec_id").alias("latent_id"), samples.alias("samples"), masks.alias("noise_mask"), index.alias("batch_index")))
 
 
-def _elements(items):
+def _items_shown(items):
     rows = items.select(F.col("latent_id").alias("vec_id"), "item", F.posexplode("samples").alias("i", "v"), F.get("noise_mask", F.lit(0)).alias("mask"), "batch_index")
     return rows.withColumn("v", F.round(F.col("v").cast("double"), 6))
 
@@ -474,10 +474,10 @@ def _elements(items):
 @query(f"WITH {_LATENTS} SELECT vec_id, item, i, round(CAST(v AS DOUBLE), 6) AS v, mask, batch_index FROM l")
 def latent_split(spark, d):
     """Batches of four latents taken apart, with no mask, one or two and with fewer indices than items."""
-    return _elements(_latents(spark, d))
+    return _items_shown(_latents(spark, d))
 
 
 @query(f"WITH {_LATENTS} SELECT vec_id, item, i, round(CAST(v AS DOUBLE), 6) AS v, mask, CAST(item AS BIGINT) AS batch_index FROM l")
 def latent_merge(spark, d):
     """The same put together again: indices counted through."""
-    return _elements(L.merge_outputs(_latents(spark, d), ["latent_id"], ["item"]))
+    return _items_shown(L.merge_outputs(_latents(spark, d), ["latent_id"], ["item"]))
