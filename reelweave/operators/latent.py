@@ -80,9 +80,61 @@ def quadratic(elements: DataFrame, keys: list[str]) -> DataFrame:
     return m.select(*keys, *[F.try_divide(det([[right[r] if c == k else rows[r][c] for c in range(3)] for r in range(3)]), whole).alias(f"c{2 - k}") for k in range(3)])
 
 
+def channel_correlations(elements: DataFrame, keys: list[str], channels: int) -> DataFrame:
+    """(keys, ch, corr, mean_x, mean_y, std_x, std_y): x and y compared channel by channel, over all elements."""
+    by = elements.groupBy(*keys, (F.col("i") % channels).alias("ch"))
+    return by.agg(F.corr("x", "y").alias("corr"), *[f(c).alias(f"{name}_{c}") for name, f in (("mean", F.avg), ("std", F.stddev_samp)) for c in ("x", "y")])
+
+
+def mean_correlation(elements: DataFrame, keys: list[str], cells: list[str]) -> DataFrame:
+    """(keys, corr): correlation of the means that x and y have in each cell.
+
+    Cells of channel and place average over time and show the spatial pattern, cells of frame and
+    channel the temporal one.
+    """
+    means = elements.groupBy(*keys, *cells).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    return means.groupBy(*keys).agg(F.corr("x", "y").alias("corr"))
+
+
+def correlation_grade(corr: Column) -> Column:
+    """How far a line can carry one latent into the other."""
+    return F.when(F.abs(corr) > 0.9, "strong").when(F.abs(corr) > 0.7, "moderate").otherwise("weak")
+
+
+def conversion_errors(elements: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, method, error, mean_error, grade) of four ways from x to y.
+
+    'linear' and 'quadratic' are least-squares fits, 'normalise' carries mean and deviation over, 'range'
+    the least and the largest value.  A key without spread has null errors where a method divides by it.
+    """
+    moments = elements.groupBy(*keys).agg(
+        *[f(c).alias(f"_{name}_{c}") for c in ("x", "y") for name, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_samp))],
+        F.regr_slope("y", "x").alias("_slope"), F.regr_intercept("y", "x").alias("_intercept"),
+    )
+    fits = moments.join(quadratic(elements, keys), keys)
+    x, c = F.col("x"), F.col
+    converted = {
+        "linear": c("_slope") * x + c("_intercept"),
+        "normalise": F.try_divide(x - c("_mean_x"), c("_std_x")) * c("_std_y") + c("_mean_y"),
+        "quadratic": (c("c2") * x + c("c1")) * x + c("c0"),
+        "range": F.try_divide(x - c("_min_x"), c("_max_x") - c("_min_x")) * (c("_max_y") - c("_min_y")) + c("_min_y"),
+    }
+    gaps = elements.join(fits, keys).select(*keys, *[F.abs(v - F.col("y")).alias(name) for name, v in converted.items()])
+    sums = gaps.groupBy(*keys).agg(*[F.struct(F.lit(name).alias("method"), F.max(name).alias("error"), F.avg(name).alias("mean_error")).alias(name) for name in converted])
+    rows = sums.select(*keys, F.inline(F.array(*converted)))
+    error = F.col("error")
+    return rows.withColumn("grade", F.when(error < 0.001, "excellent").when(error < 0.01, "good").when(error < 0.1, "usable").when(error.isNotNull(), "poor"))
+
+
+def feasibility(error: Column) -> Column:
+    """Verdict on the least error that any method reaches."""
+    return F.when(error < 0.01, "excellent").when(error < 0.1, "moderate").when(error < 1.0, "poor").when(error.isNotNull(), "incompatible")
+
+
 def best_fit(errors: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, method, error): the method of least error, the first name on ties."""
-    return errors.groupBy(*keys).agg(F.min(F.struct("error", "method")).alias("m")).select(*keys, "m.method", "m.error")
+    """(keys, method, error): the method of least error, the first name on ties; methods without an error come last."""
+    least = F.struct(F.col("error").isNull().alias("none"), "error", "method")
+    return errors.groupBy(*keys).agg(F.min(least).alias("m")).select(*keys, "m.method", "m.error")
 
 
 def to_batch(parts: DataFrame, order: list[str]) -> DataFrame:

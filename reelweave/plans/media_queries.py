@@ -481,3 +481,131 @@ def latent_split(spark, d):
 def latent_merge(spark, d):
     """The same put together again: indices counted through."""
     return _items_shown(L.merge_outputs(_latents(spark, d), ["latent_id"], ["item"]))
+
+
+_BOTH = ["mean_x", "mean_y", "std_x", "std_y"]
+
+
+@query(f"""WITH {_LAG} SELECT seq_id, CAST(i % 16 AS INTEGER) AS ch, round(corr(x, y), 6) + 0.0 AS corr, round(avg(x), 6) + 0.0 AS mean_x, round(avg(y), 6) + 0.0 AS mean_y, round(stddev_samp(x), 6) AS std_x, round(stddev_samp(y), 6) AS std_y FROM e GROUP BY 1, 2""")
+def latent_channels(spark, d):
+    """Neighbouring latents compared channel by channel."""
+    c = L.channel_correlations(_elements(spark, d), ["seq_id"], 16)
+    return c.select("seq_id", "ch", *[(F.round(n, 6) + 0.0).alias(n) for n in ("corr", *_BOTH)])
+
+
+@query(f"""WITH {_LAG}, s AS (SELECT seq_id, i % 16 AS ch, i // 16 AS place, avg(x) AS x, avg(y) AS y FROM e GROUP BY ALL), t AS (SELECT seq_id, vec_id, i % 16 AS ch, avg(x) AS x, avg(y) AS y FROM e GROUP BY ALL),
+a AS (SELECT seq_id, corr(x, y) AS c FROM s GROUP BY 1), b AS (SELECT seq_id, corr(x, y) AS c FROM t GROUP BY 1), o AS (SELECT seq_id, corr(x, y) AS c FROM e GROUP BY 1)
+SELECT seq_id, round(a.c, 6) + 0.0 AS spatial, round(b.c, 6) + 0.0 AS temporal, CASE WHEN abs(o.c) > 0.9 THEN 'strong' WHEN abs(o.c) > 0.7 THEN 'moderate' ELSE 'weak' END AS grade FROM a JOIN b USING (seq_id) JOIN o USING (seq_id)""")
+def latent_patterns(spark, d):
+    """Correlations of neighbouring latents over places and over time, and a grade of the whole."""
+    e = _elements(spark, d).withColumns({"ch": F.col("i") % 16, "place": F.floor(F.col("i") / 16)})
+    of = lambda cells, name: L.mean_correlation(e, ["seq_id"], cells).select("seq_id", (F.round("corr", 6) + 0.0).alias(name))
+    whole = L.compare(e, ["seq_id"]).select("seq_id", L.correlation_grade(F.col("corr")).alias("grade"))
+    return of(["ch", "place"], "spatial").join(of(["vec_id", "ch"], "temporal"), "seq_id").join(whole, "seq_id")
+
+
+# Parabolas by elimination on centred powers, unlike the operator's determinants.
+_FITS = f"""WITH {_LAG}, m AS (SELECT seq_id, min(x) AS x0, max(x) AS x1, avg(x) AS mx, stddev_samp(x) AS sx, min(y) AS y0, max(y) AS y1, avg(y) AS my, stddev_samp(y) AS sy, regr_slope(y, x) AS a, regr_intercept(y, x) AS b,
+ covar_pop(x, x) AS xx, covar_pop(x, x * x) AS xq, covar_pop(x * x, x * x) AS qq, covar_pop(x, y) AS xy, covar_pop(x * x, y) AS qy, avg(x * x) AS mq FROM e GROUP BY 1),
+q AS (SELECT *, (qy * xx - xy * xq) / (qq * xx - xq * xq) AS c2, (xy * qq - qy * xq) / (qq * xx - xq * xq) AS c1 FROM m),
+g AS (SELECT seq_id, unnest([struct_pack(method := 'linear', gap := abs(a * x + b - y)), struct_pack(method := 'normalise', gap := abs((x - mx) / sx * sy + my - y)),
+ struct_pack(method := 'quadratic', gap := abs(c2 * x * x + c1 * x + my - c2 * mq - c1 * mx - y)), struct_pack(method := 'range', gap := abs((x - x0) / (x1 - x0) * (y1 - y0) + y0 - y))], recursive := true) FROM e JOIN q USING (seq_id)),
+r AS (SELECT seq_id, method, max(gap) AS error, avg(gap) AS mean_error FROM g GROUP BY 1, 2)"""
+
+
+@query(f"{_FITS} SELECT seq_id, method, round(error, 5) AS error, round(mean_error, 5) AS mean_error, CASE WHEN error < 0.001 THEN 'excellent' WHEN error < 0.01 THEN 'good' WHEN error < 0.1 THEN 'usable' ELSE 'poor' END AS grade FROM r")
+def latent_conversion_errors(spark, d):
+    """Errors of four ways from each sequence's latents to their neighbours."""
+    e = L.conversion_errors(_elements(spark, d), ["seq_id"])
+    return e.withColumns({c: F.round(c, 5) for c in ("error", "mean_error")})
+
+
+@query(f"{_FITS} SELECT seq_id, arg_min(method, error) AS method, round(min(error), 5) AS error, CASE WHEN min(error) < 0.01 THEN 'excellent' WHEN min(error) < 0.1 THEN 'moderate' WHEN min(error) < 1 THEN 'poor' ELSE 'incompatible' END AS verdict FROM r GROUP BY 1")
+def latent_best_fit(spark, d):
+    """The best of the four ways for each sequence."""
+    best = L.best_fit(L.conversion_errors(_elements(spark, d), ["seq_id"]), ["seq_id"])
+    return best.select("seq_id", "method", F.round("error", 5).alias("error"), L.feasibility(F.col("error")).alias("verdict"))
+
+
+_LIN = "list_transform({}, lambda c: CASE WHEN c > 0.04045 THEN pow((c + 0.055) / 1.055, 2.4) ELSE c / 12.92 END)"
+_NORM = "list_transform([{}], lambda v: CASE WHEN v > 0.008856 THEN pow(v, 1 / 3::DOUBLE) ELSE v * 7.787 + 4 / 29::DOUBLE END)"
+_CUBE = "CASE WHEN {0} > 0.2068966 THEN pow({0}, 3) ELSE ({0} - 4 / 29::DOUBLE) / 7.787 END"
+
+
+def _sum_sql(row, values, by: str = "") -> str:
+    return "(" + " + ".join(f"{k}::DOUBLE * {v}" for k, v in zip(row, values, strict=True)) + f"){by}"
+
+
+def _lab_sql(v: str) -> str:
+    return _NORM.format(", ".join(_sum_sql(row, [f"{v}[{k}]" for k in (1, 2, 3)], f" / {white}::DOUBLE") for row, white in zip(R._TO_XYZ, R._WHITE, strict=True)))
+
+
+_PERCEPTUAL = f"""WITH {_PAIR}, m AS (SELECT x.seq_id, x.frame_idx, j, x.data[3 * j + 1:3 * j + 3] AS p, y.data[3 * j + 1:3 * j + 3] AS q, (y.frame_idx + 1) / 9.0::DOUBLE AS t
+ FROM a x JOIN na ON na.seq_id = x.seq_id JOIN b y ON y.seq_id = x.seq_id AND y.frame_idx = x.frame_idx - (na.n - 8), range(21) AS s(j) WHERE y.frame_idx < 8),
+l AS (SELECT seq_id, frame_idx, j, t, {_LIN.format("p")} AS p, {_LIN.format("q")} AS q FROM m), n AS (SELECT seq_id, frame_idx, j, t, {_lab_sql("p")} AS p, {_lab_sql("q")} AS q FROM l),
+k AS (SELECT seq_id, frame_idx, j, list_transform(range(1, 4), lambda i: (1 - t) * p[i] + t * q[i]) AS f FROM n),
+x AS (SELECT seq_id, frame_idx, j, [{_CUBE.format("f[1]")} * {R._WHITE[0]}, {_CUBE.format("f[2]")}, {_CUBE.format("greatest(f[3], 0)")} * {R._WHITE[2]}] AS z FROM k),
+r AS (SELECT seq_id, frame_idx, j, list_transform([{", ".join(_sum_sql(row, [f"z[{k}]" for k in (1, 2, 3)]) for row in R._FROM_XYZ)}], lambda c: least(1, greatest(0, CASE WHEN c > 0.0031308 THEN 1.055 * pow(greatest(c, 0.0031308), 1 / 2.4::DOUBLE) - 0.055 ELSE 12.92 * greatest(c, 0) END))) AS c FROM x),
+o AS (SELECT seq_id, frame_idx, i, data[i + 1] AS v FROM a JOIN na USING (seq_id), range(63) AS s(i) WHERE frame_idx < n - 8 UNION ALL SELECT seq_id, frame_idx, 3 * j + i, c[i + 1] FROM r, range(3) AS s(i)
+ UNION ALL SELECT seq_id, frame_idx + n - 8, i, data[i + 1] FROM b JOIN na USING (seq_id), range(63) AS s(i) WHERE frame_idx >= 8)
+SELECT seq_id, frame_idx, CAST(i AS INTEGER) AS i, round(v, 5) AS v FROM o"""
+
+
+@query(_PERCEPTUAL)
+def extend_overlap_perceptual(spark, d):
+    """Cross-faded in Lab, frames taken as 21 pixels of three channels."""
+    a, b = (f.withColumn("data", F.slice("data", 1, 63)) for f in _pair(spark, d))
+    out = R.extend_with_overlap(a, b, 8, "perceptual_crossfade")
+    return out.select("seq_id", "frame_idx", F.posexplode("data").alias("i", "v")).withColumn("v", F.round("v", 5))
+
+
+_AROUND = "CASE WHEN {0} < 0 THEN -{0} WHEN {0} > 7 THEN 14 - {0} ELSE {0} END"
+
+
+def _box_sql(v: str) -> str:
+    at = f"({_AROUND.format('(i // 8 + k // 3 - 1)')}) * 8 + {_AROUND.format('(i % 8 + k % 3 - 1)')} + 1"
+    return f"list_transform(range(64), lambda i: list_sum(list_transform(range(9), lambda k: {v}[CAST({at} AS BIGINT)])))"
+
+
+@query(f"""WITH {_FRAMES}, z AS (SELECT seq_id, frame_idx, data, list_transform(data, lambda v: least(1, greatest(0, (0.4 - v) / 0.4))) AS s, list_transform(data, lambda v: least(1, greatest(0, (v - 0.6) / 0.4))) AS g,
+ list_transform(range(64), lambda i: list_sum(list_transform(range(25), lambda k: CASE WHEN i // 8 + k // 5 BETWEEN 2 AND 9 AND i % 8 + k % 5 BETWEEN 2 AND 9 THEN data[(i // 8 + k // 5 - 2) * 8 + i % 8 + k % 5 - 2 + 1] ELSE 0 END)) / 25) AS near, {_box_sql("data")} AS box FROM f),
+m AS (SELECT *, list_avg(list_filter(data, lambda v, i: s[i] > 0.1)) AS ms, list_avg(list_transform(list_filter(data, lambda v, i: g[i] > 0.1), lambda v: least(1, greatest(0.7, 1 - (v - 0.7) / 0.3 * 0.12)))) AS mg FROM z),
+p AS (SELECT *, list_transform(data, lambda v, i: v + s[i] * (CASE WHEN s[i] > 0.1 THEN v * (0.3 - v) / 0.3 * 0.16 ELSE 0 END + coalesce(ms - v, 0) * 0.08)
+ + g[i] * (CASE WHEN g[i] > 0.1 THEN v * (least(1, greatest(0.7, 1 - (v - 0.7) / 0.3 * 0.12)) - 1) ELSE 0 END + 0.8 * coalesce(mg, 0) * (v - near[i]))) AS p0 FROM m),
+a AS (SELECT *, {_box_sql("p0")} AS b0 FROM p), b AS (SELECT *, list_transform(p0, lambda v, i: v + s[i] * exp(-abs(9 * data[i] - box[i]) / 0.1) * 0.3 * (b0[i] / 9 - v)) AS p1 FROM a), c AS (SELECT *, {_box_sql("p1")} AS b1 FROM b),
+o AS (SELECT seq_id, frame_idx, list_transform(p1, lambda v, i: least(1, greatest(0, v + g[i] * exp(-abs(9 * data[i] - box[i]) / 0.1) * 0.2 * (b1[i] / 9 - v)))) AS data FROM c) {_SHOW} o""")
+def stabilised_frames(spark, d):
+    """Frames with shadows lifted, highlights compressed and both zones smoothed."""
+    return _show(S.stabilise(frames(spark, d).select("seq_id", "frame_idx", "data"), 8, 8))
+
+
+_SIZED = f"{_FRAMES}, z AS (SELECT seq_id, frame_idx, 3 + (vec_id + seq_id) % 4 AS h, 4 + vec_id % 5 AS w, data FROM f)"
+
+
+@query(f"""WITH {_SIZED}, m AS (SELECT seq_id, max(h) AS mh, max(w) AS mw FROM z GROUP BY 1)
+SELECT seq_id, frame_idx, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CASE WHEN y < h AND x < w THEN round(data[CAST(y * w + x + 1 AS BIGINT)], 6) ELSE 0.0::DOUBLE END AS v FROM z JOIN m USING (seq_id), range(8) AS a(y), range(8) AS b(x) WHERE y < mh AND x < mw""")
+def padded_frames(spark, d):
+    """Frames of many sizes on black pictures of their sequence's largest."""
+    f = frames(spark, d).withColumns({"h": 3 + (F.col("vec_id") + F.col("seq_id")) % 4, "w": 4 + F.col("vec_id") % 5})
+    sized = f.select("seq_id", "frame_idx", "h", "w", F.slice("data", F.lit(1), (F.col("h") * F.col("w")).cast("int")).alias("data"))
+    rows = G.pad_to_largest(sized, ["seq_id"]).select("seq_id", "frame_idx", "w", F.posexplode("data").alias("i", "v"))
+    return rows.select("seq_id", "frame_idx", F.floor(F.col("i") / F.col("w")).cast("int").alias("y"), (F.col("i") % F.col("w")).cast("int").alias("x"), F.round("v", 6).alias("v"))
+
+
+@query("""WITH n AS (SELECT c_nationkey AS place, c_custkey AS key, o_orderkey, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) - 1 AS slot, o_totalprice AS price FROM customer JOIN orders ON o_custkey = c_custkey),
+m AS (SELECT place, max(slot) AS most FROM n GROUP BY 1), g AS (SELECT DISTINCT place, key FROM n)
+SELECT g.place, g.key, CAST(s AS INTEGER) AS slot, coalesce(price, 0) AS price FROM g JOIN m USING (place), range(1000) AS r(s) LEFT JOIN n ON n.place = g.place AND n.key = g.key AND n.slot = s WHERE s <= most""")
+def filled_slots(spark, d):
+    """Orders in numbered slots, as many for each customer as the busiest one of the nation has; missing ones cost nothing."""
+    both = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"))
+    slot = F.row_number().over(Window.partitionBy("c_custkey").orderBy("o_orderkey")) - 1
+    rows = both.select(F.col("c_nationkey").alias("place"), F.col("c_custkey").alias("key"), slot.alias("slot"), F.col("o_totalprice").alias("price"))
+    return G.fill_slots(rows, ["place"], "key", "slot", {"price": F.lit(0.0)})
+
+
+@query(f"""WITH {_FRAMES}, q AS (SELECT vec_id, list_transform(data, lambda v: floor(v * 2) / 2) AS d FROM f)
+SELECT vec_id, CAST(i AS INTEGER) AS i, CASE WHEN (d[3*i+1], d[3*i+2], d[3*i+3]) IN ((0.5, 0.5, 0.5), (0.0, 0.0, 0.0), (0.5, 0.5, 0.0)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM q, range(21) AS r(i)""")
+def named_color_mask(spark, d):
+    """Where each frame, in three levels a channel, is grey, black or olive."""
+    q = frames(spark, d).select("vec_id", F.slice(F.transform("data", lambda v: F.floor(v * 2) / 2), 1, 63).alias("d"))
+    return q.select("vec_id", F.posexplode(G.colour_mask(F.col("d"), G.parse_colours("Gray, black, olive")[0])).alias("i", "v"))
