@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelweave.functions.text import bound
+
 
 def with_count(frames: DataFrame) -> DataFrame:
     """Adds n, the number of frames of the sequence, from a small aggregate."""
@@ -82,20 +84,25 @@ _WHITE = (0.95047, 1.0, 1.08883)
 _DELTA, _SLOPE, _SHIFT = 0.008856, 7.787, 4 / 29
 
 
-def rgb_to_lab(r: Column, g: Column, b: Column) -> list[Column]:
-    lin = [F.when(c > 0.04045, F.pow((c + 0.055) / 1.055, F.lit(2.4))).otherwise(c / 12.92) for c in (r, g, b)]
-    xyz = [sum(k * c for k, c in zip(row, lin, strict=True)) / white for row, white in zip(_TO_XYZ, _WHITE, strict=True)]
-    f = [F.when(v > _DELTA, F.pow(v, F.lit(1 / 3))).otherwise(v * _SLOPE + _SHIFT) for v in xyz]
-    return [116 * f[1] - 16, 500 * (f[0] - f[1]), 200 * (f[1] - f[2])]
+def _weighted(row, v: Column) -> Column:
+    return sum(k * v[i] for i, k in enumerate(row))
+
+
+def rgb_to_lab(rgb: Column) -> Column:
+    """Array (L, a, b) of an array (r, g, b); each step is bound, so its terms are computed once."""
+    linear = F.transform(rgb, lambda c: F.when(c > 0.04045, F.pow((c + 0.055) / 1.055, F.lit(2.4))).otherwise(c / 12.92))
+    xyz = bound(linear, lambda v: F.array(*[_weighted(row, v) / white for row, white in zip(_TO_XYZ, _WHITE, strict=True)]))
+    root = F.transform(xyz, lambda v: F.when(v > _DELTA, F.pow(v, F.lit(1 / 3))).otherwise(v * _SLOPE + _SHIFT))
+    return bound(root, lambda f: F.array(116 * f[1] - 16, 500 * (f[0] - f[1]), 200 * (f[1] - f[2])))
 
 
-def lab_to_rgb(lab_l: Column, a: Column, b: Column) -> list[Column]:
-    fy = (lab_l + 16) / 116
-    f = [a / 500 + fy, fy, F.greatest(fy - b / 200, F.lit(0.0))]
-    xyz = [F.when(v > 0.2068966, F.pow(v, F.lit(3.0))).otherwise((v - _SHIFT) / _SLOPE) * white for v, white in zip(f, _WHITE, strict=True)]
-    lin = [F.greatest(sum(k * c for k, c in zip(row, xyz, strict=True)), F.lit(0.0)) for row in _FROM_XYZ]
-    out = [F.when(c > 0.0031308, 1.055 * F.pow(F.greatest(c, F.lit(0.0031308)), F.lit(1 / 2.4)) - 0.055).otherwise(12.92 * c) for c in lin]
-    return [F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)) for c in out]
+def lab_to_rgb(lab: Column) -> Column:
+    """Array (r, g, b) of an array (L, a, b), clipped to [0, 1]."""
+    root = bound(lab, lambda v: F.array(v[1] / 500 + (v[0] + 16) / 116, (v[0] + 16) / 116, F.greatest((v[0] + 16) / 116 - v[2] / 200, F.lit(0.0))))
+    xyz = F.transform(root, lambda v: F.when(v > 0.2068966, F.pow(v, F.lit(3.0))).otherwise((v - _SHIFT) / _SLOPE))
+    linear = bound(xyz, lambda v: F.array(*[F.greatest(_weighted([k * white for k, white in zip(row, _WHITE, strict=True)], v), F.lit(0.0)) for row in _FROM_XYZ]))
+    curve = lambda c: F.when(c > 0.0031308, 1.055 * F.pow(F.greatest(c, F.lit(0.0031308)), F.lit(1 / 2.4)) - 0.055).otherwise(12.92 * c)
+    return F.transform(linear, lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), curve(c))))
 
 
 def blend(x: Column, y: Column, alpha: Column, mode: str) -> Column:
@@ -111,8 +118,8 @@ def blend(x: Column, y: Column, alpha: Column, mode: str) -> Column:
         n = (F.size(x) / 3).cast("int")
 
         def pixel(i):
-            one, two = (rgb_to_lab(*[F.element_at(v, i * 3 + k + 1) for k in range(3)]) for v in (x, y))
-            return F.array(*lab_to_rgb(*[(1 - alpha) * p + alpha * q for p, q in zip(one, two, strict=True)]))
+            one, two = (rgb_to_lab(F.slice(v, i * 3 + 1, 3)) for v in (x, y))
+            return lab_to_rgb(F.zip_with(one, two, lambda p, q: (1 - alpha) * p + alpha * q))
 
         return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), pixel))
     raise ValueError(mode)
