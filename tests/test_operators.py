@@ -263,3 +263,41 @@ def test_box_texts_like_plain_rounding(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert {r.t: r.v for r in df.select("t", G.box_texts(G.parse_boxes(F.col("t")), 4.0, 4.0, 6).alias("v")).collect()} == texts
     assert df.select(G.box_texts(G.parse_boxes(F.col("t")), 4.0, 4.0, 6, 3).alias("v")).where(F.size("v") > 0).count() == 0
+
+
+def test_conversions_without_spread(spark):
+    e = spark.createDataFrame([(1, i, 2.0, float(i)) for i in range(4)] + [(2, i, float(i), 3.0 * i - 1) for i in range(4)], "k int, i int, x double, y double")
+    rows = {(r.k, r.method): r for r in L.conversion_errors(e, ["k"]).collect()}
+    assert all(rows[1, m].error is None and rows[1, m].grade is None for m in ("linear", "normalise", "quadratic", "range"))
+    assert rows[2, "linear"].grade == "excellent" and rows[2, "range"].error < 1e-9
+    best = {r.k: r for r in L.best_fit(L.conversion_errors(e, ["k"]), ["k"]).withColumn("verdict", L.feasibility(F.col("error"))).collect()}
+    assert best[2].verdict == "excellent" and best[1].error is None and best[1].verdict is None
+    assert L.conversion_errors(e.limit(0), ["k"]).count() == 0
+
+
+def test_stabilised_pictures(spark):
+    rng = np.random.default_rng(5)
+    grey = rng.random((3, 6, 7, 1))
+    one, three = stats.stabilised(grey), stats.stabilised(np.repeat(grey, 3, axis=3))
+    assert np.allclose(np.repeat(one, 3, axis=3), three)
+    middle = np.full((1, 5, 5, 3), 0.5)
+    assert (stats.stabilised(middle) == middle).all()
+    dark = stats.stabilised(np.full((1, 5, 5, 3), 0.1))
+    assert np.allclose(dark, 0.1 + 0.75 * 0.1 * (0.2 / 0.3 * 0.2 * 0.8))
+    df = spark.createDataFrame([(1, 0, grey[0].ravel().tolist())], "seq_id long, frame_idx long, data array<double>")
+    assert np.allclose(frames_of(stats.stabilise(df, 6, 7)), one[0].ravel())
+    assert stats.stabilise(df.limit(0), 6, 7).count() == 0
+
+
+def test_colour_names():
+    assert G.parse_colours('["red, Navy"]')[0] == [0xFF0000, 0x80]
+    with pytest.raises(ValueError):
+        G.parse_colours("nocolour")
+
+
+def test_slots_and_padding(spark):
+    items = spark.createDataFrame([("a", 0, 0, 5.0), ("a", 0, 1, 6.0), ("a", 1, 0, None), ("b", 0, 0, 7.0)], "k string, f int, s int, v double")
+    got = sorted((r.k, r.f, r.s, str(r.v)) for r in G.fill_slots(items, ["k"], "f", "s", {"v": F.lit(0.0)}).collect())
+    assert got == [("a", 0, 0, "5.0"), ("a", 0, 1, "6.0"), ("a", 1, 0, "None"), ("a", 1, 1, "0.0"), ("b", 0, 0, "7.0")]
+    sized = spark.createDataFrame([(1, 1, 2, [1.0, 2.0]), (1, 2, 1, [3.0, 4.0])], "k int, h int, w int, data array<double>")
+    assert sorted(r.data for r in G.pad_to_largest(sized, ["k"]).collect()) == [[1.0, 2.0, 0.0, 0.0], [3.0, 0.0, 4.0, 0.0]]
