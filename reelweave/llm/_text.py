@@ -80,9 +80,9 @@ class Block:
         """The document of each byte position."""
         return np.searchsorted(self.end, places, side="left")
 
-    def words(self) -> tuple[np.ndarray, np.ndarray]:
-        """First byte and end byte of each word, in order."""
-        full = ~_SPACE[self.data]
+    def words(self, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+        """First byte and end byte of each word, in order; ``between`` marks the byte values that stand between words."""
+        full = ~between[self.data]
         edge = np.flatnonzero(full[1:] != full[:-1]) + 1
         if len(full) and full[0]:
             edge = np.concatenate([[0], edge])

@@ -185,3 +185,84 @@ n AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER
   string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, k) AS spans FROM f GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN n USING (doc_id)"""
+
+
+#: Host, path, verdict of the entries.
+_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    from reelweave.llm import url_rules
+
+    return url_rules.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), _RULES).select("page_id", "url_rule.*")
+
+
+_ENTRIES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in _RULES)
+ORACLES["op11_url_filter"] = f"""
+WITH r(h, p, v) AS (VALUES {_ENTRIES}),
+u AS (SELECT row_number() OVER () AS k, page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+m AS (SELECT u.*, r.*, row_number() OVER (PARTITION BY k ORDER BY length(h) DESC, length(p) DESC) AS n
+  FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, h || p AS rule, coalesce(v, 'allow') AS verdict FROM m WHERE n = 1"""
+
+
+@query
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, noisy score and rank of every document, drawn towards the benchmark."""
+    from reelweave.llm import resample
+
+    found = resample.resample(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("text"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLES["op12_resample"] = f"""
+WITH c AS MATERIALIZED (SELECT list(list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)),
+d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, w, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+e AS (SELECT list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM (SELECT {_WORDS} AS w FROM benchmark)),
+df AS MATERIALIZED (SELECT k, unnest(f) AS x FROM d), ef AS MATERIALIZED (SELECT unnest(f) AS x FROM e),
+x AS (SELECT x, hex(encode(x)) AS h FROM (SELECT x FROM df UNION SELECT x FROM ef)),
+b AS MATERIALIZED (SELECT x, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i: CAST(CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS INTEGER) AS BIGINT))),
+  lambda a, y: xor(a >> 8, t[(xor(a, y) & 255) + 1])), 4294967295) % 10000 AS bucket FROM x, c),
+s AS (SELECT bucket, count(*) AS n FROM df JOIN b USING (x) GROUP BY 1), t AS (SELECT bucket, count(*) AS n FROM ef JOIN b USING (x) GROUP BY 1),
+g AS (SELECT r.b AS bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM range(10000) AS r(b) LEFT JOIN s ON s.bucket = r.b LEFT JOIN t ON t.bucket = r.b),
+m AS (SELECT k, sum(gain) AS gain FROM df JOIN b USING (x) JOIN g USING (bucket) GROUP BY 1),
+w AS (SELECT d.k, doc_id, len(w) AS n_words, CAST(len(f) AS BIGINT) AS n_features, CAST(CASE WHEN len(f) > 0 THEN floor(gain / len(f)) ELSE 0 END AS BIGINT) AS weight,
+  CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN m USING (k)),
+o AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM w),
+r AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM o WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * (SELECT count(*) FROM r) // 100 THEN rank END AS rank FROM o LEFT JOIN r USING (k)"""
+
+
+@query
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source against the other sources of its language, and its most prominent terms."""
+    from reelweave.llm import divergence
+
+    return divergence.audit(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+_SHARE = "1 + 1000000000::HUGEINT * (coalesce(n, 0) + 2) // (total + 2 * v)"
+_APART = "(p - q) * (p - q) // (p + q)"
+ORACLES["op13_divergence"] = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_TERMS} AS w FROM documents),
+x AS MATERIALIZED (SELECT k, lang, source, unnest(w) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term FROM x GROUP BY ALL HAVING count(DISTINCT k) >= 10),
+v AS (SELECT lang, count(term) AS v FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY 1),
+gr AS (SELECT DISTINCT lang, source FROM d),
+n AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM x JOIN kept USING (lang, term) GROUP BY ALL),
+gt AS (SELECT gr.lang, gr.source, coalesce(sum(n), 0) AS total FROM gr LEFT JOIN n USING (lang, source) GROUP BY ALL),
+s AS MATERIALIZED (SELECT lang, source, term, coalesce(n, 0) AS n, {_SHARE} AS p FROM gt JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN n USING (lang, source, term)),
+l AS (SELECT lang, term, sum(n) AS n FROM n GROUP BY ALL),
+lt AS (SELECT lang, sum(n) AS total FROM l GROUP BY 1),
+ls AS (SELECT lang, term, {_SHARE} AS q FROM l JOIN lt USING (lang) JOIN v USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum({_APART}) AS value FROM s a JOIN (SELECT lang, source, term, p AS q FROM s) b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM gr a JOIN gr b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST({_APART} AS BIGINT) FROM s JOIN ls USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM o)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 10"""
