@@ -1,8 +1,8 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
 Labels are per document, so token labels come first: in a bounded sample of labelled documents
-(``SAMPLE`` per label, drawn by a hash of the id, texts of up to ``LONGEST`` characters, near copies dropped) a token is marked toxic if it
-stands in a toxic document and its word, or the word's beginning, is far likelier there than in clean
+(``SAMPLE`` per label, drawn by a hash of the id whatever the texts' length, near copies dropped; where texts
+pass ``MOST_CHARS`` in all the sample ends with fewer rows) a token is marked toxic if it stands in a toxic document and its word, or the word's beginning, is far likelier there than in clean
 ones.  The field learns
 these marks from hashed features (the word, its ends, its neighbours) and a 2 x 2 transition table;
 training and scoring use exact forward-backward marginals.  A document's score is a logistic function
@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -32,8 +32,8 @@ from reelweave.llm import _encode, _text
 from reelweave.llm._shared import bound_batches, remainder
 
 SAMPLE = {1: 600, 0: 1000}
-#: Longer texts are scored as any other, but not learnt from: the driver holds the sample.
-LONGEST = 1 << 14
+#: The driver holds the sample, so it ends, in the order it was drawn in, where its texts pass so many characters.
+MOST_CHARS = 16 << 20
 BITS = 18
 BLOCK = 1 << 18
 FEATURES = 6
@@ -235,7 +235,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Tagger:
     total = dict(marked.groupBy("toxic").count().collect())
     drawn = [marked.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in SAMPLE.items()]
     chosen = drawn[0].unionByName(drawn[1])  # 1,600 rows at most
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.char_length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").toArrow()
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text")]
+    before = F.sum(F.char_length("text")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.char_length("text")
+    rows = rows.withColumn("before", before).where(F.col("before") < MOST_CHARS).orderBy("before", *order).select("text", "toxic").toArrow()
     texts, y = rows.column("text").to_pylist(), np.array(rows.column("toxic").to_pylist(), np.int64)
     if not texts:
         return Tagger()

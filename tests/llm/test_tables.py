@@ -196,6 +196,22 @@ def test_packing(odd, none, stretch, monkeypatch):
     assert packing.pack(none, queries.vocabulary("byte_bpe_50k.json")).count() == 0
 
 
+def test_rows_of_one_id_are_spread(spark, tmp_path, monkeypatch):
+    # nulls only, and one id only: tasks split them by their texts
+    monkeypatch.setattr(wavelet, "SHARD", 300)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    for doc_id in (None, 7):
+        df = spark.createDataFrame([(doc_id, f"{'abcdefghijklmnop'[k % 16]} text {k} of many") for k in range(400)], "doc_id long, text string").repartition(4)
+        packed = packing.pack(df, queries.vocabulary("byte_bpe_50k.json")).collect()
+        assert len({r.sequence_id >> 40 for r in packed}) > 1 and len(packed) >= 400 and {r.doc_id for r in packed} == {doc_id}
+        where = f"file://{tmp_path}/{doc_id}"
+        wavelet.write(df, queries.vocabulary("word_bpe_49k.json"), where)
+        assert spark.read.parquet(where).select("part").distinct().count() > 1
+        got = wavelet.read_documents(spark, where).toPandas().sort_values("start")
+        assert len(got) == 400 and (got.start == got.n_tokens.cumsum() - got.n_tokens).all()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 ODD_TEXTS = ["", " ", "\n\n  a  b\n", "it's    x  y ''s .\"'s 'sword  z", "foo<|endoftext|>bar <|endoftext|> \n <|startoftext|>", "é x ΑΣ Σ ñ", "\x1c a\x1d b\x00 c", "“quoted” ‘it’s’ 你好 世界。 　 全", "a" * 5000 + " " * 300 + "b", "tab\tsep\r\nend   "]
 
 
