@@ -1,9 +1,8 @@
 """Frames as image files: ``{prefix}_{sequence:06d}.png`` in a folder that Spark reads.
 
-Reading goes through Spark's ``binaryFile`` source, so any file system that Spark reaches will do;
-slices of a sequence are predicates on the sequence number in the file name.  Writing encodes PNG on
-the executors; files are put in place through Arrow's file systems, one file a frame, and a repeated
-task writes the same bytes to the same name.
+``scan`` goes through Spark's ``binaryFile`` source, so any file system that Spark reaches will do; slices of
+a sequence are predicates on the sequence number in the file name.  ``frame_files`` is the source that
+opens chosen files only, and writes them in two phases.
 """
 
 from __future__ import annotations
@@ -29,44 +28,73 @@ def encode_png(pixels: np.ndarray, level: int = 6) -> bytes:
     return _MAGIC + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, _COLOUR[c], 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw, max(0, min(9, level)))) + chunk(b"IEND", b"")
 
 
+def _unfilter(rows: np.ndarray, step: int) -> np.ndarray:
+    """Bytes of the rows (filter first) as they were before filtering; ``step`` bytes make a pixel."""
+    h, n = rows.shape[0], rows.shape[1] - 1
+    out, up = np.zeros((h, n), np.uint8), np.zeros(n, np.uint8)
+    for y in range(h):
+        kind, line = rows[y, 0], rows[y, 1:]
+        if kind == 0:
+            out[y] = line
+        elif kind == 1:  # a running sum of each byte of a pixel
+            out[y] = np.cumsum(np.pad(line, (0, -n % step)).reshape(-1, step), axis=0, dtype=np.uint8).ravel()[:n]
+        elif kind == 2:
+            out[y] = line + up
+        elif kind in (3, 4):
+            left, corner, b, got = [0] * step, [0] * step, up.tolist(), []
+            for x, v in enumerate(line.tolist()):
+                p, q, r = left[x % step], b[x], corner[x % step]
+                if kind == 3:
+                    guess = p + q >> 1
+                else:
+                    dp, dq, dr = abs(q - r), abs(p - r), abs(p + q - 2 * r)
+                    guess = p if dp <= dq and dp <= dr else q if dq <= dr else r
+                left[x % step], corner[x % step] = v + guess & 255, q
+                got.append(left[x % step])
+            out[y] = got
+        else:
+            raise ValueError("unknown PNG filter")
+        up = out[y]
+    return out
+
+
 def decode_png(data: bytes) -> np.ndarray:
-    """(h, w, c) array of an 8-bit PNG without interlacing; grey becomes three channels, alpha stays."""
+    """(h, w, c) array of a PNG without interlacing, of any depth and with palettes; grey becomes three channels, alpha stays."""
     if data[:8] != _MAGIC:
         raise ValueError("not a PNG file")
-    at, body = 8, b""
+    at, body, palette, clear, colour = 8, b"", None, b"", None
     while at < len(data):
         size, kind = struct.unpack(">I4s", data[at : at + 8])
         part = data[at + 8 : at + 8 + size]
         if kind == b"IHDR":
             w, h, depth, colour, _, _, interlace = struct.unpack(">IIBBBBB", part)
-            if depth != 8 or interlace or colour == 3:
-                raise ValueError("only 8-bit PNG files without palette or interlacing")
+            if interlace:
+                raise ValueError("only PNG files without interlacing")
+        elif kind == b"PLTE":
+            palette = np.frombuffer(part, np.uint8).reshape(-1, 3)
+        elif kind == b"tRNS":
+            clear = part
         elif kind == b"IDAT":
             body += part
         at += size + 12
-    c = {v: k for k, v in _COLOUR.items()}[colour]
-    rows = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, w * c + 1)
-    out = np.zeros((h, w * c), np.int64)
-    for y in range(h):
-        kind, line = rows[y, 0], rows[y, 1:].astype(np.int64)
-        up = out[y - 1] if y else np.zeros(w * c, np.int64)
-        if kind == 0:
-            out[y] = line
-        elif kind == 2:
-            out[y] = (line + up) & 255
-        else:
-            for x in range(w * c):
-                left, corner = (out[y, x - c], up[x - c]) if x >= c else (0, 0)
-                if kind == 1:
-                    guess = left
-                elif kind == 3:
-                    guess = (left + up[x]) // 2
-                else:
-                    p = left + up[x] - corner
-                    d = (abs(p - left), abs(p - up[x]), abs(p - corner))
-                    guess = (left, up[x], corner)[d.index(min(d))]
-                out[y, x] = (line[x] + guess) & 255
-    out = out.reshape(h, w, c) / 255.0
+    if colour is None:
+        raise ValueError("no PNG header")
+    c = 1 if colour == 3 else {v: k for k, v in _COLOUR.items()}[colour]
+    wide = (w * c * depth + 7) // 8
+    flat = _unfilter(np.frombuffer(zlib.decompress(body), np.uint8)[: h * (wide + 1)].reshape(h, wide + 1), max(1, c * depth // 8))
+    if depth == 16:
+        flat = flat[:, ::2]  # the higher byte, as 8-bit pictures have it
+    elif depth < 8:
+        bits = np.unpackbits(flat, axis=1).reshape(h, -1, depth)[:, : w * c]
+        flat = bits @ (1 << np.arange(depth)[::-1]).astype(np.uint8)
+        if colour != 3:
+            flat = flat * (255 // ((1 << depth) - 1))
+    if colour == 3:
+        alpha = np.full(len(palette), 255, np.uint8)
+        alpha[: len(clear)] = np.frombuffer(clear, np.uint8)
+        table = np.concatenate([palette, alpha[:, None]], 1) if clear else palette
+        return table[flat] / 255.0
+    out = flat.reshape(h, w, c) / 255.0
     return np.concatenate([out[..., :1]] * 3 + [out[..., 1:]], axis=-1) if c < 3 else out
 
 
@@ -82,22 +110,22 @@ def encode_frames(frames: DataFrame, prefix: str, h: int, w: int, c: int, start:
 
 
 def save_frames(files: DataFrame, folder: str) -> DataFrame:
-    """Write (name, content) rows as files of a folder; returns (name, size) once all are in place."""
-
-    def run(batches):
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(folder)
-        store.create_dir(base, recursive=True)
-        for pdf in batches:
-            for name, content in zip(pdf["name"], pdf["content"], strict=True):
-                with store.open_output_stream(f"{base}/{name}") as out:
-                    out.write(content)
-            yield type(pdf)({"name": pdf["name"], "size": [len(x) for x in pdf["content"]]})
-
-    done = files.mapInPandas(run, "name string, size long")
-    rows = done.toArrow()  # names and sizes only: the write has happened when this returns
-    return files.sparkSession.createDataFrame(rows.to_pandas()) if rows.num_rows else files.sparkSession.createDataFrame([], done.schema)
+    """Write (name, content) rows as files of a folder; returns the folder's (name, size) once all are in place.
+
+    The rows go through the ``frames`` data source as they are: see ``frame_files`` for what a failed task leaves (nothing).
+    """
+    from reelweave.sources import frame_files
+
+    spark = files.sparkSession
+    frame_files.register(spark)
+    part = lambda k: F.regexp_extract("name", r"^(.*)_(\d{6,})\.(\w+)$", k)
+    rows = files.select(part(1).alias("prefix"), part(2).cast("long").alias("sequence"), part(3).alias("format"), "content")
+    for kind in ("png", "jpg"):
+        some = rows.where(F.col("format") == kind)
+        if not some.isEmpty():
+            some.write.format("frames").mode("append").option("path", folder).option("format", kind).save()
+    written = spark.read.format("binaryFile").option("pathGlobFilter", "*_*.*").load(folder)
+    return written.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.col("length").alias("size")).join(files.select("name"), "name", "left_semi")
 
 
 def scan(spark: SparkSession, folder: str, prefix: str = "*", suffix: str = "png", start: int | None = None, count: int | None = None) -> DataFrame:
