@@ -21,6 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelweave.functions.text import bound
+from reelweave.llm._lists import running, substrings
+
 #: The marks of the template and further strings that models treat as control strings.
 START, NEXT, END = "<|im_start|>", "<|im_next|>", "<|im_end|>"
 CONTROL = [START, NEXT, END, "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
@@ -75,18 +78,16 @@ def conversations(rows: DataFrame) -> DataFrame:
 def render(rows: DataFrame, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """(conv_id, formatted, loss): the string of each conversation and its loss spans (start, end)."""
     built = conversations(rows).select("conv_id", "blocks", F.array_join(F.transform("blocks", _block), "").alias("formatted"))
-    empty = "array<struct<start:int,end:int>>"
-
-    def text(acc, t):
-        end = (acc["at"] + F.char_length(escape(t))).cast("int")
-        return F.struct((end + len(NEXT)).cast("int").alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), end.alias("end")))).alias("out"))
+    empty = F.array().cast("array<struct<start:int,end:int>>")
 
-    def block(acc, b):
-        first = (acc["at"] + F.char_length(_block(F.struct(b["role"].alias("role"), F.array().cast("array<string>").alias("texts")))) - len(END)).cast("int")
-        done = F.aggregate(b["texts"], F.struct(first.alias("at"), F.array().cast(empty).alias("out")), text)
-        return F.struct((acc["at"] + F.char_length(_block(b))).cast("int").alias("at"), F.when(b["role"].isin(*trained), F.concat(acc["out"], done["out"])).otherwise(acc["out"]).alias("out"))
+    def spans(b, at):
+        first = at + F.char_length(_block(F.struct(b["role"].alias("role"), F.array().cast("array<string>").alias("texts")))) - len(END)
+        sizes = F.transform(b["texts"], lambda t: F.char_length(escape(t)))
+        span = lambda n, off: F.struct((first + off).cast("int").alias("start"), (first + off + n).cast("int").alias("end"))
+        return bound(sizes, lambda held: F.zip_with(held, running(F.transform(held, lambda n: n + len(NEXT))), span))
 
-    loss = F.aggregate("blocks", F.struct(F.lit(0).alias("at"), F.array().cast(empty).alias("out")), block, lambda a: a["out"])
+    starts = running(F.transform("blocks", lambda b: F.char_length(_block(b))))
+    loss = F.flatten(F.zip_with("blocks", starts, lambda b, at: F.when(b["role"].isin(*trained), spans(b, at)).otherwise(empty)))
     return built.select("conv_id", "formatted", loss.alias("loss"))
 
 
@@ -105,7 +106,7 @@ def read_back(formatted: Column) -> Column:
 def digest(rendered: DataFrame) -> DataFrame:
     """Counts and digests of what the formatted strings and loss masks say."""
     turns = read_back(F.col("formatted"))
-    lossy = F.array_join(F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]))), "")
+    lossy = F.array_join(F.transform(substrings(F.col("formatted"), F.col("loss")), unescape), "")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return rendered.select("conv_id", "formatted", turns.alias("turns"), lossy.alias("lossy")).select(
         "conv_id",

@@ -25,6 +25,8 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelweave.functions.text import bound
+from reelweave.llm._lists import running, substrings
 from reelweave.llm._shared import shared_dir
 
 #: Kinds in their order, their patterns, the group that must be long enough, its least length.
@@ -63,19 +65,13 @@ def spans(text: Column, rule: int, rules: list = RULES) -> Column:
     gaps = F.transform(F.split(text, pattern, -1), F.char_length)
     found = F.arrays_zip(F.transform(whole, F.char_length).alias("n"), F.transform(value, F.char_length).alias("v"), gaps.alias("g"))
     # gaps has one more item than there are matches; its row has no length
-    start = F.aggregate(
-        found,
-        F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["g"] + F.coalesce(x["n"], F.lit(0))).cast("int").alias("at"),
-            F.when(x["v"] >= least, F.concat(a["out"], F.array(F.struct((a["at"] + x["g"]).cast("int").alias("start"), F.lit(rule).alias("kind"), (a["at"] + x["g"] + x["n"]).cast("int").alias("end")))))
-            .otherwise(a["out"])
-            .alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+    def placed(all_):
+        before = running(F.transform(all_, lambda x: (x["g"] + F.coalesce(x["n"], F.lit(0))).cast("int")))
+        span = lambda x, at: F.when(x["v"] >= least, F.struct((at + x["g"]).cast("int").alias("start"), F.lit(rule).alias("kind"), (at + x["g"] + x["n"]).cast("int").alias("end")))
+        return F.filter(F.zip_with(all_, before, span), lambda s: s.isNotNull())
+
     sieve = text.rlike(_SIEVE.get(kind, pattern))
-    return F.when(sieve, start).otherwise(F.array().cast(_SPAN))
+    return F.when(sieve, bound(found, placed).cast(_SPAN)).otherwise(F.array().cast(_SPAN))
 
 
 def find(text: Column, rules: list = RULES) -> Column:
@@ -156,16 +152,15 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
         name = f"_{name}"
     found = scan(docs, rule_version=MASK_VERSION, out=name, rules=MASKED)
     text = F.col("text")
-    # the parts before each span, then the rest; a span that starts inside an earlier one adds nothing
-    parts = F.aggregate(
-        F.col(name),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, x: F.struct(
-            F.greatest(a["at"], x["end"]).alias("at"),
-            F.when(x["start"] >= a["at"], F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit(mask)))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.char_length(text))),
-    )
+
+    def masked(spans_):
+        # a span that starts inside an earlier one adds nothing; the others have the text since the furthest end before them
+        before = running(F.transform(spans_, lambda x: x["end"]), lambda a, v: F.greatest(a, v))
+        apart = F.filter(F.zip_with(spans_, before, lambda x, at: F.struct(at.alias("start"), x["start"].alias("end"))), lambda p: p["start"] <= p["end"])
+        kept = F.transform(substrings(text, apart), lambda p: F.concat(p, F.lit(mask)))
+        return F.concat(F.array_join(kept, ""), F.substring(text, F.array_max(F.transform(spans_, lambda x: x["end"])) + 1, F.char_length(text)))
+
+    parts = bound(F.col(name), masked)
     changed = F.size(name) > 0
     out = found.withColumn("text", F.when(changed, parts).otherwise(text))
     if "n_chars" in docs.columns:
