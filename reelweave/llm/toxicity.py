@@ -36,6 +36,8 @@ SAMPLE = {1: 600, 0: 1000}
 MOST_CHARS = 16 << 20
 BITS = 18
 BLOCK = 1 << 18
+#: Training goes through the sample in parts of so many tokens.
+PART = 1 << 16
 FEATURES = 6
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -122,6 +124,16 @@ def expected(score: np.ndarray, first: np.ndarray, moves: np.ndarray) -> tuple[n
     return one / (one + none), (cells / cells.sum(0)).sum(1)
 
 
+def _by_parts(score: np.ndarray, first: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``expected`` over some whole documents at a time, about PART tokens: the chain is cut between them anyway."""
+    p, pair, starts = np.empty(len(score)), np.zeros(4), np.flatnonzero(first)
+    cuts = np.unique(starts[np.searchsorted(starts, np.arange(0, starts[-1] + 1, PART))]) if len(starts) else starts
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(score)], strict=True):
+        p[a:b], more = expected(score[a:b], first[a:b], moves)
+        pair += more
+    return p, pair
+
+
 def _scans(score: np.ndarray, first: np.ndarray, moves: np.ndarray) -> tuple:
     """Steps of the chain, forward products and backward vectors (scaled), by token."""
     r = np.exp(np.clip(score, -30, 30))
@@ -186,15 +198,14 @@ def fit(texts: list[str], labels: np.ndarray, rates: tuple[float, float], steps:
     want = np.array([np.sum(~first[1:] & (marks[:-1] == a) & (marks[1:] == b)) for a in (0, 1) for b in (0, 1)])
     n = len(doc)
     for k in range(1, steps + 1):
-        score = lead()
-        p, pair = expected(score, first, theta[-4:])
+        p, pair = _by_parts(lead(), first, theta[-4:])
         gap = sum(np.bincount(row, p - marks, len(used)) for row in at)
         g = np.concatenate([gap + 0.02 * theta[:-4], pair - want + 0.02 * theta[-4:]])
         m, v = 0.8 * m + 0.2 * g, 0.95 * v + 0.05 * g * g
         theta -= 0.5 * (m / (1 - 0.8**k)) / (np.sqrt(v / (1 - 0.95**k)) + 1e-3 * n**0.5 / 100)
     w[used] = theta[:-4]
     model.weights, model.moves = w.astype(np.float32), theta[-4:].copy()
-    x = model.evidence(marginals(lead(), first, theta[-4:]), doc, len(labels))
+    x = model.evidence(_by_parts(lead(), first, theta[-4:])[0], doc, len(labels))
     beta, weight = np.zeros(x.shape[1]), np.where(labels == 1, rates[1], rates[0])
     for _ in range(30):  # Newton steps of a ridge logistic regression
         p = 1 / (1 + np.exp(-x @ beta))

@@ -1,5 +1,6 @@
 """Statistics, models and scores of single texts against plain versions."""
 
+import itertools
 import math
 import random
 import re
@@ -274,3 +275,53 @@ def test_model_beats_unigrams_however_it_is_partitioned(spark):
         assert (s[0] - s[1]) / s[2] > 0.05  # log10 a token
         found.append({r.doc_id: r.score for r in got.select("doc_id", "score").collect()})
     assert all(abs(found[0][k] - x[k]) < 1e-3 + 1e-6 * abs(x[k]) for x in found[1:] for k in x)
+
+
+def test_expected_counts_and_gradient(monkeypatch):
+    # all labellings of short documents, one by one
+    rng = np.random.default_rng(11)
+    sizes, moves = [1, 4, 3, 1, 5], rng.normal(0, 1, 4)
+    score = rng.normal(0, 2, sum(sizes))
+    first = np.zeros(len(score), bool)
+    first[np.cumsum([0, *sizes[:-1]])] = True
+    want_p, want_pair, total = np.zeros(len(score)), np.zeros(4), 0.0
+
+    def weigh(s, y):
+        return sum(v for v, k in zip(s, y, strict=True) if k) + sum(moves[2 * a + b] for a, b in itertools.pairwise(y))
+
+    for at, n in zip(np.flatnonzero(first), sizes, strict=True):
+        every = list(itertools.product((0, 1), repeat=n))
+        mass = np.exp([weigh(score[at : at + n], y) for y in every])
+        total += np.log(mass.sum())
+        for y, m in zip(every, mass / mass.sum(), strict=True):
+            want_p[at : at + n] += m * np.array(y)
+            for a, b in itertools.pairwise(y):
+                want_pair[2 * a + b] += m
+    p, pair = toxicity.expected(score, first, moves)
+    assert np.allclose(p, want_p) and np.allclose(pair, want_pair)
+    for part in (1, 3, 100):
+        monkeypatch.setattr(toxicity, "PART", part)
+        q, counts = toxicity._by_parts(score, first, moves)
+        assert np.allclose(q, want_p) and np.allclose(counts, want_pair)
+    # marginals are the gradient of the log of the sum over all labellings
+    def whole(s):
+        out = 0.0
+        for at, n in zip(np.flatnonzero(first), sizes, strict=True):
+            out += np.log(sum(np.exp(weigh(s[at : at + n], y)) for y in itertools.product((0, 1), repeat=n)))
+        return out
+
+    assert np.isclose(whole(score), total)
+    step = np.eye(len(score)) * 1e-5
+    assert np.allclose([(whole(score + e) - whole(score - e)) / 2e-5 for e in step], want_p, atol=1e-6)
+
+
+def test_toxic_documents_of_any_length_are_learnt_from(spark):
+    # the only toxic examples are long: a bound on length would leave nothing to learn
+    rng = random.Random(3)
+    plain = [f"w{k}" for k in range(300)]
+    prose = lambda n, bad: " ".join(rng.choice(plain) if not bad or rng.random() > 0.02 else rng.choice(["vile", "nasty"]) for _ in range(n))
+    docs = spark.createDataFrame([(k, prose(6000 if k % 2 else 60, k % 2 == 1)) for k in range(120)] + [(1000, prose(80, False) + " vile nasty"), (1001, prose(80, False))], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(120)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: (r.s.score, [r.text[x.start : x.end] for x in r.s.spans]) for r in docs.where("doc_id >= 1000").select("doc_id", "text", toxicity.score(F.col("text"), model, spark).alias("s")).collect()}
+    assert got[1000][0] > 2 * got[1001][0] and got[1000][1] == ["vile", "nasty"] and got[1001][1] == []
