@@ -125,10 +125,10 @@ _DIST = """0.6 * list_sum(list_transform(range(1, 17), lambda k: abs(a.hist[k] -
  + 0.1 * list_sum(list_transform(range(1, 6), lambda k: abs(a.pct[k] - b.pct[k]))) / 5"""
 
 
-@query(f"WITH {_SIG}, p AS (SELECT a.seq_id, a.frame_idx, b.frame_idx AS ref_idx, round({_DIST}, 9) AS distance FROM s a JOIN s b ON a.seq_id = b.seq_id AND a.frame_idx >= 5 AND b.frame_idx < 5) SELECT seq_id, frame_idx, round(min(distance), 6) AS distance FROM p GROUP BY 1, 2")
+@query(f"WITH {_SIG}, p AS (SELECT a.seq_id, a.frame_idx, b.frame_idx AS ref_idx, round({_DIST}, 9) AS distance FROM s a JOIN s b ON a.seq_id = b.seq_id AND a.frame_idx >= 5 AND b.frame_idx < 5) SELECT seq_id, frame_idx, arg_min(ref_idx, (distance, ref_idx)) AS ref_idx, round(min(distance), 6) AS distance FROM p GROUP BY 1, 2")
 def nearest_reference_frame(spark, d):
-    """Distance of later frames to the nearest of their sequence's first five."""
-    return S.nearest_reference(S.signature(frames(spark, d)), 5).select("seq_id", "frame_idx", F.round(F.round("distance", 9), 6).alias("distance"))
+    """The nearest of each sequence's first five frames to later ones, and its distance."""
+    return S.nearest_reference(S.signature(frames(spark, d)), 5).select("seq_id", "frame_idx", "ref_idx", F.round(F.round("distance", 9), 6).alias("distance"))
 
 
 def _scene_sql() -> str:
@@ -334,12 +334,12 @@ def mask_bbox_crop(spark, d):
 
 
 @query(f"""WITH {_FRAMES}, m AS (SELECT vec_id, i % 8 AS x, i // 8 AS y, data[i + 1] AS v FROM f, range(64) AS r(i)),
-n AS (SELECT a.vec_id, a.x, a.y, max(b.v) AS grown, min(b.v) AS shrunk FROM m a JOIN m b ON a.vec_id = b.vec_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY 1, 2, 3) SELECT vec_id, round(sum(grown), 5) AS grown, round(sum(shrunk), 5) AS shrunk FROM n GROUP BY 1""")
+n AS (SELECT a.vec_id, a.x, a.y, max(b.v) AS grown, min(b.v) AS shrunk FROM m a JOIN m b ON a.vec_id = b.vec_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY 1, 2, 3) SELECT vec_id, CAST(y * 8 + x AS INTEGER) AS i, round(grown, 6) AS grown, round(shrunk, 6) AS shrunk FROM n""")
 def dilate_erode(spark, d):
-    """Frames dilated and eroded by a 3 x 3 square."""
-    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, v: s + v), 5)
-    f = frames(spark, d)
-    return f.select("vec_id", total(G.dilate(F.col("data"), 8, 8, 1)).alias("grown"), total(G.dilate(F.col("data"), 8, 8, -1)).alias("shrunk"))
+    """Frames dilated and eroded by a 3 x 3 square, pixel by pixel."""
+    f = frames(spark, d).select("vec_id", G.dilate(F.col("data"), 8, 8, 1).alias("a"), G.dilate(F.col("data"), 8, 8, -1).alias("b"))
+    both = f.select("vec_id", F.posexplode(F.arrays_zip("a", "b")).alias("i", "p"))
+    return both.select("vec_id", "i", F.round("p.a", 6).alias("grown"), F.round("p.b", 6).alias("shrunk"))
 
 
 @query(f"""WITH {_FRAMES}, p AS (SELECT vec_id, data, lead(data) OVER (PARTITION BY seq_id ORDER BY frame_idx) AS s FROM f)
