@@ -7,9 +7,13 @@ is collected, and a list of any length is spread over the cluster.
 from __future__ import annotations
 
 import random
+import re
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 KEYS = ["list_id", "pos"]
 
@@ -80,17 +84,68 @@ def pick(items: DataFrame, index: int) -> DataFrame:
     return items if index < 0 else items.where(F.col("pos") == index)
 
 
+#: Drawn items leave a task in Arrow batches of so many.
+PART = 1 << 14
+
+
+def _drawn(rows: DataFrame, given: list[Column], draw: Callable[..., Iterable[str]], name: str) -> DataFrame:
+    """rows with (pos, ``name``): the texts that draw(*given) yields for each row, in order, PART at a time."""
+    carried = [c for c in rows.columns if c not in ("pos", name)]
+    width, mark = len(carried), "_given"
+    while any(c.startswith(mark) for c in rows.columns):
+        mark = f"_{mark}"
+
+    def part(batch: pa.RecordBatch, row: list, pos: list, items: list) -> pa.RecordBatch:
+        kept = [batch.column(k).take(pa.array(row, pa.int64())) for k in range(width)]
+        return pa.RecordBatch.from_arrays([*kept, pa.array(pos, pa.int32()), pa.array(items, pa.string())], [*carried, "pos", name])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, pos, items = [], [], []
+            for k, args in enumerate(zip(*(batch.column(i).to_pylist() for i in range(width, batch.num_columns)), strict=True)):
+                for at, item in enumerate(draw(*args)):
+                    row.append(k)
+                    pos.append(at)
+                    items.append(item)
+                    if len(row) == PART:
+                        yield part(batch, row, pos, items)
+                        row, pos, items = [], [], []
+            yield part(batch, row, pos, items)
+
+    schema = StructType([rows.schema[c] for c in carried]).add("pos", IntegerType()).add(name, StringType())
+    return rows.select(*carried, *[g.alias(f"{mark}{k}") for k, g in enumerate(given)]).mapInArrow(run, schema)
+
+
+def _seeds_of(low: str, high: str, total: int, seed: str) -> Iterator[str]:
+    draw = random.Random(int(seed))
+    return (str(draw.randint(int(low), int(high))) for _ in range(total))
+
+
+def seed_lists(rows: DataFrame, low: Column, high: Column, method: str, total: Column, seed: Column | None = None) -> DataFrame:
+    """rows with (pos, seed DECIMAL(20,0)): a list of ``total`` unsigned 64-bit seeds for each row.
+
+    Rising or falling lists are held at their bound; "random" ones come from a generator of the row's own,
+    started with its ``seed`` (null or none: 0), so they do not depend on how rows are dealt to tasks.
+    Bounds may come in either order.  A row with a null bound or a total that is null or below 1 has no
+    list; columns named pos or seed are replaced.
+    """
+    wide = lambda c: c.cast("decimal(38,0)")
+    a, b, n = wide(low), wide(high), total.cast("int")
+    rows = rows.where(a.isNotNull() & b.isNotNull() & (n >= 1))
+    least, most = F.least(a, b), F.greatest(a, b)
+    if method == "random":
+        start = F.lit(0) if seed is None else F.coalesce(wide(seed), wide(F.lit(0)))
+        drawn = _drawn(rows, [least.cast("string"), most.cast("string"), n, start.cast("string")], _seeds_of, "seed")
+        return drawn.withColumn("seed", F.col("seed").cast("decimal(20,0)"))
+    step = {"increment": lambda i: F.least(least + wide(i), most), "decrement": lambda i: F.greatest(most - wide(i), least)}[method]
+    listed = F.transform(F.sequence(F.lit(0), n - 1), lambda i: step(i).cast("decimal(20,0)"))
+    return rows.select(*[c for c in rows.columns if c not in ("pos", "seed")], F.posexplode(listed).alias("pos", "seed"))
+
+
 def seeds(spark: SparkSession, low: int, high: int, method: str, total: int, seed: int = 0) -> DataFrame:
-    """(pos, seed DECIMAL(20,0)): a random, rising or falling list of unsigned 64-bit seeds, held at its bound."""
-    low, high = min(low, high), max(low, high)
-    if method == "random":  # a sequential generator; its list is a parameter-sized one
-        draw = random.Random(seed)
-        rows = [(k, str(draw.randint(low, high))) for k in range(total)]
-        return spark.createDataFrame(rows, "pos int, s string").select("pos", F.col("s").cast("decimal(20,0)").alias("seed"))
-    wide = lambda v: F.lit(str(v)).cast("decimal(38,0)")
-    at = F.col("id").cast("decimal(38,0)")
-    value = F.least(wide(low) + at, wide(high)) if method == "increment" else F.greatest(wide(high) - at, wide(low))
-    return spark.range(total).select(F.col("id").cast("int").alias("pos"), value.cast("decimal(20,0)").alias("seed"))
+    """(pos, seed DECIMAL(20,0)): one list of seeds, as ``seed_lists`` makes for each row."""
+    whole = lambda v: F.lit(str(v))
+    return seed_lists(spark.range(1), whole(low), whole(high), method, F.lit(total), whole(seed)).select("pos", "seed")
 
 
 def step_seeds(pos: Column, seed: Column, policy: str) -> Column:
@@ -99,18 +154,32 @@ def step_seeds(pos: Column, seed: Column, policy: str) -> Column:
     return {"fixed": wide, "increment": wide + pos, "decrement": wide - pos}[policy].cast("decimal(38,0)")
 
 
+def _prompts_of(template: str, n: int, seed: str) -> Iterable[str]:
+    if not template.strip():
+        return [""]
+    # literals and the insides of closed blocks take turns; a block's blank choices don't count
+    parts: list = re.split(r"\[([^\]]*)\]", template)
+    parts[1::2] = [[c.strip() for c in block.split("|") if c.strip()] for block in parts[1::2]]
+    draw = random.Random(int(seed))
+    return ("".join(draw.choice(p) if isinstance(p, list) else p for p in parts if p).strip() for _ in range(n))
+
+
+def prompt_lists(rows: DataFrame, template: Column, n: Column, seed: Column) -> DataFrame:
+    """rows with (pos, prompt): ``n`` prompts of each row's template, its [a|b|c] blocks drawn in sequence.
+
+    Each row has a generator of its own, started with its ``seed`` (null: 0), and each block draws, also
+    one of a single choice.  A block without choices is empty, one that isn't closed is literal; a null or
+    blank template gives one empty prompt; a null ``n`` gives none; columns named pos or prompt are replaced.
+    """
+    start = F.coalesce(seed.cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).cast("string")
+    return _drawn(rows.where(n.isNotNull()), [F.coalesce(template, F.lit("")), n.cast("int"), start], _prompts_of, "prompt")
+
+
+def joined_prompts(prompts: DataFrame, *keys: str) -> DataFrame:
+    """(keys, prompts): the prompts of each row in order, joined by " | "."""
+    return prompts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "prompt"))).alias("l")).select(*keys, F.array_join(F.transform("l", lambda x: x["prompt"]), " | ").alias("prompts"))
+
+
 def random_prompts(spark: SparkSession, template: str, n: int, seed: int) -> DataFrame:
-    """(pos, prompt): n prompts from a template with [a|b|c] choices, drawn in sequence."""
-    parts: list = []
-    at = 0
-    while at < len(template):
-        open_at = template.find("[", at)
-        shut = template.find("]", open_at) if open_at >= 0 else -1
-        if shut < 0:
-            parts.append([template[at:]])
-            break
-        parts += [[template[at:open_at]], [c.strip() for c in template[open_at + 1 : shut].split("|")]]
-        at = shut + 1
-    draw = random.Random(seed)
-    rows = [(k, "".join(draw.choice(p) if len(p) > 1 else p[0] for p in parts).strip()) for k in range(n if template.strip() else 1)]
-    return spark.createDataFrame(rows, "pos int, prompt string")
+    """(pos, prompt): the prompts of one template, as ``prompt_lists`` makes for each row."""
+    return prompt_lists(spark.range(1), F.lit(template), F.lit(n), F.lit(str(seed))).select("pos", "prompt")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import inspect
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelweave.functions import text
@@ -47,10 +47,15 @@ def catalogue(spark: SparkSession) -> DataFrame:
 
 
 def options(cat: DataFrame, family: str | None = None, most_params: int = 12) -> DataFrame:
-    """Operators of a family with few enough parameters, each with a display name of its own, by name without regard to case."""
+    """Entries of a family with few enough parameters, each with a display name of its own, by name without regard to case.
+
+    cat is any table of (name, family, n_params); names are counted by an aggregation and joined back.
+    """
     kept = cat.where(F.col("n_params") <= most_params)
     if family:
         kept = kept.where(F.lower("family") == family.lower())
-    short = F.substring_index("name", ".", -1)
-    same = F.count("*").over(Window.partitionBy(short))
-    return kept.withColumn("option", F.when(same > 1, F.concat(short, F.lit(" ("), "family", F.lit(")"))).otherwise(short)).orderBy(F.lower("option"))
+    kept = kept.withColumn("_short", F.substring_index("name", ".", -1))
+    same = kept.groupBy("_short").agg(F.count("*").alias("_same"))
+    named = kept.join(same, "_short", "left")
+    option = F.when(F.col("_same") > 1, F.concat("_short", F.lit(" ("), "family", F.lit(")"))).otherwise(F.col("_short"))
+    return named.withColumn("option", option).drop("_short", "_same").orderBy(F.lower("option"))

@@ -418,12 +418,15 @@ def throttled_last(spark, d):
     return E.throttled(table(spark, d, "events"), "1 hour", ["event_type"])
 
 
-@query()
+@query("""WITH k AS (SELECT p_partkey, p_type || '.' || p_name AS name, p_name AS short, p_brand AS family, p_size AS n_params FROM part WHERE p_size <= 30 AND lower(p_brand) = 'brand#13')
+SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY short) > 1 THEN short || ' (' || family || ')' ELSE short END AS option, name, n_params FROM k""")
 def catalog_filter(spark, d):
-    """Operators of the geometry family that take few parameters."""
+    """Parts as a catalogue: those of a brand with few enough parameters, names that occur twice told apart."""
     from reelweave.operators import registry
 
-    return registry.options(registry.catalogue(spark), "geometry", 8).select("option", "name", "n_params", "n_required")
+    name = F.concat("p_type", F.lit("."), "p_name")
+    cat = table(spark, d, "part").select("p_partkey", name.alias("name"), F.col("p_brand").alias("family"), F.col("p_size").alias("n_params"))
+    return registry.options(cat, "BRAND#13", 30).select("p_partkey", "option", "name", "n_params")
 
 
 @query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_linenumber * 7 AS x, l_linenumber * 5 AS y, CAST(floor(l_quantity) AS INTEGER) AS q, l_partkey % 30 AS h FROM lineitem),

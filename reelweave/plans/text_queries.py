@@ -24,15 +24,16 @@ def _clean_sql() -> str:
             steps.append(f"s{k + 1} AS (SELECT doc_id, lang, {words} AS l FROM s{k})")
             steps.append(f"s{k + 2} AS (SELECT doc_id, lang, array_to_string(list_filter(l, lambda w, i: i = 1 OR w <> l[i - 1]), ' ') AS t FROM s{k + 1})")
             k += 2
-    return f"WITH {', '.join(steps)} SELECT lang, count(*) AS n_docs, CAST(sum(length(t)) AS BIGINT) AS n_chars, CAST(sum(length(t) - length(replace(t, ' ', '')) + 1) AS BIGINT) AS n_words FROM s{k} GROUP BY lang"
+    return f"WITH {', '.join(steps)} SELECT lang, count(*) AS n_docs, CAST(sum(length(t)) AS BIGINT) AS n_chars, CAST(sum(length(t) - length(replace(t, ' ', '')) + 1) AS BIGINT) AS n_words, CAST(sum(CAST('0x' || substr(md5(doc_id || ':' || t), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS digest FROM s{k} GROUP BY lang"
 
 
 @query(_clean_sql())
 def clean_text_docs(spark, d):
-    """Cleaned documents, counted by language."""
-    t = table(spark, d, "documents").select("lang", T.clean_text(F.col("text")).alias("t"))
+    """Cleaned documents by language: counts, and the sum of their texts' digests."""
+    t = table(spark, d, "documents").select("doc_id", "lang", T.clean_text(F.col("text")).alias("t"))
     words = F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit(""))) + 1
-    return t.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.length("t")).alias("n_chars"), F.sum(words).cast("long").alias("n_words"))
+    digest = F.conv(F.substring(F.md5(F.concat_ws(":", "doc_id", "t")), 1, 15), 16, 10).cast("decimal(20,0)")
+    return t.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.length("t")).alias("n_chars"), F.sum(words).cast("long").alias("n_words"), F.sum(digest).cast("decimal(38,0)").alias("digest"))
 
 
 @query(r"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, p[i] AS prompt FROM (
@@ -44,13 +45,13 @@ def prompt_batch_split(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(T.batch_prompts(F.col("text"), "\\n")).alias("pos", "prompt"))
 
 
-@query("""SELECT conv_id, string_agg('"' || CAST(CAST(least(round_even(turn * 24.0 / 16.0, 0), 9) AS BIGINT) AS VARCHAR) || '" :"' || length(text) || '"', ',' || chr(10) ORDER BY turn) AS prompts
+@query("""SELECT conv_id, string_agg('"' || CAST(CAST(least(round_even(turn * 24.0 / 16.0, 0), 9) AS BIGINT) AS VARCHAR) || '" :"' || coalesce(text, '') || '"', ',' || chr(10) ORDER BY turn) AS prompts
   FROM conversations GROUP BY conv_id""")
 def batch_prompt_keys(spark, d):
-    """Frame-keyed prompt lines of each conversation (the texts' lengths as prompts)."""
-    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").cast("string").alias("t")))).alias("l"))
-    joined = F.array_join(F.transform("l", lambda x: x["t"]), "|")
-    return turns.select("conv_id", T.batch_prompt(joined, "|", 24, 16, 10).alias("prompts"))
+    """Frame-keyed prompt lines of each conversation, a line for each turn's text."""
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("t")))).alias("l"))
+    joined = F.array_join(F.transform("l", lambda x: x["t"]), "\x1f")
+    return turns.select("conv_id", T.batch_prompt(joined, "\x1f", 24, 16, 10).alias("prompts"))
 
 
 def _sides(spark, d):
@@ -210,16 +211,18 @@ def math_ops(spark, d):
 _MAX = 18446744073709551615
 
 
-@query(f"SELECT CAST(i AS INTEGER) AS pos, CAST(least(CAST({_MAX - 50} AS HUGEINT) + i, CAST({_MAX} AS HUGEINT)) AS DECIMAL(20,0)) AS seed FROM range(100) AS r(i)")
+@query(f"SELECT o_orderkey, CAST(i AS INTEGER) AS pos, CAST(least(CAST({_MAX} AS HUGEINT) - o_orderkey % 6 + i, CAST({_MAX} AS HUGEINT)) AS DECIMAL(20,0)) AS seed FROM orders, range(8) AS r(i) WHERE i < 5 + o_custkey % 4")
 def seed_list_increment(spark, d):
-    """Rising unsigned 64-bit seeds, held at their bound."""
-    return lists.seeds(spark, _MAX, _MAX - 50, "increment", 100)
+    """Rising unsigned 64-bit seeds of each order, held at their bound; bounds in falling order."""
+    top = F.lit(str(_MAX)).cast("decimal(20,0)")
+    o = table(spark, d, "orders")
+    return lists.seed_lists(o, top, top - F.col("o_orderkey") % 6, "increment", 5 + F.col("o_custkey") % 4).select("o_orderkey", "pos", "seed")
 
 
-@query("SELECT CAST(i AS INTEGER) AS pos, CAST(greatest(20 - i, 5) AS DECIMAL(20,0)) AS seed FROM range(100) AS r(i)")
+@query("SELECT c_custkey, CAST(i AS INTEGER) AS pos, CAST(greatest(5 + c_custkey % 9 - i, 5) AS DECIMAL(20,0)) AS seed FROM customer, range(40) AS r(i) WHERE i < 6 + c_nationkey")
 def seed_list_decrement(spark, d):
-    """Falling seeds, held at their bound."""
-    return lists.seeds(spark, 5, 20, "decrement", 100)
+    """Falling seeds of each customer, held at their bound."""
+    return lists.seed_lists(table(spark, d, "customer"), F.lit(5), 5 + F.col("c_custkey") % 9, "decrement", 6 + F.col("c_nationkey")).select("c_custkey", "pos", "seed")
 
 
 @query("SELECT o_orderkey, CAST(o_custkey + (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) AS DECIMAL(38,0)) AS seed FROM orders")
@@ -239,21 +242,27 @@ def repeat_as_list(spark, d):
 
 @query()
 def seed_list_random(spark, d):
-    """Random seeds from a sequential generator."""
-    return lists.seeds(spark, 0, _MAX, "random", 100, seed=7)
+    """Random seeds of each customer, from a sequential generator that its key starts."""
+    c = table(spark, d, "customer")
+    return lists.seed_lists(c, F.lit(0), F.lit(str(_MAX)), "random", F.lit(4), F.col("c_custkey")).select("c_custkey", "pos", "seed")
 
 
 @query()
 def random_prompts(spark, d):
-    """Prompts drawn from a template of choices."""
-    return lists.random_prompts(spark, "a [red|blue|green] car in a [forest|city|desert]", 50, 7)
+    """Prompts of each part, drawn from a template of its own words."""
+    words = lambda c: F.concat(F.lit("["), F.replace(F.col(c), F.lit(" "), F.lit("|")), F.lit("]"))
+    template = F.concat(F.lit("a "), words("p_name"), F.lit(", [] ["), "p_type", F.lit("], by ["), "p_brand", F.lit("| |no one] [open"))
+    rows = table(spark, d, "part")
+    return lists.joined_prompts(lists.prompt_lists(rows, template, 1 + F.col("p_size") % 5, F.col("p_partkey")).select("p_partkey", "pos", "prompt"), "p_partkey")
 
 
-@query("""SELECT CAST(i AS INTEGER) AS i, concat_ws(',', printf('#%02x8080', 255 - i), printf('#%02x0000', 255 - i), string_agg(printf('#%02x%02x00', 255 - i, 255 - j), ',' ORDER BY j), string_agg(printf('#%02x00%02x', 255 - i, 255 - j), ',' ORDER BY j)) AS colours
- FROM range(8) AS r(i), range(10) AS s(j) GROUP BY i""")
+@query("""SELECT c_custkey, printf('#00%02x00', 255 - i) AS object, printf('#%02x8080', 255 - i) AS face,
+ concat_ws(',', printf('#%02x8080', 255 - i), printf('#%02x0000', 255 - i), array_to_string(list_transform(range(10), lambda j: printf('#%02x%02x00', 255 - i, 255 - j)), ','),
+  array_to_string(list_transform(range(10), lambda j: printf('#%02x00%02x', 255 - i, 255 - j)), ',')) AS colours FROM (SELECT c_custkey, CAST(c_custkey % 200 AS INTEGER) AS i FROM customer)""")
 def character_mask_colors(spark, d):
-    """Colour lists of eight characters."""
-    return spark.range(8).select(F.col("id").cast("int").alias("i")).withColumn("colours", T.character_colours("character", F.col("i")))
+    """Colour lists of characters: one for each customer."""
+    i = (F.col("c_custkey") % 200).cast("int")
+    return table(spark, d, "customer").select("c_custkey", T.character_colours("object", i).alias("object"), T.character_colours("face", i).alias("face"), T.character_colours("character", i).alias("colours"))
 
 
 @query("""SELECT event_id, CAST(len(v) AS INTEGER) AS n, array_to_string(v, '|') AS value FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN json_extract_string(props, '$.*')

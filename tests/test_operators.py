@@ -84,6 +84,57 @@ def test_lists(spark):
     assert [r.prompt for r in lists.random_prompts(spark, "a [x|y] b[", 4, 3).orderBy("pos").collect()] == want
 
 
+def plain_prompts(template, n, seed):
+    if not template.strip():
+        return [""]
+    draw, out = random.Random(seed), []
+    for _ in range(n):
+        text, rest = "", template
+        while "[" in rest and "]" in rest[rest.index("[") :]:
+            head, _, rest = rest.partition("[")
+            block, _, rest = rest.partition("]")
+            options = [o.strip() for o in block.split("|") if o.strip()]
+            text += head + (draw.choice(options) if options else "")
+        out.append((text + rest).strip())
+    return out
+
+
+def test_drawn_lists(spark):
+    texts = ["a [x|y] b[", "[one] and [ |p| q|] []", " ", "", None, "] [a\n|b [c] d", "plain"]
+    rows = [(i, t, n, s) for i, (t, n, s) in enumerate((t, n, s) for t in texts for n in (0, 1, 7, None) for s in (0, 2**64 - 1, None))]
+    df = spark.createDataFrame([(i, t, n, None if s is None else str(s), 5, "kept") for i, t, n, s in rows], "i int, t string, n int, s string, pos int, _given string")
+    got = {}
+    for r in lists.prompt_lists(df, F.col("t"), F.col("n"), F.col("s")).orderBy("i", "pos").collect():
+        assert r["_given"] == "kept"
+        got.setdefault(r.i, []).append(r.prompt)
+    want = {i: plain_prompts(t or "", n, s or 0) for i, t, n, s in rows if n is not None}
+    assert got == {i: p for i, p in want.items() if p}
+    big = lists.seed_lists(spark.range(2), F.lit(2**40), F.lit(3), "random", F.lit(lists.PART + 5), F.col("id")).orderBy("id", "pos").collect()
+    draws = [random.Random(0), random.Random(1)]
+    assert [int(r.seed) for r in big] == [d.randint(3, 2**40) for d in draws for _ in range(lists.PART + 5)]
+    odd = spark.createDataFrame([(1, None, 3, 2), (2, 1, 3, 0), (3, 1, 3, None), (4, 3, 1, 4)], "i int, a int, b int, n int")
+    for method, found in (("increment", [1, 2, 3, 3]), ("decrement", [3, 2, 1, 1])):
+        assert [(r.i, r.pos, int(r.seed)) for r in lists.seed_lists(odd, F.col("a"), F.col("b"), method, F.col("n")).orderBy("pos").collect()] == [(4, k, v) for k, v in enumerate(found)]
+    assert lists.seed_lists(odd.limit(0), F.col("a"), F.col("b"), "random", F.col("n")).count() == 0
+
+
+def test_drawn_queries(spark):
+    from reelweave.plans.catalogue import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    got = {}
+    for r in QUERIES["seed_list_random"](spark, d).orderBy("c_custkey", "pos").collect():
+        got.setdefault(r.c_custkey, []).append(int(r.seed))
+    keys = [r.c_custkey for r in spark.read.parquet(f"{d}/customer.parquet").collect()]
+    assert len(keys) > 50
+    assert got == {k: [g.randint(0, 2**64 - 1) for g in [random.Random(k)] for _ in range(4)] for k in keys}
+    want = {}
+    for p in spark.read.parquet(f"{d}/part.parquet").collect():
+        template = f"a [{p.p_name.replace(' ', '|')}], [] [{p.p_type}], by [{p.p_brand}| |no one] [open"
+        want[p.p_partkey] = " | ".join(plain_prompts(template, 1 + p.p_size % 5, p.p_partkey))
+    assert {r.p_partkey: r.prompts for r in QUERIES["random_prompts"](spark, d).collect()} == want
+
+
 def seq(spark, n, size=4, seq_id=1, seed=0):
     rng = np.random.default_rng(seed)
     rows = [(seq_id, i, rng.random(size).tolist()) for i in range(n)]
