@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
+#: Blocks of operators that hold many arrays of a block at once: each byte has 8 in every one of them.
+SMALL_BYTES = 1 << 18
 try:
     _libc = ctypes.CDLL(None)
 except OSError:
@@ -41,7 +43,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """At least n powers of the base modulo 2^64, and of its inverse; grown once and kept by the worker."""
     if len(_powers[0]) < n:
-        n = max(n, BLOCK_BYTES + BLOCK_BYTES // 2)
+        n = max(n + n // 2, SMALL_BYTES + SMALL_BYTES // 2)
         for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             p = np.full(n, b, np.uint64)
             p[0] = 1

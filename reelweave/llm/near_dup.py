@@ -118,7 +118,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     def sign(texts: pa.Array) -> pa.Array:
         _encode.release()
         found, keys, sizes = [], [], []
-        for block in _text.blocks(texts, fold=True):
+        for block in _text.blocks(texts, fold=True, max_bytes=_text.SMALL_BYTES):
             labelled, count, start, end = kmers(block)
             found += digests(block, start, end)
             if len(labelled):
@@ -157,7 +157,7 @@ def alignment(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> flo
 
 def _sequences(texts: pa.Array) -> list[np.ndarray]:
     out = []
-    for block in _text.blocks(texts, fold=True):
+    for block in _text.blocks(texts, fold=True, max_bytes=_text.SMALL_BYTES):
         labelled, count, *_ = kmers(block)
         out += np.split(labelled, np.cumsum(count)[:-1])
     return out
@@ -326,7 +326,7 @@ def digest_of(text: Column) -> Column:
     def own(texts: pa.Array) -> pa.Array:
         _encode.release()
         found = []
-        for block in _text.blocks(texts, fold=True):
+        for block in _text.blocks(texts, fold=True, max_bytes=_text.SMALL_BYTES):
             found += digests(block, *block.words())
         return pa.array(found, pa.binary())
 

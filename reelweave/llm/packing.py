@@ -161,7 +161,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
         stream, seen = Stream(TaskContext.get().partitionId() << 40), 0
         for batch in batches:
             ids_of = batch.column(0).to_pylist()
-            for block in _text.blocks(batch.column(1)):
+            for block in _text.blocks(batch.column(1), max_bytes=_text.SMALL_BYTES):
                 ids, size, doc, start, end = enc.encode(block)
                 ends = np.cumsum(size)
                 first = np.searchsorted(doc, np.arange(block.n + 1))

@@ -123,10 +123,10 @@ def count_ngrams(docs: DataFrame, bucket: Column, order: int = ORDER) -> DataFra
         held: list = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
         for batch in batches:
             lang = batch.column(1).to_numpy(zero_copy_only=False)
-            for block in _text.blocks(batch.column(0)):
+            for block in _text.blocks(batch.column(0), max_bytes=_text.SMALL_BYTES):
                 keys, _ = _keys(block, lang[block.first : block.first + block.n], order)
                 at, hit, _ = memo.slots(keys)
-                counts += np.bincount(at[hit], minlength=len(counts))
+                np.add.at(counts, at[hit], 1)
                 held.append(_distinct(keys[~hit]))
                 if sum(len(k) for k, _ in held) > 1 << 20:
                     yield _counts(*_merge(held))
@@ -291,7 +291,7 @@ def statistics(text: Column, bucket: Column, model: KneserNey | None, spark) ->
         score = _Scorer(held.value) if held.value is not None else None
         for texts, langs in batches:
             lang = langs.to_numpy(zero_copy_only=False)
-            parts = [_statistics(b, lang[b.first : b.first + b.n], score) for b in _text.blocks(texts)]
+            parts = [_statistics(b, lang[b.first : b.first + b.n], score) for b in _text.blocks(texts, max_bytes=_text.SMALL_BYTES)]
             cols = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0)] * 6
             arrays = [pa.array(c, t, from_pandas=True) for c, t in zip(cols, _FIELDS.values(), strict=True)]
             yield pa.StructArray.from_arrays(arrays, list(_FIELDS))
