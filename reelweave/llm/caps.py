@@ -12,12 +12,15 @@ The cut and the number of words follow from the number of vectors: caps are size
 table grows.  That is a mean, and the caps of one code depend on each other, so there are ``CODES``
 codes with rotations of their own, and none of them leaves a vector out (see below).
 
-Equal vectors are one with a weight.  Members of a filter are dealt into chunks of ``CHUNK``, and
-pairs of chunks are compared by matrix products; a pair that shares several filters counts in the
-first of them only.  A comparison yields sums for each vector (links, smallest linked id), not pairs,
-so a dense cap costs time but no rows.  A vector that fewer than ``LEAST`` caps of a code take is put
-into its ``LEAST`` best ones, as if by a lower cut.  So is its partner, if it needs to be: each
-vector's caps contain its ``LEAST`` best of each code, and near vectors share some of these.
+Equal vectors are one with a weight.  Members of a filter are dealt into chunks of about ``CHUNK``, and
+pairs of chunks are compared in tiles by matrix products: in single precision with room for its error
+first, what is left in double precision.  A pair that shares several filters counts in the first of
+them only, so a member carries the numbers of its earlier filters: it is a prefix of its vector's
+record (key, weight, numbers, filters).  A comparison yields sums for each vector (links, smallest linked
+key), not pairs; a filter of up to ``CHUNK`` members holds each once, a denser one once for each chunk.
+A vector that fewer than ``LEAST`` caps of a code take is put into its ``LEAST`` best ones, as if by a
+lower cut.  So is its partner, if it needs to be: each vector's caps contain its ``LEAST`` best of each
+code, and near vectors share some of these.
 
 Defined cases: null, zero or non-finite vectors link with nothing; a vector of another length than
 most has a space of its own; repeated rows of one id are vectors of their own that link with each
@@ -44,7 +47,10 @@ CAP = 256
 COMMON = 28
 CODES = 3
 LEAST = 16
-CHUNK = 512
+CHUNK = 4096
+TILE = 512
+#: Partial sums that list decoding holds at once.
+SUMS = 1 << 22
 
 
 class Code:
@@ -64,33 +70,55 @@ class Code:
                 # a direction is one word of each block: scaled so that all directions have length 1
                 books.append(w / np.linalg.norm(w, axis=1, keepdims=True) * math.sqrt(len(part) / dim))
             self.codes.append((turn, books))
+        self.kind = self.number_kind(dim, words)
         # the r best sums of one number from each list have ranks whose product is r at most
         self.least = min(LEAST, self.size)
         ranks = np.indices([min(words, self.least)] * len(self.parts)).reshape(len(self.parts), -1)
         self.ranks = ranks[:, (ranks + 1).prod(0) <= self.least]
 
+    @staticmethod
+    def number_kind(dim: int, words: int) -> type:
+        """Type of the numbers of all filters."""
+        return np.int32 if CODES * words ** blocks_of(dim) < 1 << 31 else np.int64
+
     def filters(self, v: np.ndarray) -> list[int]:
         """Sorted numbers of all directions with which v has an inner product of ``cut`` or more, and of the LEAST best of each code."""
-        return [n for k in range(len(self.codes)) for n in (np.sort(self._of_code(v, k)) + k * self.size).tolist()]
+        return self.decode(v[None, :])[0].tolist()
+
+    def decode(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``filters`` of each row of m, joined, and their numbers."""
+        step = max(1, SUMS // self.words ** min(2, len(self.parts)))
+        some = [self._rows(m[a : a + step]) for a in range(0, len(m), step)]
+        return np.concatenate([np.zeros(0, np.int64), *[x for x, _ in some]]), np.concatenate([np.zeros(0, np.int64), *[n for _, n in some]])
 
-    def _of_code(self, v: np.ndarray, k: int) -> np.ndarray:
+    def _rows(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = [self._of_code(m, k) for k in range(len(self.codes))]
+        row, number = np.concatenate([r for r, _ in found]), np.concatenate([n + k * self.size for k, (_, n) in enumerate(found)])
+        return number[np.lexsort((number, row))], np.bincount(row, minlength=len(m))
+
+    def _of_code(self, m: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of m and the numbers of their filters."""
         turn, books = self.codes[k]
-        x = v @ turn
-        dots = [b @ x[p] for p, b in zip(self.parts, books, strict=True)]
-        ahead = np.cumsum([0.0, *[d.max() for d in dots[:0:-1]]])[::-1]  # best that later blocks can add
-        number, total = np.zeros(1, np.int64), np.zeros(1)
+        x = m @ turn
+        dots = [x[:, p] @ b.T for p, b in zip(self.parts, books, strict=True)]
+        ahead = [sum((d.max(1) for d in dots[at + 1 :]), np.zeros(len(m))) for at in range(len(dots))]  # best that later blocks can add
+        row, number, total = np.arange(len(m)), np.zeros(len(m), np.int64), np.zeros(len(m))
         for d, rest in zip(dots, ahead, strict=True):
-            s = total[:, None] + d
-            i, w = np.nonzero(s + rest >= self.cut)
-            number, total = number[i] * self.words + w, s[i, w]
-        return number if len(number) >= self.least else self._best(dots)
+            s = total[:, None] + d[row]
+            i, w = np.nonzero(s + rest[row, None] >= self.cut)
+            row, number, total = row[i], number[i] * self.words + w, s[i, w]
+        few = np.bincount(row, minlength=len(m)) < self.least
+        kept, short = ~few[row], np.flatnonzero(few)
+        best = self._best([d[short] for d in dots])
+        return np.concatenate([row[kept], np.repeat(short, best.shape[1])]), np.concatenate([number[kept], best.ravel()])
 
     def _best(self, dots: list[np.ndarray]) -> np.ndarray:
-        number, total = np.zeros(self.ranks.shape[1], np.int64), np.zeros(self.ranks.shape[1])
+        """The ``least`` best numbers of each row."""
+        number, total = np.zeros((len(dots[0]), self.ranks.shape[1]), np.int64), np.zeros((len(dots[0]), self.ranks.shape[1]))
         for d, rank in zip(dots, self.ranks, strict=True):
-            word = np.argsort(-d, kind="stable")[rank]
-            number, total = number * self.words + word, total + d[word]
-        return number[np.argsort(-total, kind="stable")[: self.least]]
+            word = np.argsort(-d, axis=1, kind="stable")[:, rank]
+            number, total = number * self.words + word, total + np.take_along_axis(d, word, 1)
+        return np.take_along_axis(number, np.argsort(-total, axis=1, kind="stable")[:, : self.least], 1)
 
 
 def blocks_of(dim: int) -> int:
@@ -134,14 +162,15 @@ def _raw(column: pa.Array, kind: type) -> tuple[list[bytes | None], list[int]]:
     return out, np.where(good, size, 0).tolist()
 
 
-def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Values of a list column of numbers, joined, and the length of each list."""
-    column = column.combine_chunks()
-    return pc.list_flatten(column).to_numpy(zero_copy_only=False), pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column, and where each value begins and the last one ends."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), at
 
 
-def _unit(raw: bytes, n: int, kind: type) -> np.ndarray:
-    m = np.frombuffer(raw, kind).reshape(n, -1).astype(np.float64)
+def _unit(m: np.ndarray) -> np.ndarray:
+    m = m.astype(np.float64)
     m = m / np.abs(m).max(1, keepdims=True)
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
@@ -157,26 +186,77 @@ def _local(near: np.ndarray) -> np.ndarray:
         label = low
 
 
-def _compare(m: np.ndarray, side: np.ndarray, early: tuple[np.ndarray, np.ndarray], weight: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows with links, their weights of links, and the first row of their local component.
-
-    side: None for one chunk with itself, else which of two chunks each row is in.  A pair that
-    shares one of the ``early`` filters (joined, and their number for each row) has been counted there.
-    """
-    near = m @ m.T >= threshold
-    np.fill_diagonal(near, False)
-    if side is not None:
-        near &= side[:, None] != side[None, :]
-    rows = np.flatnonzero(near.any(1))
-    near = near[np.ix_(rows, rows)]
-    if len(rows):
-        value, size = early
-        own = size[rows]
-        _, rank = np.unique(value[_text.ragged((np.cumsum(size) - size)[rows], own)], return_inverse=True)
-        seen = np.zeros((len(rows), int(rank.max(initial=-1)) + 1), np.float32)
-        seen[np.repeat(np.arange(len(rows)), own), rank] = 1
-        near &= seen @ seen.T < 0.5
-    return rows, near @ weight[rows], rows[_local(near)] if len(rows) else rows
+class Members:
+    """Members of a pair of chunks, read from their records."""
+
+    def __init__(self, records: pa.Array, dim: int, kind: type, number: type):
+        self.data, at = _bytes(records)
+        self.start, self.number = at[:-1] + 16 + dim * np.dtype(kind).itemsize, np.dtype(number)
+        self.size = (at[1:] - self.start) // self.number.itemsize
+        head = self.data[at[:-1, None] + np.arange(16 + dim * np.dtype(kind).itemsize)]
+        self.key, self.weight = head[:, :8].copy().view(np.int64)[:, 0], head[:, 8:16].copy().view(np.int64)[:, 0]
+        self.unit = _unit(head[:, 16:].copy().view(kind))
+
+    def early(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Earlier filters of some rows, joined, and their numbers."""
+        width, size = self.number.itemsize, self.size[rows]
+        return self.data[_text.ragged(self.start[rows], size * width)].view(self.number), size
+
+    def _shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which rows of a and of b have an earlier filter in common."""
+        value, size = self.early(np.concatenate([a, b]))
+        _, rank = np.unique(value, return_inverse=True)
+        seen = np.zeros((len(size), int(rank.max(initial=-1)) + 1), np.float32)
+        seen[np.repeat(np.arange(len(size)), size), rank] = 1
+        return seen[: len(a)] @ seen[len(a) :].T > 0.5
+
+    def compare(self, side: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows with links, their weights of links, and the first row of their component here.
+
+        side: None for one chunk with itself, else which of two chunks each row is in.  A pair that
+        shares an earlier filter has been counted there.
+        """
+        n, low = len(self.key), self.unit.astype(np.float32)
+        room = 1e-6 + 2e-7 * self.unit.shape[1]
+        count, ends = np.zeros(n, np.int64), [np.zeros((2, 0), np.int64)]
+        groups = [np.arange(n)] if side is None else [np.flatnonzero(side == x) for x in np.unique(side)]
+        tiles = [[g[a : a + TILE] for a in range(0, len(g), TILE)] for g in groups]
+        if side is None:
+            pairs = [(x, y) for k, x in enumerate(tiles[0]) for y in tiles[0][k:]]
+        else:
+            pairs = [(x, y) for x in tiles[0] for y in tiles[1]] if len(tiles) == 2 else []
+        for x, y in pairs:
+            near = low[x] @ low[y].T >= threshold - room
+            same = x is y
+            if same:
+                np.fill_diagonal(near, False)
+            r, c = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+            if not len(r):
+                continue
+            x, y = x[r], y[c]
+            near = self.unit[x] @ self.unit[y].T >= threshold
+            if same:
+                np.fill_diagonal(near, False)
+            near &= ~self._shared(x, y)
+            count[x] += near @ self.weight[y]
+            if not same:
+                count[y] += self.weight[x] @ near
+                square = np.zeros((len(x) + len(y),) * 2, bool)
+                square[: len(x), len(x) :], square[len(x) :, : len(x)] = near, near.T
+                near, x = square, np.concatenate([x, y])
+            ends.append(np.stack([x, x[_local(near)]]))
+        a, b = np.concatenate(ends, 1)
+        label = np.arange(n)
+        while True:
+            new = label.copy()
+            np.minimum.at(new, a, label[b])
+            np.minimum.at(new, b, label[a])
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        rows = np.flatnonzero(count)
+        return rows, count[rows], label[rows]
 
 
 def links(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -199,26 +279,59 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_i
     def decode(batches):
         codes = {d: Code(d, *p) for d, p in plans.items()}
         for batch in batches:
-            raw, dim = batch.column("raw").to_pylist(), batch.column("dim").to_pylist()
-            out = [codes[d].filters(_unit(r, 1, kind)[0]) for r, d in zip(raw, dim, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int64()))], [*batch.schema.names, "filters"])
-
-    decoded = written(distinct.select("key", "raw", "dim", "weight").mapInArrow(decode, "key long, raw binary, dim int, weight long, filters array<long>"), "decoded")
-    counts = decoded.select(F.explode("filters").alias("f"), "dim").groupBy("f", "dim").agg(F.count("*").alias("n")).where("n > 1")
-    member = decoded.select("key", "raw", "dim", "weight", "filters", F.posexplode("filters").alias("at", "f")).withColumn("early", F.slice("filters", F.lit(1), F.col("at"))).drop("filters", "at")
-    # a filter's members are dealt into chunks of about CHUNK; each pair of chunks is compared once
-    member = member.join(counts, ["f", "dim"]).withColumn("parts", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    dealt = member.select("f", "dim", "own", "key", "raw", "weight", "early", other).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
-
-    def compare(key, table):
-        i, j = key[2].as_py(), key[3].as_py()
-        own, keys, weight = (table.column(c).to_numpy() for c in ("own", "key", "weight"))
-        early = _flat(table.column("early"))
-        at, n, first = _compare(_unit(b"".join(table.column("raw").to_pylist()), len(own), kind), None if i == j else own, early, weight, threshold)
-        return pa.table({"key": keys[at], "n": n.astype(np.int64), "first": keys[first]})
-
-    found = written(dealt.groupBy("f", "dim", "i", "j").applyInArrow(compare, "key long, n long, first long"), "found")
+            key, weight, dims = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "weight", "dim"))
+            data, at = _bytes(batch.column("raw"))
+            for dim in np.unique(dims).tolist():
+                rows, width = np.flatnonzero(dims == dim), dim * np.dtype(kind).itemsize
+                raw = data[at[rows, None] + np.arange(width)]
+                number, size = codes[dim].decode(_unit(raw.view(kind)))
+                short = codes[dim].kind
+                head = np.concatenate([np.stack([key[rows], weight[rows]], 1).view(np.uint8), raw], 1)
+                parts, of = number.astype(short).tobytes(), np.concatenate([[0], np.cumsum(size)])
+                # a record is its head and all its filters; a member is cut where its filter begins
+                records = [h.tobytes() + parts[a * np.dtype(short).itemsize : b * np.dtype(short).itemsize] for h, a, b in zip(head, of[:-1].tolist(), of[1:].tolist(), strict=True)]
+                cut = head.shape[1] + (np.arange(len(number)) - np.repeat(of[:-1], size)) * np.dtype(short).itemsize
+                places = pa.ListArray.from_arrays(pa.array(of.astype(np.int32)), pa.StructArray.from_arrays([pa.array(number), pa.array(cut.astype(np.int32))], ["f", "cut"]))
+                yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(np.full(len(rows), dim, np.int32)), pa.array(records, pa.binary()), places], ["key", "dim", "record", "places"])
+
+    decoded = written(distinct.select("key", "raw", "dim", "weight").mapInArrow(decode, "key long, dim int, record binary, places array<struct<f:long,cut:int>>"), "decoded")
+    dense = decoded.select("dim", F.explode("places.f").alias("f")).groupBy("dim", "f").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
+    member = decoded.select("key", "dim", "record", F.inline("places")).withColumn("record", F.substring("record", F.lit(1), F.col("cut")))
+    # the members of a dense filter are dealt into chunks of about CHUNK; each pair of chunks is compared once
+    member = member.join(dense, ["dim", "f"], "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / CHUNK).cast("int"), F.lit(1))).withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    dealt = member.select("dim", "f", "own", "record", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("dim", "f", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "record")
+    group = ["dim", "f", "i", "j"]
+
+    def compare(batches):
+        kinds = {d: Code.number_kind(d, p[0]) for d, p in plans.items()}
+
+        def verdict(of, own, records):
+            own = np.concatenate(own)
+            if len(own) > 1:
+                members = Members(pa.concat_arrays(records), of[0], kind, kinds[of[0]])
+                at, n, first = members.compare(None if of[2] == of[3] else own, threshold)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(members.key[at]), pa.array(n), pa.array(members.key[first])], ["key", "n", "first"])
+
+        last, own, records = None, [], []
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in group], 1)
+            edge = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
+            chunk, record = batch.column("own").to_numpy(), batch.column("record")
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                if b > a:
+                    of = tuple(keys[a].tolist())
+                    if of != last:
+                        if last:
+                            yield from verdict(last, own, records)
+                        last, own, records = of, [], []
+                    own.append(chunk[a:b])
+                    records.append(record.slice(a, b - a))
+        if last:
+            yield from verdict(last, own, records)
+
+    found = written(dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(compare, "key long, n long, first long"), "found")
     joined = components(found.select(F.col("key").alias("a"), F.col("first").alias("b")))
     degree = found.groupBy("key").agg(F.sum("n").alias("n"))
     named = distinct.select("key", "low", "weight").join(degree, "key", "left").join(joined.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))

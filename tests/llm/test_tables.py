@@ -415,6 +415,31 @@ def test_links(spark, chunk, cap, monkeypatch):
     assert caps.links(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sides", [None, 2])
+@pytest.mark.parametrize("tile", [3, 7, 512])
+@pytest.mark.parametrize("number", [np.int32, np.int64])
+def test_members_by_tiles(sides, tile, number, monkeypatch):
+    """Counts and components of a filter's members are those of all pairs, whatever the tiles."""
+    monkeypatch.setattr(caps, "TILE", tile)
+    rng = np.random.default_rng(tile)
+    m = (rng.normal(size=(5, 8))[rng.integers(0, 5, 40)] + 0.18 * rng.normal(size=(40, 8))).astype(np.float32)
+    weight, early = rng.integers(1, 4, 40), [np.sort(rng.choice(30, rng.integers(0, 4), replace=False)).astype(number) for _ in range(40)]
+    records = [np.array([100 + k, weight[k]], np.int64).tobytes() + m[k].tobytes() + early[k].tobytes() for k in range(40)]
+    members = caps.Members(pa.array([b"other", *records], pa.binary()).slice(1), 8, np.float32, number)
+    side = None if sides is None else rng.integers(0, sides, 40)
+    unit = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    link = {(a, b) for a in range(40) for b in range(40) if a != b and unit[a] @ unit[b] >= 0.95 and not set(early[a].tolist()) & set(early[b].tolist()) and (side is None or side[a] != side[b])}
+    assert len(link) > 50
+    least = list(range(40))
+    for _ in range(40):
+        for a, b in link:
+            least[a] = min(least[a], least[b])
+    rows, count, first = members.compare(side, 0.95)
+    assert members.key.tolist() == list(range(100, 140))
+    assert dict(zip(rows.tolist(), count.tolist(), strict=True)) == {a: sum(weight[b] for x, b in link if x == a) for a in {a for a, _ in link}}
+    assert dict(zip(rows.tolist(), first.tolist(), strict=True)) == {a: least[a] for a in {a for a, _ in link}}
+
+
 def test_recall_of_links(spark):
     """Groups of four at cosines of about 0.96 among vectors of their own, and every link of a pair at or above 0.95."""
     rng = np.random.default_rng(5)
