@@ -295,7 +295,8 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_i
                 yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(np.full(len(rows), dim, np.int32)), pa.array(records, pa.binary()), places], ["key", "dim", "record", "places"])
 
     decoded = written(distinct.select("key", "raw", "dim", "weight").mapInArrow(decode, "key long, dim int, record binary, places array<struct<f:long,cut:int>>"), "decoded")
-    dense = decoded.select("dim", F.explode("places.f").alias("f")).groupBy("dim", "f").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
+    # as a table its size is known before the join, so members are shuffled for it only where it is large
+    dense = written(decoded.select("dim", F.explode("places.f").alias("f")).groupBy("dim", "f").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK), "dense")
     member = decoded.select("key", "dim", "record", F.inline("places")).withColumn("record", F.substring("record", F.lit(1), F.col("cut")))
     # the members of a dense filter are dealt into chunks of about CHUNK; each pair of chunks is compared once
     member = member.join(dense, ["dim", "f"], "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / CHUNK).cast("int"), F.lit(1))).withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
