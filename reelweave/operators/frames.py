@@ -6,6 +6,10 @@ Sequences are sliced and sampled by predicates on ``frame_idx``; joins and windo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,28 +30,45 @@ def take(frames: DataFrame, start: int, length: int = -1) -> DataFrame:
     return f.where((F.col("frame_idx") >= first) & (F.col("frame_idx") < first + size)).withColumn("frame_idx", (F.col("frame_idx") - first).cast("long")).drop("n")
 
 
-def kept_indices(n: Column, origin_fps: float, result_fps: float, keep_last: bool = False) -> Column:
-    """Indices that survive a drop of the frame rate, by the same running sum of doubles for every length."""
-    skip = origin_fps / result_fps
-    empty = F.array().cast("array<int>")
+def kept_frames(length: DataFrame, skip: float, part: int = 1 << 16) -> DataFrame:
+    """(source_idx, kept, rank) for each index below ``length`` (one row, one column): whether it survives, and how many before it do.
 
-    def step(a, i):
-        take_it = a["t"] <= i
-        return F.struct(F.when(take_it, a["t"] + F.lit(skip)).otherwise(a["t"]).alias("t"), F.when(take_it, F.concat(a["out"], F.array(i))).otherwise(a["out"]).alias("out"))
+    An index survives if it is the first to reach a running sum of ``skip`` in doubles; that is the same for all
+    sequences, so it is computed once, ``part`` indices at a time.
+    """
 
-    every = F.sequence(F.lit(0), (n - 1).cast("int"))
-    kept = F.aggregate(every, F.struct(F.lit(0.0).alias("t"), empty.alias("out")), step, lambda a: a["out"])
-    if keep_last:
-        kept = F.array_union(kept, F.array((n - 1).cast("int")))
-    return F.when(F.lit(skip) > n, every).otherwise(kept)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in batch.column(0).to_pylist():
+                total, before = 0.0, 0
+                for a in range(0, n or 0, part):
+                    i = np.arange(a, min(a + part, n))
+                    if skip <= 1:
+                        kept, rank = np.ones(len(i), bool), i
+                    else:
+                        # sums one by one, as a running sum has them; ceil(sum) is the index that reaches it
+                        sums = np.cumsum(np.concatenate([[total], np.full(int(part / skip) + 2, skip)]))
+                        at = np.ceil(sums)
+                        inside = int(np.searchsorted(at, i[-1], "right"))
+                        rank = before + np.searchsorted(at[:inside], i)
+                        kept = np.isin(i, at[:inside])
+                        total, before = float(sums[inside]), before + inside
+                    yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(kept), pa.array(rank.astype(np.int64))], ["source_idx", "kept", "rank"])
+
+    return length.mapInArrow(run, "source_idx long, kept boolean, rank long")
 
 
 def reduce_fps(frames: DataFrame, origin_fps: float, result_fps: float, keep_last: bool = False) -> DataFrame:
-    """Frames that survive a drop of the frame rate, re-numbered; ``source_idx`` is where they were."""
-    size = frames.groupBy("seq_id").agg(F.count("*").alias("n"))
-    kept = size.select("seq_id", F.posexplode(kept_indices(F.col("n"), origin_fps, result_fps, keep_last)).alias("new_idx", "source_idx"))
-    joined = frames.withColumnRenamed("frame_idx", "source_idx").join(kept.withColumn("source_idx", F.col("source_idx").cast("long")), ["seq_id", "source_idx"])
-    return joined.withColumn("frame_idx", F.col("new_idx").cast("long")).drop("new_idx")
+    """Frames that survive a drop of the frame rate, re-numbered; ``source_idx`` is where they were.
+
+    A sequence shorter than the step between kept frames stays whole.
+    """
+    skip = origin_fps / result_fps
+    f = with_count(frames).withColumn("source_idx", F.col("frame_idx").cast("long"))
+    table = kept_frames(frames.agg((F.max("frame_idx") + 1).cast("long").alias("length")), skip)
+    whole, last = F.lit(skip) > F.col("n"), F.col("source_idx") == F.col("n") - 1
+    f = f.join(table, "source_idx").where(whole | F.col("kept") | (last if keep_last else F.lit(False)))
+    return f.withColumn("frame_idx", F.when(whole, F.col("source_idx")).otherwise(F.col("rank"))).drop("n", "kept", "rank")
 
 
 def bytes_estimate(shape: list[Column], element: int = 4) -> Column:

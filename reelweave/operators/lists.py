@@ -32,21 +32,37 @@ def merge_lists(a: DataFrame, b: DataFrame, separator: str) -> DataFrame:
     return zip_longest(a, b).select(*KEYS, F.concat_ws(separator, "a", "b").alias("value"))
 
 
+#: An item that many positions of the other list meet stands in so many places.
+SALTS = 64
+
+
+def _last_repeated(at: DataFrame, side: DataFrame, size: DataFrame, own: str, other: str, name: str) -> DataFrame:
+    """Positions with the side's items as ``name``; beyond its end its last item, in SALTS places so that no task gets all the rest."""
+    beyond = F.greatest(F.col("pos").cast("long") - F.col(own) + 1, F.lit(0))
+    at = at.withColumns({"_at": F.least(F.col("pos").cast("long"), F.col(own) - 1), "_salt": (beyond % SALTS).cast("int")})
+    items = side.select("list_id", F.col("pos").cast("long").alias("_at"), F.col("value").alias(name)).join(size, "list_id")
+    copies = F.when(F.col("_at") == F.col(own) - 1, F.least(F.greatest(F.col(other) - F.col(own), F.lit(0)), F.lit(SALTS - 1))).otherwise(F.lit(0)).cast("int")
+    items = items.select("list_id", "_at", name, F.explode(F.sequence(F.lit(0), copies)).alias("_salt"))
+    return at.join(items, ["list_id", "_at", "_salt"]).drop("_at", "_salt")
+
+
 def zip_repeat_last(a: DataFrame, b: DataFrame) -> DataFrame:
     """Positions up to the longer side; the shorter side's last item is repeated. Lists need both sides."""
     size = counts(a, "na").join(counts(b, "nb"), "list_id")
     grid = size.select("list_id", "na", "nb", F.explode(F.sequence(F.lit(0), (F.greatest("na", "nb") - 1).cast("int"))).alias("pos"))
-    left = a.select("list_id", F.col("pos").cast("long").alias("pa"), F.col("value").alias("a"))
-    right = b.select("list_id", F.col("pos").cast("long").alias("pb"), F.col("value").alias("b"))
-    at = grid.withColumns({"pa": F.least(F.col("pos").cast("long"), F.col("na") - 1), "pb": F.least(F.col("pos").cast("long"), F.col("nb") - 1)})
-    return at.join(left, ["list_id", "pa"]).join(right, ["list_id", "pb"]).select(*KEYS, "a", "b")
+    both = _last_repeated(_last_repeated(grid, a, size, "na", "nb", "a"), b, size, "nb", "na", "b")
+    return both.select(*KEYS, "a", "b")
 
 
 def zip_modulo(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Every item of a with the item of b at its position modulo b's length."""
-    at = a.join(counts(b, "nb"), "list_id").select("list_id", "pos", F.col("value").alias("a"), F.pmod(F.col("pos").cast("long"), "nb").alias("pb"))
-    right = b.select("list_id", F.col("pos").cast("long").alias("pb"), F.col("value").alias("b"))
-    return at.join(right, ["list_id", "pb"]).select(*KEYS, "a", "b")
+    """Every item of a with the item of b at its position modulo b's length; an item of b that is used again stands in up to SALTS places."""
+    size = counts(a, "na").join(counts(b, "nb"), "list_id")
+    pos = F.col("pos").cast("long")
+    turn = F.floor(pos / F.col("nb")).cast("long")
+    at = a.join(size, "list_id").select("list_id", "pos", F.col("value").alias("a"), F.pmod(pos, "nb").alias("pb"), (turn % SALTS).cast("int").alias("_salt"))
+    copies = F.least(F.floor((F.col("na") - 1) / F.col("nb")), F.lit(SALTS - 1)).cast("int")
+    right = b.join(size, "list_id").select("list_id", pos.alias("pb"), F.col("value").alias("b"), F.explode(F.sequence(F.lit(0), copies)).alias("_salt"))
+    return at.join(right, ["list_id", "pb", "_salt"]).select(*KEYS, "a", "b")
 
 
 def zip_strict(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelweave.functions.text import bound
+from reelweave.sources.shared import written
 
 LUMA = (0.299, 0.587, 0.114)
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
@@ -127,29 +128,59 @@ def adaptive_strength(score: Column, threshold: float, strength: float) -> Colum
     return F.when(score > threshold, strength * (1.0 - excess * 0.8)).otherwise(F.lit(float(strength)))
 
 
-def smooth(rows: DataFrame, seq: str, order: list[str], value: str, s: float, chunk: int = 4096) -> DataFrame:
-    """Exponential smoothing out[t] = (1 - s) value[t] + s out[t-1], the first value as it is.
+def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows in ranges of ``order`` with _id, their places in the whole from 0: places within a range plus the sizes of the ranges before."""
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    placed = written(placed.select("*", F.shiftright("_m", 33).alias("_p")), "placed")
+    # one row for each range
+    sizes = placed.groupBy("_p").agg((F.max("_m") - F.shiftleft(F.col("_p"), 33) + 1).alias("_n"))
+    starts = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n") + F.lit(0)).alias("_s"))
+    return placed.join(F.broadcast(starts), "_p").withColumn("_id", F.col("_s") + F.col("_m") - F.shiftleft(F.col("_p"), 33)).drop("_m", "_p", "_s")
+
+
+def _folded(chunks: DataFrame, seq: str, chunk: int, n: int) -> DataFrame:
+    """(seq, _c, o) of chunks (seq, _c, l): o holds y[t] = b[t] + k[t] y[t-1] for each (t, b, k) of l, with what earlier chunks carry.
 
-    The recurrence is affine in the value before, so chunks of a sequence are folded apart and joined
-    by their carried values; no more than ``chunk`` values meet in a task.
+    The recurrence is affine in the value before: a chunk's fold is one of a shorter sequence, folded in chunks in turn.
     """
-    w = Window.partitionBy(seq).orderBy(*order)
-    at = rows.withColumn("_t", F.row_number().over(w) - 1).withColumn("_c", F.floor(F.col("_t") / chunk))
-    item = F.struct("_t", F.col(value).cast("double").alias("v"), *[F.col(o) for o in order])
 
     def step(a, x):
-        new = F.when(x["_t"] == 0, x["v"]).otherwise((1 - F.lit(s)) * x["v"] + F.lit(s) * a["y"])
-        keep = F.when(x["_t"] == 0, F.lit(0.0)).otherwise(F.lit(s) * a["k"])
-        return F.struct(new.alias("y"), keep.alias("k"), F.concat(a["out"], F.array(F.struct(x["_t"].alias("t"), new.alias("y"), keep.alias("k")))).alias("out"))
-
-    zero = F.struct(F.lit(0.0).alias("y"), F.lit(1.0).alias("k"), F.array().cast("array<struct<t:int,y:double,k:double>>").alias("out"))
-    folded = at.groupBy(seq, "_c").agg(F.array_sort(F.collect_list(item)).alias("l")).withColumn("f", F.aggregate("l", zero, step))
-    ends = folded.select(seq, "_c", F.col("f.y").alias("y"), F.col("f.k").alias("k"))
-    # carried into a chunk: the fold of all earlier ends, one row for each chunk of a sequence
-    carry = F.aggregate(F.array_sort(F.collect_list(F.struct("_c", "y", "k")).over(Window.partitionBy(seq).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1))), F.lit(0.0), lambda a, x: x["y"] + x["k"] * a)
-    into = ends.select(seq, "_c", carry.alias("carry"))
-    out = folded.join(into, [seq, "_c"]).select(seq, "carry", F.explode(F.arrays_zip("l", F.col("f.out").alias("o"))).alias("z"))
-    return out.select(seq, *[F.col(f"z.l.{o}").alias(o) for o in order], F.col("z.l.v").alias(value), (F.col("z.o.y") + F.col("z.o.k") * F.col("carry")).alias("smoothed"))
+        y, k = x["b"] + x["k"] * a["y"], x["k"] * a["k"]
+        return F.struct(y.alias("y"), k.alias("k"), F.concat(a["out"], F.array(F.struct(y.alias("y"), k.alias("k")))).alias("out"))
+
+    zero = F.struct(F.lit(0.0).alias("y"), F.lit(1.0).alias("k"), F.array().cast("array<struct<y:double,k:double>>").alias("out"))
+    done = chunks.withColumn("f", F.aggregate("l", zero, step))
+    if n <= chunk:
+        return done.withColumn("o", F.col("f.out.y")).drop("f")
+    done = written(done, "folded")
+    item = F.struct(F.col("_c").alias("t"), F.col("f.y").alias("b"), F.col("f.k").alias("k"))
+    ends = done.groupBy(seq, F.floor(F.col("_c") / chunk).alias("_d")).agg(F.array_sort(F.collect_list(item)).alias("l"))
+    above = _folded(ends.withColumnRenamed("_d", "_c"), seq, chunk, -(-n // chunk))
+    carried = above.select(F.col(seq).alias("_seq"), F.explode(F.arrays_zip(F.col("l.t").alias("t"), "o")).alias("z")).select("_seq", (F.col("z.t") + 1).alias("_next"), F.col("z.o").alias("carry"))
+    # a sequence's chunks have consecutive numbers
+    both = done.join(carried, F.col(seq).eqNullSafe(F.col("_seq")) & (F.col("_c") == F.col("_next")), "left")
+    first = F.col("_next").isNull()
+    return both.withColumn("o", F.transform("f.out", lambda x: F.when(first, x["y"]).otherwise(x["y"] + x["k"] * F.col("carry")))).drop("f", "_seq", "_next", "carry")
+
+
+def smooth(rows: DataFrame, seq: str, order: list[str], value: str, s: float, chunk: int = 256) -> DataFrame:
+    """Exponential smoothing out[t] = (1 - s) value[t] + s out[t-1], the first value as it is.
+
+    Rows are dealt by ranges of (seq, order) and numbered by the sizes of the ranges, so a sequence of any length is
+    spread over tasks; ``chunk`` rows at most are folded at once, and so are their carried values, level by level.
+    Rows without a sequence are one; after a null value the rest of its sequence is null.
+    """
+    at = written(_numbered(rows.select(seq, *order, F.col(value).cast("double").alias("_v")), [seq, *order]), "numbered")
+    n = at.count()
+    item = F.struct("_id", F.col("_v").alias("v"), *order)
+    parts = at.groupBy(seq, F.floor(F.col("_id") / chunk).alias("_c")).agg(F.array_sort(F.collect_list(item)).alias("rows"))
+    start = at.groupBy(seq).agg(F.floor(F.min("_id") / chunk).alias("_first")).withColumnRenamed(seq, "_seq")
+    parts = parts.join(start, F.col(seq).eqNullSafe(F.col("_seq")))
+    fresh = lambda i: (F.col("_c") == F.col("_first")) & (i == 0)
+    of = F.transform("rows", lambda x, i: F.struct(x["_id"].alias("t"), F.when(fresh(i), x["v"]).otherwise((1 - F.lit(s)) * x["v"]).alias("b"), F.when(fresh(i), F.lit(0.0)).otherwise(F.lit(float(s))).alias("k")))
+    out = _folded(parts.withColumn("l", of).drop("_first", "_seq"), seq, chunk, n)
+    out = out.select(seq, F.explode(F.arrays_zip("rows", "o")).alias("z"))
+    return out.select(seq, *[F.col(f"z.rows.{o}").alias(o) for o in order], F.col("z.rows.v").alias(value), F.col("z.o").alias("smoothed"))
 
 
 def corrected(frames: DataFrame, strength: float = 1.0, window: int = 5) -> DataFrame:

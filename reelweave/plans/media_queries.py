@@ -33,7 +33,7 @@ def frame_tail(spark, d):
     return R.take(frames(spark, d), -7).select("seq_id", "frame_idx", "vec_id")
 
 
-@query(f"""WITH RECURSIVE {_FRAMES}, t AS (SELECT 0 AS i, 0.0::DOUBLE AS t UNION ALL SELECT i + 1, CASE WHEN t <= i THEN t + 10.0::DOUBLE / 3.0::DOUBLE ELSE t END FROM t WHERE i < 5000),
+@query(f"""WITH RECURSIVE {_FRAMES}, t AS (SELECT 0 AS i, 0.0::DOUBLE AS t UNION ALL SELECT i + 1, CASE WHEN t <= i THEN t + 10.0::DOUBLE / 3.0::DOUBLE ELSE t END FROM t WHERE i < (SELECT max(frame_idx) FROM f)),
 k AS (SELECT i AS source_idx, row_number() OVER (ORDER BY i) - 1 AS frame_idx FROM t WHERE t <= i)
 SELECT seq_id, k.frame_idx, k.source_idx, vec_id FROM f JOIN k ON f.frame_idx = k.source_idx""")
 def fps_reduce(spark, d):
@@ -312,14 +312,23 @@ def loop_windows(spark, d):
     return R.loop_windows(n, 81, 17)
 
 
-@query(f"""WITH {_FRAMES}, q AS (SELECT vec_id, list_transform(data, lambda v: floor(v * 2) / 2) AS d FROM f),
-c AS (SELECT vec_id, i, CAST(round_even(d[3*i+1] * 255, 0) * 65536 + round_even(d[3*i+2] * 255, 0) * 256 + round_even(d[3*i+3] * 255, 0) AS INTEGER) AS p FROM q, range(21) AS r(i))
-SELECT vec_id, count(*) FILTER (WHERE p IN (8421504, 128)) AS n_mask FROM c GROUP BY 1""")
+#: Frames as 22 pixels of three channels: all values, and two zeros.
+_PIXELS = "list_concat(data, [0.0::DOUBLE, 0.0::DOUBLE])"
+
+
+def _padded(data):
+    return F.concat(data, F.array(F.lit(0.0), F.lit(0.0)))
+
+
+@query(f"""WITH {_FRAMES}, q AS (SELECT vec_id, list_transform({_PIXELS}, lambda v: floor(v * 2) / 2) AS d FROM f),
+c AS (SELECT vec_id, i, CAST(round_even(d[3*i+1] * 255, 0) * 65536 + round_even(d[3*i+2] * 255, 0) * 256 + round_even(d[3*i+3] * 255, 0) AS INTEGER) AS p FROM q, range(22) AS r(i))
+SELECT vec_id, count(*) FILTER (WHERE p IN (8421504, 128)) AS n_mask, string_agg(CASE WHEN p IN (8421504, 128) THEN '1' ELSE '0' END, '' ORDER BY i) AS mask FROM c GROUP BY 1""")
 def color_mask(spark, d):
-    """Pixels of each frame that have one of two colours."""
+    """Which pixels of each frame have one of two colours, and how many."""
     colours = G.parse_colours("#808080, 128")[0]
-    q = frames(spark, d).select("vec_id", F.slice(F.transform("data", lambda v: F.floor(v * 2) / 2), 1, 63).alias("d"))
-    return q.select("vec_id", F.aggregate(G.colour_mask(F.col("d"), colours), F.lit(0.0), lambda s, v: s + v).cast("long").alias("n_mask"))
+    q = frames(spark, d).select("vec_id", F.transform(_padded(F.col("data")), lambda v: F.floor(v * 2) / 2).alias("d"))
+    masks = q.select("vec_id", G.colour_mask(F.col("d"), colours).alias("m"))
+    return masks.select("vec_id", F.aggregate("m", F.lit(0.0), lambda s, v: s + v).cast("long").alias("n_mask"), F.array_join(F.transform("m", lambda v: v.cast("int").cast("string")), "").alias("mask"))
 
 
 @query(f"""WITH {_FRAMES}, m AS (SELECT vec_id, data, i % 8 AS x, i // 8 AS y, data[i + 1] > 0.62 AS hit, data[i + 1] AS v FROM f, range(64) AS r(i)),
@@ -543,21 +552,21 @@ def _lab_sql(v: str) -> str:
     return _NORM.format(", ".join(_sum_sql(row, [f"{v}[{k}]" for k in (1, 2, 3)], f" / {white}::DOUBLE") for row, white in zip(R._TO_XYZ, R._WHITE, strict=True)))
 
 
-_PERCEPTUAL = f"""WITH {_PAIR}, m AS (SELECT x.seq_id, x.frame_idx, j, x.data[3 * j + 1:3 * j + 3] AS p, y.data[3 * j + 1:3 * j + 3] AS q, (y.frame_idx + 1) / 9.0::DOUBLE AS t
- FROM a x JOIN na ON na.seq_id = x.seq_id JOIN b y ON y.seq_id = x.seq_id AND y.frame_idx = x.frame_idx - (na.n - 8), range(21) AS s(j) WHERE y.frame_idx < 8),
+_PERCEPTUAL = f"""WITH {_PAIR}, pa AS (SELECT * REPLACE ({_PIXELS} AS data) FROM a), pb AS (SELECT * REPLACE ({_PIXELS} AS data) FROM b), m AS (SELECT x.seq_id, x.frame_idx, j, x.data[3 * j + 1:3 * j + 3] AS p, y.data[3 * j + 1:3 * j + 3] AS q, (y.frame_idx + 1) / 9.0::DOUBLE AS t
+ FROM pa x JOIN na ON na.seq_id = x.seq_id JOIN pb y ON y.seq_id = x.seq_id AND y.frame_idx = x.frame_idx - (na.n - 8), range(22) AS s(j) WHERE y.frame_idx < 8),
 l AS (SELECT seq_id, frame_idx, j, t, {_LIN.format("p")} AS p, {_LIN.format("q")} AS q FROM m), n AS (SELECT seq_id, frame_idx, j, t, {_lab_sql("p")} AS p, {_lab_sql("q")} AS q FROM l),
 k AS (SELECT seq_id, frame_idx, j, list_transform(range(1, 4), lambda i: (1 - t) * p[i] + t * q[i]) AS f FROM n),
 x AS (SELECT seq_id, frame_idx, j, [{_CUBE.format("f[1]")} * {R._WHITE[0]}, {_CUBE.format("f[2]")}, {_CUBE.format("greatest(f[3], 0)")} * {R._WHITE[2]}] AS z FROM k),
 r AS (SELECT seq_id, frame_idx, j, list_transform([{", ".join(_sum_sql(row, [f"z[{k}]" for k in (1, 2, 3)]) for row in R._FROM_XYZ)}], lambda c: least(1, greatest(0, CASE WHEN c > 0.0031308 THEN 1.055 * pow(greatest(c, 0.0031308), 1 / 2.4::DOUBLE) - 0.055 ELSE 12.92 * greatest(c, 0) END))) AS c FROM x),
-o AS (SELECT seq_id, frame_idx, i, data[i + 1] AS v FROM a JOIN na USING (seq_id), range(63) AS s(i) WHERE frame_idx < n - 8 UNION ALL SELECT seq_id, frame_idx, 3 * j + i, c[i + 1] FROM r, range(3) AS s(i)
- UNION ALL SELECT seq_id, frame_idx + n - 8, i, data[i + 1] FROM b JOIN na USING (seq_id), range(63) AS s(i) WHERE frame_idx >= 8)
+o AS (SELECT seq_id, frame_idx, i, data[i + 1] AS v FROM pa JOIN na USING (seq_id), range(66) AS s(i) WHERE frame_idx < n - 8 UNION ALL SELECT seq_id, frame_idx, 3 * j + i, c[i + 1] FROM r, range(3) AS s(i)
+ UNION ALL SELECT seq_id, frame_idx + n - 8, i, data[i + 1] FROM pb JOIN na USING (seq_id), range(66) AS s(i) WHERE frame_idx >= 8)
 SELECT seq_id, frame_idx, CAST(i AS INTEGER) AS i, round(v, 5) AS v FROM o"""
 
 
 @query(_PERCEPTUAL)
 def extend_overlap_perceptual(spark, d):
-    """Cross-faded in Lab, frames taken as 21 pixels of three channels."""
-    a, b = (f.withColumn("data", F.slice("data", 1, 63)) for f in _pair(spark, d))
+    """Cross-faded in Lab, frames taken as 22 pixels of three channels, the last two values zero."""
+    a, b = (f.withColumn("data", _padded(F.col("data"))) for f in _pair(spark, d))
     out = R.extend_with_overlap(a, b, 8, "perceptual_crossfade")
     return out.select("seq_id", "frame_idx", F.posexplode("data").alias("i", "v")).withColumn("v", F.round("v", 5))
 
@@ -597,7 +606,7 @@ def padded_frames(spark, d):
 
 @query("""WITH n AS (SELECT c_nationkey AS place, c_custkey AS key, o_orderkey, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) - 1 AS slot, o_totalprice AS price FROM customer JOIN orders ON o_custkey = c_custkey),
 m AS (SELECT place, max(slot) AS most FROM n GROUP BY 1), g AS (SELECT DISTINCT place, key FROM n)
-SELECT g.place, g.key, CAST(s AS INTEGER) AS slot, coalesce(price, 0) AS price FROM g JOIN m USING (place), range(1000) AS r(s) LEFT JOIN n ON n.place = g.place AND n.key = g.key AND n.slot = s WHERE s <= most""")
+SELECT g.place, g.key, CAST(s AS INTEGER) AS slot, coalesce(price, 0) AS price FROM g JOIN m USING (place), unnest(range(most + 1)) AS r(s) LEFT JOIN n ON n.place = g.place AND n.key = g.key AND n.slot = s""")
 def filled_slots(spark, d):
     """Orders in numbered slots, as many for each customer as the busiest one of the nation has; missing ones cost nothing."""
     both = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"))
@@ -606,9 +615,9 @@ def filled_slots(spark, d):
     return G.fill_slots(rows, ["place"], "key", "slot", {"price": F.lit(0.0)})
 
 
-@query(f"""WITH {_FRAMES}, q AS (SELECT vec_id, list_transform(data, lambda v: floor(v * 2) / 2) AS d FROM f)
-SELECT vec_id, CAST(i AS INTEGER) AS i, CASE WHEN (d[3*i+1], d[3*i+2], d[3*i+3]) IN ((0.5, 0.5, 0.5), (0.0, 0.0, 0.0), (0.5, 0.5, 0.0)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM q, range(21) AS r(i)""")
+@query(f"""WITH {_FRAMES}, q AS (SELECT vec_id, list_transform({_PIXELS}, lambda v: floor(v * 2) / 2) AS d FROM f)
+SELECT vec_id, CAST(i AS INTEGER) AS i, CASE WHEN (d[3*i+1], d[3*i+2], d[3*i+3]) IN ((0.5, 0.5, 0.5), (0.0, 0.0, 0.0), (0.5, 0.5, 0.0)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM q, range(22) AS r(i)""")
 def named_color_mask(spark, d):
     """Where each frame, in three levels a channel, is grey, black or olive."""
-    q = frames(spark, d).select("vec_id", F.slice(F.transform("data", lambda v: F.floor(v * 2) / 2), 1, 63).alias("d"))
+    q = frames(spark, d).select("vec_id", F.transform(_padded(F.col("data")), lambda v: F.floor(v * 2) / 2).alias("d"))
     return q.select("vec_id", F.posexplode(G.colour_mask(F.col("d"), G.parse_colours("Gray, black, olive")[0])).alias("i", "v"))

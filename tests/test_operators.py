@@ -179,6 +179,44 @@ def test_lab_round_trip(spark):
     assert np.allclose(frames_of(R.extend_with_overlap(f, g, 4, "perceptual_crossfade")), x, atol=2e-3)
 
 
+@pytest.mark.parametrize(("skip", "part"), [(10 / 3, 7), (1.7, 16), (1.0, 5), (0.4, 9), (24 / 23.976, 64), (50.0, 8), (3.0, 10)])
+def test_kept_frames_in_parts(spark, skip, part):
+    total, keep = 0.0, []
+    for i in range(403):
+        keep.append(total <= i)
+        total += skip if keep[-1] else 0.0
+    got = R.kept_frames(spark.createDataFrame([(403,)], "n long"), skip, part).orderBy("source_idx").collect()
+    assert [r.source_idx for r in got] == list(range(403)) and [r.kept for r in got] == keep
+    assert [r["rank"] for r in got] == [sum(keep[:i]) for i in range(403)]
+    assert R.kept_frames(spark.createDataFrame([(None,)], "n long"), skip, part).count() == 0
+
+
+def test_zips_with_one_short_side(spark):
+    rows = lambda df: [tuple(r)[1:] for r in df.orderBy("pos").collect()]
+    long = spark.createDataFrame([(1, i, f"a{i}") for i in range(301)], "list_id long, pos int, value string")
+    for n in (1, 2, 7, 300):
+        short = spark.createDataFrame([(1, i, f"b{i}") for i in range(n)], "list_id long, pos int, value string")
+        want = [(i, f"a{i}", f"b{min(i, n - 1)}") for i in range(301)]
+        assert rows(lists.zip_repeat_last(long, short)) == want
+        assert rows(lists.zip_repeat_last(short, long)) == [(i, b, a) for i, a, b in want]
+        assert rows(lists.zip_modulo(long, short)) == [(i, f"a{i}", f"b{i % n}") for i in range(301)]
+        assert rows(lists.zip_modulo(short, long)) == [(i, f"b{i}", f"a{i}") for i in range(n)]
+
+
+def test_smoothing_of_many_sequences(spark):
+    rng = np.random.default_rng(4)
+    rows = [(s, t, float(rng.random())) for s, n in ((None, 30), (1, 1), (2, 97), (3, 8), (4, 16)) for t in range(n)] + [(5, 0, 1.0), (5, 1, None), (5, 2, 2.0)]
+    df = spark.createDataFrame(rows, "s int, t int, v double").repartition(5)
+    got = {(r.s, r.t): r.smoothed for r in stats.smooth(df, "s", ["t"], "v", 0.6, chunk=4).collect()}
+    last, want = {}, {}
+    for s, t, v in rows:
+        y = v if t == 0 else None if v is None or last[s] is None else 0.4 * v + 0.6 * last[s]
+        last[s] = want[s, t] = y
+    assert got.keys() == want.keys()
+    assert all(got[k] is None if y is None else abs(got[k] - y) < 1e-12 for k, y in want.items())
+    assert stats.smooth(df.limit(0), "s", ["t"], "v", 0.6).count() == 0
+
+
 def test_smoothing_in_chunks(spark):
     rng = np.random.default_rng(2)
     v = rng.random(57)
