@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,27 +34,38 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
-#: Places of the tables that ``written`` made and ``clear`` has not deleted.
-_tables: list[str] = []
+#: Whose tables ``written`` makes now, and by owner the places of passing tables that ``clear`` has not deleted.
+_owner: ContextVar[str | None] = ContextVar("owner", default=None)
+_tables: dict[str, list[str]] = {}
+
+
+@contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """Passing tables made inside belong to ``owner``; those made elsewhere, which other results may still read, to no one."""
+    token = _owner.set(owner)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
 
 
 def written(df: DataFrame, name: str, passing: bool = True) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut and lost executors cost nothing twice.
 
-    ``clear`` deletes passing tables.
+    Passing tables with an owner can be deleted by ``clear``.
     """
     bound_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    if passing:
-        _tables.append(path)
+    if passing and _owner.get():
+        _tables.setdefault(_owner.get(), []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete the passing tables made so far; results that were read from them must have been written."""
-    while _tables:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
+def clear(spark: SparkSession, owner: str = "pipeline") -> None:
+    """Delete the owner's passing tables made so far; results that were read from them must have been written."""
+    for place in _tables.pop(owner, []):
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

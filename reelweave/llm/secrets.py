@@ -15,7 +15,8 @@ missing, and passwords of any length in addresses.
 
 Defined cases: a null text is empty, an empty text has no finding; equal texts share one scan however
 many rows hold them; repeated rows are reported one by one; other columns are carried along by
-``scan`` and ``redact``, whose own columns take names that the input does not have.
+``scan`` and ``redact``, whose own columns take names that the input does not have; an empty table gives
+an empty result and leaves the ledger as it is.
 """
 
 from __future__ import annotations

@@ -566,3 +566,38 @@ def test_pipeline(spark, odd):
         docs = out if k == 4 else _shared.written(out, "stage", passing=False)
     full = c.run(spark, sf).toPandas()
     assert len(full) and (full.groupby("sequence_id").length.sum() <= 2048).all()
+
+
+def test_pipeline_of_an_empty_table(spark, docs, tmp_path):
+    import corpus_pipeline as c
+
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    full = c.run(spark, str(tmp_path))
+    assert full.count() == 0 and {"doc_id", "start", "length", "sequence_id", "offset"} <= set(full.columns)
+
+
+def test_pipeline_of_odd_rows(spark, odd, tmp_path):
+    """Nulls, empty texts, copies, tied ids and clashing columns: what must go goes, what stays is packed whole."""
+    import corpus_pipeline as c
+
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(9, 1, 0), (10, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = c.run(spark, str(tmp_path)).collect()
+    kept = {r.doc_id for r in rows}
+    # too short for the base rule: 0 to 4; a copy of 6: 7; the null id is a copy of 10
+    assert kept and not kept & {0, 1, 2, 3, 4, 7, None}
+    assert all(sum(r.length for r in rows if r.doc_id == k) == next(r.doc_tokens for r in rows if r.doc_id == k) for k in kept)
+
+
+def test_clear_leaves_tables_of_others(spark):
+    other = _shared.written(spark.range(5), "other")
+    with _shared.owned("a"):
+        mine = _shared.written(spark.range(6), "mine")
+    with _shared.owned("b"):
+        kept = _shared.written(spark.range(7), "kept")
+    _shared.clear(spark, "a")
+    assert (other.count(), kept.count()) == (5, 7)
+    with pytest.raises(Exception, match="(?i)does not exist|not_exist"):
+        spark.read.parquet(mine.inputFiles()[0]).count()
+    _shared.clear(spark, "a")
