@@ -3,7 +3,8 @@
 A byte-level or word-level BPE never merges across certain places: behind a word, before white space.
 Texts are cut there, equal chunks are found by their hashes, and only chunks that a worker has not
 seen go through the tokenizers library; ids are then gathered with numpy.  The table of seen chunks
-has a fixed number of slots, so memory is bounded; chunks without a slot are encoded again.
+has a fixed number of slots, so memory is bounded; chunks without a slot are encoded again.  Ids are
+kept in two bytes each as long as all are below 2^16.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import numpy as np
 from reelweave.llm import _text
 
 _EMPTY = ~np.uint64(0)
+LONGEST = 1 << 14  # bytes of a chunk that is kept: its ids are surely fewer than 2^16
 
 
 class Encoder:
@@ -26,9 +28,9 @@ class Encoder:
         self.encode_all = encode
         self.keep_space, self.bits = keep_space, bits
         self.keys = np.full(1 << bits, _EMPTY)
-        self.at = np.zeros(1 << bits, np.int64)
-        self.size = np.zeros(1 << bits, np.int32)
-        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.at = np.zeros(1 << bits, np.uint32)
+        self.size = np.zeros(1 << bits, np.uint16)
+        self.pool, self.used = np.zeros(1 << 20, np.uint16), 0
 
     def chunks(self, block: _text.Block) -> tuple[np.ndarray, np.ndarray]:
         """First and end byte of each chunk; they cover all words, and all bytes with keep_space."""
@@ -55,8 +57,11 @@ class Encoder:
         """Encode some chunks into the pool from ``used`` on: places, sizes, new end."""
         ids, size = self.encode_all([block.text(a, b) for a, b in zip(start.tolist(), end.tolist(), strict=True)])
         total = len(ids)
-        while used + total > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        if total and self.pool.dtype == np.uint16 and ids.max() >= 1 << 16:
+            self.pool = self.pool.astype(np.uint32)
+        if used + total > len(self.pool):
+            # in place: no view of the pool is held anywhere
+            self.pool.resize(used + total + len(self.pool) // 4, refcheck=False)
         self.pool[used : used + total] = ids
         return used + np.cumsum(size) - size, size, used + total
 
@@ -66,20 +71,20 @@ class Encoder:
         h = block.hashes(start, end)
         slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         hit = self.keys[slot] == h
-        free = np.flatnonzero(~hit & (self.keys[slot] == _EMPTY))
+        free = np.flatnonzero(~hit & (self.keys[slot] == _EMPTY) & (end - start <= LONGEST)) if self.used < 1 << 31 else ()
         if len(free):
             _, first = np.unique(slot[free], return_index=True)
             free = free[first]
             self.keys[slot[free]] = h[free]
             self.at[slot[free]], self.size[slot[free]], self.used = self._add(block, start[free], end[free], self.used)
             hit = self.keys[slot] == h
-        at, size = self.at[slot], self.size[slot].astype(np.int64)
+        at, size = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
         rest = np.flatnonzero(~hit)
         if len(rest):
             _, first, of = np.unique(h[rest], return_index=True, return_inverse=True)
             a, s, _ = self._add(block, start[rest[first]], end[rest[first]], self.used)
             at[rest], size[rest] = a[of], s[of]
-        return self.pool[_text.ragged(at, size)], size, block.doc_of(start), start, end
+        return self.pool[_text.ragged(at, size)].astype(np.uint32), size, block.doc_of(start), start, end
 
 
 def by_library(tokenizer) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
@@ -113,4 +118,5 @@ def encoder(path: str, keep_space: bool, bits: int = 21) -> Encoder:
         from tokenizers import Tokenizer
 
         _held[path, keep_space] = Encoder(by_library(Tokenizer.from_file(path)), keep_space, bits)
+        _text.trim()
     return _held[path, keep_space]

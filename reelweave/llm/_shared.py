@@ -24,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._reelweave_shared
 
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

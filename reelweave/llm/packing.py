@@ -176,6 +176,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
                     if stream.size - seen >= STRETCH:
                         seen = stream.size
                         yield from _rows(stream.finished(False))
+                        _text.trim()
         yield from _rows(stream.finished(True))
 
     bound_batches(docs.sparkSession)

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from reelweave.llm import _text, maxent, quality, queries, toxicity
+from reelweave.llm import _encode, _text, maxent, quality, queries, toxicity
 
 WORD = re.compile(_text.WORD)
 
@@ -140,6 +140,27 @@ def test_kneser_ney_is_a_distribution(docs, most, monkeypatch):
         assert abs((10 ** model.log10(every)).sum() - 1) < 1e-6
 
 
+def test_encoder_tables_are_small_and_give_all_ids():
+    # they took 44 MB of a worker before the first chunk, 104 and more when full
+    def encode(texts):
+        return np.array([ord(c) for t in texts for c in t], np.uint32), np.array([len(t) for t in texts], np.int64)
+
+    enc = _encode.Encoder(encode, True)
+    assert sum(x.nbytes for x in (enc.keys, enc.at, enc.size, enc.pool)) < 32 << 20
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abc é", k=rng.randint(0, 300))) for _ in range(40)]
+    long = "x" * (_encode.LONGEST + 1)
+    texts += [f"a {long} b", "", "wide \U0001f600\uffff end", f"{long} {'y' * 3_000_000}", *texts[:20]]
+    for bits in (4, 21):
+        enc = _encode.Encoder(encode, True, bits)
+        for _ in range(2):
+            for block in _text.blocks(pa.array(texts), max_bytes=1 << 12):
+                ids, size, doc, *_ = enc.encode(block)
+                assert ids.dtype == np.uint32
+                assert "".join(map(chr, ids)) == "".join(texts[block.first : block.first + block.n])
+                assert size.sum() == len(ids)
+
+
 @pytest.mark.parametrize("most", [300, 0])
 def test_large_models_leave_nothing_out(odd, docs, most, monkeypatch):
     # n-grams beyond MOST were dropped from the model, so perplexities depended on it
