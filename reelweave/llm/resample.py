@@ -4,9 +4,10 @@ A document's features are its runs of one and of two words; each falls into one
 The gain of a bucket is the rounded logarithm of its (add-one) share in the target over that in the
 corpus, a document's weight the mean gain of its features.
 
-Scoring explodes nothing: higher-order functions make the array of a document's buckets and fold it
-over ``element_at`` of a literal array of BUCKETS gains, so a document's text stays in its task.  What counting
-shuffles are the totals, at most BUCKETS rows of a task; those are also all that the driver sees.
+Texts are cut and hashed once: higher-order functions make the array of a document's buckets, which is
+written without the text.  Counting explodes that table, scoring folds its arrays over ``element_at`` of a
+literal array of BUCKETS gains.  What counting shuffles are the totals, at most BUCKETS rows of a task;
+those are also all that the driver sees.
 
 The draw needs no global sort: scores are whole numbers of a narrow range, so the number of documents
 with each score (an aggregation) tells the lowest drawn score and what rank each score starts with;
@@ -44,9 +45,15 @@ def buckets(words: Column) -> Column:
     return F.concat(F.transform(words, bucket), pairs)
 
 
-def totals(texts: DataFrame, text: str = "text") -> dict[int, int]:
+def featured(docs: DataFrame) -> DataFrame:
+    """docs with n_words and buckets in place of their texts."""
+    found = docs.withColumn("words", words(F.col("text"))).drop("text")
+    return found.withColumn("n_words", F.size("words")).withColumn("buckets", buckets(F.col("words"))).drop("words")
+
+
+def totals(featured: DataFrame) -> dict[int, int]:
     """Features in each bucket over all rows: at most BUCKETS numbers."""
-    found = texts.select(words(F.col(text)).alias("words")).select(F.explode(buckets(F.col("words"))).alias("bucket"))
+    found = featured.select(F.explode("buckets").alias("bucket"))
     return {r["bucket"]: r["n"] for r in found.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
 
 
@@ -56,12 +63,10 @@ def gains(corpus: dict[int, int], target: dict[int, int]) -> list[int]:
     return [math.floor(1000 * math.log((target.get(b, 0) + 1.0) * s / ((corpus.get(b, 0) + 1.0) * t))) for b in range(BUCKETS)]
 
 
-def weigh(docs: DataFrame, gain: list[int], seed: int = SEED) -> DataFrame:
-    """(doc_id, n_words, n_features, weight, score) of every row."""
+def weigh(found: DataFrame, gain: list[int], seed: int = SEED) -> DataFrame:
+    """(doc_id, n_words, n_features, weight, score) of every row of (doc_id, n_words, buckets)."""
     # a text that is split and cast becomes one literal array before the job runs
     held = F.split(F.lit(",".join(map(str, gain))), ",").cast("array<long>")
-    found = docs.select("doc_id", words(F.col("text")).alias("words"))
-    found = found.select("doc_id", F.size("words").alias("n_words"), buckets(F.col("words")).alias("buckets"))
     found = found.select("doc_id", "n_words", F.size("buckets").cast("long").alias("n_features"), F.aggregate("buckets", F.lit(0).cast("long"), lambda a, b: a + F.element_at(held, (b + 1).cast("int"))).alias("gain"))
     found = found.select("doc_id", "n_words", "n_features", F.when(F.col("n_features") > 0, F.floor(F.col("gain") / F.col("n_features"))).otherwise(0).cast("long").alias("weight"))
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("double")
@@ -92,5 +97,5 @@ def draw(scored: DataFrame, least_words: int = LEAST_WORDS, percent: int = PERCE
 
 def resample(docs: DataFrame, target: DataFrame, least_words: int = LEAST_WORDS, percent: int = PERCENT, seed: int = SEED) -> DataFrame:
     """(doc_id, n_words, n_features, weight, score, rank) of every row of docs."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return draw(written(weigh(docs, gains(totals(docs), totals(target)), seed), "weighed"), least_words, percent)
+    found = written(featured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "featured")
+    return draw(written(weigh(found, gains(totals(found), totals(featured(target.select("text")))), seed), "weighed"), least_words, percent)

@@ -166,6 +166,17 @@ def test_sketch_never_underestimates_and_a_full_one_changes_nothing(spark, docs,
     assert sorted(map(tuple, divergence.audit(docs, 3).collect())) == want
 
 
+def test_resampling_cuts_each_text_once(docs, monkeypatch):
+    # counting and scoring each cut and hashed all texts
+    plans = []
+    collect = resample.totals
+    monkeypatch.setattr(resample, "totals", lambda t: plans.append(t) or collect(t))
+    resample.resample(docs, docs.limit(5))
+    corpus = plans[0]._jdf.queryExecution().executedPlan().toString()
+    assert corpus.count("FileScan") == 1 and "regexp_extract_all" not in corpus and "text" not in corpus.split("ReadSchema")[1]
+    assert corpus.count("buckets") and plans[0].columns == ["doc_id", "n_words", "buckets"]
+
+
 @pytest.mark.parametrize("name", ["op11_url_filter", "op12_resample", "op13_divergence"])
 def test_same_rows_as_sql(spark, data, name):
     con = duckdb.connect()
