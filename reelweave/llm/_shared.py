@@ -79,29 +79,34 @@ SALTS = 8
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
-    """(u, v, m): m the smallest v of each u; the edges of one u are spread over SALTS keys, so no star meets in a task."""
+    """(u, v, m): m the smallest v of each u; the edges of one u are spread over SALTS keys, so no star meets in a task.
+
+    Merged, not broadcast: each broadcast of each round would build a table in the driver.
+    """
     low = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
-    return pairs.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(low, ["u", "s"]).select("u", "v", "m")
+    return pairs.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(low.hint("merge"), ["u", "s"]).select("u", "v", "m")
+
+
+def _settled(pairs: DataFrame) -> bool:
+    """Whether all edges (u > v) form stars: each u has one v and no v is a u, so v is the smallest id of its component."""
+    ends = pairs.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(pairs.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").agg(F.count("*")).first()[0] == 0
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge list: (id, component), component the smallest id.
 
-    Alternates the large-star and small-star steps: each is one shuffle of the edges, stars of any
-    size are split by salting, and the number of rounds grows with the logarithm of the longest
-    path.  Ids that occur in no edge are absent.
+    Alternates the large-star and small-star steps until all edges form stars: each is one shuffle of
+    the edges, stars of any size are split by salting, and the number of rounds grows with the
+    logarithm of the longest path.  Ids that occur in no edge are absent.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    pairs, last = written(pairs, "edges"), None
-    for _ in range(rounds):
+    pairs, done = written(pairs, "edges"), 0
+    while not _settled(pairs):
+        if done == rounds:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
         small = _with_least(large).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        pairs = written(small.where("u <> v").distinct(), "edges")
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == last:
-            break
-        last = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        pairs, done = written(small.where("u <> v").distinct(), "edges"), done + 1
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()

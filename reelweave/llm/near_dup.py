@@ -228,31 +228,36 @@ def _classified(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
     sized = exact.select("digest").join(joined.withColumnRenamed("id", "digest"), "digest", "left").select("digest", F.coalesce("component", "digest").alias("c"))
     member = written(buckets.join(sized, "digest").select("key", "n", "digest", "c"), "members")
     small = member.where(F.col("n") <= SMALL).select("key", "digest", "c", F.lit(0).alias("size"), F.lit(None).cast("array<int>").alias("shared"))
-    near = _apart_pairs(small, threshold)
+    rest = _apart_pairs(small, threshold, bounded=False)
     # and, of those whose bucket is large, all that can reach the threshold, by a prefix filter
     open_keys = member.where(F.col("n") > SMALL).groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     large = written(member.join(open_keys, "key", "left_semi").select("digest", "c").distinct(), "large")
-    rest = near.unionByName(_apart_pairs(prefixes(large.join(texts, "digest"), threshold), threshold)).distinct().join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = written(_verified(rest, texts, threshold), "links")
-    joined = components(joined.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    if not large.isEmpty():
+        # written one by one: the driver holds the plan of one of them at a time
+        rest = written(rest, "apart").unionByName(written(_apart_pairs(prefixes(large.join(texts, "digest"), threshold), threshold), "apart")).distinct()
+    rest = written(rest.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        more = written(_verified(rest, texts, threshold), "links")
+        if not more.isEmpty():
+            joined = components(joined.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = exact.select("digest", "low").join(joined.withColumnRenamed("id", "digest"), "digest", "left").withColumn("c", F.coalesce("component", "digest"))
     lows = named.groupBy("c").agg(F.min("low").alias("class_id"))
     verdict = written(named.join(lows, "c").select("digest", "class_id", F.col("c").alias("class_c")), "classes")
     return signed, verdict
 
 
-def _apart_pairs(member: DataFrame, threshold: float) -> DataFrame:
+def _apart_pairs(member: DataFrame, threshold: float, bounded: bool = True) -> DataFrame:
     """Distinct pairs (a, b) of digests with a key in common that lie in different components c.
 
     Components are paired first, so members of one component are never paired with each other.  Pairs
-    whose counts of k-mers by hash class (``shared``, null if not known) leave no room for the threshold
+    whose counts of k-mers by hash class (``shared``; not known unless ``bounded``) leave no room for the threshold
     are left out as they are joined: first pairs of components, by the largest counts and the least
     sizes of their members, then a member and a component, then two members.
     """
     share = threshold / (1 + threshold) - 1e-9
     room = lambda s, t: F.aggregate(F.zip_with(s, t, lambda p, q: F.least(p, q)), F.lit(0), lambda a, x: a + x)
-    fits = lambda s, t, m, n: F.coalesce(room(F.col(s), F.col(t)) >= share * (F.col(m) + F.col(n)), F.lit(True))
-    most = F.array(*[F.max(F.get("shared", F.lit(k))) for k in range(ROOMS)])
+    fits = lambda s, t, m, n: room(F.col(s), F.col(t)) >= share * (F.col(m) + F.col(n)) if bounded else F.lit(True)
+    most = F.array(*[F.max(F.get("shared", F.lit(k))) for k in range(ROOMS)]) if bounded else F.first("shared")
     sides = member.groupBy("key", "c").agg(F.min("size").alias("m"), most.alias("s"))
     one = sides.select("key", F.col("c").alias("ca"), F.col("m").alias("ma"), F.col("s").alias("sa"))
     two = sides.select(F.col("key").alias("k"), F.col("c").alias("cb"), F.col("m").alias("mb"), F.col("s").alias("sb"))

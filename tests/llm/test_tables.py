@@ -382,6 +382,18 @@ def test_components(spark):
     assert got == {x: find(x) for x in parent if find(x) != x or any(find(y) == x and y != x for y in parent)}
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    """Edges that form stars are written once, a path of three once more; no round builds a broadcast table in the driver."""
+    tables, write = [], _shared.written
+    monkeypatch.setattr(_shared, "written", lambda df, name, passing=True: tables.append(df) or write(df, name, passing))
+    star = [(k, k % 3) for k in range(3, 40)]
+    got = {r.id: r.component for r in _shared.components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert got == {k: k % 3 for k in range(40)} and len(tables) == 1
+    got = {r.id: r.component for r in _shared.components(spark.createDataFrame([*star, (100, 7), (7, 1)], "a long, b long")).collect()}
+    assert got == {k: k % 3 for k in range(40)} | {100: 1} and len(tables) == 3
+    assert "Broadcast" not in tables[2]._jdf.queryExecution().executedPlan().toString()
+
+
 def vectors(spark, seed=0):
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(40, 16))
