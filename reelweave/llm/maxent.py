@@ -94,12 +94,15 @@ def features(h: np.ndarray, leaf: np.ndarray, n: np.ndarray, bits: int) -> np.nd
 
 
 def _softmax(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    x = w[rows[0]]
+    """Probabilities of the outcomes (16 x tokens: each step of numpy then runs over all tokens, not over 16 numbers)."""
+    x = w.take(rows[0], 0)
+    more = np.empty_like(x)
     for r in rows[1:]:
-        x = x + w[r]
-    x -= x.max(1, keepdims=True)
+        x += w.take(r, 0, more, "clip")
+    x = np.ascontiguousarray(x.T)
+    x -= x.max(0)
     np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
+    x /= x.sum(0)
     return x
 
 
@@ -117,21 +120,23 @@ class Model:
         for s in range(0, len(h), BATCH):
             r, f = rows[:, s : s + BATCH], leaf[s : s + BATCH]
             at = np.arange(len(f))
-            p = _softmax(self.w, r[:4])[at, f // PARTS].astype(np.float64)
+            p = _softmax(self.w, r[:4])[f // PARTS, at].astype(np.float64)
             # the end is the only leaf of its class
-            q = np.where(f == END_LEAF, 1.0, _softmax(self.w, r[4:])[at, f % PARTS])
+            q = np.where(f == END_LEAF, 1.0, _softmax(self.w, r[4:])[f % PARTS, at])
             out[s : s + BATCH] = np.log10(p * q) - self.leaf_log[f]
         return out
 
     def add(self, rows: np.ndarray, leaf: np.ndarray, seen: np.ndarray, expected: np.ndarray) -> None:
-        """Add outcomes and expected outcomes of some tokens to the sums of each row (flat, rows x 16)."""
+        """Add outcomes and expected outcomes of some tokens to the sums of each row (16 x rows)."""
         inner = leaf != END_LEAF
         for first, r, y in ((0, rows[:4], leaf // PARTS), (4, rows[4:, inner], leaf[inner] % PARTS)):
-            p = _softmax(self.w, r).ravel()
+            p = _softmax(self.w, r).astype(np.float64)
             for family, row in enumerate(r, first):
-                a, b = self.starts[family] * 16, self.starts[family + 1] * 16
-                seen[a:b] += np.bincount(row * 16 + y - a, minlength=b - a)
-                expected[a:b] += np.bincount((row[:, None] * 16 + np.arange(16)).ravel() - a, p, b - a)
+                a, b = self.starts[family], self.starts[family + 1]
+                row = row - a
+                seen[:, a:b] += np.bincount(y * (b - a) + row, minlength=16 * (b - a)).reshape(16, -1)
+                for c in range(16):  # one outcome's sums of a family stay in the processor's cache
+                    expected[c, a:b] += np.bincount(row, p[c], b - a)
 
     def move(self, row: np.ndarray, seen: np.ndarray, expected: np.ndarray) -> None:
         """One step of iterative scaling on some rows."""
@@ -154,17 +159,16 @@ def train(docs: DataFrame, tokens_: int) -> Model:
         def run(batches, held=held):
             _encode.release()
             m = held.value
-            seen, expected = np.zeros(m.w.size), np.zeros(m.w.size)
+            seen, expected = np.zeros(m.w.shape[::-1]), np.zeros(m.w.shape[::-1])
             for batch in batches:
                 for block in _text.blocks(batch.column(0), fold=True):
                     h, leaf, n = tokens(block)
                     rows = features(h, leaf, n, m.bits)
                     for s in range(0, len(h), BATCH):
                         m.add(rows[:, s : s + BATCH], leaf[s : s + BATCH], seen, expected)
-            seen, expected = seen.reshape(-1, 16), expected.reshape(-1, 16)
-            at = np.flatnonzero(expected.any(1))
+            at = np.flatnonzero(expected.any(0))
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(x[at, c].astype(np.float32)) for x in (seen, expected) for c in range(16)]], ["row", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(x[c, at].astype(np.float32)) for x in (seen, expected) for c in range(16)]], ["row", *names])
 
         got = rows.where(F.col("round") == k).select("text").coalesce(tasks).mapInArrow(run, schema).groupBy("row").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
         if got.num_rows:

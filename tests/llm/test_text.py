@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -312,6 +313,45 @@ def test_scores_equal_their_definition(spark, monkeypatch):
         assert abs(got[k] - want) < 1e-4 * max(1, abs(want))
 
 
+def test_training_sums_at_less_than_one_scatter_of_all_outcomes():
+    """The sums of ``add`` equal those of one scatter over (row, outcome), and take clearly less time."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 400) % 5000) for _ in range(300)]
+    model = maxent.Model(13)
+    model.w[:] = rng.normal(0, 0.3, model.w.shape)
+    h, leaf, n = maxent.tokens(next(_text.blocks(pa.array(texts), fold=True)))
+    rows, leaf = maxent.features(h, leaf, n, model.bits)[:, : maxent.BATCH], leaf[: maxent.BATCH]
+    inner = leaf != maxent.END_LEAF
+
+    def scattered():
+        seen, expected = np.zeros(model.w.size), np.zeros(model.w.size)
+        for first, r, y in ((0, rows[:4], leaf // 16), (4, rows[4:, inner], leaf[inner] % 16)):
+            x = np.exp(model.w[r].sum(0))
+            p = (x / x.sum(1, keepdims=True)).ravel()
+            for k, row in enumerate(r, first):
+                a, b = model.starts[k] * 16, model.starts[k + 1] * 16
+                seen[a:b] += np.bincount(row * 16 + y - a, minlength=b - a)
+                expected[a:b] += np.bincount((row[:, None] * 16 + np.arange(16)).ravel() - a, p, b - a)
+        return seen.reshape(-1, 16).T, expected.reshape(-1, 16).T
+
+    def added():
+        sums = np.zeros((16, len(model.w))), np.zeros((16, len(model.w)))
+        model.add(rows, leaf, *sums)
+        return sums
+
+    def cost(f):
+        times = []
+        for _ in range(5):
+            began = time.thread_time()
+            f()
+            times.append(time.thread_time() - began)
+        return min(times)
+
+    for got, want in zip(added(), scattered(), strict=True):
+        assert np.allclose(got, want, rtol=1e-4, atol=1e-4)
+    assert cost(added) < 0.75 * cost(scattered)
+
+
 def test_model_beats_unigrams_however_it_is_partitioned(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2).alias("trained"))
     found = []
