@@ -81,9 +81,10 @@ SALTS = 8
 def _with_least(pairs: DataFrame) -> DataFrame:
     """(u, v, m): m the smallest v of each u; the edges of one u are spread over SALTS keys, so no star meets in a task.
 
+    Each task gives its smallest v of a u to all keys of u, so the smallest of all is found where it is joined.
     Merged, not broadcast: each broadcast of each round would build a table in the driver.
     """
-    low = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+    low = pairs.select("u", "v", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s")).groupBy("u", "s").agg(F.min("v").alias("m"))
     return pairs.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(low.hint("merge"), ["u", "s"]).select("u", "v", "m")
 
 
@@ -93,12 +94,12 @@ def _settled(pairs: DataFrame) -> bool:
     return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").agg(F.count("*")).first()[0] == 0
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """Connected components of an undirected edge list: (id, component), component the smallest id.
+def stars(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+    """Connected components of an undirected edge list as stars: (u, v) of every id u but the smallest of its component, v that smallest.
 
     Alternates the large-star and small-star steps until all edges form stars: each is one shuffle of
     the edges, stars of any size are split by salting, and the number of rounds grows with the
-    logarithm of the longest path.  Ids that occur in no edge are absent.
+    logarithm of the longest path.  Edges that a large-star step repeats go with the small-star step.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     pairs, done = written(pairs, "edges"), 0
@@ -106,7 +107,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if done == rounds:
             raise RuntimeError(f"components did not settle in {rounds} rounds")
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
+        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         small = _with_least(large).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         pairs, done = written(small.where("u <> v").distinct(), "edges"), done + 1
+    return pairs
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+    """Connected components of an undirected edge list: (id, component), component the smallest id.
+
+    Ids that occur in no edge are absent.
+    """
+    pairs = stars(edges, a, b, rounds)
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()

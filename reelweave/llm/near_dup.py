@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from reelweave.llm import _encode, _text
-from reelweave.llm._shared import components, written
+from reelweave.llm._shared import stars, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -169,8 +169,10 @@ def similarities(a: pa.Array, b: pa.Array) -> pa.Array:
     out = np.zeros(len(a))
     step = 64  # pairs at a time, so that memory follows a few texts
     for s in range(0, len(a), step):
-        for k, (x, y) in enumerate(zip(_sequences(a.slice(s, step)), _sequences(b.slice(s, step)), strict=True)):
-            out[s + k] = alignment(x, y) if len(x) and len(y) else 0.0
+        once = b.slice(s, step).fill_null("").dictionary_encode()  # a leader's text comes in many pairs of a group
+        right = _sequences(once.dictionary)
+        for k, (x, at) in enumerate(zip(_sequences(a.slice(s, step)), once.indices.to_pylist(), strict=True)):
+            out[s + k] = alignment(x, right[at]) if len(x) and len(right[at]) else 0.0
     return pa.array(out)
 
 
@@ -186,7 +188,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
         return similarities(a, b)
 
     parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    dealt = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
+    # leaders of several groups, at most one for GROUP pairs: a merge would bring all pairs of one together
+    dealt = pairs.join(F.broadcast(parts.where("parts > 1")), "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), F.col("parts")), F.lit(0)).cast("int").alias("part"))
     left = texts.select(F.col("digest").alias("a"), F.col("text").alias("at"))
     right = texts.select(F.col("digest").alias("b"), F.col("text").alias("bt")).join(parts, "b").select("b", "bt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     both = dealt.join(left, "a").join(right, ["b", "part"])
@@ -206,58 +209,66 @@ def _classified(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
     exact = written(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("low"), F.first("keys").alias("keys")), "exact")
     postings = exact.select("digest", F.explode("keys").alias("key"))
     sizes = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(postings.join(sizes, "key"), "postings")
     # two leaders for each bucket: the class whose buckets are the fullest, so the middle of a group of
     # near copies, and one drawn by a hash that differs by bucket
-    hub = shared.groupBy("digest").agg(F.sum("n").alias("reach"))
-    shared = shared.join(hub, "digest")
-    lead = shared.groupBy("key").agg(F.max(F.struct("reach", "digest")).alias("m"), F.min(F.struct(F.xxhash64("digest", "key").alias("h"), F.col("digest").alias("d"))).alias("r"))
-    buckets = written(shared.join(lead.select("key", F.array_distinct(F.array("m.digest", "r.d")).alias("leads")), "key").select("key", "n", "digest", "leads"), "buckets")
+    hub = postings.join(sizes, "key").groupBy("digest").agg(F.sum("n").alias("reach"), F.collect_list("key").alias("keys"))
+    shared = hub.select("digest", "reach", F.explode("keys").alias("key"))
+    lead = shared.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("reach", "digest")).alias("m"), F.min(F.struct(F.xxhash64("digest", "key").alias("h"), F.col("digest").alias("d"))).alias("r"))
+    buckets = written(shared.join(lead.select("key", "n", F.array_distinct(F.array("m.digest", "r.d")).alias("leads")), "key").select("key", "n", "digest", "leads"), "buckets")
     led = buckets.select("digest", F.explode("leads").alias("lead")).where(F.col("digest") != F.col("lead"))
     # two leaders may be led by each other: such a pair counts once
     once = led.groupBy(F.least("digest", "lead"), F.greatest("digest", "lead")).agg(F.max("lead").alias("b"), F.min("digest").alias("x"), F.max("digest").alias("y"))
     first = written(once.select(F.when(F.col("x") == F.col("b"), F.col("y")).otherwise(F.col("x")).alias("a"), "b"), "pairs")
-    need = buckets.select("digest").distinct().join(exact.select("digest", "low"), "digest")
-    # one text of each digest: by id and digest, which spreads copies and null ids alike
-    rows = docs.select(F.col("doc_id").alias("own"), F.col("text").cast("string").alias("text"), digest_of(F.col("text")).alias("d"))
-    near = rows.join(need, rows["own"].eqNullSafe(need["low"]) & (rows["d"] == need["digest"])).select("digest", "text").dropDuplicates(["digest"])
-    texts = written(near, "texts")
+    # one text of each digest: tasks draw theirs first, which spreads copies
+    rows = docs.select(F.col("text").cast("string").alias("text")).select("text", digest_of(F.col("text")).alias("digest"))
+    near = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.first("text").alias("text"))
+    texts = written(near.join(buckets.select("digest").distinct(), "digest", "left_semi"), "texts")
     links = written(_verified(first, texts, threshold), "links")
-    joined = components(links)
+    joined = stars(links)
     # candidates that share a bucket but no component yet: all of them in small buckets
-    sized = exact.select("digest").join(joined.withColumnRenamed("id", "digest"), "digest", "left").select("digest", F.coalesce("component", "digest").alias("c"))
-    member = written(buckets.join(sized, "digest").select("key", "n", "digest", "c"), "members")
-    small = member.where(F.col("n") <= SMALL).select("key", "digest", "c", F.lit(0).alias("size"), F.lit(None).cast("array<int>").alias("shared"))
-    rest = _apart_pairs(small, threshold, bounded=False)
+    member = written(buckets.join(_named(joined), "digest", "left").select("key", "n", "digest", F.coalesce("c", "digest").alias("c")), "members")
+    rest = _small_pairs(member.where(F.col("n") <= SMALL))
     # and, of those whose bucket is large, all that can reach the threshold, by a prefix filter
     open_keys = member.where(F.col("n") > SMALL).groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     large = written(member.join(open_keys, "key", "left_semi").select("digest", "c").distinct(), "large")
     if not large.isEmpty():
-        # written one by one: the driver holds the plan of one of them at a time
-        rest = written(rest, "apart").unionByName(written(_apart_pairs(prefixes(large.join(texts, "digest"), threshold), threshold), "apart")).distinct()
-    rest = written(rest.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
+        # written by itself: the driver holds the plan of one of them at a time
+        rest = rest.unionByName(written(_apart_pairs(prefixes(large.join(texts, "digest"), threshold), threshold), "apart"))
+    rest = written(rest.distinct().join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = written(_verified(rest, texts, threshold), "links")
         if not more.isEmpty():
-            joined = components(joined.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
-    named = exact.select("digest", "low").join(joined.withColumnRenamed("id", "digest"), "digest", "left").withColumn("c", F.coalesce("component", "digest"))
+            joined = stars(joined.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(more))
+    named = exact.select("digest", "low").join(_named(joined), "digest", "left").select("digest", "low", F.coalesce("c", "digest").alias("c"))
     lows = named.groupBy("c").agg(F.min("low").alias("class_id"))
     verdict = written(named.join(lows, "c").select("digest", "class_id", F.col("c").alias("class_c")), "classes")
     return signed, verdict
 
 
-def _apart_pairs(member: DataFrame, threshold: float, bounded: bool = True) -> DataFrame:
+def _named(joined: DataFrame) -> DataFrame:
+    """(digest, c) of the stars of components."""
+    return joined.select(F.col("u").alias("digest"), F.col("v").alias("c"))
+
+
+def _small_pairs(member: DataFrame) -> DataFrame:
+    """Pairs (a, b) of digests with a key in common that lie in different components c, of keys with ``SMALL`` members at most; pairs may repeat."""
+    keyed = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.collect_list(F.struct("digest", "c")).alias("of")).where("lo <> hi")
+    both = keyed.select("of", F.explode("of").alias("x")).select("x", F.explode("of").alias("y"))
+    return both.where((F.col("x.digest") < F.col("y.digest")) & (F.col("x.c") != F.col("y.c"))).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b"))
+
+
+def _apart_pairs(member: DataFrame, threshold: float) -> DataFrame:
     """Distinct pairs (a, b) of digests with a key in common that lie in different components c.
 
     Components are paired first, so members of one component are never paired with each other.  Pairs
-    whose counts of k-mers by hash class (``shared``; not known unless ``bounded``) leave no room for the threshold
+    whose counts of k-mers by hash class (``shared``) leave no room for the threshold
     are left out as they are joined: first pairs of components, by the largest counts and the least
     sizes of their members, then a member and a component, then two members.
     """
     share = threshold / (1 + threshold) - 1e-9
     room = lambda s, t: F.aggregate(F.zip_with(s, t, lambda p, q: F.least(p, q)), F.lit(0), lambda a, x: a + x)
-    fits = lambda s, t, m, n: room(F.col(s), F.col(t)) >= share * (F.col(m) + F.col(n)) if bounded else F.lit(True)
-    most = F.array(*[F.max(F.get("shared", F.lit(k))) for k in range(ROOMS)]) if bounded else F.first("shared")
+    fits = lambda s, t, m, n: room(F.col(s), F.col(t)) >= share * (F.col(m) + F.col(n))
+    most = F.array(*[F.max(F.get("shared", F.lit(k))) for k in range(ROOMS)])
     sides = member.groupBy("key", "c").agg(F.min("size").alias("m"), most.alias("s"))
     one = sides.select("key", F.col("c").alias("ca"), F.col("m").alias("ma"), F.col("s").alias("sa"))
     two = sides.select(F.col("key").alias("k"), F.col("c").alias("cb"), F.col("m").alias("mb"), F.col("s").alias("sb"))

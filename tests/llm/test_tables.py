@@ -340,6 +340,30 @@ def test_near_duplicates(spark, odd, none, monkeypatch):
     assert near_dup.deduplicate(none).count() == 0
 
 
+def test_near_duplicates_pass_few_wide_stages(spark):
+    """Each shuffle is a stage of as many tasks as the session has partitions, however few rows there are."""
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base[: k % 60] + [f"x{k}"] + base[k % 60 + 1 :]) for k in range(90)]  # one large group, so all passes run
+    texts += [" ".join(base[:20] + [f"y{k}z{j}" for j in range(40)]) for k in range(30)]  # a passage that many hold
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    partitions, coalesce, width = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", 23
+    before = spark.conf.get(partitions)
+    spark.conf.set(partitions, str(width))
+    spark.conf.set(coalesce, "false")
+    spark.sparkContext.setJobGroup("wide stages", "")
+    try:
+        got = near_dup.classes(df).collect()
+    finally:
+        spark.conf.set(partitions, before)
+        spark.conf.unset(coalesce)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.doc_id: r.class_id for r in got} == dict(enumerate(plain_classes(list(enumerate(texts)))))
+    tracker = spark.sparkContext.statusTracker()
+    stages = {k for job in tracker.getJobIdsForGroup("wide stages") for k in tracker.getJobInfo(job).stageIds}
+    wide = [k for k in stages if (i := tracker.getStageInfo(k)) and i.numCompletedTasks >= width]
+    assert 0 < len(wide) <= 50, len(wide)
+
+
 def test_one_row_of_each_class_stays(spark):
     long = [" ".join(f"{p}{k}" for k in range(60)) for p in "abcde"]
     near = long[1].replace("b7 ", "x ")
