@@ -19,17 +19,22 @@ _PARTS = {"pose": (18, 2, 0), "hand_left": (21, 3, 0), "hand_right": (21, 3, 30)
 def pose_files(spark, d):
     """JSON files of up to 50 pose frames; every seventh point is scored too low to be seen."""
 
-    def points(data, part):
+    def points(at, part):
         n, step, shift = _PARTS[part]
-        get = lambda k: F.element_at(data, (k % 64 + 1).cast("int"))
-        one = lambda k: F.array(get(k * step + shift), get(k * step + shift + 1), F.when(k % 7 == 6, 0.5).otherwise(1.0))
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), one)).alias(f"{part}_keypoints_2d")
-
-    person = lambda data: F.struct(*[points(data, p) for p in _PARTS])
-    f = frames(spark, d).select("seq_id", "frame_idx", F.struct(F.lit(_H).alias("canvas_height"), F.lit(_W).alias("canvas_width"), F.array(person(F.col("data")), person(F.reverse("data"))).alias("people")).alias("frame"))
-    chunks = f.groupBy("seq_id", F.floor(F.col("frame_idx") / _CHUNK).cast("int").alias("chunk")).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "frame"))), lambda x: x["frame"])).alias("value"))
+        one = lambda k: (at((k * step + shift) % 64), at((k * step + shift + 1) % 64), F.lit(0.5 if k % 7 == 6 else 1.0))
+        return F.array(*[v for k in range(n) for v in one(k)]).alias(f"{part}_keypoints_2d")
+
+    person = lambda at: F.struct(*[points(at, p) for p in _PARTS])
+    people = lambda data: F.array(person(lambda k: F.get(data, F.lit(k))), person(lambda k: F.get(data, F.size(data) - 1 - k)))
+    frame = lambda x: F.struct(F.lit(_H).alias("canvas_height"), F.lit(_W).alias("canvas_width"), people(x["data"]).alias("people"))
+    # frames are grouped and sorted before their points are made, as these take ten times the room
+    chunk = F.floor(F.col("frame_idx") / _CHUNK).cast("int")
+    # 32 folders in a folder: Spark starts no task to list so few
+    keys = {"seq_id": F.col("seq_id"), "block": F.floor(chunk / 32), "chunk": chunk}
+    f = frames(spark, d).select(*[c.alias(n) for n, c in keys.items()], F.struct("frame_idx", "data").alias("x"))
+    chunks = f.groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("x")).sortWithinPartitions(*keys)
     where = fresh(spark, "poses")
-    chunks.write.partitionBy("seq_id", "chunk").text(where)
+    chunks.select(*keys, F.to_json(F.transform("x", frame)).alias("value")).write.partitionBy(*keys).text(where)
     return where
 
 
@@ -63,9 +68,8 @@ h AS (SELECT * FROM g WHERE CASE WHEN x2 IS NULL THEN pow(((x - cx) * cos(t) + (
 SELECT seq_id, frame AS frame, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, arg_max(red, (person, z)) AS r, arg_max(green, (person, z)) AS g, arg_max(blue, (person, z)) AS b FROM h GROUP BY 1, 2, 3, 4""")
 def pose_raster(spark, d):
     """Every pose of the JSON files drawn: the covered pixels with their colours."""
-    poses = P.load_poses(spark, pose_files(spark, d)).where("error IS NULL")
-    points = P.keypoints(poses, "poses", ["seq_id", "chunk"])
-    px = P.raster(P.shapes(points, _H, _W, ["seq_id", "chunk"]), _H, _W, ["seq_id", "chunk"])
+    keys = ["seq_id", "chunk"]
+    px = P.drawn(P.pose_frames(P.load_poses(spark, pose_files(spark, d)), keys), _H, _W, keys)
     return px.select(F.col("seq_id").cast("long").alias("seq_id"), (F.col("chunk") * _CHUNK + F.col("frame")).cast("long").alias("frame"), "y", "x", "r", "g", "b")
 
 

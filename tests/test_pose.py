@@ -3,6 +3,7 @@
 import colorsys
 import json
 import math
+import re
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from reelweave.operators import geometry as G
 from reelweave.operators import pose as P
+from reelweave.plans import pose_queries
 
 H, W = 40, 56
 
@@ -115,3 +117,57 @@ def test_parts_of_a_pose(poses):
     assert [r.b for r in thick] == [12.0]
     with pytest.raises(ValueError):
         P.shapes(points, H, W, ["name"], body=False, hands=False, face=False)
+
+
+@pytest.mark.parametrize("cells, laid", [(P._CELLS, P._LAID), (1, 1), (3 * H * W, 500)])
+def test_drawn_like_a_painter(poses, monkeypatch, cells, laid):
+    df, held = poses
+    run = P.drawn
+
+    def bounded(*a, **k):
+        monkeypatch.setattr(P, "_CELLS", cells)
+        monkeypatch.setattr(P, "_LAID", laid)
+        return run(*a, **k)
+
+    got = {}
+    for r in local(bounded, P.pose_frames(df, ["name"]), H, W, ["name"]):
+        got.setdefault((r["name"], r["frame"]), np.full((H, W, 3), -1))[r["y"], r["x"]] = (r["r"], r["g"], r["b"])
+    assert set(got) == {("a", 0), ("a", 2), ("b", 0)}
+    assert np.array_equal(got["a", 0], painted(held["a.json"][0]["people"]))
+    assert np.array_equal(got["a", 2], painted(held["a.json"][2]["people"]))
+    assert np.array_equal(got["b", 0], painted(held["b.json"]["people"]))
+
+
+def local(draw, frames, *rest, **more):
+    """Rows of ``drawn`` without workers, so that its bounds can be set."""
+
+    class Here:
+        schema = frames.schema
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, schema: [r for b in run(frames.toArrow().to_batches()) for r in b.to_pylist()]
+
+    return draw(Here(), *rest, **more)
+
+
+def test_drawn_like_shapes_as_rows(spark, tmp_path):
+    """Odd people: parts that are absent, cut short, null or far off the canvas, on narrow, small and large canvases."""
+    rng = np.random.default_rng(5)
+    part = lambda n, low, high: [None if rng.random() < 0.05 else float(v) for k in range(n) for v in (*rng.uniform(low, high, 2), rng.choice([0.5, 1.0, 2.0]))]
+    who = lambda low, high: {"pose_keypoints_2d": part(20, low, high), "hand_left_keypoints_2d": part(9, low, high)[:-1], "hand_right_keypoints_2d": part(21, low, high), "face_keypoints_2d": part(3, low, high)}
+    people = [[who(0, 1) for _ in range(3)], [who(-2, 3)], [{}], [{"face_keypoints_2d": [0.5, 0.5, 1.0], "pose_keypoints_2d": None}], [], [who(0.4, 0.6), {}, who(-50, 50)], [{"pose_keypoints_2d": [0.0, 0.0, 1.0] * 9 + [1.0, 1.0, 1.0] * 9}]]
+    (tmp_path / "odd.json").write_text(json.dumps([{"canvas_height": 1, "canvas_width": 1, "people": p} for p in people]))
+    df = P.load_poses(spark, f"file://{tmp_path}")
+    frames, points = P.pose_frames(df, ["file"]), P.keypoints(df, "poses", ["file"])
+    for h, w, more in [(24, 32, {}), (1, 70, {}), (70, 1, {"body": False}), (13, 13, {"hands": False}), (600, 520, {"wide": True, "face": False})]:
+        rows = lambda d: sorted(tuple(r) for r in d.collect())
+        want = rows(P.raster(P.shapes(points, h, w, ["file"], **more), h, w, ["file"]))
+        assert rows(P.drawn(frames, h, w, ["file"], **more)) == want and want
+    with pytest.raises(ValueError):
+        P.drawn(frames, H, W, ["file"], body=False, hands=False, face=False)
+
+
+def test_raster_query_shuffles_no_pixels(spark, data):
+    """A file is parsed once and its frames are painted where they are read."""
+    plan = pose_queries.pose_raster(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Exchange|Aggregate|Join|Sort", plan)
+    assert plan.count("from_json(") == 1
